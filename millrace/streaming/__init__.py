@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The operators' row-wise part (rename, conform, predicates, routing, casting) accepts
+a streaming DataFrame unchanged. Nothing here needs watermarks or state.
+"""
