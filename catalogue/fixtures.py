@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import zipfile
 
 from pyspark.sql import DataFrame, functions as F
 
 import millrace as mr
+from millrace.sources.files import create_file
 
 from .registry import Tables
 
@@ -21,18 +21,6 @@ def raw_lines(df: DataFrame, header: str, line, path: str) -> None:
      .option("quote", "").csv(path))
 
 
-def _create(path: str):
-    """Open a new file for writing from a task, locally or on a file system Arrow knows."""
-    if "://" not in path or path.startswith("file:"):
-        local = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        return open(local, "wb")
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_output_stream(inner)
-
-
 def zip_orders(t: Tables) -> str:
     """One archive per month of orders: ``data/orders.csv``, ``priorities.csv``, ``notes.sql``."""
     import pandas as pd
@@ -67,7 +55,7 @@ def zip_orders(t: Tables) -> str:
                     (*key, group) for key, group in batch.groupby(["archive", "member"], sort=False)):
                 if archive is None or name[0] != zip_name:
                     close()
-                    out = _create(f"{path}/{zip_name}")
+                    out = create_file(f"{path}/{zip_name}")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
                     inner = archive.open(member, "w", force_zip64=True)
                 elif name[1] != member:

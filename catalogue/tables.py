@@ -165,6 +165,15 @@ def zip_join_members(t):
 query("zip_first_member", ORDERS)(lambda t: mr.read_archive(t.spark, zip_orders(t)))
 
 
+@query("zip_member_aggregate", f"""
+    select {MONTH} || '.zip' as archive, o_orderstatus, count(*) as orders,
+        max(o_totalprice) as top from orders group by all""")
+def zip_member_aggregate(t):
+    rows = mr.read_archive(t.spark, zip_orders(t), "orders.csv", source_column="archive")
+    return mr.aggregate(rows, ["archive", "o_orderstatus"], [
+        ("*", "count", "orders"), ("o_totalprice", "max", "top")])
+
+
 @query("zip_every_member", f"""
     select 'orders.csv' as member, count(*) as rows from orders union all
     select 'priorities.csv', count(*) from (
@@ -198,9 +207,16 @@ def html_tables_roundtrip(t):
     return mr.html_cells(order_pages(t), "html", "doc_id")
 
 
-@query("html_pages_scan", "select page_id, 0 as table_no from pages where html like '%<table%'")
+@query("html_pages_scan", """
+    select page_id, 0 as table_no, 0 as row_no,
+        [cast(page_id as varchar), regexp_replace(trim(url), '\\s+', ' ', 'g')] as cells
+    from pages""")
 def html_pages_scan(t):
-    return mr.html_rows(t.pages, "html", "page_id").select("page_id", "table_no").distinct()
+    """The raw pages, each led by a table of its id and address."""
+    table = F.concat(F.lit("<table><tr><td>"), F.col("page_id"), F.lit("</td><td>"),
+                     F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</td></tr></table>"))
+    return mr.html_rows(t.pages.select("page_id", F.concat(table, "html").alias("html")),
+                        "html", "page_id")
 
 
 @query("folder_inventory", """

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import as_list, col, quoted, require, unused
-from ..plans.ordered import fits, in_chunks, order_key, quantile_middle
+from ..plans.ordered import fits, in_chunks, order_key, ordering, quantile_middle
+from ..session import materialize
 
 SEPARATOR = "|"
 FUNCTIONS = ("sum", "count", "size", "mean", "min", "max", "first", "last", "concat", "nunique",
@@ -155,6 +156,23 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Iterable = (), *,
     return _grouped(rows, keys, specs, order_by, max_group_rows)
 
 
+def _attach_specs(df: DataFrame, keys: Sequence[str], aggs: Iterable) -> list[Agg]:
+    require(df, keys, "group-by columns")
+    specs = parse_aggs(aggs) or [Agg("*", "size", "_row_count")]
+    require(df, [a.column for a in specs if a.column != "*"], "aggregated columns")
+    clash = [a.output for a in specs if a.output in df.columns]
+    if clash:
+        raise ValueError(f"aggregation outputs {clash} already exist; choose other names")
+    return specs
+
+
+def _lookup(df: DataFrame, keys: Sequence[str], groups: DataFrame, how: str) -> DataFrame:
+    """Join per-group values to rows; a null key matches nothing."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    groups = groups.withColumnsRenamed(dict(zip(keys, names)))
+    return df.join(groups, [col(k) == col(n) for k, n in zip(keys, names)], how).drop(*names)
+
+
 def attach_aggregates(df: DataFrame, keys: Sequence[str] = (), aggs: Iterable = (), *,
                       order_by: Sequence[str] = (), max_group_rows: int | None = None) -> DataFrame:
     """Keep every row and add its group's aggregates; null keys get null.
@@ -164,12 +182,7 @@ def attach_aggregates(df: DataFrame, keys: Sequence[str] = (), aggs: Iterable =
     added to each row; without aggregations the group size is added as ``_row_count``.
     """
     keys, order_by = as_list(keys), as_list(order_by)
-    require(df, keys, "group-by columns")
-    specs = parse_aggs(aggs) or [Agg("*", "size", "_row_count")]
-    require(df, [a.column for a in specs if a.column != "*"], "aggregated columns")
-    clash = [a.output for a in specs if a.output in df.columns]
-    if clash:
-        raise ValueError(f"aggregation outputs {clash} already exist; choose other names")
+    specs = _attach_specs(df, keys, aggs)
     outputs = [a.output for a in specs]
     if not keys:
         row = _grouped(df, [], specs, order_by, max_group_rows)
@@ -177,7 +190,42 @@ def attach_aggregates(df: DataFrame, keys: Sequence[str] = (), aggs: Iterable =
         return (df.withColumn(one, row.select(F.struct(*[col(o) for o in outputs])).scalar())
                 .withColumns({o: col(one).getField(o) for o in outputs}).drop(one))
     groups = _grouped(df.dropna(subset=keys), keys, specs, order_by, max_group_rows)
-    names = [f"__k{i}" for i in range(len(keys))]
-    groups = groups.withColumnsRenamed(dict(zip(keys, names)))
-    on = [col(k) == col(n) for k, n in zip(keys, names)]
-    return df.join(groups, on, "left").drop(*names)
+    return _lookup(df, keys, groups, "left")
+
+
+def attach_top(df: DataFrame, keys: Sequence[str], aggs: Iterable, rank_by: str, top_n: int, *,
+               ascending: bool = False, rank_column: str = "rank", order_by: Sequence[str] = (),
+               max_group_rows: int | None = None) -> DataFrame:
+    """``attach_aggregates`` followed by a top-N of rows ranked by one of the aggregates.
+
+    All rows of a group share the aggregate, so ranks follow from the group sizes: the
+    rows are read once to build the groups and once to fetch those of the few groups
+    that make the top. Nulls, and rows with a null key, rank last.
+    """
+    keys, order_by = as_list(keys), as_list(order_by)
+    specs = _attach_specs(df, keys, aggs)
+    size = Agg("*", "size", unused(df, "size"))
+    groups = materialize(_grouped(df, keys, [*specs, size], order_by, max_group_rows), "groups")
+    keyless = reduce(or_, [col(k).isNull() for k in keys])
+    value = F.when(~keyless, col(rank_by)).alias("__v")
+    weights = groups.select(value, col(size.output).alias("__n"))
+    # Every value stands for at least one row: at most N values can rank within N.
+    order = ordering(F.col("__v"), ascending)
+    top = (weights.filter("__v is not null").groupBy("__v").agg(F.sum("__n").alias("__n"))
+           .orderBy(order).limit(top_n)
+           .withColumn(rank_column, (F.lit(1) + F.coalesce(F.sum("__n").over(
+               Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+               .cast("int"))
+           .filter(col(rank_column) <= top_n).drop("__n"))
+    best = groups.join(F.broadcast(top), col(rank_by) == F.col("__v")).drop("__v", size.output)
+    result = _lookup(df, keys, best, "inner")
+    last = weights.agg(F.count_if(F.col("__v").isNull()).alias("blank"),
+                       F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))).alias("n")).first()
+    if not last["blank"] or (last["n"] or 0) >= top_n:
+        return result
+    # Fewer than N rows have a value: the rows without one share the next rank.
+    blank = groups.filter(col(rank_by).isNull()).drop(size.output)
+    rest = _lookup(df, keys, blank.withColumn("__found", F.lit(True)), "left")
+    rest = rest.filter(F.col("__found") | keyless).withColumn(
+        rank_column, F.lit((last["n"] or 0) + 1).cast("int"))
+    return result.unionByName(rest.drop("__found"))

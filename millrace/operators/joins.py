@@ -52,11 +52,13 @@ def _spread(big: DataFrame, small: DataFrame, salt: int) -> tuple[DataFrame, Dat
 
 
 def join(left: DataFrame, right: DataFrame, on=None, *, left_on=None, right_on=None,
-         how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), salt: int = 0) -> DataFrame:
+         how: str = "inner", suffixes: tuple[str, str] = ("_x", "_y"), salt: int = 0,
+         match_nulls: bool = True) -> DataFrame:
     """Join on one or more keys; the same or different key names on the two sides.
 
     Keys of the same name become one column. With different names the right key is
-    dropped, so rows found only on the right keep no key.
+    dropped, so rows found only on the right keep no key. For keys known to hold no
+    nulls ``match_nulls=False`` compares plainly, which lets Spark use bucketed tables.
     """
     if how not in HOW:
         raise ValueError(f"how must be one of {sorted(HOW)}, got '{how}'")
@@ -74,7 +76,8 @@ def join(left: DataFrame, right: DataFrame, on=None, *, left_on=None, right_on=N
     li = {c: f"__l{i}" for i, c in enumerate(left.columns)}
     ri = {c: f"__r{i}" for i, c in enumerate(right.columns)}
     a, b = left.toDF(*li.values()), right.toDF(*ri.values())
-    match = reduce(and_, [F.col(li[x]).eqNullSafe(F.col(ri[y])) for x, y in pairs])
+    compare = Column.eqNullSafe if match_nulls else Column.__eq__
+    match = reduce(and_, [compare(F.col(li[x]), F.col(ri[y])) for x, y in pairs])
 
     def key(name: str) -> Column:
         own, other = F.col(li[name]), F.col(ri[name])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import groupby
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -52,21 +53,29 @@ def _fill_constant(df: DataFrame, name: str, value) -> DataFrame:
     return df.withColumn(name, F.coalesce(col(name), F.lit(str(value)).cast(dtype)))
 
 
-def _fill_number(df: DataFrame, name: str, strategy: str, max_group_rows: int | None) -> DataFrame:
-    """Mean or median of the cells that read as numbers; text columns get it as text."""
-    dtype = df.schema[name].dataType
-    if not isinstance(dtype, (T.NumericType, T.StringType)):
+def _fill_numbers(df: DataFrame, names: Sequence[str], strategy: str,
+                  max_group_rows: int | None) -> DataFrame:
+    """Mean or median of the cells that read as numbers, for all columns in one pass.
+
+    Text columns receive the number as text, whole-number columns become double.
+    """
+    texts = {n for n in names if isinstance(df.schema[n].dataType, T.StringType)}
+    names = [n for n in names if n in texts or isinstance(df.schema[n].dataType, T.NumericType)]
+    if not names:
         return df
-    number = to_float(col(name)) if isinstance(dtype, T.StringType) else col(name).cast("double")
-    numbers = df.select(number.alias("__x"))
-    if strategy == "mean":
-        stat = numbers.agg(F.avg("__x"))
-    elif fits(numbers.filter("__x is not null"), [], max_group_rows):
-        stat = numbers.agg(F.median("__x"))
+    numbers = df.select(*[(to_float(col(n)) if n in texts else col(n).cast("double")).alias(f"__x{i}")
+                          for i, n in enumerate(names)])
+    xs = numbers.columns
+    if strategy == "mean" or fits(numbers, [], max_group_rows):
+        pick = F.avg if strategy == "mean" else F.median
+        stats = numbers.agg(F.struct(*[pick(x).alias(x) for x in xs]).alias("s")).scalar()
+        values = [stats.getField(x) for x in xs]
     else:
-        stat = quantile_middle(numbers, "__x", [], "__m", max_group_rows=max_group_rows)
-    target = T.StringType() if isinstance(dtype, T.StringType) else T.DoubleType()
-    return df.withColumn(name, F.coalesce(col(name).cast(target), stat.scalar().cast(target)))
+        values = [quantile_middle(numbers, x, [], "m", max_group_rows=max_group_rows).scalar()
+                  for x in xs]
+    return df.withColumns({
+        n: F.coalesce(col(n).cast(t), v.cast(t)) for n, v in zip(names, values)
+        for t in ["string" if n in texts else "double"]})
 
 
 def _fill_mode(df: DataFrame, name: str) -> DataFrame:
@@ -76,6 +85,11 @@ def _fill_mode(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.coalesce(col(name), top.scalar()))
 
 
+def _targets(df: DataFrame, rule: Mapping) -> list[str]:
+    name = rule.get("column", "")
+    return df.columns if name == "*" else existing(df, [name])
+
+
 def handle_nulls(df: DataFrame, rules: Sequence[Mapping], *, null_tokens: Sequence[str] = (),
                  order_by: Sequence[str] = (), max_group_rows: int | None = None) -> Cleaned:
     """Apply rules ``{"column", "strategy", "fill_value"}`` in order; ``*`` means all columns.
@@ -87,26 +101,29 @@ def handle_nulls(df: DataFrame, rules: Sequence[Mapping], *, null_tokens: Sequen
     df = replace_tokens(df, null_tokens)
     audit = null_audit(df)
     order_by = as_list(order_by)
-    for rule in rules:
-        strategy, name = rule.get("strategy", ""), rule.get("column", "")
+    for strategy, run in groupby(rules, key=lambda r: r.get("strategy", "")):
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown null strategy '{strategy}'; supported: {STRATEGIES}")
-        names = df.columns if name == "*" else existing(df, [name])
-        if strategy == "drop_row":
-            df = df.dropna(subset=names) if names else df
-        elif strategy in ("forward_fill", "backward_fill"):
+        run = list(run)
+        # Neighbouring rules of one strategy are independent of each other: do them together.
+        names = list(dict.fromkeys(n for r in run for n in _targets(df, r)))
+        if strategy == "fill":
+            for rule in run:
+                for n in _targets(df, rule):
+                    df = _fill_constant(df, n, rule.get("fill_value", ""))
+        elif not names:
+            continue
+        elif strategy == "drop_row":
+            df = df.dropna(subset=names)
+        elif strategy == "mode":
+            for n in names:
+                df = _fill_mode(df, n)
+        elif strategy in ("mean", "median"):
+            df = _fill_numbers(df, names, strategy, max_group_rows)
+        else:
             if not order_by:
                 raise ValueError(f"'{strategy}' needs order_by")
-            names = [n for n in names if n not in order_by]
-            if names:
-                df = carry_values(df, names, [], order_by, backward=strategy == "backward_fill",
-                                  max_group_rows=max_group_rows)
-        else:
-            for n in names:
-                if strategy == "fill":
-                    df = _fill_constant(df, n, rule.get("fill_value", ""))
-                elif strategy == "mode":
-                    df = _fill_mode(df, n)
-                else:
-                    df = _fill_number(df, n, strategy, max_group_rows)
+            df = carry_values(df, [n for n in names if n not in order_by], [], order_by,
+                              backward=strategy == "backward_fill",
+                              max_group_rows=max_group_rows)
     return Cleaned(df, audit)

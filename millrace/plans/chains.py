@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.names import col
+from ..functions.names import as_list, col, existing
 from ..functions.predicates import filter_rows
-from ..operators.aggregate import aggregate, attach_aggregates
+from ..operators.aggregate import aggregate, attach_aggregates, attach_top, parse_aggs
 from ..operators.joins import join_tables
-from ..operators.ranking import rank_rows
+from ..operators.ranking import SMALL_TOP, rank_rows
 from ..operators.shape import finish
 
 
@@ -49,16 +49,24 @@ def join_filter_aggregate(
                          right_columns=right_columns, dedup_right_by=dedup_right_by,
                          dedup_keep=dedup_keep, dedup_order=dedup_order)
     rows = filter_rows(joined, where)
-    if attach:
+    aggs, group_by = parse_aggs(aggs), as_list(group_by)
+    ranked = False
+    if attach and group_by and 0 < top_n <= SMALL_TOP and rank_by in [a.output for a in aggs]:
+        result = attach_top(rows, group_by, aggs, rank_by, top_n, ascending=ascending,
+                            rank_column=rank_column, order_by=order_by,
+                            max_group_rows=max_group_rows)
+        ranked = True
+    elif attach:
         result = attach_aggregates(rows, group_by, aggs, order_by=order_by,
                                    max_group_rows=max_group_rows)
     else:
-        result = aggregate(rows, group_by, list(aggs) or [("*", "size", "_row_count")],
+        result = aggregate(rows, group_by, aggs or [("*", "size", "_row_count")],
                            order_by=order_by, max_group_rows=max_group_rows)
-    if rank_by and rank_by in result.columns:
+    if not ranked and rank_by in result.columns:
         result = rank_rows(result, rank_by, method="rank", ascending=ascending, top_n=top_n,
                            rank_column=rank_column, max_group_rows=max_group_rows).result
-        if sort:
-            ties = [o for o in order_by if o in result.columns]
-            result = result.orderBy(F.col(rank_column), *[col(o) for o in ties])
+        ranked = True
+    if ranked and sort:
+        ties = existing(result, order_by)
+        result = result.orderBy(col(rank_column), *[col(o) for o in ties])
     return finish(result, drop, move)

@@ -144,6 +144,8 @@ def carry_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
                  order_by: Sequence[str], *, backward: bool = False,
                  max_group_rows: int | None = None) -> DataFrame:
     """Fill nulls with the previous (or next) non-null value in ``order_by`` order."""
+    if not columns:
+        return df
     order = [col(o) for o in order_by]
     pick = F.first if backward else F.last
     frame = ((0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import shutil
 import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.names import col, unique_names
+from ..functions.names import unique_names
+from ..session import materialize, scratch_path
 from .delimited import HEAD_CHARS, sniff
-from .files import DELIMITED, MEMBER_TYPES, listing, open_file, per_file
+from .files import DELIMITED, MEMBER_TYPES, create_file, listing, open_file, per_file
 from .inference import NULL_TOKENS, blank_to_null, infer_types
+from .structured import read_json, read_xml
 
 # Python-to-Arrow batch size for streamed lines.
 BATCH_LINES = 4096
@@ -49,7 +53,7 @@ def pick(found: DataFrame, name: str | None = None) -> DataFrame:
     return tables.join(first, ["path", "position"])
 
 
-def _records(stream) -> list[str]:
+def _records(stream):
     """Text lines, joined while a quoted field is open."""
     held = ""
     for line in stream:
@@ -77,66 +81,116 @@ def _decoded(z: zipfile.ZipFile, member: str):
     return io.TextIOWrapper(z.open(member), encoding=encoding, newline="")
 
 
-def member_lines(found: DataFrame) -> DataFrame:
-    """(archive, member, name, line_no, line, sep): the records of delimited members.
+def _opened(batches):
+    """Each member of the batches with its archive open: (zip, archive, member, name)."""
+    for batch in batches:
+        for path, *which in zip(batch["path"], batch["archive"], batch["member"], batch["name"]):
+            with open_file(path) as fh, zipfile.ZipFile(fh) as z:
+                yield z, *which
 
-    Each member is its own unit of work, so a large archive is read by many tasks.
-    """
+
+def _spread(found: DataFrame) -> DataFrame:
+    """One unit of work per member, so a large archive is read by many tasks."""
+    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.select("path", "archive", "member", "name").repartition(n, "path", "member")
+
+
+def _delimited(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("ext").isin(*DELIMITED))
+
+
+def member_heads(found: DataFrame) -> DataFrame:
+    """(archive, member, name, sep, header) of delimited members, from their first lines."""
     import pandas as pd
 
-    names = ["archive", "member", "name", "line_no", "line", "sep"]
+    names = ["archive", "member", "name", "sep", "header"]
 
     def run(batches):
-        for batch in batches:
-            for path, archive, member, name in zip(
-                    batch["path"], batch["archive"], batch["member"], batch["name"]):
-                with open_file(path) as fh, zipfile.ZipFile(fh) as z:
-                    with _decoded(z, member) as text:
-                        sep = sniff(text.read(HEAD_CHARS))
-                    with _decoded(z, member) as text:
-                        rows = []
-                        for i, line in enumerate(_records(text)):
-                            rows.append((archive, member, name, i, line, sep))
-                            if len(rows) == BATCH_LINES:
-                                yield pd.DataFrame(rows, columns=names)
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=names)
+        for z, archive, member, name in _opened(batches):
+            with _decoded(z, member) as text:
+                sep = sniff(text.read(HEAD_CHARS))
+            with _decoded(z, member) as text:
+                header = next(csv.reader([next(_records(text), "")], delimiter=sep), [])
+            yield pd.DataFrame([(archive, member, name, sep, header)], columns=names)
+
+    return _spread(_delimited(found)).mapInPandas(
+        run, "archive string, member string, name string, sep string, header array<string>")
 
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = found.filter(F.col("ext").isin(*DELIMITED)).select("path", "archive", "member", "name")
-    return wanted.repartition(n, "path", "member").mapInPandas(
-        run, "archive string, member string, name string, line_no long, line string, sep string")
 
+def member_lines(found: DataFrame) -> DataFrame:
+    """(archive, member, name, line_no, line): the records of delimited members, streamed."""
+    import pandas as pd
+
+    names = ["archive", "member", "name", "line_no", "line"]
+
+    def run(batches):
+        for z, archive, member, name in _opened(batches):
+            with _decoded(z, member) as text:
+                for start, lines in _batched(_records(text)):
+                    yield pd.DataFrame({"archive": archive, "member": member, "name": name,
+                                        "line_no": range(start, start + len(lines)),
+                                        "line": lines})[names]
+
+    return _spread(_delimited(found)).mapInPandas(
+        run, "archive string, member string, name string, line_no long, line string")
+
+
+def _batched(records):
+    start, held = 0, []
+    for record in records:
+        held.append(record)
+        if len(held) == BATCH_LINES:
+            yield start, held
+            start, held = start + len(held), []
+    if held:
+        yield start, held
+
+
+def read_members(found: DataFrame, *, infer: bool = True, source_column: str | None = None,
+                 member_column: str | None = None, null_tokens: Sequence[str] = ()) -> DataFrame:
+    """Delimited members that share a header, stacked into one table.
 
-def parse_lines(lines: DataFrame, *, infer: bool = True, source_column: str | None = "archive",
-                member_column: str | None = None, null_tokens: Sequence[str] = ()) -> DataFrame:
-    """Records of members that share a header, as a table. The parsing runs in Spark."""
-    heads = lines.filter("line_no = 0").select("line", "sep").distinct().limit(2).collect()
+    The archives are unpacked by one pass; the lines are parsed and typed by Spark.
+    """
+    heads = member_heads(found).select("header", "sep").distinct().limit(2).collect()
     if not heads:
-        raise ValueError("no member to read")
+        raise ValueError("no delimited member to read")
     if len(heads) > 1:
         raise ValueError("members have different headers; read them one by one")
-    import csv
-
-    sep = heads[0]["sep"]
-    header = next(csv.reader([heads[0]["line"]], delimiter=sep))
+    sep, header = heads[0]["sep"], heads[0]["header"]
     names = unique_names([h or f"Unnamed: {i}" for i, h in enumerate(header)])
+    lines = member_lines(found).filter("line_no > 0 and line != ''").drop("line_no")
+    if infer:
+        lines = materialize(lines, "lines")
     schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    record = F.from_csv("line", schema, {"sep": sep, "escape": '"'})
-    rows = lines.filter("line_no > 0 and line != ''").withColumn("__r", record)
+    rows = lines.withColumn("__r", F.from_csv("line", schema, {"sep": sep, "escape": '"'}))
     rows = rows.filter(F.col("__r").getField(f"c{len(names)}").isNull())
-    data = rows.select(
-        *[F.col("__r").getField(f"c{i}").alias(n) for i, n in enumerate(names)],
-        *([F.col("archive").alias("__archive")] if source_column else []),
-        *([F.col("name").alias("__name")] if member_column else []))
-    body = blank_to_null(data.select(*[col(n) for n in data.columns]), (*NULL_TOKENS, *null_tokens))
-    if infer:
-        types = dict(infer_types(body.select(*[col(n) for n in names])).dtypes)
-        body = body.withColumns({n: col(n).try_cast(types[n]) for n in names})
-    if source_column:
-        body = body.withColumnRenamed("__archive", source_column)
-    return body.withColumnRenamed("__name", member_column) if member_column else body
+    cells = rows.select("archive", "name", *[
+        F.col("__r").getField(f"c{i}").alias(f"__c{i}") for i in range(len(names))])
+    body = blank_to_null(cells.drop("archive", "name"), (*NULL_TOKENS, *null_tokens))
+    types = dict(infer_types(body).dtypes) if infer else {}
+    tokens = [*NULL_TOKENS, *null_tokens]
+    out = [F.when(~F.col(c).isin(*tokens), F.col(c)).try_cast(types.get(c, "string")).alias(n)
+           for c, n in zip(body.columns, names)]
+    extra = {source_column: "archive", member_column: "name"}
+    return cells.select(*out, *[F.col(c).alias(n) for n, c in extra.items() if n])
+
+
+def unpack(found: DataFrame, folder: str) -> DataFrame:
+    """Write members out as ``folder/<archive>/<member>`` and return their (path, name).
+
+    Each member is streamed by its own task; whole-document readers can then use it.
+    """
+    import pandas as pd
+
+    def run(batches):
+        for z, archive, member, name in _opened(batches):
+            target = f"{folder}/{archive}/{member}"
+            with z.open(member) as source, create_file(target) as out:
+                shutil.copyfileobj(source, out, 1 << 20)
+            yield pd.DataFrame([(target, name)], columns=["path", "name"])
+
+    return _spread(found).mapInPandas(run, "path string, name string")
 
 
 def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | None = None, *,
@@ -147,43 +201,36 @@ def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | N
     All archives are read by the same scan and stacked, which is also the union of one
     member over many archives. An archive lacking the named member is an error.
     """
-    found = members(spark, path, skip_extensions=skip_extensions)
+    found = materialize(members(spark, path, skip_extensions=skip_extensions), "members")
     chosen = pick(found, member)
     lacking = found.select("path").distinct().join(chosen.select("path").distinct(), "path",
                                                    "left_anti").limit(5).collect()
     if lacking:
         raise ValueError(f"member {member or '(any table)'!r} not found in: "
                          f"{[r['path'] for r in lacking]}")
-    odd = chosen.filter(~F.col("ext").isin(*DELIMITED)).select("member").first()
-    if odd:
-        raise ValueError(f"{odd['member']}: read JSON and XML members with member_texts")
-    return parse_lines(member_lines(chosen), infer=infer, source_column=source_column,
-                       null_tokens=null_tokens)
-
-
-def member_texts(found: DataFrame) -> DataFrame:
-    """(archive, member, name, text): whole texts of small members such as JSON or XML."""
-    import pandas as pd
-
-    names = ["archive", "member", "name", "text"]
-
-    def run(batches):
-        for batch in batches:
-            for path, archive, member, name in zip(
-                    batch["path"], batch["archive"], batch["member"], batch["name"]):
-                with open_file(path) as fh, zipfile.ZipFile(fh) as z, _decoded(z, member) as text:
-                    yield pd.DataFrame([(archive, member, name, text.read())], columns=names)
-
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.select("path", "archive", "member", "name").repartition(n, "path", "member") \
-        .mapInPandas(run, "archive string, member string, name string, text string")
+    kinds = {r["ext"] for r in chosen.select("ext").distinct().collect()}
+    if kinds <= set(DELIMITED):
+        return read_members(chosen, infer=infer, source_column=source_column,
+                            null_tokens=null_tokens)
+    if len(kinds) > 1:
+        raise ValueError(f"the archives hold different formats: {sorted(kinds)}")
+    if kinds - {"json", "xml"}:
+        raise ValueError(f"cannot read members of type {sorted(kinds)}")
+    folder = scratch_path(spark, "unpacked")
+    paths = [r["path"] for r in unpack(chosen, folder).select("path").collect()]
+    read = read_json if kinds == {"json"} else read_xml
+    table = read(spark, paths)
+    if source_column:
+        at = F.element_at(F.split(F.substring_index("_metadata.file_path", f"{folder}/", -1), "/"), 1)
+        table = read(spark, paths, {source_column: F.url_decode(at)})
+    return table
 
 
 def archive_tables(spark: SparkSession, path: str | Sequence[str], *, infer: bool = True,
+                   source_column: str | None = None,
                    skip_extensions: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Every delimited member on its own, by member name; members of one name are stacked."""
-    found = members(spark, path, skip_extensions=skip_extensions)
-    names = [r["name"] for r in found.filter(F.col("ext").isin(*DELIMITED))
-             .select("name").distinct().orderBy("name").collect()]
-    return {n: parse_lines(member_lines(found.filter(F.col("name") == n)), infer=infer,
-                           source_column=None) for n in names}
+    found = materialize(members(spark, path, skip_extensions=skip_extensions), "members")
+    names = [r["name"] for r in _delimited(found).select("name").distinct().orderBy("name").collect()]
+    return {n: read_members(found.filter(F.col("name") == n), infer=infer,
+                            source_column=source_column) for n in names}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -46,11 +46,14 @@ def sniff(head: str) -> str:
         return ","
 
 
-def _heads(path: str):
+HEAD_SCHEMA = "sep string, header array<string>"
+
+
+def _heads(path: str, sep: str | None = None):
     with open_file(path) as fh:
         raw = fh.read(4 * HEAD_CHARS)
         head = raw.decode("utf-8-sig", "replace")[:HEAD_CHARS]
-        sep = sniff(head)
+        sep = sep or sniff(head)
         # The header may be longer than the sample: read on until its record ends.
         while raw.count(b"\n") == 0 or raw.split(b"\n", 1)[0].count(b'"') % 2:
             more = fh.read(4 * HEAD_CHARS)
@@ -65,14 +68,14 @@ def _heads(path: str):
     yield sep, first
 
 
-def detect(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def detect(spark: SparkSession, path: str | Sequence[str], sep: str | None = None) -> DataFrame:
     """(path, sep, header, encoding, multi_line) per file.
 
     The delimiter comes from the head of each file. Encoding and quoted line breaks
     are decided by every line, in one splittable scan merged per file.
     """
     files = listing(spark, path)
-    heads = per_file(files, _heads, "sep string, header array<string>")
+    heads = per_file(files, lambda p: _heads(p, sep), HEAD_SCHEMA)
     raw = F.col("value").cast("binary")
     undefined = F.lit(False)
     for b in CP1252_UNDEFINED:
@@ -94,12 +97,21 @@ def detect(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def layouts(spark: SparkSession, path: str | Sequence[str], *, sep: str | None = None,
-            encoding: str | None = None) -> list[Layout]:
-    """Files grouped by layout; only file names and headers reach the driver."""
-    found = detect(spark, path).groupBy("sep", "header", "encoding", "multi_line").agg(
+            encoding: str | None = None, multi_line: bool | None = None) -> list[Layout]:
+    """Files grouped by layout; only file names and headers reach the driver.
+
+    With ``encoding`` and ``multi_line`` given, only the heads of the files are read.
+    """
+    known = encoding is not None and multi_line is not None
+    heads = lambda p: _heads(p, sep)
+    found = (per_file(listing(spark, path), heads, HEAD_SCHEMA).withColumns(
+        {"encoding": F.lit(encoding), "multi_line": F.lit(multi_line)}) if known
+        else detect(spark, path, sep))
+    grouped = found.groupBy("sep", "header", "encoding", "multi_line").agg(
         F.sort_array(F.collect_list("path")).alias("paths"))
-    return sorted((Layout(sep or r["sep"], encoding or r["encoding"], r["multi_line"],
-                          tuple(r["header"]), tuple(r["paths"])) for r in found.collect()),
+    return sorted((Layout(r["sep"], encoding or r["encoding"],
+                          r["multi_line"] if multi_line is None else multi_line,
+                          tuple(r["header"]), tuple(r["paths"])) for r in grouped.collect()),
                   key=lambda layout: layout.paths)
 
 
@@ -133,21 +145,26 @@ def read_layout(spark: SparkSession, layout: Layout, *, infer: bool = True,
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str], *, sep: str | None = None,
-                   encoding: str | None = None, infer: bool = True, columns: Sequence[str] = (),
-                   null_tokens: Sequence[str] = ()) -> Delimited:
-    """Read files of one layout; files of several layouts have to be united instead.
-
-    ``infer=False`` keeps every column as text, which preserves leading zeros.
+                   encoding: str | None = None, multi_line: bool | None = None,
+                   infer: bool = True, types: Mapping[str, str] | None = None,
+                   columns: Sequence[str] = (), null_tokens: Sequence[str] = ()) -> Delimited:
+    """Read files of one header; files of several headers have to be united instead.
+
+    What is not given is detected: the delimiter from each file's head, encoding and
+    quoted line breaks by one scan, types by another. ``types`` names column types and
+    ``infer=False`` keeps text, which preserves leading zeros; both save the type scan.
     """
-    found = layouts(spark, path, sep=sep, encoding=encoding)
+    found = layouts(spark, path, sep=sep, encoding=encoding, multi_line=multi_line)
     if not found:
         raise FileNotFoundError(f"no delimited files at {path}")
-    headers = {(layout.header, layout.sep) for layout in found}
-    if len({h for h, _ in headers}) > 1:
+    headers = {layout.header for layout in found}
+    if len(headers) > 1:
         raise ValueError(f"{len(headers)} different headers at {path}; use union_folder")
     parts = [read_layout(spark, layout, infer=False, columns=columns, null_tokens=null_tokens)
              for layout in found]
     good, bad = parts[0]
     for p in parts[1:]:
         good, bad = good.unionByName(p.result), bad.unionByName(p.bad_lines)
-    return Delimited(infer_types(good) if infer else good, bad)
+    if types:
+        good = good.select(*[col(c).try_cast(types.get(c, "string")).alias(c) for c in good.columns])
+    return Delimited(infer_types(good) if infer and not types else good, bad)

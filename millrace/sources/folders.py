@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.names import col
 from ..operators.shape import conform
 from ..operators.union import union
-from .archives import member_lines, members, read_archive
+from .archives import member_heads, member_lines, members, read_archive
 from .delimited import layouts, read_delimited, read_layout
 from .files import DELIMITED, FILE_TYPES, MEMBER_TYPES, listing
 from .html import read_html
@@ -107,12 +107,11 @@ def folder_inventory(spark: SparkSession, folder: str) -> DataFrame:
                              F.coalesce("rows", F.lit(0)).alias("rows"), "columns"))
     if listing(spark, folder).filter("ext = 'zip'").limit(1).count():
         found = members(spark, folder).filter(F.col("ext").isin(*DELIMITED))
-        lines = member_lines(found).filter("line != ''")
-        rows = lines.groupBy("archive", "member").agg(
-            (F.count(F.lit(1)) - 1).alias("rows"),
-            F.max(F.when(F.col("line_no") == 0, F.split("line", F.concat(
-                F.lit("["), F.col("sep"), F.lit("]"))))).alias("columns"))
-        inside = found.select("archive", "member", "ext", "bytes").join(rows, ["archive", "member"])
+        rows = member_lines(found).filter("line != ''").groupBy("archive", "member").agg(
+            (F.count(F.lit(1)) - 1).alias("rows"))
+        heads = member_heads(found).select("archive", "member", F.col("header").alias("columns"))
+        inside = (found.select("archive", "member", "ext", "bytes")
+                  .join(heads, ["archive", "member"]).join(rows, ["archive", "member"]))
         parts.append(inside.select(
             F.concat_ws("/", "archive", "member").alias("file"), "ext", "bytes",
             F.lit(None).cast("timestamp").alias("modified"), "rows", "columns"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -12,16 +13,21 @@ from .files import listing, open_file
 from .inference import nan_to_null
 
 
-def read_json(spark: SparkSession, path, *, multi_line: bool = True) -> DataFrame:
-    """Objects or arrays of objects, nested objects flattened to dotted columns."""
-    return nan_to_null(flatten(spark.read.option("multiLine", multi_line).json(path)))
+def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = None, *,
+              multi_line: bool = True) -> DataFrame:
+    """Objects or arrays of objects, nested objects flattened to dotted columns.
+
+    ``extra`` adds columns, such as the file name from ``_metadata``.
+    """
+    raw = spark.read.option("multiLine", multi_line).json(path)
+    return nan_to_null(flatten(raw.withColumns(extra) if extra else raw))
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-def row_tag_of(spark: SparkSession, path: str) -> str:
+def row_tag_of(spark: SparkSession, path) -> str:
     """Tag of the root's first child, from the first file's leading elements."""
     first = listing(spark, path).orderBy("path").select("path").first()
     with open_file(first["path"]) as fh:
@@ -45,7 +51,8 @@ def _leaves(c: Column, dtype: T.DataType, name: str):
         yield name, c.cast("string")
 
 
-def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+def read_xml(spark: SparkSession, path, extra: Mapping[str, Column] | None = None,
+             row_tag: str | None = None) -> DataFrame:
     """One row per record element; every descendant tag with text is a text column,
     attributes are ignored and a repeated tag keeps its last value."""
     raw = (spark.read.format("xml").option("rowTag", row_tag or row_tag_of(spark, path))
@@ -55,4 +62,5 @@ def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> Data
         for tag, text in _leaves(col(field.name), field.dataType, field.name):
             filled = F.when(F.btrim(text) != "", text)
             tags.setdefault(tag, []).append(filled)
-    return raw.select(*[F.coalesce(*reversed(cs)).alias(tag) for tag, cs in tags.items()])
+    return raw.select(*[F.coalesce(*reversed(cs)).alias(tag) for tag, cs in tags.items()],
+                      *[c.alias(n) for n, c in (extra or {}).items()])
