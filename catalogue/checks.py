@@ -67,8 +67,7 @@ FFILL = f"""select o_orderkey,
     coalesce(status, last_value(status ignore nulls) over w) as status,
     coalesce(price, last_value(price ignore nulls) over w) as price, cust, priority
     from {HOLES} window w as (order by o_orderkey rows between unbounded preceding and current row)"""
-BFILL = (FFILL.replace("last_value", "first_value")
-         .replace("unbounded preceding and current row", "current row and unbounded following"))
+BFILL = FFILL.replace("order by o_orderkey rows", "order by o_orderkey desc rows")
 for _name, _strategy, _sql in (("ffill", "forward_fill", FFILL), ("bfill", "backward_fill", BFILL)):
     for _suffix, _options in (("", {}), ("_chunked", {"max_group_rows": 0})):
         query(f"nulls_{_name}{_suffix}", _sql)(lambda t, s=_strategy, o=_options: cleaned(

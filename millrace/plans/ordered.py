@@ -147,13 +147,13 @@ def carry_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
     if not columns:
         return df
     order = [col(o) for o in order_by]
-    pick = F.first if backward else F.last
-    frame = ((0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0))
 
     def fill(rows: DataFrame, by: Sequence[Column]) -> DataFrame:
-        w = (Window.partitionBy(*by).orderBy(*[o.asc_nulls_first() for o in order])
-             .rowsBetween(*frame))
-        return rows.withColumns({c: pick(col(c), ignorenulls=True).over(w) for c in columns})
+        # Backwards is forwards in the opposite order: a growing frame, one pass per group.
+        along = [o.desc_nulls_last() if backward else o.asc_nulls_first() for o in order]
+        w = (Window.partitionBy(*by).orderBy(*along)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return rows.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in columns})
 
     by_keys = [col(k) for k in keys]
     if fits(df, keys, max_group_rows):
