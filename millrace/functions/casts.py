@@ -40,23 +40,27 @@ def date_pattern(fmt: str) -> tuple[str, set[str]]:
     return "".join(out), used
 
 
-def to_float(c: Column) -> Column:
-    """Number or null; ``nan`` is null and a Java type suffix as in ``1d`` is no number."""
-    text = strip(c)
-    number = text.try_cast("double")
-    return F.when(~text.rlike(r"[0-9.][dDfF]$") & ~F.isnan(number), number)
+# Checking the form first is far cheaper than letting a conversion fail.
+WHOLE = r"^[+-]?[0-9]+$"
+WHOLE_FORM = r"^[+-]?[0-9]+([.]0*)?$"
+EXPONENT_FORM = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]+$"
+NUMBER = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
+
 
+def to_float(text: Column) -> Column:
+    """Number or null, from stripped text; ``nan`` is null."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
-def to_integer(c: Column) -> Column:
-    """Whole number or null; ``12.0`` is whole, ``12.5`` is not."""
-    number = to_float(c)
-    whole = F.when(number == F.floor(number), number.try_cast("bigint"))
-    return F.coalesce(strip(c).try_cast("bigint"), whole)
+
+def to_integer(text: Column) -> Column:
+    """Whole number or null, from stripped text; 12.0 and 1e3 are whole, 12.5 is not."""
+    number = text.try_cast("double")
+    return (F.when(text.rlike(WHOLE_FORM), F.substring_index(text, ".", 1).try_cast("bigint"))
+            .when(text.rlike(EXPONENT_FORM), F.when(number % 1 == 0, number.try_cast("bigint"))))
 
 
-def to_date(c: Column, fmt: str | None = None) -> Column:
+def to_date(text: Column, fmt: str | None = None) -> Column:
     """Timestamp without time zone, or null; without a format ISO forms are read."""
-    text = strip(c)
     if not fmt:
         return text.try_cast("timestamp_ntz")
     pattern, used = date_pattern(fmt)
@@ -69,8 +73,8 @@ def to_date(c: Column, fmt: str | None = None) -> Column:
     return F.try_to_date(text, pattern).cast("timestamp_ntz")
 
 
-def to_boolean(c: Column) -> Column:
-    word = F.lower(strip(c))
+def to_boolean(text: Column) -> Column:
+    word = F.lower(text)
     return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
 
 

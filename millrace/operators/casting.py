@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -11,8 +12,8 @@ from ..functions import casts
 from ..functions.names import as_list, col, require
 from ..functions.text import strip
 
-TARGETS = {"string": "string", "integer": "bigint", "float": "double",
-           "date": "timestamp_ntz", "boolean": "boolean"}
+TARGETS = {"string": T.StringType(), "integer": T.LongType(), "float": T.DoubleType(),
+           "date": T.TimestampNTZType(), "boolean": T.BooleanType()}
 ON_ERROR = ("nullify", "keep_original", "drop_row")
 
 
@@ -21,21 +22,21 @@ class Cast(NamedTuple):
     errors: DataFrame
 
 
-def _parse(c: Column, source: T.DataType, target: str, fmt: str | None,
-           strip_currency: bool) -> Column:
+def _steps(cell: Column, source: T.DataType, target: str, fmt: str | None,
+           strip_currency: bool, i: int) -> dict[str, Column]:
+    """The columns that parse ``cell``, each built on the one before; the last is the result."""
     if target == "string":
-        return casts.to_text(c)
-    if target == "boolean":
-        return casts.to_boolean(c)
-    if target == "date":
-        if isinstance(source, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return c.cast("timestamp_ntz")
-        return casts.to_date(c, fmt)
-    if isinstance(source, T.NumericType):
-        c = c.cast("string")
-    elif strip_currency:
-        c = casts.without_currency(c)
-    return casts.to_integer(c) if target == "integer" else casts.to_float(c)
+        return {f"__parsed{i}": casts.to_text(cell)}
+    if target == "date" and isinstance(source, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return {f"__parsed{i}": cell.cast("timestamp_ntz")}
+    money = strip_currency and target in ("integer", "float") and isinstance(source, T.StringType)
+    text = F.col(f"__text{i}")
+    parsed = {
+        "integer": lambda: casts.to_integer(text), "float": lambda: casts.to_float(text),
+        "date": lambda: casts.to_date(text, fmt), "boolean": lambda: casts.to_boolean(text),
+    }[target]()
+    return {f"__text{i}": strip(casts.without_currency(cell) if money else cell),
+            f"__parsed{i}": parsed}
 
 
 def cast_types(df: DataFrame, rules: Sequence[Mapping], *, strip_currency: bool = False,
@@ -54,31 +55,33 @@ def cast_types(df: DataFrame, rules: Sequence[Mapping], *, strip_currency: bool
     report_columns = as_list(report_columns)
     require(df, report_columns, "report columns")
     types = {f.name: f.dataType for f in df.schema.fields}
-    now: dict[str, Column] = {c: col(c) for c in df.columns}
     if trim_strings:
-        for name, dtype in types.items():
-            if isinstance(dtype, T.StringType):
-                now[name] = casts.to_text(col(name))
+        df = df.withColumns({n: casts.to_text(col(n)) for n, t in types.items()
+                             if isinstance(t, T.StringType)})
 
+    # Each rule adds its parsing steps and a failed flag as columns: what several
+    # expressions refer to is then computed once.
+    rows = df
+    now = {c: col(c) for c in df.columns}
     failed: list[Column] = []
     reports: list[Column] = []
-    for rule in rules:
+    for i, rule in enumerate(rules):
         name, target = rule.get("column", ""), rule.get("target_type", "string")
         if target not in TARGETS:
             raise ValueError(f"unknown target type '{target}'; supported: {sorted(TARGETS)}")
         if name not in now:
             continue
-        before = now[name]
+        before, parsed, fail = now[name], F.col(f"__parsed{i}"), F.col(f"__failed{i}")
         fmt = rule.get("format")
-        parsed = _parse(before, types[name], target, fmt, strip_currency)
+        for step, value in _steps(before, types[name], target, fmt, strip_currency, i).items():
+            rows = rows.withColumn(step, value)
+        types[name] = TARGETS[target]
         if target != "string":
             text = strip(before)
-            fail = parsed.isNull() & F.coalesce((text != "") & (text != "nan"), F.lit(False))
+            rows = rows.withColumn(f"__failed{i}", parsed.isNull() & F.coalesce(
+                (text != "") & (text != "nan"), F.lit(False)))
             # Rows dropped by an earlier rule are not looked at by later ones.
-            seen = fail
-            if on_error == "drop_row":
-                for earlier in failed:
-                    seen = seen & ~earlier
+            seen = reduce(lambda a, f: a & ~f, failed if on_error == "drop_row" else [], fail)
             expected = f" (expected format: {fmt})" if target == "date" else ""
             reports.append(F.when(seen, F.struct(
                 F.lit(name).alias("column"), before.cast("string").alias("original_value"),
@@ -87,19 +90,16 @@ def cast_types(df: DataFrame, rules: Sequence[Mapping], *, strip_currency: bool
             failed.append(fail)
             if on_error == "keep_original":
                 parsed = F.when(fail, before.cast("string")).otherwise(parsed.cast("string"))
+                types[name] = T.StringType()
         now[name] = parsed
-        types[name] = T.StringType() if (target == "string" or on_error == "keep_original") \
-            else {"integer": T.LongType(), "float": T.DoubleType(),
-                  "date": T.TimestampNTZType(), "boolean": T.BooleanType()}[target]
 
-    rows = df
-    if on_error == "drop_row":
-        for fail in failed:
-            rows = rows.filter(~fail)
+    parsed_rows = rows
+    if on_error == "drop_row" and failed:
+        rows = rows.filter(~reduce(lambda a, b: a | b, failed))
     result = rows.select(*[c.alias(n) for n, c in now.items()])
     if not reports:
         reports = [F.lit(None).cast("struct<column:string,original_value:string,"
                                     "target_type:string,error:string>")]
-    errors = df.select(*[col(c) for c in report_columns],
-                       F.explode(F.array_compact(F.array(*reports))).alias("__e"))
+    errors = parsed_rows.select(*[col(c) for c in report_columns],
+                                F.explode(F.array_compact(F.array(*reports))).alias("__e"))
     return Cast(result, errors.select(*[col(c) for c in report_columns], "__e.*"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.casts import to_float
 from ..functions.names import as_list, col, existing
+from ..functions.text import strip
 from ..plans.ordered import carry_values, fits, quantile_middle
 
 STRATEGIES = ("fill", "mean", "median", "mode", "forward_fill", "backward_fill", "drop_row")
@@ -63,7 +64,7 @@ def _fill_numbers(df: DataFrame, names: Sequence[str], strategy: str,
     names = [n for n in names if n in texts or isinstance(df.schema[n].dataType, T.NumericType)]
     if not names:
         return df
-    numbers = df.select(*[(to_float(col(n)) if n in texts else col(n).cast("double")).alias(f"__x{i}")
+    numbers = df.select(*[(to_float(strip(col(n))) if n in texts else col(n).cast("double")).alias(f"__x{i}")
                           for i, n in enumerate(names)])
     xs = numbers.columns
     if strategy == "mean" or fits(numbers, [], max_group_rows):

@@ -10,19 +10,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; all are session-level, none needs a restart.
-SKEW_SETTINGS = {
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even where a later operator could have reused the join's partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Generated methods beyond the JIT compiler's limit would run interpreted: split those stages.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on the adaptive skew handling the operators rely on."""
-    for key, value in SKEW_SETTINGS.items():
+    """Set what the operators rely on: adaptive skew handling and compilable code."""
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 

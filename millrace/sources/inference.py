@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.casts import to_float
+from ..functions.casts import NUMBER, WHOLE, to_float
 from ..functions.names import col
+from ..functions.text import strip
 
 # Cells read as missing.
 NULL_TOKENS = (
@@ -34,8 +35,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         cell = col(c)
         checks += [
             F.count(cell).alias(f"n{i}"),
-            F.count(F.when(cell.rlike(r"^\s*[+-]?[0-9]+\s*$"), cell.try_cast("bigint"))).alias(f"i{i}"),
-            F.count(to_float(cell)).alias(f"d{i}"),
+            F.count(F.when(cell.rlike(WHOLE), cell.try_cast("bigint"))).alias(f"i{i}"),
+            F.count_if(strip(cell).rlike(NUMBER)).alias(f"d{i}"),
             F.count_if(F.lower(cell).isin("true", "false")).alias(f"b{i}"),
         ]
     seen = df.agg(*checks).first()
@@ -45,7 +46,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         if n and seen[f"i{i}"] == n:
             out[c] = col(c).try_cast("bigint")
         elif n and seen[f"d{i}"] == n:
-            out[c] = to_float(col(c))
+            out[c] = to_float(strip(col(c)))
         elif n and seen[f"b{i}"] == n:
             out[c] = col(c).try_cast("boolean")
     return df.withColumns(out) if out else df
