@@ -67,7 +67,8 @@ def with_unique_names(df: DataFrame) -> DataFrame:
     return df.toDF(*unique_names(df.columns))
 
 
-def conform(df: DataFrame, columns, keep: Sequence[str] = ()) -> DataFrame:
+def conform(df: DataFrame, columns, keep: Sequence[str] = (),
+            missing_type: str = "string") -> DataFrame:
     """Fit a frame to a column list: match names ignoring case and blanks, add missing
     columns as null, drop the rest; if no name matches, map by position. Columns in
     ``keep`` take no part in the matching and stay at the end."""
@@ -83,7 +84,7 @@ def conform(df: DataFrame, columns, keep: Sequence[str] = ()) -> DataFrame:
     if not any(source.values()):
         source = dict(zip(wanted, own))
     return df.select(*[
-        (col(source[w]) if source.get(w) else F.lit(None).cast("string")).alias(w)
+        (col(source[w]) if source.get(w) else F.lit(None).cast(missing_type)).alias(w)
         for w in wanted], *existing_columns(df, keep))
 
 

@@ -35,7 +35,7 @@ def union(tables: Mapping[str, DataFrame] | Sequence[DataFrame], *, source_tag:
         raise ValueError("no tables to union")
     frames = []
     for name, df in named.items():
-        df = conform(with_unique_names(df), output_columns)
+        df = conform(with_unique_names(df), output_columns, missing_type="void")
         frames.append(tag_source(df, name, source_tag) if source_tag else df)
     seen: dict[str, list[T.DataType]] = {}
     for df in frames:

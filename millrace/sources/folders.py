@@ -77,7 +77,8 @@ def union_folder(spark: SparkSession, folder: str, files: Sequence[str] = (), *,
     frames = _tables(spark, folder, list(files), tag)
     if not frames:
         raise ValueError(f"no files to union in {folder}")
-    stacked = union([conform(f, output_columns, keep=[tag]) for f in frames])
+    stacked = union([conform(f, output_columns, keep=[tag], missing_type="void")
+                     for f in frames])
     if infer:
         types = dict(infer_types(stacked.drop(tag)).dtypes)
         stacked = stacked.select(*[col(c).try_cast(types[c]).alias(c) if c in types else col(c)
