@@ -34,6 +34,13 @@ def require(df: DataFrame, names: Iterable[str], what: str) -> None:
         raise KeyError(f"{what} {missing} not found; available columns: {df.columns}")
 
 
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in which no key is null; unlike ``dropna`` this reaches the scan."""
+    for k in keys:
+        df = df.filter(col(k).isNotNull())
+    return df
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A helper column name that does not collide with the frame's own."""
     name = f"__{stem}"

@@ -30,17 +30,17 @@ def _clause(df: DataFrame, name: str, op: str, value) -> Column:
     text = value.strip() if isinstance(value, str) else str(value)
 
     if op == "contains":
-        return F.coalesce(c.cast("string").rlike(text), F.lit(False))
+        return c.cast("string").rlike(text)
     if op == "startswith":
-        return F.coalesce(c.cast("string").startswith(text), F.lit(False))
+        return c.cast("string").startswith(text)
     if op == "in":
         items = [v.strip() if isinstance(v, str) else v
                  for v in (value.split(",") if isinstance(value, str) else value)]
         if numeric:
             numbers = [_number(str(v)) for v in items]
             items = [n for n in numbers if n is not None]
-            return F.coalesce(c.isin(items), F.lit(False)) if items else F.lit(False)
-        return F.coalesce(c.cast("string").isin([str(v) for v in items]), F.lit(False))
+            return c.isin(items) if items else F.lit(False)
+        return c.cast("string").isin([str(v) for v in items])
 
     number = _number(text)
     if numeric and number is not None:
@@ -52,17 +52,17 @@ def _clause(df: DataFrame, name: str, op: str, value) -> Column:
         left, right = c, F.lit(text).cast(dtype)
     if op == "!=":
         return ~left.eqNullSafe(right)
-    compare = {
+    return {
         "==": left == right, ">": left > right, ">=": left >= right,
         "<": left < right, "<=": left <= right,
     }[op]
-    return F.coalesce(compare, F.lit(False))
 
 
 def where(df: DataFrame, clauses: Iterable[Sequence]) -> Column:
-    """Combine clauses into one never-null condition; ``and`` binds tighter than ``or``.
+    """Combine clauses into one condition; ``and`` binds tighter than ``or``.
 
-    A clause is ``(column, op, value)`` or ``(column, op, value, "and"|"or")``; the
+    Comparisons are left plain, so that Spark can push them into a scan: they are null
+    for null cells, which a filter takes as false. A clause is ``(column, op, value)`` or ``(column, op, value, "and"|"or")``; the
     connector joins it to the clause before. Clauses with no column or a blank
     value are skipped.
     """

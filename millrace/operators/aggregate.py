@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.names import as_list, col, quoted, require, unused
+from ..functions.names import as_list, col, quoted, require, unused, with_keys
 from ..plans.ordered import fits, in_chunks, order_key, ordering, quantile_middle
 from ..session import materialize
 
@@ -152,8 +152,7 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggs: Iterable = (), *,
         known = reduce(and_, [k.isNotNull() for k in by_keys], F.lit(True))
         result = _grouped(df, keys, specs, order_by, max_group_rows)
         return result.withColumns({a.output: F.when(known, col(a.output)) for a in specs})
-    rows = df.dropna(subset=keys) if keys else df
-    return _grouped(rows, keys, specs, order_by, max_group_rows)
+    return _grouped(with_keys(df, keys), keys, specs, order_by, max_group_rows)
 
 
 def _attach_specs(df: DataFrame, keys: Sequence[str], aggs: Iterable) -> list[Agg]:
@@ -167,10 +166,14 @@ def _attach_specs(df: DataFrame, keys: Sequence[str], aggs: Iterable) -> list[Ag
 
 
 def _lookup(df: DataFrame, keys: Sequence[str], groups: DataFrame, how: str) -> DataFrame:
-    """Join per-group values to rows; a null key matches nothing."""
+    """Join per-group values to rows; ``groups`` has no null keys, so those match nothing.
+
+    The null-safe comparison keeps the join from reusing the aggregation's partitioning:
+    only a join of two shuffles can have its hot keys split.
+    """
     names = [f"__k{i}" for i in range(len(keys))]
-    groups = groups.withColumnsRenamed(dict(zip(keys, names)))
-    return df.join(groups, [col(k) == col(n) for k, n in zip(keys, names)], how).drop(*names)
+    groups = with_keys(groups, keys).withColumnsRenamed(dict(zip(keys, names)))
+    return df.join(groups, _match(keys, names), how).drop(*names)
 
 
 def attach_aggregates(df: DataFrame, keys: Sequence[str] = (), aggs: Iterable = (), *,
@@ -189,7 +192,7 @@ def attach_aggregates(df: DataFrame, keys: Sequence[str] = (), aggs: Iterable =
         one = unused(df, "stats")
         return (df.withColumn(one, row.select(F.struct(*[col(o) for o in outputs])).scalar())
                 .withColumns({o: col(one).getField(o) for o in outputs}).drop(one))
-    groups = _grouped(df.dropna(subset=keys), keys, specs, order_by, max_group_rows)
+    groups = _grouped(with_keys(df, keys), keys, specs, order_by, max_group_rows)
     return _lookup(df, keys, groups, "left")
 
 

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.casts import to_float
-from ..functions.names import as_list, col, existing
+from ..functions.names import as_list, col, existing, with_keys
 from ..functions.text import strip
 from ..plans.ordered import carry_values, fits, quantile_middle
 
@@ -115,7 +115,7 @@ def handle_nulls(df: DataFrame, rules: Sequence[Mapping], *, null_tokens: Sequen
         elif not names:
             continue
         elif strategy == "drop_row":
-            df = df.dropna(subset=names)
+            df = with_keys(df, names)
         elif strategy == "mode":
             for n in names:
                 df = _fill_mode(df, n)
