@@ -100,7 +100,7 @@ def csv_bad_lines_report(t):
 
 @query("json_nested_flatten", """
     select o_orderkey as "order.key", o_orderstatus as "order.state.code", o_custkey as customer,
-        [o_orderstatus, o_orderpriority] as marks from orders""")
+        o_orderstatus || '|' || o_orderpriority as marks from orders""")
 def json_nested_flatten(t):
     nested = t.orders.select(
         F.struct(F.col("o_orderkey").alias("key"),
@@ -108,7 +108,8 @@ def json_nested_flatten(t):
         F.col("o_custkey").alias("customer"),
         F.array("o_orderstatus", "o_orderpriority").alias("marks"))
     path = exported(t, nested, "json")
-    return mr.read_json(t.spark, path, multi_line=False)
+    out = mr.read_json(t.spark, path, multi_line=False)
+    return out.withColumn("marks", F.array_join("marks", "|"))
 
 
 @query("xml_roundtrip", """
@@ -209,23 +210,24 @@ def html_tables_roundtrip(t):
 
 @query("html_pages_scan", """
     select page_id, 0 as table_no, 0 as row_no,
-        [cast(page_id as varchar), regexp_replace(trim(url), '\\s+', ' ', 'g')] as cells
+        cast(page_id as varchar) || '|' || regexp_replace(trim(url), '\\s+', ' ', 'g') as cells
     from pages""")
 def html_pages_scan(t):
     """The raw pages, each led by a table of its id and address."""
     table = F.concat(F.lit("<table><tr><td>"), F.col("page_id"), F.lit("</td><td>"),
                      F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</td></tr></table>"))
-    return mr.html_rows(t.pages.select("page_id", F.concat(table, "html").alias("html")),
-                        "html", "page_id")
+    pages = t.pages.select("page_id", F.concat(table, "html").alias("html"))
+    return mr.html_rows(pages, "html", "page_id").withColumn("cells", F.array_join("cells", "|"))
 
 
 @query("folder_inventory", """
-    select 'csv' as ext, ['c_custkey', 'c_name', 'c_acctbal'] as columns, count(*) as rows
+    select 'csv' as ext, 'c_custkey|c_name|c_acctbal' as columns, count(*) as rows
     from customer
-    union all select 'csv', ['s_suppkey', 's_name'], count(*) from supplier
-    union all select 'parquet', ['o_orderkey', 'o_orderstatus'], count(*) from orders""")
+    union all select 'csv', 's_suppkey|s_name', count(*) from supplier
+    union all select 'parquet', 'o_orderkey|o_orderstatus', count(*) from orders""")
 def folder_inventory(t):
-    return mr.folder_inventory(t.spark, mixed_folder(t)).groupBy("ext", "columns").agg(
+    return mr.folder_inventory(t.spark, mixed_folder(t)).groupBy(
+        "ext", F.array_join("columns", "|").alias("columns")).agg(
         F.sum("rows").alias("rows"))
 
 

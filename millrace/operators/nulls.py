@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.casts import to_float
 from ..functions.names import as_list, col, existing, with_keys
 from ..functions.text import strip
-from ..plans.ordered import carry_values, fits, quantile_middle
+from ..plans.ordered import carry_values, quantile_middle, sizes
 
 STRATEGIES = ("fill", "mean", "median", "mode", "forward_fill", "backward_fill", "drop_row")
 
@@ -67,7 +67,7 @@ def _fill_numbers(df: DataFrame, names: Sequence[str], strategy: str,
     numbers = df.select(*[(to_float(strip(col(n))) if n in texts else col(n).cast("double")).alias(f"__x{i}")
                           for i, n in enumerate(names)])
     xs = numbers.columns
-    if strategy == "mean" or fits(numbers, [], max_group_rows):
+    if strategy == "mean" or sizes(numbers, []).fit(max_group_rows):
         pick = F.avg if strategy == "mean" else F.median
         stats = numbers.agg(F.struct(*[pick(x).alias(x) for x in xs]).alias("s")).scalar()
         values = [stats.getField(x) for x in xs]

@@ -11,6 +11,7 @@ rows than there are chunks, which is what makes broadcasting it safe.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,20 +20,30 @@ from ..session import materialize
 
 # Largest group (rows) that a single window task may be given.
 GROUP_ROWS = 2_000_000
+# Bound on the number of chunks, and so on the rows of a carry table.
+MOST_CHUNKS = 20_000
 
 METHODS = ("row_number", "rank", "dense_rank")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the biggest group; counted with map-side partial aggregation."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+class Sizes(NamedTuple):
+    """Rows in the biggest group and in all groups together."""
+
+    largest: int
+    total: int
+
+    def fit(self, limit: int | None) -> bool:
+        return self.largest <= (GROUP_ROWS if limit is None else limit)
 
 
-def fits(df: DataFrame, keys: Sequence[str], limit: int | None) -> bool:
-    return largest_group(df, keys) <= (GROUP_ROWS if limit is None else limit)
+def sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
+    """Count the groups, merged map-side; only two numbers reach the driver."""
+    if not keys:
+        n = df.count()
+        return Sizes(n, n)
+    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return Sizes(largest or 0, total or 0)
 
 
 def order_key(names: Sequence[str]) -> Column:
@@ -46,9 +57,13 @@ def ordering(c: Column, ascending: bool) -> Column:
 
 
 def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: str,
-              label: str) -> DataFrame:
-    """Range partition by (keys, order) and fix the result, with its chunk number."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+              total: int, label: str) -> DataFrame:
+    """Range partition by (keys, order) and fix the result, with its chunk number.
+
+    There are enough chunks for each to be as small as a group one task may be given.
+    """
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(usual, min(MOST_CHUNKS, -(-total // GROUP_ROWS)))
     split = df.repartitionByRange(n, *[col(k).asc_nulls_first() for k in keys], *order)
     return materialize(split.withColumn(chunk, F.spark_partition_id()), label)
 
@@ -77,7 +92,8 @@ def number(df: DataFrame, rank_by: str | None, keys: Sequence[str], out: str, *,
     """
     lead = [ordering(col(rank_by), ascending)] if rank_by else []
     ties = [col(o).asc_nulls_first() for o in order_by]
-    if fits(df, keys, max_group_rows):
+    size = sizes(df, keys)
+    if size.fit(max_group_rows):
         by = lead + (ties if method == "row_number" else [])
         w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*by)
         return df.withColumn(out, getattr(F, method)().over(w))
@@ -86,12 +102,12 @@ def number(df: DataFrame, rank_by: str | None, keys: Sequence[str], out: str, *,
     if not ties:
         # Equal values may fill many chunks: spread them by content and by input task.
         ties = [F.xxhash64(*[col(c) for c in df.columns]), F.spark_partition_id()]
-    rows = in_chunks(df, keys, lead + ties, chunk, "rank")
+    rows = in_chunks(df, keys, lead + ties, chunk, size.total, "rank")
     local = Window.partitionBy(col(chunk), *[col(k) for k in keys])
     if method == "row_number":
-        sizes = rows.groupBy(chunk, *[col(k) for k in keys]).agg(
+        counts = rows.groupBy(chunk, *[col(k) for k in keys]).agg(
             F.count(F.lit(1)).alias("__n"))
-        carry = (sizes.withColumn("__base", F.sum("__n").over(_before(keys, chunk)))
+        carry = (counts.withColumn("__base", F.sum("__n").over(_before(keys, chunk)))
                  .filter("__base is not null").drop("__n"))
         here = F.row_number().over(local.orderBy(*lead, *ties)).cast("long")
         return (_attach(rows.withColumn(out, here), carry, keys, chunk)
@@ -156,11 +172,12 @@ def carry_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
         return rows.withColumns({c: F.last(col(c), ignorenulls=True).over(w) for c in columns})
 
     by_keys = [col(k) for k in keys]
-    if fits(df, keys, max_group_rows):
+    size = sizes(df, keys)
+    if size.fit(max_group_rows):
         return fill(df, by_keys)
 
     chunk = unused(df, "chunk")
-    rows = in_chunks(df, keys, [o.asc_nulls_first() for o in order], chunk, "fill")
+    rows = in_chunks(df, keys, [o.asc_nulls_first() for o in order], chunk, size.total, "fill")
     edge = F.min_by if backward else F.max_by
     position = order_key(order_by)
     ends = rows.groupBy(chunk, *by_keys).agg(*[
@@ -187,10 +204,11 @@ def running_sum(df: DataFrame, value: str, keys: Sequence[str], order_by: str, o
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(out, F.sum(col(value)).over(w))
 
-    if fits(df, keys, max_group_rows):
+    size = sizes(df, keys)
+    if size.fit(max_group_rows):
         return total(df, by_keys)
     chunk = unused(df, "chunk")
-    rows = in_chunks(df, keys, [order], chunk, "sum")
+    rows = in_chunks(df, keys, [order], chunk, size.total, "sum")
     carry = (rows.groupBy(chunk, *by_keys).agg(F.sum(col(value)).alias("__s"))
              .withColumn("__base", F.sum("__s").over(_before(keys, chunk)))
              .filter("__base is not null").drop("__s"))
@@ -211,14 +229,14 @@ def quantile_middle(df: DataFrame, column: str, keys: Sequence[str], out: str, *
         *by_keys, col(column).cast("double").alias("__x"))
     counts = values.groupBy(*by_keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
     running = running_sum(counts, "__n", keys, "__x", "__upto", max_group_rows=max_group_rows)
-    sizes = values.groupBy(*by_keys).agg(F.count(F.lit(1)).alias("__rows"))
+    totals = values.groupBy(*by_keys).agg(F.count(F.lit(1)).alias("__rows"))
     if keys:
         renamed = {k: f"__k{i}" for i, k in enumerate(keys)}
         sized = running.join(
-            sizes.withColumnsRenamed(renamed),
+            totals.withColumnsRenamed(renamed),
             [col(k).eqNullSafe(F.col(n)) for k, n in renamed.items()]).drop(*renamed.values())
     else:
-        sized = running.withColumn("__rows", sizes.scalar())
+        sized = running.withColumn("__rows", totals.scalar())
     start = F.col("__upto") - F.col("__n")
     low, high = F.floor((F.col("__rows") - 1) / 2), F.floor(F.col("__rows") / 2)
     middle = sized.filter(((start <= low) & (low < F.col("__upto")))

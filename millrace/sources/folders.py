@@ -15,7 +15,7 @@ from .files import DELIMITED, FILE_TYPES, MEMBER_TYPES, listing
 from .html import read_html
 from .inference import infer_types
 from .sinks import write
-from .structured import read_json, read_parquet, read_xml
+from .structured import read_json, read_parquet, read_xml, row_tags
 
 
 def extensions(spark: SparkSession, path) -> list[str]:
@@ -56,17 +56,19 @@ def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_colum
     for r in found.select("path", "ext").orderBy("path").collect():
         by_kind.setdefault("csv" if r["ext"] in DELIMITED else r["ext"], []).append(r["path"])
     frames: list[DataFrame] = []
+    name = {source_column: F.url_decode("_metadata.file_name")}
     for kind, paths in by_kind.items():
         if kind == "csv":
             frames += [read_layout(spark, layout, infer=False, source_column=source_column).result
                        for layout in layouts(spark, paths)]
         elif kind == "parquet":
             raw = spark.read.parquet(*paths)
-            frames.append(raw.withColumn(source_column, F.url_decode("_metadata.file_name")))
+            frames.append(raw.withColumns(name))
+        elif kind == "json":
+            frames.append(read_json(spark, paths, name))
         else:
-            read = read_json if kind == "json" else read_xml
-            frames += [read(spark, p).withColumn(source_column, F.lit(p.rsplit("/", 1)[-1]))
-                       for p in paths]
+            frames += [read_xml(spark, same, name, tag)
+                       for tag, same in row_tags(spark, paths).items()]
     return frames
 
 

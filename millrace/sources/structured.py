@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.names import col
 from ..operators.shape import flatten
-from .files import listing, open_file
+from .files import listing, open_file, per_file
 from .inference import nan_to_null
 
 
@@ -27,16 +27,28 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-def row_tag_of(spark: SparkSession, path) -> str:
-    """Tag of the root's first child, from the first file's leading elements."""
-    first = listing(spark, path).orderBy("path").select("path").first()
-    with open_file(first["path"]) as fh:
+def _row_tag(path: str):
+    with open_file(path) as fh:
         depth = 0
         for event, element in ElementTree.iterparse(fh, events=("start", "end")):
             depth += 1 if event == "start" else -1
             if depth == 2:
-                return element.tag
-    raise ValueError(f"no records found in {first['path']}")
+                yield (element.tag,)
+                return
+
+
+def row_tags(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Files by their record tag, which is the tag of the root's first child."""
+    found = per_file(listing(spark, path), _row_tag, "tag string").groupBy("tag").agg(
+        F.sort_array(F.collect_list("path")).alias("paths"))
+    return {r["tag"]: list(r["paths"]) for r in found.orderBy("tag").collect()}
+
+
+def _only_tag(spark: SparkSession, path) -> str:
+    tags = list(row_tags(spark, path))
+    if len(tags) != 1:
+        raise ValueError(f"need one record tag at {path}, found {tags}; pass row_tag")
+    return tags[0]
 
 
 def _leaves(c: Column, dtype: T.DataType, name: str):
@@ -55,7 +67,7 @@ def read_xml(spark: SparkSession, path, extra: Mapping[str, Column] | None = Non
              row_tag: str | None = None) -> DataFrame:
     """One row per record element; every descendant tag with text is a text column,
     attributes are ignored and a repeated tag keeps its last value."""
-    raw = (spark.read.format("xml").option("rowTag", row_tag or row_tag_of(spark, path))
+    raw = (spark.read.format("xml").option("rowTag", row_tag or _only_tag(spark, path))
            .option("inferSchema", False).option("excludeAttribute", True).load(path))
     tags: dict[str, list[Column]] = {}
     for field in raw.schema.fields:

@@ -13,7 +13,7 @@ from millrace.session import ship, tune  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = (SparkSession.builder.master("local[8]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "8")
+               .config("spark.sql.shuffle.partitions", "4")
                .config("spark.driver.memory", "8g")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")

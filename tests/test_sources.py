@@ -112,10 +112,15 @@ def test_folders(spark, tmp_path, archives):
     put(folder / "b.csv", "﻿X;Y\n3;4\n")
     put(folder / "c.tsv", "A\tB\tC\n5\t6\t7\n")
     put(folder / "d.json", '[{"A": 8}]')
+    put(folder / "e.xml", "<all><r><A>9</A></r></all>")
+    put(folder / "f.xml", "<all><q><A>10</A></q></all>")
+    put(folder / "g.json", '{"A": 11, "B": 12}')
     out = mr.union_folder(spark, str(folder), source_tag="src")
     assert rows(out, "A", "B", "X", "Y", "C", "src") == norm([
         (1, 2, None, None, None, "a.csv"), (None, None, 3, 4, None, "b.csv"),
-        (5, 6, None, None, 7, "c.tsv"), (8, None, None, None, None, "d.json")])
+        (5, 6, None, None, 7, "c.tsv"), (8, None, None, None, None, "d.json"),
+        (9, None, None, None, None, "e.xml"), (10, None, None, None, None, "f.xml"),
+        (11, 12, None, None, None, "g.json")])
     fitted = mr.union_folder(spark, str(folder), ["a.csv", "b.csv"], output_columns="a,b")
     assert rows(fitted, "a", "b") == norm([(1, 2), (3, 4)])
     with pytest.raises(FileNotFoundError):
@@ -123,7 +128,8 @@ def test_folders(spark, tmp_path, archives):
     with pytest.raises(ValueError, match="formats"):
         mr.read_any(spark, str(folder))
     seen = mr.folder_inventory(spark, str(folder))
-    assert rows(seen, "file", "rows") == norm([("a.csv", 1), ("b.csv", 1), ("c.tsv", 1), ("d.json", 1)])
+    assert rows(seen, "file", "rows") == norm([
+        (f, 1) for f in ("a.csv", "b.csv", "c.tsv", "d.json", "e.xml", "f.xml", "g.json")])
     inside = mr.folder_inventory(spark, archives)
     assert rows(inside, "file", "rows") == norm([("z1.zip/dir/A.csv", 4), ("z2.zip/dir/A.csv", 4)])
 
