@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.names import unique_names
 from ..session import materialize, scratch_path
 from .delimited import HEAD_CHARS, sniff
-from .files import DELIMITED, MEMBER_TYPES, create_file, listing, open_file, per_file
+from .files import DELIMITED, MEMBER_TYPES, create_file, each_alone, listing, open_file, per_file
 from .inference import NULL_TOKENS, blank_to_null, infer_types
 from .structured import read_json, read_xml
 
@@ -91,8 +91,7 @@ def _opened(batches):
 
 def _spread(found: DataFrame) -> DataFrame:
     """One unit of work per member, so a large archive is read by many tasks."""
-    n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.select("path", "archive", "member", "name").repartition(n, "path", "member")
+    return each_alone(found.select("path", "archive", "member", "name"), "path", "member")
 
 
 def _delimited(found: DataFrame) -> DataFrame:

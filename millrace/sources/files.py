@@ -62,5 +62,10 @@ def per_file(files: DataFrame, read, schema: str) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", *names])
 
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path").repartition(n, "path").mapInPandas(run, f"path string, {schema}")
+    return each_alone(files.select("path"), "path").mapInPandas(run, f"path string, {schema}")
+
+
+def each_alone(items: DataFrame, *keys: str) -> DataFrame:
+    """Spread a list of files or members over tasks, no more tasks than items."""
+    most = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return items.repartition(max(1, min(most, items.count())), *keys)
