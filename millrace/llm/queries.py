@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.session import ship, tune
 
-from . import fingerprints, pii, sharding
+from . import fingerprints, minhash, pii, repetition, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op1(docs, folder):
     return fingerprints.edited_fingerprints(docs)
 
 
+@query("op4_minhash")
+def op4(docs, folder):
+    return minhash.link(docs)
+
+
 @query("op5_sharding")
 def op5(docs, folder):
     """From 12 shards to 16."""
@@ -42,6 +47,11 @@ def op5(docs, folder):
                         "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+@query("op7_repetition")
+def op7(docs, folder):
+    return repetition.assess(docs)
+
+
 @query("op8_pii")
 def op8(docs, folder):
     return pii.detect(docs)
