@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.session import ship, tune
 
-from . import fingerprints, minhash, pii, repetition, sharding
+from . import fingerprints, minhash, packing, pages, pii, repetition, sharding, toxicity, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,11 +29,29 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return register
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_fingerprints")
 def op1(docs, folder):
     return fingerprints.edited_fingerprints(docs)
 
 
+@query("op2_packing")
+def op2(docs, folder):
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
+
+@query("op3_toxicity")
+def op3(docs, folder):
+    labels = docs.sparkSession.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.grade(docs, toxicity.fit(docs, labels))
+
+
 @query("op4_minhash")
 def op4(docs, folder):
     return minhash.link(docs)
@@ -55,3 +73,18 @@ def op7(docs, folder):
 @query("op8_pii")
 def op8(docs, folder):
     return pii.detect(docs)
+
+
+@query("op9_main_text", table="pages")
+def op9(rows, folder):
+    return pages.extract(rows)
+
+
+@query("op10_sentencepiece")
+def op10(docs, folder):
+    """Ids of every text, and a digest of what they decode to."""
+    pieces = unigram.Pieces.from_model(tokenizer("piece_bpe_32k.model"))
+    rows = unigram.decoded(unigram.encoded(docs, pieces), pieces)
+    return rows.select("doc_id", "n_ids", "ids_crc32", "ids",
+                       F.length("text").cast("long").alias("decoded_chars"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
