@@ -179,7 +179,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals and angle brackets.
 
     Of overlapping spans the first, and of those the longest, names the place; all their
-    characters go. Rows without spans are unchanged; a null text stays null.
+    characters go. Rows without spans are unchanged; a null text stays null. ``n_chars``, if there
+    is such a column, counts the new text. Columns that begin with an underscore and clash with
+    the working columns are not allowed for.
     """
     name = "_redacted"
     while name in docs.columns:
@@ -205,4 +207,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
     out = merged.withColumn(text, F.when(F.size("_merged") > 0, F.array_join(pieces, ""))
                             .otherwise(F.col(name)))
+    if "n_chars" in docs.columns:
+        kept = F.when(F.size("_merged") > 0, F.length(text).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(kept, F.col("n_chars")))
     return out.select(*docs.columns)

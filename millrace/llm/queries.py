@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.session import ship, tune
 
-from . import fingerprints, minhash, packing, pages, pii, repetition, sharding, toxicity, unigram
+from . import (fingerprints, lines, minhash, packing, pages, pii, repetition, sharding, toxicity,
+               unigram)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +66,11 @@ def op5(docs, folder):
                         "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+@query("op6_lines")
+def op6(docs, folder):
+    return lines.report(docs)
+
+
 @query("op7_repetition")
 def op7(docs, folder):
     return repetition.assess(docs)

@@ -4,7 +4,7 @@ P(grade <= k) = sigmoid(threshold_k - score) with increasing thresholds and one
 feature, shared by all thresholds. The expected severity is the sum of P(grade >= k).
 
 Features are words (letters only, in lower case) and their beginnings of 5, 6 and 7 letters; a
-feature's value in a text is its count over the square root of the number of words. Labels only
+feature's value in a text is its count in 100 words (of texts under 50 words: in 50). Labels only
 tell toxic from not toxic. Grade 0 is not toxic; toxic texts get grade 1 to 3 by thirds of the
 weight of features that are significantly more frequent in toxic texts.
 
@@ -28,8 +28,9 @@ SAMPLE = 20_000
 FEATURES = 3_000
 PREFIXES = (5, 6, 7)
 GRADES = 3
-SIGNIFICANT = 4.0                   # standard errors
-STEPS, RATE, PENALTY = 400, 0.1, 2e-4
+SIGNIFICANT = 3.0                   # standard errors; features below are left out
+LEAST_WORDS = 50
+STEPS, RATE, PENALTY = 500, 0.1, 1e-5
 
 
 @dataclass
@@ -67,7 +68,7 @@ def _values(docs: DataFrame) -> DataFrame:
                             found[f] = found.get(f, 0) + int(n)
                     rows[0].extend([ids[first + k]] * len(found))
                     rows[1].extend(found)
-                    rows[2].extend(n / (b - a) ** 0.5 for n in found.values())
+                    rows[2].extend(100 * n / max(b - a, LEAST_WORDS) for n in found.values())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()),
                      pa.array(rows[2], pa.float64())], names=["doc_id", "feature", "value"])
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = {bool(r["toxic"]): r["n"] for r in
               rated.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = counts.get(True, 0), counts.get(False, 0)
-    if not n_toxic or not n_other:
+    if not n_toxic or not n_other:                  # nothing to tell apart
         return Model({}, [1.0, 2.0, 3.0])
     p, q = F.col("toxic_docs") / n_toxic, F.col("other_docs") / n_other
     pooled = (F.col("toxic_docs") + F.col("other_docs") + 1) / (n_toxic + n_other + 2)
@@ -140,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         F.count_if(F.col("toxic") > 0).alias("toxic_docs"),
         F.count_if(F.col("toxic") <= 0).alias("other_docs"))
         .where("toxic_docs + other_docs >= 3").withColumn("z", z)
+        .where(F.abs("z") >= SIGNIFICANT)
         .orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect())
     index = {r["feature"]: k for k, r in enumerate(best)}
     names = values.sparkSession.createDataFrame([(f,) for f in index], "feature string")
@@ -152,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     x = table["value"].to_numpy()
     order = np.lexsort((columns, rows))             # the same sums however rows arrive
     rows, columns, x = rows[order], columns[order], x[order]
-    strong = np.array([max(0.0, r["z"]) if r["z"] >= SIGNIFICANT else 0.0 for r in best])
+    strong = np.array([max(0.0, r["z"]) for r in best])
     evidence = np.bincount(rows, x * strong[columns], minlength=len(row_of))
     is_toxic = np.array([toxic[d] for d in sorted(toxic)])
     cuts = np.quantile(evidence[is_toxic], [k / GRADES for k in range(1, GRADES)])
@@ -167,7 +169,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
     each = np.array([sum(model.weights.get(f, 0.0) for f in features_of(w))
                      for w in different.to_pylist()] or [0.0])
     totals = np.concatenate([[0.0], np.cumsum(each[numbers])]) if len(numbers) else np.zeros(1)
-    return (totals[bounds[1:]] - totals[bounds[:-1]]) / np.sqrt(np.maximum(np.diff(bounds), 1))
+    return 100 * (totals[bounds[1:]] - totals[bounds[:-1]]) / np.maximum(np.diff(bounds), LEAST_WORDS)
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
