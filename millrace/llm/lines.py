@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.session import materialize
 
+from .pii import renewed
+
 MIN_CHARS = 20
 ENDS = " \t\v\f\r"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -198,16 +200,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Texts that lose nothing stay as they are, blank ones included. ``n_chars``, if there is such
     a column, counts the new text.
     """
-    gone, nos = "_gone", "_nos"
-    lost = repeated(docs).groupBy(F.col("doc_id").alias(gone)).agg(F.collect_set("no").alias(nos))
-    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost[gone]), "left")
+    lost = repeated(docs).groupBy("doc_id").agg(F.collect_set("no").alias("_nos"))
+    rows = docs.select(F.struct("*").alias("_row"))
+    joined = rows.join(lost, F.col("_row.doc_id").eqNullSafe(lost["doc_id"]), "left")
+    text, changed = F.col("_row.text"), F.col("_nos").isNotNull()
     kept = F.array_join(F.transform(F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
-        lambda s: ~F.array_contains(nos, s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col(nos).isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text).where(
-        F.col(nos).isNull() | (F.length(F.trim("text", F.lit(ENDS + "\n"))) > 0))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(nos).isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+        lambda s: ~F.array_contains("_nos", s["i"])), lambda s: s["x"]), "\n")
+    out = joined.withColumn("_new", F.when(changed, kept).otherwise(text)).where(
+        ~changed | (F.length(F.trim("_new", F.lit(ENDS + "\n"))) > 0))
+    return renewed(out, docs, "text", changed)

@@ -180,13 +180,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Of overlapping spans the first, and of those the longest, names the place; all their
     characters go. Rows without spans are unchanged; a null text stays null. ``n_chars``, if there
-    is such a column, counts the new text. Columns that begin with an underscore and clash with
-    the working columns are not allowed for.
+    is such a column, counts the new text.
     """
-    name = "_redacted"
-    while name in docs.columns:
-        name += "_"
-    found = with_spans(docs.withColumn(name, F.col(text)), name)
+    rows = docs.select(F.struct("*").alias("_row")).select(
+        "_row", F.col("_row")[text].alias("_text"))
+    found = with_spans(rows, "_text")
 
     def merge(done, s):
         last = F.element_at(done, -1)
@@ -202,12 +200,21 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     merged = found.withColumn("_merged", F.aggregate("_spans", _none(kind), merge))
     edges = F.concat(F.array(F.lit(0)), F.transform("_merged", lambda s: s["end"]))
     pieces = F.zip_with(edges, F.col("_merged"), lambda at, s: F.when(
-        s.isNull(), F.substring(F.col(name), at + 1, F.length(name))).otherwise(F.concat(
-            F.substring(F.col(name), at + 1, s["start"] - at),
+        s.isNull(), F.substring(F.col("_text"), at + 1, F.length("_text"))).otherwise(F.concat(
+            F.substring(F.col("_text"), at + 1, s["start"] - at),
             F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-    out = merged.withColumn(text, F.when(F.size("_merged") > 0, F.array_join(pieces, ""))
-                            .otherwise(F.col(name)))
-    if "n_chars" in docs.columns:
-        kept = F.when(F.size("_merged") > 0, F.length(text).cast(docs.schema["n_chars"].dataType))
-        out = out.withColumn("n_chars", F.coalesce(kept, F.col("n_chars")))
-    return out.select(*docs.columns)
+    new = F.when(F.size("_merged") > 0, F.array_join(pieces, "")).otherwise(F.col("_text"))
+    return renewed(merged.withColumn("_new", new), docs, text, F.size("_merged") > 0)
+
+
+def renewed(rows: DataFrame, docs: DataFrame, text: str, changed: Column) -> DataFrame:
+    """The columns of ``docs``, kept in the struct ``_row``, with ``_new`` as their text."""
+    out = []
+    for field in docs.schema:
+        value = F.col("_row")[field.name]
+        if field.name == text:
+            value = F.col("_new")
+        elif field.name == "n_chars":
+            value = F.when(changed, F.length("_new").cast(field.dataType)).otherwise(value)
+        out.append(value.alias(field.name))
+    return rows.select(*out)
