@@ -9,11 +9,16 @@ hashed; texts that share a band are candidates and are confirmed on their full s
 similarity of 0.75 a pair shares no band with a chance of 5 in a million.
 
 Copies: texts with equal sets form a class, named by its smallest id; one row of each class is
-compared. Groups of near copies: a band is not expanded into pairs. Each member of a band is
-compared with one hub, the member that shares most bands with others; confirmed links are joined
-to components. Only then are pairs made, of members of a band that are still in different
-components. So no link between different texts is lost, and a group of n near copies costs about
-n comparisons.
+compared. A band is not expanded into pairs. It has one hub, the member that shares most bands
+with others, and every member is compared with hubs; confirmed links are joined to components.
+What is left are pairs in a band whose members are in different components, so that one of them
+at least is not linked to the hub. They are found without comparing all: a set is its hub's set
+but for a few shingles, added or removed (its difference). Two sets x and y are linked if and
+only if their differences d differ in at most (|x| + |y|) / 7 shingles, so differences share at
+least (d_x + d_y - (|x| + |y|) / 7) / 2 of them, and by the prefix argument a shared one stands
+among the first of both in any common order. With added shingles first, those are hardly ever
+removed ones, and added shingles are rare: so a group of n near copies costs about n rows, and
+no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -58,10 +63,10 @@ def shingle_sets(texts: pa.Array):
         names = np.fromiter((xxhash.xxh3_64_intdigest(w.as_buffer()) for w in different),
                             np.uint64, len(different))
         hashed = names[numbers]
-        n = len(hashed)
-        whole = np.zeros(max(0, n - SHINGLE + 1), np.uint64)
+        windows = max(0, len(hashed) - SHINGLE + 1)
+        whole = np.zeros(windows, np.uint64)
         for k in range(SHINGLE):
-            whole += _mixed(hashed[k:n - SHINGLE + 1 + k] + factors[k]) * factors[k]
+            whole += _mixed(hashed[k:k + windows] + factors[k]) * factors[k]
         whole = _mixed(whole)
         for a, b in zip(bounds[:-1], bounds[1:]):
             if b - a >= SHINGLE:
@@ -142,9 +147,63 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(DENOMINATOR * F.col("shared") >= NUMERATOR * F.col("total")).select("a", "b")
 
 
-def _fit(n: str, m: str):
+def _fit(n, m):
     """Whether sets of these sizes can be similar enough."""
-    return ((DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)))
+    return DENOMINATOR * F.least(n, m) >= NUMERATOR * F.greatest(n, m)
+
+
+def _open_spokes(spokes: DataFrame, joined: DataFrame) -> DataFrame:
+    """``hub, rep`` once for all bands whose members are in several components."""
+    mine = joined.select(F.col("node").alias("rep"), "component")
+    hubs = joined.select(F.col("node").alias("centre"), F.col("component").alias("hub_component"))
+    named = (spokes.withColumn("centre", F.col("hub.rep")).join(mine, "rep", "left")
+             .join(hubs, "centre", "left").withColumn("own", F.coalesce("component", "rep"))
+             .withColumn("other", F.coalesce("hub_component", "centre")))
+    mixed = named.groupBy("band").agg(
+        F.min(F.least("own", "other")).alias("low"),
+        F.max(F.greatest("own", "other")).alias("high")).where("low < high")
+    return named.join(mixed, "band", "left_semi").select(F.col("centre").alias("hub"), "rep").distinct()
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For ``hub, rep``: sizes, the difference (added shingles first, then removed), and ``far``,
+    whether the two are not linked."""
+    one = sets.select("rep", F.col("shingles").alias("x"))
+    two = sets.select(F.col("rep").alias("hub"), F.col("shingles").alias("y"))
+    return (pairs.join(one, "rep").join(two, "hub").select(
+        "hub", "rep", F.size("x").alias("n"), F.size("y").alias("m"),
+        F.concat(F.array_sort(F.array_except("x", "y")), F.array_sort(F.array_except("y", "x")))
+        .alias("delta"))
+        .withColumn("far", _SPREAD * F.size("delta") > F.col("n") + F.col("m")))
+
+
+# |A & B| / |A | B| >= 3/4 means that |A ^ B| <= (|A| + |B|) / 7.
+_SPREAD = (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR)
+
+
+def _across(apart: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` that may be linked, of one hub but of different components.
+
+    One of them is far from the hub. The other's first shingles up to the bound that holds for
+    every far partner meet all of the far one's; both places are then held against the bounds of
+    the pair.
+    """
+    named = apart.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "hub", "rep", "n", "far", "delta", F.size("delta").alias("d"),
+        F.coalesce("component", "rep").alias("component"),
+        F.ceil((_SPREAD * F.size("delta") + F.col("n") - F.col("m")) / (2 * _SPREAD)).cast("int")
+        .alias("first"))
+    far = named.where("far").select("hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col(
+        "d").alias("da"), F.col("component").alias("ca"), F.posexplode("delta").alias("i", "shingle"))
+    near = named.where("first > 0").select(
+        "hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"),
+        F.col("component").alias("cb"),
+        F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("j", "shingle"))
+    shared = F.ceil((F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) / _SPREAD) / 2 - 1e-9)
+    met = far.join(near, ["hub", "shingle"]).where(
+        (F.col("ca") != F.col("cb")) & _fit(F.col("na"), F.col("nb"))
+        & (F.col("i") <= F.col("da") - shared) & (F.col("j") <= F.col("db") - shared))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -168,29 +227,20 @@ def link(docs: DataFrame) -> DataFrame:
     weighed = members.join(weights, "rep")
     hubs = weighed.groupBy("band").agg(F.max(F.struct(
         "weight", (-F.col("rep")).alias("back"), "rep", "n")).alias("hub"))
-    # Each member's weightiest hub of fitting size; a hub has none of its own band.
-    first = (weighed.join(hubs, "band")
-             .where((F.col("hub.rep") != F.col("rep")) & _fit("n", "hub.n"))
-             .groupBy(F.col("rep").alias("a")).agg(F.max("hub").alias("hub"))
-             .select("a", F.col("hub.rep").alias("b")))
-    wanted = weights.select("rep")
-    sets = materialize(_full_sets(docs.select(F.col("doc_id"), "text").join(
-        wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"))
+    spokes = materialize(weighed.join(hubs, "band").where(F.col("hub.rep") != F.col("rep"))
+                         .select("band", "rep", "n", "hub"), "spokes")
+    sets = materialize(_full_sets(docs.select("doc_id", "text").join(
+        weights.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
         .select(F.col("doc_id").alias("rep"), "shingles"), "sets")
-    links = materialize(_confirmed(first.distinct(), sets), "confirmed")
-    joined = components(links)
-    placed = members.join(joined, members["rep"] == joined["node"], "left").select(
-        "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"),
-                                       F.max("component").alias("high")).where("low < high")
-    open_ = placed.join(mixed.select("band"), "band", "left_semi")
-    one = open_.select("band", F.col("rep").alias("a"), F.col("n").alias("na"),
-                       F.col("component").alias("ca"))
-    two = open_.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"),
-                       F.col("component").alias("cb"))
-    rest = one.join(two, "band").where((F.col("ca") < F.col("cb")) & _fit("na", "nb"))
-    more = _confirmed(rest.select("a", "b").distinct(), sets)
+    # First each member's weightiest hub of fitting size.
+    first = spokes.where(_fit(F.col("n"), F.col("hub.n"))).groupBy(F.col("rep").alias("a")).agg(
+        F.max("hub").alias("hub")).select("a", F.col("hub.rep").alias("b"))
+    links = materialize(_confirmed(first, sets), "confirmed")
+    rest = _open_spokes(spokes, components(links))
+    apart = materialize(_differences(rest, sets), "differences")
+    again = apart.where("not far").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    links = materialize(links.unionByName(again), "confirmed")
+    more = _confirmed(_across(apart, components(links)), sets)
     # Rows with one id but different sets tie their classes together.
     several = filled.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key")
                                            .alias("high")).where("low < high")
@@ -209,4 +259,4 @@ def link(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but those whose document is linked with one of a smaller id."""
     out = materialize(link(docs), "linked").where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(out, docs["doc_id"] == out["doc_id"], "left_anti")
