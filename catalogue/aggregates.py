@@ -47,6 +47,18 @@ def aggregate_first_last(t):
                         order_by=["o_orderkey"])
 
 
+@query("aggregate_first_last_null_order", f"""
+    select o_custkey, first(note order by key nulls first) filter (note is not null) as note_first,
+        last(note order by key nulls first) filter (note is not null) as note_last
+    from (select *, nullif(o_orderkey, (select min(o_orderkey) from orders)) as key from {GAPPY})
+    group by 1""")
+def aggregate_first_last_null_order(t):
+    """The first order of all has no order key, and comes first all the same."""
+    key = F.nullif("o_orderkey", t.orders.agg(F.min("o_orderkey")).scalar())
+    return mr.aggregate(gappy(t).withColumn("key", key), ["o_custkey"], [
+        ("note", "first"), ("note", "last")], order_by=["key"])
+
+
 CONCAT = f"""select o_custkey,
     coalesce(string_agg(note, '|' order by o_orderkey) filter (note is not null), '') as notes,
     count(*) as orders from {GAPPY} group by 1"""
@@ -108,7 +120,7 @@ def events(t: Tables):
 def ranked(function: str, keys: str, direction: str, where: str = "", ties: str = "") -> str:
     part = f"partition by {keys} " if keys else ""
     return (f"select * from (select *, cast({function}() over ({part}order by value {direction} "
-            f"nulls last{ties}) as integer) as rank from {EVENTS}) {where}")
+            f"nulls last{ties}) as bigint) as rank from {EVENTS}) {where}")
 
 
 RANKS = {
@@ -190,7 +202,7 @@ def join_filter_agg(t):
 
 @query("join_filter_agg_grouped", f"""
     select * from (select c_nationkey, count(*) as _row_count, max(o_totalprice) as top,
-        cast(rank() over (order by max(o_totalprice) desc) as integer) as rank
+        cast(rank() over (order by max(o_totalprice) desc) as bigint) as rank
     from {JFA} group by 1) where rank <= 10""")
 def join_filter_agg_grouped(t):
     return jfa(t, group_by=["c_nationkey"], aggs=[("*", "count"), ("o_totalprice", "max", "top")],
@@ -213,7 +225,7 @@ def join_filter_agg_count(t):
     return jfa(t, group_by=["c_mktsegment"])
 
 
-TOP = f"""select * from (select *, cast(rank() over (order by best desc nulls last) as integer)
+TOP = f"""select * from (select *, cast(rank() over (order by best desc nulls last) as bigint)
     as rank from (select o_orderkey, c_nationkey, o_totalprice,
         max(o_totalprice) over (partition by c_nationkey) as best from {JFA})) where rank <= 25"""
 

@@ -73,6 +73,26 @@ for _name, _strategy, _sql in (("ffill", "forward_fill", FFILL), ("bfill", "back
         query(f"nulls_{_name}{_suffix}", _sql)(lambda t, s=_strategy, o=_options: cleaned(
             t, ("status", s), ("price", s), order_by=["o_orderkey"], **o))
 
+# One row has no order key: it comes first, and so gives its value to the rows after it.
+KEYLESS = f"""(select * replace (nullif(o_orderkey, (select max(o_orderkey) from {HOLES}
+    where status is not null and price is not null)) as o_orderkey) from {HOLES})"""
+
+
+def keyless(t: Tables):
+    rows = holes(t)
+    last = rows.filter("status is not null and price is not null").agg(F.max("o_orderkey")).scalar()
+    return rows.withColumn("o_orderkey", F.nullif("o_orderkey", last))
+
+
+for _name, _strategy, _order in (("ffill", "forward_fill", "o_orderkey nulls first"),
+                                 ("bfill", "backward_fill", "o_orderkey desc nulls last")):
+    for _suffix, _options in (("", {}), ("_chunked", {"max_group_rows": 0})):
+        query(f"nulls_{_name}_null_order{_suffix}", FFILL.replace(
+            "order by o_orderkey", f"order by {_order}").replace(HOLES, KEYLESS))(
+            lambda t, s=_strategy, o=_options: mr.handle_nulls(keyless(t), [
+                {"column": c, "strategy": s} for c in ("status", "price")],
+                order_by=["o_orderkey"], **o).result)
+
 query("nulls_drop", f"select * from {HOLES} where status is not null and cust is not null")(
     lambda t: cleaned(t, ("status", "drop_row"), ("cust", "drop_row")))
 query("nulls_drop_any_then_mean", f"""

@@ -81,3 +81,43 @@ def mixed_folder(t: Tables) -> str:
     t.supplier.select("s_suppkey", "s_name").write.csv(path, sep=",", **text)
     t.orders.select("o_orderkey", "o_orderstatus").write.parquet(path, mode="append")
     return path
+
+
+def text_files(files: DataFrame, path: str, encoding: str = "utf-8") -> str:
+    """Write each row's ``text`` as the file ``path/name``, by Spark tasks."""
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch["name"], batch["text"]):
+                with create_file(f"{path}/{name}") as out:
+                    out.write(text.encode(encoding))
+            yield batch[["name"]]
+
+    files.select("name", "text").mapInPandas(run, "name string").write.format("noop").mode(
+        "overwrite").save()
+    return path
+
+
+def in_hundreds(df: DataFrame, key: str, line, name: str, head: str = "", tail: str = "",
+                between: str = "\n") -> DataFrame:
+    """Files of at most a hundred keys each: the rows' lines, in order of key, as one text."""
+    rows = df.select(F.floor(F.col(key) / 100).alias("part"), F.struct(key, line.alias("line"))
+                     .alias("row"))
+    return rows.groupBy("part").agg(F.sort_array(F.collect_list("row")).alias("rows")).select(
+        F.format_string(name, "part").alias("name"), F.concat(
+            F.lit(head), F.array_join(F.transform("rows", lambda r: r["line"]), between),
+            F.lit(tail)).alias("text"))
+
+
+def zip_files(members: DataFrame, path: str) -> str:
+    """Write rows (archive, member, text) as ZIP archives below ``path``, one task an archive."""
+    import pandas as pd
+
+    def pack(key, batch: pd.DataFrame) -> pd.DataFrame:
+        with create_file(f"{path}/{key[0]}") as out, zipfile.ZipFile(out, "w") as z:
+            for member, text in sorted(zip(batch["member"], batch["text"])):
+                z.writestr(member, text)
+        return pd.DataFrame({"done": [1]})
+
+    members.groupBy("archive").applyInPandas(pack, "done int").write.format("noop").mode(
+        "overwrite").save()
+    return path

@@ -141,6 +141,23 @@ for _mode, _sql in (("full_delta", f"{NEW} union all {CHANGED} union all {DELETE
         lambda t, mode=_mode: mr.delta(*snapshots(t), ["o_orderkey"], mode=mode))
 
 
+@query("delta_type_conflict", """
+    select cast(o_orderkey as varchar) as key, o_orderstatus as mark, 'CHANGED' as delta_status
+    from orders where o_orderstatus = 'P'
+    union all select cast(o_orderkey as varchar) || '-x', o_orderstatus, 'NEW' from orders
+    union all select cast(o_orderkey as varchar), o_orderstatus, 'DELETED' from orders
+    where o_orderstatus = 'F'""")
+def delta_type_conflict(t):
+    """Keys are text in one snapshot and whole numbers in the other."""
+    text = t.orders.select(F.col("o_orderkey").cast("string").alias("key"),
+                           F.col("o_orderstatus").alias("mark"))
+    new = text.withColumn("key", F.concat("key", F.lit("-x")))
+    current = text.filter("mark <> 'F'").unionAll(new)
+    mark = F.when(F.col("o_orderstatus") == "P", "?").otherwise(F.col("o_orderstatus"))
+    baseline = t.orders.select(F.col("o_orderkey").alias("key"), mark.alias("mark"))
+    return mr.delta(current, baseline, ["key"])
+
+
 @query("delta_repeated_keys", f"""
     with c as (select o_custkey as k, o_orderstatus as s, o_orderkey from {CURRENT}),
          b as (select o_custkey as k, o_orderstatus as s, o_orderkey from {BASELINE})

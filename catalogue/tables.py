@@ -8,7 +8,8 @@ import millrace as mr
 from millrace.sources import delimited
 from millrace.sources.archives import member_lines
 
-from .fixtures import mixed_folder, raw_lines, zip_orders
+from .fixtures import (in_hundreds, mixed_folder, raw_lines, text_files, zip_files,
+                       zip_orders)
 from .registry import Tables, query
 
 ORDERS = """select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
@@ -108,7 +109,7 @@ def json_nested_flatten(t):
         F.col("o_custkey").alias("customer"),
         F.array("o_orderstatus", "o_orderpriority").alias("marks"))
     path = exported(t, nested, "json")
-    out = mr.read_json(t.spark, path, multi_line=False)
+    out = mr.read_json(t.spark, path)
     return out.withColumn("marks", F.array_join("marks", "|"))
 
 
@@ -255,3 +256,206 @@ def normalise_output(t):
     out = mr.scratch_path(t.spark, "normal")
     done = mr.normalise_output(t.spark, written(t, "tsv"), out, "parquet", prefix="clean_")
     return t.spark.read.parquet(done["output"])
+
+
+CUSTOMERS = "select c_custkey, c_name from customer"
+query("json_writer_roundtrip", ORDERS)(lambda t: mr.read_any(t.spark, written(t, "json")))
+
+
+def customer_json():
+    return F.to_json(F.struct("c_custkey", "c_name"))
+
+
+@query("json_mixed_forms", f"{CUSTOMERS} union all select s_suppkey, s_name from supplier")
+def json_mixed_forms(t):
+    """Documents that are arrays over several lines beside files of one object a line."""
+    path = mr.scratch_path(t.spark, "json")
+    text_files(in_hundreds(t.customer, "c_custkey", customer_json(), "c%s.json", "[\n", "\n]", ",\n"),
+               path)
+    suppliers = t.supplier.select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("c_name"))
+    text_files(in_hundreds(suppliers, "c_custkey", customer_json(), "s%s.json"), path)
+    return mr.read_any(t.spark, path).select("c_custkey", "c_name")
+
+
+@query("union_folder_parquet_schemas", """
+    select c_custkey as key, c_name as label, null::double as balance from customer
+    union all select s_suppkey, null, s_acctbal from supplier""")
+def union_folder_parquet_schemas(t):
+    path = mr.scratch_path(t.spark, "parquet")
+    t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("label")).write.parquet(path)
+    t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")).write.mode(
+        "append").parquet(path)
+    return mr.union_folder(t.spark, path).select("key", "label", "balance")
+
+
+@query("union_folder_json", f"{CUSTOMERS}")
+def union_folder_json(t):
+    path = exported(t, t.customer.select("c_custkey", "c_name"), "json")
+    return mr.union_folder(t.spark, path)
+
+
+@query("xml_mixed_children", """
+    select cast(c_custkey as varchar) as key, c_name as label, null::varchar as code
+    from customer where c_custkey % 2 = 0
+    union all select cast(c_custkey as varchar), null, c_mktsegment from customer
+    where c_custkey % 2 = 1""")
+def xml_mixed_children(t):
+    """Records of one document that differ in tag and fields."""
+    even = F.col("c_custkey") % 2 == 0
+    line = F.concat(F.when(even, "<client><key>").otherwise("<prospect><key>"), "c_custkey",
+                    F.when(even, F.concat(F.lit("</key><label>"), "c_name", F.lit("</label></client>")))
+                    .otherwise(F.concat(F.lit("</key><code>"), "c_mktsegment",
+                                        F.lit("</code></prospect>"))))
+    files = in_hundreds(t.customer, "c_custkey", line, "c%s.xml", "<all>\n", "\n</all>")
+    path = text_files(files, mr.scratch_path(t.spark, "xml"))
+    return mr.read_xml(t.spark, path).select("key", "label", "code")
+
+
+@query("xml_flat_children", "select cast(c_custkey as varchar) as id from customer")
+def xml_flat_children(t):
+    line = F.concat(F.lit("<id>"), "c_custkey", F.lit("</id>"))
+    files = in_hundreds(t.customer, "c_custkey", line, "c%s.xml", "<ids>", "</ids>")
+    return mr.read_xml(t.spark, text_files(files, mr.scratch_path(t.spark, "xml")))
+
+
+@query("html_files_union", """
+    select c_custkey as key, c_name as label, c_mktsegment as segment, null::double as balance
+    from customer where c_custkey % 2 = 0
+    union all select c_custkey, c_name, c_mktsegment, null from customer where c_custkey % 2 = 1
+    union all select s_suppkey, null, null, s_acctbal from supplier""")
+def html_files_union(t):
+    """Two headers; the segment's cell spans two rows, of customers 2n and 2n + 1."""
+    path = mr.scratch_path(t.spark, "html")
+
+    def row(*cells):
+        return F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))],
+                        F.lit("</tr>"))
+
+    def page(df, key, line, name, header):
+        head = "".join(f"<th>{h}</th>" for h in header)
+        text_files(in_hundreds(df, key, line, name, f"<table><tr>{head}</tr>", "</table>"), path)
+
+    later = t.customer.select((F.col("c_custkey") - 1).alias("c_custkey"),
+                              F.col("c_name").alias("name"), F.col("c_mktsegment").alias("mkt"))
+    even = t.customer.filter("c_custkey % 2 = 0").join(later, "c_custkey", "left")
+    same = F.coalesce(F.col("mkt") == F.col("c_mktsegment"), F.lit(False))
+    span = F.concat(F.lit("<tr><td>"), "c_custkey", F.lit("</td><td>"), "c_name",
+                    F.when(same, "</td><td rowspan=2>").otherwise("</td><td>"), "c_mktsegment",
+                    F.lit("</td></tr>"))
+    key = (F.col("c_custkey") + 1).cast("string")
+    follow = F.when(same, row(key, F.col("name"))).when(
+        F.col("name").isNotNull(), row(key, F.col("name"), F.col("mkt"))).otherwise("")
+    page(even, "c_custkey", F.concat(span, follow), "c%s.html", ("key", "label", "segment"))
+    alone = t.customer.filter("c_custkey % 2 = 1").join(
+        t.customer.select((F.col("c_custkey") + 1).alias("c_custkey")), "c_custkey", "left_anti")
+    page(alone, "c_custkey", row("c_custkey", "c_name", "c_mktsegment"), "o%s.html",
+         ("key", "label", "segment"))
+    page(t.supplier, "s_suppkey", row("s_acctbal", "s_suppkey"), "s%s.html", ("balance", "key"))
+    return mr.read_any(t.spark, path).select("key", "label", "segment", "balance")
+
+
+@query("csv_blank_head", CUSTOMERS)
+def csv_blank_head(t):
+    line = F.concat_ws(";", "c_custkey", "c_name")
+    files = in_hundreds(t.customer, "c_custkey", line, "c%s.csv", "\n \nc_custkey;c_name\n")
+    return mr.read_delimited(t.spark, text_files(files, mr.scratch_path(t.spark, "csv"))).result
+
+
+@query("csv_cp1252_header", """select c_custkey, c_name || ' €' as "Prix €" from customer""")
+def csv_cp1252_header(t):
+    line = F.concat_ws(";", "c_custkey", F.concat("c_name", F.lit(" €")))
+    files = in_hundreds(t.customer, "c_custkey", line, "c%s.csv", "c_custkey;Prix €\n")
+    path = text_files(files, mr.scratch_path(t.spark, "csv"), "cp1252")
+    return mr.read_delimited(t.spark, path).result.select("c_custkey", "Prix €")
+
+
+def marked_zips(t: Tables, extra: str) -> str:
+    """Customers with an inch mark in every second name, and a bad line in every file."""
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('5" '), "c_name")).otherwise(
+        F.concat(F.lit('"'), "c_name", F.lit(', x"')))
+    files = in_hundreds(t.customer, "c_custkey", F.concat_ws(",", "c_custkey", name), "c%s.zip",
+                        "c_custkey,c_name\n", extra)
+    return zip_files(files.select(F.col("name").alias("archive"), F.lit("c.csv").alias("member"),
+                                  "text"), mr.scratch_path(t.spark, "zips"))
+
+
+@query("zip_stray_quotes", """
+    select c_custkey, case when c_custkey % 2 = 0 then '5" ' || c_name else c_name || ', x' end
+        as c_name from customer""")
+def zip_stray_quotes(t):
+    return mr.read_archive(t.spark, marked_zips(t, "\n"), "c.csv")
+
+
+@query("zip_bad_lines_report", """
+    select distinct 'c' || cast(c_custkey // 100 as varchar) || '.zip' as archive,
+        'c.csv' as member, '1,2,3' as line from customer""")
+def zip_bad_lines_report(t):
+    found = mr.members(t.spark, marked_zips(t, "\n1,2,3\n"))
+    return mr.archive_bad_lines(found).select("archive", "member", "line")
+
+
+def two_kinds_of_zips(t: Tables) -> str:
+    """Archives of customers and of suppliers: a table, and a JSON member in the first kind."""
+    path = mr.scratch_path(t.spark, "zips")
+    line = F.concat_ws(",", "c_custkey", "c_name")
+    one = in_hundreds(t.customer, "c_custkey", line, "c%s.zip", "key,label\n")
+    other = in_hundreds(t.customer, "c_custkey", F.to_json(F.struct(
+        F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))), "c%s.zip")
+    zip_files(one.select(F.col("name").alias("archive"), F.lit("t.csv").alias("member"), "text")
+              .unionByName(other.select(F.col("name").alias("archive"), F.lit("j.json").alias("member"),
+                                        "text")), path)
+    line = F.concat_ws(";", "s_suppkey", "s_acctbal")
+    two = in_hundreds(t.supplier, "s_suppkey", line, "s%s.zip", "key;balance\n")
+    zip_files(two.select(F.col("name").alias("archive"), F.lit("t.csv").alias("member"), "text"), path)
+    return path
+
+
+@query("zip_union_headers", """
+    select c_custkey as key, c_name as label, null::double as balance from customer
+    union all select s_suppkey, null, s_acctbal from supplier""")
+def zip_union_headers(t):
+    return mr.read_archive(t.spark, two_kinds_of_zips(t), "T.csv").select("key", "label", "balance")
+
+
+@query("zip_union_members", """
+    select c_custkey as key, c_name as label, null::double as balance, null as segment from customer
+    union all select s_suppkey, null, s_acctbal, null from supplier
+    union all select c_custkey, null, null, c_mktsegment from customer""")
+def zip_union_members(t):
+    return mr.union_members(t.spark, two_kinds_of_zips(t)).select("key", "label", "balance", "segment")
+
+
+@query("zip_every_member_rows", """
+    select 't.csv' as member, c_custkey as key, c_name as value from customer
+    union all select 't.csv', s_suppkey, null from supplier
+    union all select 'j.json', c_custkey, c_mktsegment from customer""")
+def zip_every_member_rows(t):
+    tables = mr.archive_tables(t.spark, two_kinds_of_zips(t))
+    return tables["t.csv"].select(F.lit("t.csv").alias("member"), "key", F.col("label").alias("value")
+                                  ).unionByName(tables["j.json"].select(
+        F.lit("j.json").alias("member"), "key", F.col("segment").alias("value")))
+
+
+@query("folder_inventory_kinds", """
+    select 'json' as ext, 'c_custkey|c_name' as columns, count(*) as rows, null::varchar as error
+    from customer
+    union all select 'xml', 'id', count(*), null from customer
+    union all select 'html', 'id', count(*), null from supplier
+    union all select 'xlsx', null, 0, 'unknown kind of file'
+    union all select 'csv', 'key|label', count(*), null from customer""")
+def folder_inventory_kinds(t):
+    """JSON, XML, HTML, a member of an archive, and a file of unknown kind."""
+    path = mr.scratch_path(t.spark, "folder")
+    text_files(in_hundreds(t.customer, "c_custkey", customer_json(), "c%s.json"), path)
+    item = F.concat(F.lit("<id>"), "c_custkey", F.lit("</id>"))
+    text_files(in_hundreds(t.customer, "c_custkey", item, "c%s.xml", "<ids>", "</ids>"), path)
+    row = F.concat(F.lit("<tr><td>"), "s_suppkey", F.lit("</td></tr>"))
+    text_files(in_hundreds(t.supplier, "s_suppkey", row, "s%s.html", "<table><tr><th>id</th></tr>",
+                           "</table>"), path)
+    text_files(t.region.filter("r_regionkey = 0").select(F.lit("r.xlsx").alias("name"),
+                                                         F.col("r_name").alias("text")), path)
+    files = in_hundreds(t.customer, "c_custkey", F.concat_ws(",", "c_custkey", "c_name"), "c%s.zip",
+                        "key,label\n")
+    zip_files(files.select(F.col("name").alias("archive"), F.lit("t.csv").alias("member"), "text"), path)
+    return mr.folder_inventory(t.spark, path).groupBy(
+        "ext", F.array_join("columns", "|").alias("columns"), "error").agg(F.sum("rows").alias("rows"))

@@ -15,7 +15,8 @@ from .operators.shape import (conform, drop_columns, flatten, keep_columns, move
 from .operators.union import union
 from .plans.chains import chain, join_filter_aggregate
 from .session import materialize, scratch_path, ship, tune
-from .sources.archives import archive_tables, members, read_archive
+from .sources.archives import (archive_bad_lines, archive_tables, members, read_archive,
+                               union_members)
 from .sources.delimited import read_delimited
 from .sources.folders import folder_inventory, normalise_output, read_any, union_folder
 from .sources.html import html_cells, html_rows, read_html
@@ -23,13 +24,13 @@ from .sources.sinks import write, write_outputs
 from .sources.structured import read_json, read_parquet, read_xml
 
 __all__ = [
-    "aggregate", "archive_tables", "attach_aggregates", "cast_types", "chain", "conform",
+    "aggregate", "archive_bad_lines", "archive_tables", "attach_aggregates", "cast_types", "chain", "conform",
     "deduplicate", "delta", "denormalize", "drop_columns", "duplicate_rows", "filter_rows",
     "flatten", "folder_inventory", "handle_nulls", "html_cells", "html_rows", "join", "join_chain",
     "join_filter_aggregate", "join_tables", "keep_columns", "materialize", "members", "move_after",
     "normalise_output", "null_audit", "prefix_columns", "preview", "profile", "rank_rows",
     "read_any", "read_archive", "read_delimited", "read_html", "read_json", "read_parquet",
     "read_xml", "rename", "replace_tokens", "routing", "run_summary", "scratch_path", "ship",
-    "split_columns", "tag_source", "tune", "union", "union_folder", "value_counts", "where",
+    "split_columns", "tag_source", "tune", "union", "union_folder", "union_members", "value_counts", "where",
     "write", "write_outputs",
 ]

@@ -220,7 +220,7 @@ def attach_top(df: DataFrame, keys: Sequence[str], aggs: Iterable, rank_by: str,
            .orderBy(order).limit(top_n)
            .withColumn(rank_column, (F.lit(1) + F.coalesce(F.sum("__n").over(
                Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .cast("int"))
+               .cast("long"))
            .filter(col(rank_column) <= top_n).drop("__n"))
     best = groups.join(F.broadcast(top), col(rank_by) == F.col("__v")).drop("__v", size.output)
     result = _lookup(df, keys, best, "inner")
@@ -232,5 +232,5 @@ def attach_top(df: DataFrame, keys: Sequence[str], aggs: Iterable, rank_by: str,
     blank = groups.filter(col(rank_by).isNull()).drop(size.output)
     rest = _lookup(df, keys, blank.withColumn("__found", F.lit(True)), "left")
     rest = rest.filter(F.col("__found") | keyless).withColumn(
-        rank_column, F.lit((last["n"] or 0) + 1).cast("int"))
+        rank_column, F.lit((last["n"] or 0) + 1).cast("long"))
     return result.unionByName(rest.drop("__found"))

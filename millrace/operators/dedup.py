@@ -35,30 +35,29 @@ def keep_one(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
 
 def keep_unrepeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only rows whose key occurs once; keys are merged map-side, never gathered."""
-    keys = as_list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    n, row = unused(df, "n"), unused(df, "row")
-    once = df.groupBy(*[col(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias(n),
-        *([F.first(F.struct(*[col(c) for c in rest])).alias(row)] if rest else []),
-    ).filter(col(n) == 1)
-    return once.select(*[col(row).getField(c).alias(c) if c in rest else col(c)
-                         for c in df.columns])
+    return _by_count(df, as_list(keys), "__n = 1")
+
+
+def _by_count(df: DataFrame, keys: Sequence[str], which: str) -> DataFrame:
+    """The rows whose key occurs as often as ``which`` says: a hash count, then a semi join."""
+    names = {k: f"__k{i}" for i, k in enumerate(keys)}
+    chosen = (df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+              .filter(which).drop("__n").withColumnsRenamed(names))
+    return df.join(chosen, [col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left_semi")
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every row whose key occurs more than once."""
     keys = as_list(keys)
     require(df, keys, "key columns")
-    names = {k: f"__k{i}" for i, k in enumerate(keys)}
-    repeated = (df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-                .filter("__n > 1").drop("__n").withColumnsRenamed(names))
-    return df.join(repeated, [col(k).eqNullSafe(F.col(n)) for k, n in names.items()], "left_semi")
+    return _by_count(df, keys, "__n > 1")
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], keep: str = "first",
                 order_by: Sequence[str] = ()) -> Deduplicated:
     """Drop duplicates on ``keys``: ``first``, ``last``, or ``none`` to drop all members."""
+    if keep not in ("first", "last", "none"):
+        raise ValueError(f"unknown keep '{keep}'; use first, last or none")
     require(df, as_list(keys), "key columns")
     result = (keep_one(df, keys, order_by, keep) if keep in ("first", "last")
               else keep_unrepeated(df, keys))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import as_list, col, require
 from .shape import finish, keep_columns
-from .union import union
+from .union import common_type, union
 
 MODES = {
     "new_only": ("NEW",),
@@ -44,6 +44,18 @@ def key_status(current: DataFrame, baseline: DataFrame, keys: Sequence[str],
             .drop("__in_cur", "__only_cur", "__lo", "__hi"))
 
 
+def _one_type(current: DataFrame, baseline: DataFrame, columns: Sequence[str],
+              ) -> tuple[DataFrame, DataFrame]:
+    types = {c: common_type([current.schema[c].dataType, baseline.schema[c].dataType])
+             for c in columns}
+
+    def cast(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: col(c).cast(t) for c, t in types.items()
+                               if df.schema[c].dataType != t})
+
+    return cast(current), cast(baseline)
+
+
 def delta(current: DataFrame, baseline: DataFrame, keys: Sequence[str], *,
           mode: str = "full_delta", compare: Sequence[str] = (),
           status_column: str = "delta_status", current_columns: Sequence[str] = (),
@@ -51,7 +63,8 @@ def delta(current: DataFrame, baseline: DataFrame, keys: Sequence[str], *,
           move: tuple[str, str] | None = None) -> DataFrame:
     """Rows of ``current`` that are NEW or CHANGED and rows of ``baseline`` that are DELETED.
 
-    All current rows of a changed key are returned. Two nulls count as equal.
+    All current rows of a changed key are returned. Two nulls count as equal. Keys and compared
+    columns that differ in type between the snapshots are brought to the type a union gives them.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode '{mode}'; use {sorted(MODES)}")
@@ -62,6 +75,7 @@ def delta(current: DataFrame, baseline: DataFrame, keys: Sequence[str], *,
     require(baseline, keys, "key columns (baseline)")
     compare = [c for c in (compare or current.columns)
                if c in current.columns and c in baseline.columns and c not in keys]
+    current, baseline = _one_type(current, baseline, [*keys, *compare])
     status = key_status(current, baseline, keys, compare)
     wanted = MODES[mode]
 

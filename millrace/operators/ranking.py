@@ -41,7 +41,7 @@ def _top_values(df: DataFrame, rank_by: str, keys: Sequence[str], out: str, meth
         top = values.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= n).drop("__i")
     else:
         top = values.orderBy(order).limit(n)
-    return top.withColumn(out, getattr(F, method)().over(w)).distinct()
+    return top.withColumn(out, getattr(F, method)().over(w).cast("long")).distinct()
 
 
 def _top(df: DataFrame, rank_by: str, keys: Sequence[str], out: str, method: str,
@@ -55,7 +55,8 @@ def _top(df: DataFrame, rank_by: str, keys: Sequence[str], out: str, method: str
         order = [ordering(col(rank_by), ascending), *[col(o).asc_nulls_first() for o in order_by]]
         rows = df if keys else df.orderBy(*order).limit(n)
         w = Window.partitionBy(*by_keys).orderBy(*order)
-        return rows.withColumn(out, F.row_number().over(w)).filter(col(out) <= n)
+        ranked = rows.withColumn(out, F.row_number().over(w)).filter(col(out) <= n)
+        return ranked.withColumn(out, col(out).cast("long"))
     # Ties share a rank and may be many: join them to the few values that qualify.
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     top = _top_values(df, rank_by, keys, out, method, ascending, n).withColumnsRenamed(names)

@@ -5,7 +5,7 @@ has shown that the largest group is small. Otherwise the rows are range
 partitioned by (group, order), so a large group spans many *chunks*; each chunk
 is computed on its own, and a carry table brings in what came before it. A chunk
 can continue at most one group of the chunk before, so the carry table has fewer
-rows than there are chunks, which is what makes broadcasting it safe.
+rows than there are chunks; while those are few, it is broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from ..session import materialize
 
 # Largest group (rows) that a single window task may be given.
 GROUP_ROWS = 2_000_000
-# Bound on the number of chunks, and so on the rows of a carry table.
-MOST_CHUNKS = 20_000
+# Up to so many chunks a carry table, with fewer rows than chunks, is broadcast.
+FEW_CHUNKS = 20_000
 
 METHODS = ("row_number", "rank", "dense_rank")
 
@@ -47,8 +47,8 @@ def sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
 
 
 def order_key(names: Sequence[str]) -> Column:
-    """One orderable value for ``min_by``/``max_by`` over several columns."""
-    return col(names[0]) if len(names) == 1 else F.struct(*[col(n) for n in names])
+    """One orderable value for ``min_by``/``max_by``, never null itself; nulls in it come first."""
+    return F.struct(*[col(n) for n in names])
 
 
 def ordering(c: Column, ascending: bool) -> Column:
@@ -63,7 +63,7 @@ def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk
     There are enough chunks for each to be as small as a group one task may be given.
     """
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(usual, min(MOST_CHUNKS, -(-total // GROUP_ROWS)))
+    n = max(usual, -(-total // GROUP_ROWS))
     split = df.repartitionByRange(n, *[col(k).asc_nulls_first() for k in keys], *order)
     return materialize(split.withColumn(chunk, F.spark_partition_id()), label)
 
@@ -74,10 +74,16 @@ def _before(keys: Sequence[str], chunk: str):
             .rowsBetween(Window.unboundedPreceding, -1))
 
 
-def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str], chunk: str) -> DataFrame:
-    """Left join the carry table; its own columns come back under fresh names."""
+def _attach(rows: DataFrame, carry: DataFrame, keys: Sequence[str], chunk: str,
+            total: int) -> DataFrame:
+    """Left join the carry table; its own columns come back under fresh names.
+
+    Beyond ``FEW_CHUNKS`` chunks it is shuffled like any other table.
+    """
     renamed = {n: f"__c_{i}" for i, n in enumerate([chunk, *keys])}
-    small = F.broadcast(carry.withColumnsRenamed(renamed))
+    small = carry.withColumnsRenamed(renamed)
+    if total <= FEW_CHUNKS * GROUP_ROWS:
+        small = F.broadcast(small)
     on = [col(n).eqNullSafe(col(m)) for n, m in renamed.items()]
     return rows.join(small, on, "left").drop(*renamed.values())
 
@@ -96,7 +102,7 @@ def number(df: DataFrame, rank_by: str | None, keys: Sequence[str], out: str, *,
     if size.fit(max_group_rows):
         by = lead + (ties if method == "row_number" else [])
         w = Window.partitionBy(*[col(k) for k in keys]).orderBy(*by)
-        return df.withColumn(out, getattr(F, method)().over(w))
+        return df.withColumn(out, getattr(F, method)().over(w).cast("long"))
 
     chunk = unused(df, "chunk")
     if not ties:
@@ -110,8 +116,8 @@ def number(df: DataFrame, rank_by: str | None, keys: Sequence[str], out: str, *,
         carry = (counts.withColumn("__base", F.sum("__n").over(_before(keys, chunk)))
                  .filter("__base is not null").drop("__n"))
         here = F.row_number().over(local.orderBy(*lead, *ties)).cast("long")
-        return (_attach(rows.withColumn(out, here), carry, keys, chunk)
-                .withColumn(out, (col(out) + F.coalesce(F.col("__base"), F.lit(0))).cast("int"))
+        return (_attach(rows.withColumn(out, here), carry, keys, chunk, size.total)
+                .withColumn(out, (col(out) + F.coalesce(F.col("__base"), F.lit(0))))
                 .drop(chunk, "__base"))
 
     v = col(rank_by)
@@ -146,13 +152,13 @@ def number(df: DataFrame, rank_by: str | None, keys: Sequence[str], out: str, *,
     )
     local = local.orderBy(*lead)
     here = (F.rank() if method == "rank" else F.dense_rank()).over(local).cast("long")
-    joined = _attach(rows.withColumn(out, here), carry, keys, chunk)
+    joined = _attach(rows.withColumn(out, here), carry, keys, chunk, size.total)
     if method == "rank":
         value = F.when(F.col("__goes_on") & v.eqNullSafe(F.col("__first")), F.col("__carried"))
         value = F.coalesce(value, col(out) + F.coalesce(F.col("__base"), F.lit(0)))
     else:
         value = col(out) + F.coalesce(F.col("__dense_base"), F.lit(0))
-    return joined.withColumn(out, value.cast("int")).drop(
+    return joined.withColumn(out, value).drop(
         chunk, "__first", "__goes_on", "__base", "__carried", "__dense_base")
 
 
@@ -189,7 +195,7 @@ def carry_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
     names = [f"__v{i}" for i in range(len(columns))]
     carry = (ends.withColumns({n: F.last(n, ignorenulls=True).over(beyond) for n in names})
              .filter(" or ".join(f"{n} is not null" for n in names)))
-    joined = _attach(fill(rows, [col(chunk), *by_keys]), carry, keys, chunk)
+    joined = _attach(fill(rows, [col(chunk), *by_keys]), carry, keys, chunk, size.total)
     return (joined.withColumns({c: F.coalesce(col(c), F.col(n)) for c, n in zip(columns, names)})
             .drop(chunk, *names))
 
@@ -212,7 +218,7 @@ def running_sum(df: DataFrame, value: str, keys: Sequence[str], order_by: str, o
     carry = (rows.groupBy(chunk, *by_keys).agg(F.sum(col(value)).alias("__s"))
              .withColumn("__base", F.sum("__s").over(_before(keys, chunk)))
              .filter("__base is not null").drop("__s"))
-    return (_attach(total(rows, [col(chunk), *by_keys]), carry, keys, chunk)
+    return (_attach(total(rows, [col(chunk), *by_keys]), carry, keys, chunk, size.total)
             .withColumn(out, col(out) + F.coalesce(F.col("__base"), F.lit(0)))
             .drop(chunk, "__base"))
 

@@ -7,14 +7,16 @@ import io
 import shutil
 import zipfile
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.names import unique_names
+from ..functions.names import col, unique_names
+from ..operators.union import union
 from ..session import materialize, scratch_path
 from .delimited import HEAD_CHARS, sniff
 from .files import DELIMITED, MEMBER_TYPES, create_file, each_alone, listing, open_file, per_file
-from .inference import NULL_TOKENS, blank_to_null, infer_types
+from .inference import NULL_TOKENS, infer_types
 from .structured import read_json, read_xml
 
 # Python-to-Arrow batch size for streamed lines.
@@ -53,16 +55,42 @@ def pick(found: DataFrame, name: str | None = None) -> DataFrame:
     return tables.join(first, ["path", "position"])
 
 
-def _records(stream):
+def _is_open(line: str, sep: str, inside: bool) -> bool:
+    """Whether a quoted field is open at the end of a line; quotes count where a field begins."""
+    at = 0
+    while True:
+        if not inside:
+            if not line.startswith('"', at):
+                at = line.find(sep, at) + 1
+                if at == 0:
+                    return False
+                continue
+            at, inside = at + 1, True
+        at = line.find('"', at)
+        if at < 0:
+            return True
+        if line.startswith('"', at + 1):
+            at += 2                                 # a doubled quote stands for one
+        else:
+            inside, at = False, line.find(sep, at) + 1
+            if at == 0:
+                return False
+
+
+def _records(stream, sep: str):
     """Text lines, joined while a quoted field is open."""
-    held = ""
+    held: list[str] = []
     for line in stream:
-        held += line
-        if held.count('"') % 2 == 0:
-            yield held.rstrip("\r\n")
-            held = ""
+        if '"' in line or held:
+            is_open = _is_open(line, sep, bool(held)) if '"' in line else True
+            held.append(line)
+            if is_open:
+                continue
+            line = "".join(held)
+            held = []
+        yield line.rstrip("\r\n")
     if held:
-        yield held.rstrip("\r\n")
+        yield "".join(held).rstrip("\r\n")
 
 
 def _decoded(z: zipfile.ZipFile, member: str):
@@ -109,7 +137,8 @@ def member_heads(found: DataFrame) -> DataFrame:
             with _decoded(z, member) as text:
                 sep = sniff(text.read(HEAD_CHARS))
             with _decoded(z, member) as text:
-                header = next(csv.reader([next(_records(text), "")], delimiter=sep), [])
+                filled = (r for r in _records(text, sep) if r.strip())
+                header = next(csv.reader([next(filled, "")], delimiter=sep), [])
             yield pd.DataFrame([(archive, member, name, sep, header)], columns=names)
 
     return _spread(_delimited(found)).mapInPandas(
@@ -117,7 +146,10 @@ def member_heads(found: DataFrame) -> DataFrame:
 
 
 def member_lines(found: DataFrame) -> DataFrame:
-    """(archive, member, name, line_no, line): the records of delimited members, streamed."""
+    """(archive, member, name, line_no, line): the filled records of delimited members, streamed.
+
+    The header is line 0.
+    """
     import pandas as pd
 
     names = ["archive", "member", "name", "line_no", "line"]
@@ -125,7 +157,10 @@ def member_lines(found: DataFrame) -> DataFrame:
     def run(batches):
         for z, archive, member, name in _opened(batches):
             with _decoded(z, member) as text:
-                for start, lines in _batched(_records(text)):
+                sep = sniff(text.read(HEAD_CHARS))
+            with _decoded(z, member) as text:
+                filled = (r for r in _records(text, sep) if r.strip())
+                for start, lines in _batched(filled):
                     yield pd.DataFrame({"archive": archive, "member": member, "name": name,
                                         "line_no": range(start, start + len(lines)),
                                         "line": lines})[names]
@@ -145,38 +180,64 @@ def _batched(records):
         yield start, held
 
 
+def _parsed(found: DataFrame, keep_lines: bool) -> list[tuple[list[str], DataFrame]]:
+    """For each header its names and the lines under it as ``__r``, with archive and member.
+
+    A member's header is told once; only headers come to the driver. The archives are unpacked
+    by one pass; the lines are parsed by Spark.
+    """
+    heads = materialize(member_heads(found), "heads")
+    lines = member_lines(found).filter("line_no > 0")
+    lines = materialize(lines, "lines") if keep_lines or heads.select(
+        "sep", "header").distinct().count() > 1 else lines
+    out = []
+    for r in heads.select("sep", "header").distinct().orderBy("sep", "header").collect():
+        names = unique_names([h or f"Unnamed: {i}" for i, h in enumerate(r["header"])])
+        mine = heads.filter((F.col("sep") == r["sep"]) & (
+            F.col("header") == F.array(*map(F.lit, r["header"])) if r["header"]
+            else F.size("header") == 0)).select("archive", "member")
+        schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+        rows = lines.join(mine, ["archive", "member"], "left_semi").withColumn(
+            "__r", F.from_csv("line", schema, {"sep": r["sep"], "escape": '"'}))
+        out.append((names, rows))
+    return out
+
+
+def archive_bad_lines(found: DataFrame) -> DataFrame:
+    """(archive, member, line_no, line) of the lines with more fields than their header."""
+    parts = [rows.filter(F.col("__r").getField(f"c{len(names)}").isNotNull())
+             .select("archive", "member", "line_no", "line") for names, rows in _parsed(found, True)]
+    if not parts:
+        raise ValueError("no delimited member to read")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_members(found: DataFrame, *, infer: bool = True, source_column: str | None = None,
                  member_column: str | None = None, null_tokens: Sequence[str] = ()) -> DataFrame:
-    """Delimited members that share a header, stacked into one table.
+    """Delimited members, stacked into one table by column name.
 
-    The archives are unpacked by one pass; the lines are parsed and typed by Spark.
+    Lines with more fields than their header are left out; ``archive_bad_lines`` lists them.
     """
-    heads = member_heads(found).select("header", "sep").distinct().limit(2).collect()
-    if not heads:
-        raise ValueError("no delimited member to read")
-    if len(heads) > 1:
-        raise ValueError("members have different headers; read them one by one")
-    sep, header = heads[0]["sep"], heads[0]["header"]
-    names = unique_names([h or f"Unnamed: {i}" for i, h in enumerate(header)])
-    lines = member_lines(found).filter("line_no > 0 and line != ''").drop("line_no")
-    if infer:
-        lines = materialize(lines, "lines")
-    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    rows = lines.withColumn("__r", F.from_csv("line", schema, {"sep": sep, "escape": '"'}))
-    rows = rows.filter(F.col("__r").getField(f"c{len(names)}").isNull())
-    cells = rows.select("archive", "name", *[
-        F.col("__r").getField(f"c{i}").alias(f"__c{i}") for i in range(len(names))])
-    body = blank_to_null(cells.drop("archive", "name"), (*NULL_TOKENS, *null_tokens))
-    types = dict(infer_types(body).dtypes) if infer else {}
     tokens = [*NULL_TOKENS, *null_tokens]
-    out = [F.when(~F.col(c).isin(*tokens), F.col(c)).try_cast(types.get(c, "string")).alias(n)
-           for c, n in zip(body.columns, names)]
     extra = {source_column: "archive", member_column: "name"}
-    return cells.select(*out, *[F.col(c).alias(n) for n, c in extra.items() if n])
+    parts = []
+    for names, rows in _parsed(found, infer):
+        rows = rows.filter(F.col("__r").getField(f"c{len(names)}").isNull())
+        cells = [F.col("__r").getField(f"c{i}") for i in range(len(names))]
+        parts.append(rows.select(*[F.when(~c.isin(*tokens), c).alias(n) for c, n in zip(cells, names)],
+                                 *[F.col(c).alias(n) for n, c in extra.items() if n]))
+    if not parts:
+        raise ValueError("no delimited member to read")
+    table = parts[0] if len(parts) == 1 else union(parts)
+    if not infer:
+        return table
+    types = dict(infer_types(table.drop(*[n for n in extra if n])).dtypes)
+    return table.select(*[col(c).try_cast(types[c]).alias(c) if c in types else col(c)
+                          for c in table.columns])
 
 
 def unpack(found: DataFrame, folder: str) -> DataFrame:
-    """Write members out as ``folder/<archive>/<member>`` and return their (path, name).
+    """Write members out as ``folder/<archive>/<member>`` and return their (path, archive, name).
 
     Each member is streamed by its own task; whole-document readers can then use it.
     """
@@ -187,9 +248,9 @@ def unpack(found: DataFrame, folder: str) -> DataFrame:
             target = f"{folder}/{archive}/{member}"
             with z.open(member) as source, create_file(target) as out:
                 shutil.copyfileobj(source, out, 1 << 20)
-            yield pd.DataFrame([(target, name)], columns=["path", "name"])
+            yield pd.DataFrame([(target, archive, name)], columns=["path", "archive", "name"])
 
-    return _spread(found).mapInPandas(run, "path string, name string")
+    return _spread(found).mapInPandas(run, "path string, archive string, name string")
 
 
 def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | None = None, *,
@@ -207,29 +268,50 @@ def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | N
     if lacking:
         raise ValueError(f"member {member or '(any table)'!r} not found in: "
                          f"{[r['path'] for r in lacking]}")
+    return _stacked(spark, chosen, infer=infer, source_column=source_column,
+                    null_tokens=null_tokens)
+
+
+def _stacked(spark: SparkSession, chosen: DataFrame, *, infer: bool,
+             source_column: str | None = None, null_tokens: Sequence[str] = ()) -> DataFrame:
+    """Members of any readable formats, stacked by column name."""
     kinds = {r["ext"] for r in chosen.select("ext").distinct().collect()}
-    if kinds <= set(DELIMITED):
-        return read_members(chosen, infer=infer, source_column=source_column,
-                            null_tokens=null_tokens)
-    if len(kinds) > 1:
-        raise ValueError(f"the archives hold different formats: {sorted(kinds)}")
-    if kinds - {"json", "xml"}:
-        raise ValueError(f"cannot read members of type {sorted(kinds)}")
-    folder = scratch_path(spark, "unpacked")
-    paths = [r["path"] for r in unpack(chosen, folder).select("path").collect()]
-    read = read_json if kinds == {"json"} else read_xml
-    table = read(spark, paths)
-    if source_column:
-        at = F.element_at(F.split(F.substring_index("_metadata.file_path", f"{folder}/", -1), "/"), 1)
-        table = read(spark, paths, {source_column: F.url_decode(at)})
-    return table
+    if odd := sorted(kinds - set(MEMBER_TYPES)):
+        raise ValueError(f"cannot read members of type {odd}")
+    parts = []
+    if kinds & set(DELIMITED):
+        parts.append(read_members(_delimited(chosen), infer=infer, source_column=source_column,
+                                  null_tokens=null_tokens))
+    for kind, read in (("json", read_json), ("xml", read_xml)):
+        if kind not in kinds:
+            continue
+        # One folder for each archive, so that a file's folder tells its archive.
+        folder = scratch_path(spark, "unpacked")
+        done = unpack(chosen.filter(F.col("ext") == kind), folder).select("path", "archive").collect()
+        archives: dict[str, list[str]] = {}
+        for r in done:
+            archives.setdefault(r["archive"] if source_column else "", []).append(r["path"])
+        for archive, paths in sorted(archives.items()):
+            table = read(spark, paths)
+            parts.append(table.withColumn(source_column, F.lit(archive)) if source_column else table)
+    return parts[0] if len(parts) == 1 else union(parts)
 
 
 def archive_tables(spark: SparkSession, path: str | Sequence[str], *, infer: bool = True,
                    source_column: str | None = None,
                    skip_extensions: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Every delimited member on its own, by member name; members of one name are stacked."""
+    """Every table member on its own, by member name; members of one name are stacked."""
     found = materialize(members(spark, path, skip_extensions=skip_extensions), "members")
-    names = [r["name"] for r in _delimited(found).select("name").distinct().orderBy("name").collect()]
-    return {n: read_members(found.filter(F.col("name") == n), infer=infer,
-                            source_column=source_column) for n in names}
+    tables = found.filter(F.col("ext").isin(*MEMBER_TYPES))
+    names = [r["name"] for r in tables.select("name").distinct().orderBy("name").collect()]
+    return {n: _stacked(spark, tables.filter(F.col("name") == n), infer=infer,
+                        source_column=source_column) for n in names}
+
+
+def union_members(spark: SparkSession, path: str | Sequence[str], names: Sequence[str] = (), *,
+                  infer: bool = True, source_column: str | None = None) -> DataFrame:
+    """All table members of the archives, or those of the given base names, stacked by name."""
+    found = materialize(members(spark, path), "members").filter(F.col("ext").isin(*MEMBER_TYPES))
+    if names:
+        found = found.filter(F.lower("name").isin(*[n.lower() for n in names]))
+    return _stacked(spark, found, infer=infer, source_column=source_column)

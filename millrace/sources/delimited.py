@@ -8,7 +8,7 @@ import io
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import col, unique_names
 from .files import listing, open_file, per_file
@@ -17,6 +17,8 @@ from .inference import NULL_TOKENS, blank_to_null, infer_types
 DELIMITERS = ",|\t;"
 HEAD_CHARS = 8192
 OVERFLOW = "__overflow"
+# A quote where a field begins.
+OPENING = '(^|[,|\\t;]) *"'
 
 # The bytes 0x80-0x9f are where cp1252 differs from latin-1; five of them are undefined.
 _HIGH = [bytes([b]) for b in range(0x80, 0xA0)]
@@ -46,33 +48,50 @@ def sniff(head: str) -> str:
         return ","
 
 
-HEAD_SCHEMA = "sep string, header array<string>"
+HEAD_SCHEMA = "sep string, header array<string>, header_bytes array<string>"
+
+
+def first_record(text: str, sep: str) -> list[str]:
+    """The cells of the first record that is not blank."""
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+    return next((r for r in rows if any(c.strip() for c in r)), [])
+
+
+def _has_record(raw: bytes) -> bool:
+    """Whether the first filled line has ended, outside quotes."""
+    lines = raw.removeprefix(b"\xef\xbb\xbf").lstrip(b"\r\n ")
+    return b"\n" in lines and lines.split(b"\n", 1)[0].count(b'"') % 2 == 0
 
 
 def _heads(path: str, sep: str | None = None):
+    """The delimiter and the header, read as UTF-8 and byte by byte."""
     with open_file(path) as fh:
         raw = fh.read(4 * HEAD_CHARS)
         head = raw.decode("utf-8-sig", "replace")[:HEAD_CHARS]
         sep = sep or sniff(head)
         # The header may be longer than the sample: read on until its record ends.
-        while raw.count(b"\n") == 0 or raw.split(b"\n", 1)[0].count(b'"') % 2:
+        while not _has_record(raw):
             more = fh.read(4 * HEAD_CHARS)
             if not more:
                 break
             raw += more
-    try:
-        text = raw.decode("utf-8-sig")
-    except UnicodeDecodeError as e:
-        text = raw[:e.start].decode("utf-8-sig") if e.start > len(raw) - 4 else raw.decode("latin-1")
-    first = next(csv.reader(io.StringIO(text, newline=""), delimiter=sep), [])
-    yield sep, first
+    yield (sep, first_record(raw.decode("utf-8-sig", "replace"), sep),
+           first_record(raw.decode("latin-1"), sep))
+
+
+def _header(encoding: Column) -> Column:
+    """The header as the file's encoding has it."""
+    legacy = F.transform("header_bytes", lambda h: F.translate(h, CP1252_FROM, CP1252_TO))
+    return (F.when(encoding == "cp1252", legacy).when(encoding == "utf-8", F.col("header"))
+            .otherwise(F.col("header_bytes")))
 
 
 def detect(spark: SparkSession, path: str | Sequence[str], sep: str | None = None) -> DataFrame:
     """(path, sep, header, encoding, multi_line) per file.
 
     The delimiter comes from the head of each file. Encoding and quoted line breaks
-    are decided by every line, in one splittable scan merged per file.
+    are decided by every line, in one splittable scan merged per file; a quote inside a
+    field that does not begin with one (an inch mark) opens nothing.
     """
     files = listing(spark, path)
     heads = per_file(files, lambda p: _heads(p, sep), HEAD_SCHEMA)
@@ -85,15 +104,16 @@ def detect(spark: SparkSession, path: str | Sequence[str], sep: str | None = Non
              .select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
                      .alias("__path"),
                      F.is_valid_utf8("value").alias("utf8"), undefined.alias("undefined"),
-                     (quotes % 2 == 1).alias("odd")))
+                     ((quotes % 2 == 1) & F.col("value").rlike(OPENING)).alias("odd")))
     facts = lines.groupBy("__path").agg(F.bool_and("utf8").alias("utf8"),
                                         F.bool_or("undefined").alias("undefined"),
                                         F.bool_or("odd").alias("multi_line"))
     encoding = (F.when(F.coalesce("utf8", F.lit(True)), "utf-8")
                 .when(~F.col("undefined"), "cp1252").otherwise("latin-1"))
     return (heads.join(facts, F.col("path") == F.col("__path"), "left")
-            .select("path", "sep", "header", encoding.alias("encoding"),
-                    F.coalesce("multi_line", F.lit(False)).alias("multi_line")))
+            .select("path", "sep", "header", "header_bytes", encoding.alias("encoding"),
+                    F.coalesce("multi_line", F.lit(False)).alias("multi_line"))
+            .withColumn("header", _header(F.col("encoding"))).drop("header_bytes"))
 
 
 def layouts(spark: SparkSession, path: str | Sequence[str], *, sep: str | None = None,
@@ -105,8 +125,8 @@ def layouts(spark: SparkSession, path: str | Sequence[str], *, sep: str | None =
     known = encoding is not None and multi_line is not None
     heads = lambda p: _heads(p, sep)
     found = (per_file(listing(spark, path), heads, HEAD_SCHEMA).withColumns(
-        {"encoding": F.lit(encoding), "multi_line": F.lit(multi_line)}) if known
-        else detect(spark, path, sep))
+        {"encoding": F.lit(encoding), "multi_line": F.lit(multi_line),
+         "header": _header(F.lit(encoding))}) if known else detect(spark, path, sep))
     grouped = found.groupBy("sep", "header", "encoding", "multi_line").agg(
         F.sort_array(F.collect_list("path")).alias("paths"))
     return sorted((Layout(r["sep"], encoding or r["encoding"],

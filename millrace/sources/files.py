@@ -7,10 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import ship
+
 # Extensions a table can be read from, inside and outside archives.
 DELIMITED = ("csv", "tsv", "txt")
 MEMBER_TYPES = (*DELIMITED, "json", "xml")
 FILE_TYPES = (*MEMBER_TYPES, "html", "htm", "parquet", "zip")
+# Files or members that one task reads one after the other.
+ITEMS = 100
 
 
 def open_file(path: str):
@@ -66,6 +70,10 @@ def per_file(files: DataFrame, read, schema: str) -> DataFrame:
 
 
 def each_alone(items: DataFrame, *keys: str) -> DataFrame:
-    """Spread a list of files or members over tasks, no more tasks than items."""
-    most = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return items.repartition(max(1, min(most, items.count())), *keys)
+    """Spread a list of files or members over tasks: a few items to a task, and no task idle.
+
+    Whatever runs on them is Python, so the package is sent to the workers here.
+    """
+    ship(items.sparkSession)
+    usual, n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), items.count()
+    return items.repartition(max(1, min(n, max(usual, -(-n // ITEMS)))), *keys)

@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import col
 from ..operators.shape import conform
 from ..operators.union import union
-from .archives import member_heads, member_lines, members, read_archive
+from ..session import materialize, scratch_path
+from .archives import member_heads, member_lines, members, read_archive, unpack
 from .delimited import layouts, read_delimited, read_layout
 from .files import DELIMITED, FILE_TYPES, MEMBER_TYPES, listing
 from .html import read_html
 from .inference import infer_types
 from .sinks import write
-from .structured import read_json, read_parquet, read_xml, row_tags
+from .structured import parquet_schemas, read_json, read_parquet, read_xml
+
+
+TABLE_FILES = (*MEMBER_TYPES, "parquet", "html", "htm")
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """The listed files that are neither table files nor archives; Spark's own marks aside."""
+    return listing(spark, folder).filter(~F.col("ext").isin(*FILE_TYPES)
+                                         & ~F.col("file").rlike("^[._]"))
 
 
 def extensions(spark: SparkSession, path) -> list[str]:
@@ -46,7 +57,7 @@ def read_any(spark: SparkSession, path: str, *, member: str | None = None, infer
 def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_column: str,
             ) -> list[DataFrame]:
     """One frame per layout or format, each tagged with its file name."""
-    found = listing(spark, folder).filter(F.col("ext").isin(*MEMBER_TYPES, "parquet"))
+    found = listing(spark, folder).filter(F.col("ext").isin(*TABLE_FILES))
     if files:
         found = found.filter(F.col("file").isin(*files))
         missing = sorted(set(files) - {r["file"] for r in found.select("file").collect()})
@@ -62,20 +73,27 @@ def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_colum
             frames += [read_layout(spark, layout, infer=False, source_column=source_column).result
                        for layout in layouts(spark, paths)]
         elif kind == "parquet":
-            raw = spark.read.parquet(*paths)
-            frames.append(raw.withColumns(name))
+            frames += [spark.read.parquet(*same).withColumns(name)
+                       for same in parquet_schemas(spark, paths)]
         elif kind == "json":
             frames.append(read_json(spark, paths, name))
+        elif kind in ("html", "htm"):
+            frames.append(read_html(spark, paths, infer=False, source_column=source_column))
         else:
-            frames += [read_xml(spark, same, name, tag)
-                       for tag, same in row_tags(spark, paths).items()]
+            frames.append(read_xml(spark, paths, name))
     return frames
 
 
 def union_folder(spark: SparkSession, folder: str, files: Sequence[str] = (), *,
                  source_tag: str | None = None, output_columns=None, infer: bool = True) -> DataFrame:
-    """Stack all table files of a folder, or the named ones, by column name."""
+    """Stack all table files of a folder, or the named ones, by column name.
+
+    Archives are left to ``read_archive``; a file of unknown kind among all is an error.
+    """
     tag = source_tag or "__file"
+    odd = [] if files else [r["file"] for r in unreadable(spark, folder).limit(5).collect()]
+    if odd:
+        raise ValueError(f"cannot read {odd} in {folder}; name the files to union")
     frames = _tables(spark, folder, list(files), tag)
     if not frames:
         raise ValueError(f"no files to union in {folder}")
@@ -89,38 +107,62 @@ def union_folder(spark: SparkSession, folder: str, files: Sequence[str] = (), *,
 
 
 def folder_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, ext, bytes, modified, rows, columns) of every table file and archive member.
+    """(file, ext, bytes, modified, rows, columns, error) of every file and archive member.
 
-    Rows are counted exactly, by scans that read whole layouts at a time.
+    Rows are counted exactly, by scans that read whole layouts at a time. Files and members of
+    unknown kinds are listed with an error and no rows.
     """
-    files = listing(spark, folder).filter(F.col("ext").isin(*MEMBER_TYPES, "parquet"))
-    counts: list[DataFrame] = []
-    for frame in _tables(spark, folder, [], "__file"):
+    files = listing(spark, folder).filter((F.col("ext") != "zip") & ~F.col("file").rlike("^[._]"))
+    readable = F.col("ext").isin(*TABLE_FILES)
+    parts = [_counted(files.filter(readable), _tables(spark, folder, [], "__file")),
+             files.filter(~readable).select("file", "ext", "bytes", "modified", *_unknown())]
+    if listing(spark, folder).filter("ext = 'zip'").limit(1).count():
+        found = materialize(members(spark, folder), "members")
+        path = F.concat_ws("/", "archive", "member")
+        inside = found.select(path.alias("file"), "ext", "bytes",
+                              F.lit(None).cast("timestamp").alias("modified"), "archive", "member")
+        known = F.col("ext").isin(*MEMBER_TYPES)
+        parts.append(inside.filter(~known).select("file", "ext", "bytes", "modified", *_unknown()))
+        text = found.filter(F.col("ext").isin(*DELIMITED))
+        rows = member_lines(text).groupBy("archive", "member").agg(
+            F.count_if(F.col("line_no") > 0).alias("rows"))
+        heads = member_heads(text).select("archive", "member", F.col("header").alias("columns"))
+        parts.append(inside.filter(F.col("ext").isin(*DELIMITED)).join(
+            heads, ["archive", "member"]).join(rows, ["archive", "member"], "left").select(
+            "file", "ext", "bytes", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), "columns",
+            F.lit(None).cast("string").alias("error")))
+        documents = found.filter(known & ~F.col("ext").isin(*DELIMITED))
+        if documents.limit(1).count():
+            base = scratch_path(spark, "unpacked")
+            done = [r["path"] for r in unpack(documents, base).select("path").collect()]
+            frames = []
+            for kind, read in (("json", read_json), ("xml", read_xml)):
+                frames += [read(spark, [p]).withColumn("__file", F.lit(p[len(base) + 1:]))
+                           for p in done if p.lower().endswith(f".{kind}")]
+            parts.append(_counted(inside.filter(known & ~F.col("ext").isin(*DELIMITED)), frames))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unknown() -> tuple[Column, ...]:
+    return (F.lit(0).cast("long").alias("rows"), F.lit(None).cast("array<string>").alias("columns"),
+            F.lit("unknown kind of file").alias("error"))
+
+
+def _counted(files: DataFrame, frames: Sequence[DataFrame]) -> DataFrame:
+    """The files with the number of rows and the columns that the frames have for them."""
+    counts = []
+    for frame in frames:
         columns = [c for c in frame.columns if c != "__file"]
         counts.append(frame.groupBy("__file").agg(F.count(F.lit(1)).alias("rows"))
                       .withColumn("columns", F.array(*[F.lit(c) for c in columns])))
     sizes = files.select("file", "ext", "bytes", "modified")
-    parts = []
-    if counts:
-        stacked = counts[0]
-        for c in counts[1:]:
-            stacked = stacked.unionByName(c)
-        parts.append(sizes.join(stacked, F.col("file") == F.col("__file"), "left")
-                     .select("file", "ext", "bytes", "modified",
-                             F.coalesce("rows", F.lit(0)).alias("rows"), "columns"))
-    if listing(spark, folder).filter("ext = 'zip'").limit(1).count():
-        found = members(spark, folder).filter(F.col("ext").isin(*DELIMITED))
-        rows = member_lines(found).filter("line != ''").groupBy("archive", "member").agg(
-            (F.count(F.lit(1)) - 1).alias("rows"))
-        heads = member_heads(found).select("archive", "member", F.col("header").alias("columns"))
-        inside = (found.select("archive", "member", "ext", "bytes")
-                  .join(heads, ["archive", "member"]).join(rows, ["archive", "member"]))
-        parts.append(inside.select(
-            F.concat_ws("/", "archive", "member").alias("file"), "ext", "bytes",
-            F.lit(None).cast("timestamp").alias("modified"), "rows", "columns"))
-    if not parts:
-        raise ValueError(f"no table files in {folder}")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    error = F.lit(None).cast("string").alias("error")
+    if not counts:
+        return sizes.select("*", F.lit(0).cast("long").alias("rows"),
+                            F.lit(None).cast("array<string>").alias("columns"), error)
+    stacked = reduce(DataFrame.unionByName, counts)
+    return sizes.join(stacked, F.col("file") == F.col("__file"), "left").select(
+        "file", "ext", "bytes", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), "columns", error)
 
 
 def normalise_output(spark: SparkSession, path: str, out: str, fmt: str = "parquet", *,

@@ -9,46 +9,112 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.names import col
 from ..operators.shape import flatten
+from ..operators.union import union
 from .files import listing, open_file, per_file
 from .inference import nan_to_null
 
 
+def json_forms(spark: SparkSession, path) -> dict[bool, list[str]]:
+    """Files by whether they are whole documents (True) or one value a line (False).
+
+    Lines are JSON lines only if every filled one of the file is a JSON value by itself.
+    """
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(
+        F.col("_metadata.file_path").alias("path"), (F.btrim("value") == "").alias("blank"),
+        F.try_parse_json("value").isNull().alias("broken"))
+    found = lines.groupBy("path").agg(F.bool_or(F.col("broken") & ~F.col("blank")).alias("whole"))
+    out: dict[bool, list[str]] = {}
+    for r in found.orderBy("path").collect():
+        out.setdefault(r["whole"], []).append(r["path"])
+    return out
+
+
 def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = None, *,
-              multi_line: bool = True) -> DataFrame:
+              multi_line: bool | None = None) -> DataFrame:
     """Objects or arrays of objects, nested objects flattened to dotted columns.
 
-    ``extra`` adds columns, such as the file name from ``_metadata``.
+    Whether a file is one document or has one value a line is told from all its lines, unless
+    ``multi_line`` says so; files of both forms are stacked by column name. ``extra`` adds
+    columns, such as the file name from ``_metadata``.
     """
-    raw = spark.read.option("multiLine", multi_line).json(path)
-    return nan_to_null(flatten(raw.withColumns(extra) if extra else raw))
+    def one(paths, whole):
+        raw = spark.read.option("multiLine", whole).json(paths)
+        return nan_to_null(flatten(raw.withColumns(extra) if extra else raw))
+
+    if multi_line is not None:
+        return one(path, multi_line)
+    forms = json_forms(spark, path)
+    if len(forms) <= 1:
+        return one(path, next(iter(forms), False))
+    return union([one(paths, whole) for whole, paths in sorted(forms.items())])
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-def _row_tag(path: str):
+def _footer(path: str):
+    import pyarrow.parquet as pq
+
     with open_file(path) as fh:
-        depth = 0
-        for event, element in ElementTree.iterparse(fh, events=("start", "end")):
-            depth += 1 if event == "start" else -1
-            if depth == 2:
-                yield (element.tag,)
-                return
+        yield (str(pq.read_schema(fh).remove_metadata()),)
+
+
+def parquet_schemas(spark: SparkSession, path) -> list[list[str]]:
+    """Files grouped by the schema in their footers."""
+    found = per_file(listing(spark, path), _footer, "schema string").groupBy("schema").agg(
+        F.sort_array(F.collect_list("path")).alias("paths"))
+    return sorted(list(r["paths"]) for r in found.collect())
 
 
-def row_tags(spark: SparkSession, path) -> dict[str, list[str]]:
-    """Files by their record tag, which is the tag of the root's first child."""
-    found = per_file(listing(spark, path), _row_tag, "tag string").groupBy("tag").agg(
+def _elements(path: str):
+    """(depth, element) at each end tag, the root's depth being 1; what has been read is let go."""
+    with open_file(path) as fh:
+        open_: list = []
+        for event, element in ElementTree.iterparse(fh, events=("start", "end")):
+            if event == "start":
+                open_.append(element)
+                continue
+            yield len(open_), element
+            open_.pop()
+            if len(open_) == 1:
+                open_[0].clear()
+
+
+def _record_tags(path: str):
+    """The tags of the root's children, and whether one of them also occurs deeper."""
+    tags, deeper = set(), set()
+    for depth, element in _elements(path):
+        (tags if depth == 2 else deeper if depth > 2 else set()).add(element.tag)
+    if tags:
+        yield sorted(tags), len(tags) == 1 and not tags & deeper
+
+
+def row_tags(spark: SparkSession, path) -> dict[str | None, list[str]]:
+    """Files by their record tag; under None those whose records differ in tag."""
+    tag = F.when(F.col("plain"), F.get("tags", F.lit(0))).alias("tag")
+    found = per_file(listing(spark, path), _record_tags, "tags array<string>, plain boolean")
+    grouped = found.select("path", tag).groupBy("tag").agg(
         F.sort_array(F.collect_list("path")).alias("paths"))
-    return {r["tag"]: list(r["paths"]) for r in found.orderBy("tag").collect()}
+    return {r["tag"]: list(r["paths"]) for r in grouped.orderBy("tag").collect()}
 
 
-def _only_tag(spark: SparkSession, path) -> str:
-    tags = list(row_tags(spark, path))
-    if len(tags) != 1:
-        raise ValueError(f"need one record tag at {path}, found {tags}; pass row_tag")
-    return tags[0]
+def _mixed_records(path: str):
+    for depth, element in _elements(path):
+        if depth == 2:
+            texts = {e.tag: e.text for e in element.iter() if e.text and e.text.strip()}
+            if texts:
+                yield (texts,)
+
+
+def _read_mixed(spark: SparkSession, paths, extra: Mapping[str, Column]) -> DataFrame:
+    """Every child of the root is a record, whatever its tag; documents are streamed by tasks."""
+    rows = per_file(listing(spark, paths), _mixed_records, "texts map<string,string>")
+    tags = [r["tag"] for r in rows.select(F.explode(F.map_keys("texts")).alias("tag")).distinct()
+            .orderBy("tag").collect()]
+    file = F.element_at(F.split("path", "/"), -1)
+    return rows.select(*[F.try_element_at("texts", F.lit(t)).alias(t) for t in tags],
+                       *[F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))).alias(n) for n in extra])
 
 
 def _leaves(c: Column, dtype: T.DataType, name: str):
@@ -65,13 +131,24 @@ def _leaves(c: Column, dtype: T.DataType, name: str):
 
 def read_xml(spark: SparkSession, path, extra: Mapping[str, Column] | None = None,
              row_tag: str | None = None) -> DataFrame:
-    """One row per record element; every descendant tag with text is a text column,
-    attributes are ignored and a repeated tag keeps its last value."""
-    raw = (spark.read.format("xml").option("rowTag", row_tag or _only_tag(spark, path))
+    """One row per child of the root (or per ``row_tag`` element); every descendant tag with text
+    is a text column, attributes are ignored and a repeated tag keeps its last value.
+
+    Documents whose records all have one tag are read by Spark's reader, others are streamed.
+    """
+    if row_tag is None:
+        parts = [_read_mixed(spark, same, extra or {}) if tag is None
+                 else read_xml(spark, same, extra, tag)
+                 for tag, same in row_tags(spark, path).items()]
+        if not parts:
+            raise ValueError(f"no records at {path}")
+        return parts[0] if len(parts) == 1 else union(parts)
+    raw = (spark.read.format("xml").option("rowTag", row_tag)
            .option("inferSchema", False).option("excludeAttribute", True).load(path))
     tags: dict[str, list[Column]] = {}
     for field in raw.schema.fields:
-        for tag, text in _leaves(col(field.name), field.dataType, field.name):
+        name = row_tag if field.name == "_VALUE" else field.name
+        for tag, text in _leaves(col(field.name), field.dataType, name):
             filled = F.when(F.btrim(text) != "", text)
             tags.setdefault(tag, []).append(filled)
     return raw.select(*[F.coalesce(*reversed(cs)).alias(tag) for tag, cs in tags.items()],
