@@ -39,12 +39,17 @@ CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
              "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 SCOPES = {"table", "ul", "ol", "dl", "select", "article", "section", "div", "body", "main"}
 LABELS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|"
-    r"menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-bar|rail|widgets?|comments?|"
-    r"commentlist|disqus|replies|respond|discussion|cookies?|consent|gdpr|notices?|alert|popup|"
-    r"modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|"
-    r"recommend(?:ed|ations)?|footer|footnav|masthead|pagination|pager|toolbar|skip-link|legal|"
-    r"copyright|tags|byline-tools)(?=$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adsbox|sponsor\w*|promo\w*|banner\w*|menus?|nav|navbar|"
+    r"navigation|breadcrumb\w*|side-?bar\w*|rail|widgets?|comment\w*|disqus\w*|repl(?:y|ies)|"
+    r"respond|discussion|cookies?\w*|consent|gdpr|notices?|alerts?|pop-?up\w*|modal|overlay|"
+    r"newsletter\w*|subscri\w*|sign-?up|log-?in|shar(?:e|ing)\w*|social\w*|related\w*|recommend\w*|"
+    r"footer\w*|masthead|(?:site|page|top)-?header|pagination|pager|toolbar|skip-link|legal|"
+    r"copyright|disclaimer)(?=$|[\s_-])", re.I)
+HEADER_LABEL = re.compile(r"^header$", re.I)
+# Tells of another part of the page, as in "has-sidebar".
+ABOUT_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is)[-_]\S+", re.I)
+# Labels that hold for all that stands inside, articles too.
+CERTAIN = re.compile(r"comment|disqus|repl|respond|discussion|related|recommend|side-?bar|promo", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog",
          "alertdialog", "menu", "menubar", "toolbar", "alert", "advertisement", "note"}
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0\s]+")
@@ -65,6 +70,8 @@ class Reader(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
+        # Elements left out for their class or id, and whether articles inside go as well.
+        self.labelled: dict[int, bool] = {}
         self.kind: list[str] = []               # by number of element
         self.open: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
@@ -104,7 +111,17 @@ class Reader(HTMLParser):
                 break
             if name in SCOPES or name in NEVER:
                 break
-        dropped = bool(self.open and self.open[-1][2]) or self._is_dropped(tag, dict(attrs))
+        attrs = dict(attrs)
+        dropped = bool(self.open and self.open[-1][2]) or self._is_dropped(tag, attrs)
+        names = [ABOUT_OTHERS.sub("", attrs.get(a) or "") for a in ("class", "id")]
+        label = next((v for v in names if LABELS.search(v) or HEADER_LABEL.search(v)), None)
+        if label and tag not in ("html", "body", "main", "h1"):
+            self.labelled[len(self.kind)] = bool(CERTAIN.search(label))
+        elif tag in REGIONS:
+            # What is around an article is a frame, whatever its label, if that is not certain.
+            if not any(self.labelled.get(n) for _, n, _ in self.open):
+                for _, n, _ in self.open:
+                    self.labelled.pop(n, None)
         self.kind.append(tag)
         self.open.append((tag, len(self.kind) - 1, dropped))
         self.in_links += tag == "a"
@@ -118,9 +135,8 @@ class Reader(HTMLParser):
             return False
         if (attrs.get("role") or "").lower() in ROLES:
             return True
-        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-            return True
-        return any(LABELS.search(attrs.get(a) or "") for a in ("class", "id"))
+        return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden",
+                              attrs.get("style") or "", re.I))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -176,6 +192,9 @@ def main_text(html: str) -> str:
     reader.feed(html)
     reader.close()
     lines = [x for x in reader.lines if not x.dropped]
+    out = set(reader.labelled)
+    # If labels leave nothing they do not mean what they say.
+    lines = [x for x in lines if not out.intersection(x.path)] or lines
     if not lines:
         return ""
     ratio = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
