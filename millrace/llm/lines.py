@@ -12,9 +12,11 @@ are within one edit of its earliest line (for insertions: of the earliest on the
 a key costs two minima and no pairs, however many lines share it. Each drop is confirmed by
 comparing the two lines.
 
-Most lines have no neighbour. Of two lines one edit apart either the first or the last halves are
-equal, so only lines that share a hashed half with a different line give deletion keys, and only
-for places outside the shared half. This filter loses no pair.
+Most lines have no neighbour, and single places would make as many keys as there are characters.
+Two filters come first, which lose no pair. Of two lines one edit apart either the first or the
+last halves are equal: lines that share no hashed half with a different line drop out. The rest
+give keys "without block i" for ``BLOCKS`` blocks; only where two different lines share such a key
+are the places of that block deleted one by one.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from millrace.session import materialize
 from .pii import renewed
 
 MIN_CHARS = 20
+BLOCKS = 8
 ENDS = " \t\v\f\r"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 ORDER = "struct<missing boolean, id bigint, no int>"
@@ -97,29 +100,53 @@ def _one_edit(a: str, b: str) -> bool:
     return a[k + 1:] == b[k + 1:] if len(a) == len(b) else a[k:] == b[k + 1:]
 
 
+REPLACED, LONGER, SHORTER = 0, 1, 2        # what a line is to its neighbour
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """``first, kind, low, high``: where a line has places to delete.
+
+    The line of a pair that is not shorter loses the places ``low`` to before ``high``; its
+    neighbour shares all that is outside of them.
+    """
+    def cut(line: Column, kind: int, i: int) -> Column:
+        # Borders are those of the shorter line of the pair; the longer one's block has one more.
+        n = F.length(line) - (1 if kind == LONGER else 0)
+        low, high = (F.floor(n * k / BLOCKS).cast("int") for k in (i, i + 1))
+        rest = F.concat(F.left(line, low), F.right(line, n - high))
+        return F.struct(F.lit(kind).alias("kind"), low.alias("low"),
+                        (high + (1 if kind == LONGER else 0)).alias("high"), F.xxhash64(
+            F.lit(min(kind, 1)), F.lit(i), n, rest, low).alias("hash"))
+
+    cuts = lines.select("first", "key.a", F.inline(F.array(*[
+        cut(F.col("line"), kind, i) for kind in (REPLACED, LONGER, SHORTER) for i in range(BLOCKS)])))
+    shared = cuts.groupBy("hash").agg(F.min("a").alias("x"), F.max("a").alias("y")).where(
+        "x < y").select("hash")
+    return cuts.join(shared, "hash", "left_semi").select("first", "kind", "low", "high").distinct()
+
+
 def _neighbours(lines: DataFrame) -> DataFrame:
     """``key, first`` of lines (``key, first, line``, all different) with an earlier neighbour."""
     def emit(batches):
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
-            firsts, texts = batch.column("first"), batch.column("line").to_pylist()
-            for k, line in enumerate(texts):
-                n = len(line)
-                for low in range(0, n, 100_000):
-                    replaced, without, own = deletion_keys(line, low, min(n, low + 100_000))
-                    keys = [replaced, np.unique(without)] + ([np.array([own])] if not low else [])
-                    for kind, values in enumerate(keys):
-                        rows[0].append(values.view(np.int64))
-                        rows[1].append(np.full(len(values), kind, np.int32))
-                        rows[2].append(np.full(len(values), k))
-                    if sum(map(len, rows[0])) > 200_000 or k == len(texts) - 1:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.concatenate(rows[0])), pa.array(np.concatenate(rows[1])),
-                             firsts.take(pa.array(np.concatenate(rows[2])))],
-                            names=["hash", "kind", "first"])
-                        rows = ([], [], [])
-
-    kinds = lines.select("first", "line").mapInArrow(emit, f"hash long, kind int, first {ORDER}")
+            firsts, places = batch.column("first"), zip(*(batch.column(c).to_pylist() for c in (
+                "line", "kind", "low", "high")))
+            for k, (line, kind, low, high) in enumerate(places):
+                replaced, without, own = deletion_keys(line, low, high)
+                values = (replaced, np.unique(without), np.array([own]))[kind]
+                rows[0].append(values.view(np.int64))
+                rows[1].append(np.full(len(values), kind, np.int32))
+                rows[2].append(np.full(len(values), k))
+                if sum(map(len, rows[0])) > 200_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(rows[0])), pa.array(np.concatenate(rows[1])),
+                         firsts.take(pa.array(np.concatenate(rows[2])))],
+                        names=["hash", "kind", "first"])
+                    rows = ([], [], [])
+
+    places = lines.join(_blocks(lines), "first").select("first", "line", "kind", "low", "high")
+    kinds = places.mapInArrow(emit, f"hash long, kind int, first {ORDER}").distinct()
     kinds = materialize(kinds, "deletions")
     least = kinds.groupBy("hash").agg(
         *[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(f"m{k}") for k in range(3)],
