@@ -11,35 +11,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import lines, minhash, packing, pii, repetition
-from millrace.session import scratch_path, ship, tune
+from millrace.llm.words import prepared
+from millrace.session import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(tune(spark))
+    prepared(spark)
     return repetition.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(tune(spark))
+    prepared(spark)
     return lines.without_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(tune(spark))
+    prepared(spark)
     return minhash.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(tune(spark))
+    prepared(spark)
     return pii.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ship(tune(spark))
+    prepared(spark)
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ from .words import blocks, numbered, split_words, sums, text_of
 
 CAPACITY = 4096
 END = 2
-BLOCK = 4 << 20
-CACHED = 400_000                    # words whose ids a task keeps
+BLOCK = 2 << 20
+CACHED = 100_000                    # words in each of the two generations a task keeps
 # Fixed: ASCII marks that end a run of letters and never compose with what stands before.
 MARKS = r"[.,;:!?*#$%&]"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, "
@@ -46,15 +47,25 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
+        self.model = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _ids(self, words: list[str]) -> list:
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > CACHED:
-            self.known, missing = {}, words
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Each word's ids; a word that is met again stays, others go with their generation."""
+        missing = [w for w in words if w not in self.young and w not in self.old]
         encoded = self.model.encode_batch_fast(missing, add_special_tokens=False)
-        self.known.update(zip(missing, (e.ids for e in encoded)))
-        return [self.known[w] for w in words]
+        fresh = dict(zip(missing, (array("I", e.ids).tobytes() for e in encoded)))
+        out = []
+        for w in words:
+            ids = self.young.get(w)
+            if ids is None:
+                ids = fresh.get(w) or self.old.get(w, b"")
+                self.young[w] = ids
+            out.append(ids)
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by ``END``; each text's bounds in them."""
@@ -62,8 +73,8 @@ class Tokens:
         words, bounds = split_words(apart)
         numbers, different = numbered(words)
         ids = self._ids(different.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         first = np.cumsum(sizes) - sizes
         each = sizes[numbers]
         ends = np.cumsum(each)

@@ -6,10 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.session import ship, tune
-
 from . import (fingerprints, lines, minhash, packing, pages, pii, repetition, sharding, toxicity,
                unigram)
+from .words import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +18,7 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     """Register ``fn(frame of table, spark, folder) -> DataFrame``."""
     def register(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ship(tune(spark))
+            prepared(spark)
             return fn(spark.read.parquet(f"{folder}/{table}.parquet"), folder)
 
         QUERIES[name] = run

@@ -26,7 +26,7 @@ from .words import blocks, numbered, text_of
 MARKER = "▁".encode()
 LITERAL = b"\xff"              # stands for a marker that the text itself holds; never in UTF-8
 UNKNOWN_PENALTY = 10.0
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 TRIES = 100                    # gaps tried for a node of the trie
 
 

@@ -7,8 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
+
+from millrace.session import ship, tune
 
 BLOCK_BYTES = 4 << 20
+# Whole texts travel in batches: fewer rows than usual keep a batch to a few MB.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+         "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Settings for operators on texts, and this package for the Python workers."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+    return ship(tune(spark))
 
 
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
