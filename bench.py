@@ -26,7 +26,7 @@ HEADLINE = [
     "dedup_none", "dedup_report", "delta_full_delta", "union_by_name", "filter_where_builder",
     "route_rules_multi", "route_values_first_match", "column_split_null_separate",
     "split_by_value_written", "nulls_mean", "nulls_mode", "nulls_ffill", "null_audit",
-    "cast_nullify", "cast_errors", "profile_columns", "csv_pipe_roundtrip",
+    "cast_nullify", "cast_errors", "profile_columns", "csv_pipe_roundtrip", "zip_member_scan",
 ]
 
 

@@ -40,6 +40,18 @@ def date_pattern(fmt: str) -> tuple[str, set[str]]:
     return "".join(out), used
 
 
+def date_form(fmt: str) -> str:
+    """A pattern that every readable text meets: digits, words and literals in their order."""
+    out = []
+    for directive, literal in re.findall(r"%(.)|([^%]+)", fmt):
+        if literal or directive == "%":
+            out.append(re.sub(r"([^\w\s])", r"\\\1", literal or "%"))
+        else:
+            part = r"[^0-9]+" if directive in NAMED else r"[+-]?[0-9]+"
+            out += [part] if out[-1:] != [part] else []       # neighbours read as one run
+    return f"(?i)^{''.join(out)}$"
+
+
 # Checking the form first is far cheaper than letting a conversion fail.
 WHOLE = r"^[+-]?[0-9]+$"
 WHOLE_FORM = r"^[+-]?[0-9]+([.]0*)?$"
@@ -68,9 +80,8 @@ def to_date(text: Column, fmt: str | None = None) -> Column:
         text = F.upper(text) if used & NAMED == {"p"} else F.initcap(F.lower(text))
     if used & {"p"} and used & {"b", "B", "a", "A"}:
         text = F.regexp_replace(F.regexp_replace(text, r"\b[Aa]m\b", "AM"), r"\b[Pp]m\b", "PM")
-    if used & TIME:
-        return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
-    return F.try_to_date(text, pattern).cast("timestamp_ntz")
+    read = F.try_to_timestamp(text, F.lit(pattern)) if used & TIME else F.try_to_date(text, pattern)
+    return F.when(text.rlike(date_form(fmt)), read.cast("timestamp_ntz"))
 
 
 def to_boolean(text: Column) -> Column:
