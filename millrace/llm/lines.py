@@ -185,10 +185,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     open_ = halves.join(shared, "half", "left_semi").select("a").distinct()
     wanted = materialize(firsts.join(open_, firsts["key.a"] == open_["a"], "left_semi")
                          .select("key", "first"), "open")
-    # The text of those lines: one row for each document, so that texts are not multiplied.
+    # The text of those lines: one row for each document, so that texts are not multiplied. Both
+    # sides grow with the data, so the plan is the same at every size.
     places = wanted.groupBy("first.missing", "first.id").agg(F.collect_set("first.no").alias("nos"))
     holders = docs.select(F.col("doc_id").isNull().alias("missing"), F.coalesce(
-        "doc_id", F.lit(0).cast("long")).alias("id"), "text").join(places, ["missing", "id"])
+        "doc_id", F.lit(0).cast("long")).alias("id"), "text").join(places.hint("merge"), ["missing", "id"])
     texts = holders.select("missing", "id", "nos", F.posexplode(F.split("text", "\n"))
                            .alias("no", "raw")).where(F.array_contains("nos", F.col("no")))
     texts = texts.select(F.struct("missing", "id", "no").alias("first"),
@@ -229,7 +230,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     lost = repeated(docs).groupBy("doc_id").agg(F.collect_set("no").alias("_nos"))
     rows = docs.select(F.struct("*").alias("_row"))
-    joined = rows.join(lost, F.col("_row.doc_id").eqNullSafe(lost["doc_id"]), "left")
+    joined = rows.join(lost.hint("merge"), F.col("_row.doc_id").eqNullSafe(lost["doc_id"]), "left")
     text, changed = F.col("_row.text"), F.col("_nos").isNotNull()
     kept = F.array_join(F.transform(F.filter(
         F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),

@@ -259,4 +259,4 @@ def link(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but those whose document is linked with one of a smaller id."""
     out = materialize(link(docs), "linked").where("not kept").select("doc_id").distinct()
-    return docs.join(out, docs["doc_id"] == out["doc_id"], "left_anti")
+    return docs.join(out.hint("merge"), docs["doc_id"] == out["doc_id"], "left_anti")
