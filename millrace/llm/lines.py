@@ -1,26 +1,29 @@
-"""Line deduplication by a deletion-neighbourhood join: equal lines, and lines one edit apart.
-
-A line is compared without white space at its ends; lines under ``MIN_CHARS`` code points are
-left alone. Of equal lines the earliest stays (by ``doc_id``, then place). A line also goes if an
-earlier line can be made from it by inserting, deleting or replacing one code point, whether or
-not that earlier line stays itself.
-
-Two lines one replacement apart are equal after deleting the same place of both; two lines of
-which one has a code point more are equal after deleting one place of the longer. So each line
-gives hashed keys "without place p" and, for insertions, a key of itself. All lines of one key
-are within one edit of its earliest line (for insertions: of the earliest on the other side), so
-a key costs two minima and no pairs, however many lines share it. Each drop is confirmed by
-comparing the two lines.
-
-Most lines have no neighbour, and single places would make as many keys as there are characters.
-Two filters come first, which lose no pair. Of two lines one edit apart either the first or the
-last halves are equal: lines that share no hashed half with a different line drop out. The rest
-give keys "without block i" for ``BLOCKS`` blocks; only where two different lines share such a key
-are the places of that block deleted one by one.
+"""Line deduplication by a no-loss filter: equal lines, and lines at most ``edits`` edits apart.
+
+A line is compared without white space at its ends; lines under ``least`` code points are left
+alone. Of equal lines the earliest stays (by ``doc_id``, then place). A line also goes if an
+earlier line can be made from it by inserting, deleting or replacing few code points, whether or
+not that earlier line stays itself. How many are few follows from the shorter line of the two:
+one for each ``PER_EDIT`` code points, at most ``edits`` (up to 3), and none under ``MIN_CHARS``.
+
+Code points are dealt into ``CLASSES`` fixed classes. Keeping only the code points of one class
+leaves a shorter string for each class, and as an edit touches the strings of at most two classes
+(of the code point that goes and of the one that comes), ``CLASSES - 2 * edits`` of them are equal
+in two near lines, wherever the edits are and however they shift the rest. So each line has
+``CLASSES`` hashes. Lines that share too few of them with other lines drop out; the rest give a
+key for each choice of that many classes. Lines that share a key are candidates.
+
+Where few lines share a key all of them are compared whose numbers of code points in the classes
+allow it. Where many do, each is compared with the
+earliest, and those which are not near it get longer keys, from the pairs of code points that
+follow each other, dealt into ``PAIRS`` classes: an edit touches at most four. Every drop is
+confirmed by the edit distance of the two lines.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,13 +33,24 @@ from millrace.session import materialize
 from .pii import renewed
 
 MIN_CHARS = 20
-BLOCKS = 8
+PER_EDIT = 10
+CLASSES = 8
+PAIRS = 16
+FEW = 40                        # lines of one key that are all compared
 ENDS = " \t\v\f\r"
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-ORDER = "struct<missing boolean, id bigint, no int>"
+# Letters by how often they are met, so that classes are about equally full; others by code point.
+COMMON = " etaoinsrhldcumfpgwybvk"
+KEY = "struct<a bigint, b bigint>"
+
+
+def bound(chars: Column, edits: int) -> Column:
+    """The edits allowed between two lines of which the shorter has ``chars`` code points."""
+    return F.when(chars < MIN_CHARS, 0).otherwise(
+        F.least(F.lit(edits), F.floor(chars / PER_EDIT).cast("int")))
 
 
-def _lines(docs: DataFrame, *more: Column) -> DataFrame:
+def _lines(docs: DataFrame, least: int) -> DataFrame:
     """One row for each compared line: ``first`` (its place), ``line`` and ``key``.
 
     The key is 128 bits of hash.
@@ -46,20 +60,9 @@ def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     line = split.select(
         F.struct(F.col("doc_id").isNull().alias("missing"),
                  F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "no").alias("first"),
-        F.trim("raw", F.lit(ENDS)).alias("line")).where(F.length("line") >= MIN_CHARS)
+        F.trim("raw", F.lit(ENDS)).alias("line")).where(F.length("line") >= least)
     return line.select("first", "line", F.struct(
-        F.xxhash64("line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b")).alias("key"), *more)
-
-
-def _halves(line: Column) -> Column:
-    """Hashes of a line's first and last half, for every length a neighbour may have."""
-    def side(q, name, part):
-        return F.xxhash64(F.lit(name), q, part)
-
-    half = F.floor(F.length(line) / 2).cast("int")
-    keys = [F.array(side(q, 1, F.left(line, q)), side(q, 2, F.right(line, q)))
-            for q in (half, half - 1)]
-    return F.when(F.length(line) % 2 == 0, F.concat(*keys)).otherwise(keys[0])
+        F.xxhash64("line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b")).alias("key"))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,122 +71,173 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def deletion_keys(line: str, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.uint64]:
-    """Hashes of the line without place p, for p from ``low`` to before ``high``.
+def _class_table() -> np.ndarray:
+    out = (np.arange(1 << 16) % CLASSES).astype(np.uint8)
+    for k, c in enumerate(COMMON):
+        turn, at = divmod(k, CLASSES)
+        out[ord(c)] = out[ord(c.upper())] = at if turn % 2 == 0 else CLASSES - 1 - at
+    return out
 
-    Once with the place (for replacements) and once without (for insertions); and the hash of
-    the line itself. Polynomial sums make all of them in time linear in the line.
-    """
-    codes = _mixed(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(
-        np.uint64) + np.uint64(1))
-    n = len(codes)
-    powers = np.cumprod(np.full(n + 1, BASE)) * np.uint64(pow(int(BASE), -1, 1 << 64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * powers[:n])])
-    places = np.arange(low, high)
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    rest = sums[places] + (sums[n] - sums[places + 1]) * inverse
-    size = np.uint64(n)
-    without = _mixed(rest + (size - np.uint64(1)) * BASE)
-    replaced = _mixed(without + places.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + size)
-    return replaced, without, _mixed(np.array([sums[n] + size * BASE]))[0]
-
-
-def _one_edit(a: str, b: str) -> bool:
-    """Whether two different strings are one insertion, deletion or replacement apart."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    k = 0
-    while k < len(a) and a[k] == b[k]:
-        k += 1
-    return a[k + 1:] == b[k + 1:] if len(a) == len(b) else a[k:] == b[k + 1:]
-
-
-REPLACED, LONGER, SHORTER = 0, 1, 2        # what a line is to its neighbour
-
-
-def _blocks(lines: DataFrame) -> DataFrame:
-    """``first, kind, low, high``: where a line has places to delete.
-
-    The line of a pair that is not shorter loses the places ``low`` to before ``high``; its
-    neighbour shares all that is outside of them.
+
+TABLE = _class_table()
+
+
+def class_hashes(lines: list[str], pairs: bool = False) -> np.ndarray:
+    """For each line (not empty) and class a hash of the line's code points in that class.
+
+    With ``pairs`` of pairs of neighbouring code points; the last pairs with nothing.
     """
-    def cut(line: Column, kind: int, i: int) -> Column:
-        # Borders are those of the shorter line of the pair; the longer one's block has one more.
-        n = F.length(line) - (1 if kind == LONGER else 0)
-        low, high = (F.floor(n * k / BLOCKS).cast("int") for k in (i, i + 1))
-        rest = F.concat(F.left(line, low), F.right(line, n - high))
-        return F.struct(F.lit(kind).alias("kind"), low.alias("low"),
-                        (high + (1 if kind == LONGER else 0)).alias("high"), F.xxhash64(
-            F.lit(min(kind, 1)), F.lit(i), n, rest, low).alias("hash"))
-
-    cuts = lines.select("first", "key.a", F.inline(F.array(*[
-        cut(F.col("line"), kind, i) for kind in (REPLACED, LONGER, SHORTER) for i in range(BLOCKS)])))
-    shared = cuts.groupBy("hash").agg(F.min("a").alias("x"), F.max("a").alias("y")).where(
-        "x < y").select("hash")
-    return cuts.join(shared, "hash", "left_semi").select("first", "kind", "low", "high").distinct()
-
-
-def _neighbours(lines: DataFrame) -> DataFrame:
-    """``key, first`` of lines (``key, first, line``, all different) with an earlier neighbour."""
-    def emit(batches):
-        for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
-            firsts, places = batch.column("first"), zip(*(batch.column(c).to_pylist() for c in (
-                "line", "kind", "low", "high")))
-            for k, (line, kind, low, high) in enumerate(places):
-                replaced, without, own = deletion_keys(line, low, high)
-                values = (replaced, np.unique(without), np.array([own]))[kind]
-                rows[0].append(values.view(np.int64))
-                rows[1].append(np.full(len(values), kind, np.int32))
-                rows[2].append(np.full(len(values), k))
-                if sum(map(len, rows[0])) > 200_000 or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(rows[0])), pa.array(np.concatenate(rows[1])),
-                         firsts.take(pa.array(np.concatenate(rows[2])))],
-                        names=["hash", "kind", "first"])
-                    rows = ([], [], [])
-
-    places = lines.join(_blocks(lines), "first").select("first", "line", "kind", "low", "high")
-    kinds = places.mapInArrow(emit, f"hash long, kind int, first {ORDER}").distinct()
-    kinds = materialize(kinds, "deletions")
-    least = kinds.groupBy("hash").agg(
-        *[F.min(F.when(F.col("kind") == k, F.col("first"))).alias(f"m{k}") for k in range(3)],
-        F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
-    met = kinds.join(least, "hash").select("first", F.when(F.col("kind") == 0, F.col("m0"))
-                                           .when(F.col("kind") == 1, F.col("m2"))
-                                           .otherwise(F.col("m1")).alias("earlier"))
-    pairs = met.where("earlier < first").groupBy("first").agg(F.min("earlier").alias("earlier"))
-    witness = lines.select(F.col("first").alias("earlier"), F.col("line").alias("other"))
-    both = pairs.join(lines, "first").join(witness, "earlier")
-
-    def confirm(batches):
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(sizes) - sizes
+    values = codes.astype(np.uint64)
+    if pairs:
+        after = np.append(values[1:], np.uint64(0))
+        after[starts[1:] - 1] = 0
+        values = _mixed(values << np.uint64(21) | after)
+        classes, n = (values % np.uint64(PAIRS)).astype(np.uint8), PAIRS
+    else:
+        classes, n = TABLE[codes & np.uint32(0xFFFF)], CLASSES
+        values = _mixed(values + np.uint64(1))
+    out = np.empty((n, len(lines)), np.uint64)
+    powers = np.cumprod(np.full(int(sizes.max()), BASE))
+    for k in range(n):
+        at = np.flatnonzero(classes == k)
+        edges = np.searchsorted(at, np.append(starts, len(codes)))
+        counts = np.diff(edges)
+        terms = values[at] * powers[np.arange(len(at)) - np.repeat(edges[:-1], counts)]
+        sums = np.append(np.uint64(0), np.cumsum(terms))
+        counts = counts.astype(np.uint64)
+        out[k] = _mixed(sums[edges[1:]] - sums[edges[:-1]] + counts)
+        # How many they are, in the lowest byte.
+        out[k] = out[k] & ~np.uint64(255) | np.minimum(counts, np.uint64(255))
+    return out.view(np.int64)
+
+
+def _hashed(lines: DataFrame, name: str, pairs: bool = False) -> DataFrame:
+    """``lines`` with ``name``, the class hashes of ``line`` as an array, and without ``line``."""
+    kept = [c for c in lines.columns if c != "line"]
+    kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches):
         for batch in batches:
-            good = [_one_edit(a, b) for a, b in zip(batch.column("line").to_pylist(),
-                                                    batch.column("other").to_pylist())]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["key", "first"])
+            if batch.num_rows:
+                found = class_hashes(batch.column("line").to_pylist(), pairs)
+                flat = pa.array(np.ascontiguousarray(found.T).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in kept),
+                     pa.FixedSizeListArray.from_arrays(flat, len(found)).cast(pa.list_(pa.int64()))],
+                    names=[*kept, name])
 
-    return both.select("key", "first", "line", "other").mapInArrow(
-        confirm, f"key struct<a bigint, b bigint>, first {ORDER}")
+    return lines.mapInArrow(run, f"{kinds}, {name} array<bigint>")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def _choices(hashes: str, size: int) -> Column:
+    """A hash for each choice of ``size`` classes."""
+    return F.transform(F.lit(list(map(list, combinations(range(CLASSES), size)))), lambda c: F.xxhash64(
+        c, F.transform(c, lambda i: F.get(F.col(hashes), i))))
+
+
+def _id(key: str) -> Column:
+    """32 bits of a key, for rows that are many; equal ones of different lines only add work."""
+    return F.col(f"{key}.a").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id")
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` that different lines have."""
+    return rows.groupBy(key).agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
+        "low < high").select(key)
+
+
+def _keys(edits: int, hashes: str) -> Column:
+    """All keys of a line: for each bound that it may share with another line."""
+    out = []
+    for k in range(1, edits + 1):
+        low = max(MIN_CHARS, k * PER_EDIT)
+        high = 1 << 31 if k == edits else max(MIN_CHARS, (k + 1) * PER_EDIT)
+        if low < high:
+            out.append(F.when(F.col("size").between(low, high - 1 + k), _choices(
+                hashes, CLASSES - 2 * k)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    return F.concat(*out)
+
+
+def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """``key`` of the lines in ``pairs`` (``key, other``) that are near the other line."""
+    one = texts.select("key", "line")
+    two = texts.select(F.col("key").alias("other"), F.col("line").alias("before"))
+    both = pairs.distinct().join(one.hint("merge"), "key").join(two.hint("merge"), "other")
+    most = bound(F.least(F.length("line"), F.length("before")), edits)
+    distance = F.levenshtein("line", "before", edits)
+    return both.where((distance >= 0) & (distance <= most)).select("key").distinct()
+
+
+def _met(rows: DataFrame, others: DataFrame, edits: int) -> DataFrame:
+    """Pairs ``key, other`` of lines of one ``hash``, the other the earlier one.
+
+    An edit changes the numbers of code points in the classes by two at most.
+    """
+    other = others.select("hash", F.col("key").alias("other"), F.col("first").alias("before"),
+                          F.col("size").alias("length"), F.col("counts").alias("counted"))
+    apart = " + ".join(f"abs((shiftright(counts, {8 * k}) & 255) - (shiftright(counted, {8 * k}) & 255))"
+                       for k in range(CLASSES))
+    return rows.join(other, "hash").where(
+        f"before < first and abs(size - length) <= {edits} and {apart} <= {2 * edits}").select(
+        "key", "other")
+
+
+def _neighbours(texts: DataFrame, edits: int) -> DataFrame:
+    """``key`` of lines (``key, first, size, hashes, line``, all different) near an earlier line."""
+    counts = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: F.shiftleft(s, 8).bitwiseOR(
+        h.bitwiseAND(255)))
+    slim = texts.select("id", F.explode(_keys(edits, "hashes")).alias("hash"))
+    slim = materialize(slim.join(_shared(slim, "hash"), "hash", "left_semi"), "shared")
+    rows = slim.join(texts.select("id", "key", "first", "size", counts.alias("counts")), "id")
+    groups = slim.groupBy("hash").agg(F.count("*").alias("n"))
+    rows = materialize(rows.join(groups, "hash").drop("id").distinct(), "candidates")
+    few = rows.where(F.col("n") <= FEW)
+    few = _met(few, few, edits)
+    hub = rows.where(F.col("n") > FEW).groupBy("hash").agg(F.min_by("key", "first").alias("hub"))
+    hubs = rows.join(hub, "hash").where(F.col("key") != F.col("hub")).select(
+        "key", F.col("hub").alias("other"))
+    found = materialize(_near(few.unionByName(hubs), texts, edits), "near")
+    many = rows.where(F.col("n") > FEW).drop("n")
+    if many.isEmpty():
+        return found
+    # Lines near a hub are settled, but others may be near them and not near the hub.
+    pairs = _hashed(texts.join(many.select("key").distinct(), "key", "left_semi")
+                    .select("key", "line"), "pairs", pairs=True)
+    longer = many.join(materialize(pairs, "pairs"), "key").select(
+        "key", "first", "size", "counts", "hash", F.posexplode("pairs").alias("k", "pair"))
+    longer = longer.withColumn("hash", F.xxhash64("hash", "k", "pair")).drop("k", "pair")
+    longer = materialize(longer.distinct(), "longer")
+    open_ = longer.join(found.withColumn("near", F.lit(True)), "key", "left").where("near is null")
+    met = _met(open_.drop("near"), longer, edits)
+    return found.unionByName(_near(met, texts, edits)).distinct()
+
+
+def repeated(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame:
     """``doc_id, no, near`` of every line to drop; ``near`` if no earlier line is equal.
 
     ``no`` counts the text's ``\\n``-split lines from 0. Null and empty texts have no lines to
     drop. Rows with one id count as one document with the lines of all: equal lines in the same
     place of such rows stay together. Rows without id come after all others, as one document.
-    Only ``doc_id`` and ``text`` are used.
+    Only ``doc_id`` and ``text`` are used. Lines are near up to ``edits`` edits (1 to 3), fewer in
+    short lines, see ``bound``; lines under ``least`` code points are left alone.
     """
-    lines = _lines(docs)
+    if not 1 <= edits <= 3:
+        raise ValueError("edits is 1, 2 or 3")
+    lines = _lines(docs, least)
     firsts = materialize(lines.groupBy("key").agg(F.min("first").alias("first"),
                                                   F.count("*").alias("n")), "firsts")
-    halves = _lines(docs, F.explode(_halves(F.col("line"))).alias("half")).select("half", "key.a")
-    shared = halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where(
-        "low < high").select("half")
-    open_ = halves.join(shared, "half", "left_semi").select("a").distinct()
-    wanted = materialize(firsts.join(open_, firsts["key.a"] == open_["a"], "left_semi")
+    long = lines.where(F.length("line") >= MIN_CHARS)
+    hashed = _hashed(long.select(_id("key"), "line"), "hashes")
+    single = materialize(hashed, "hashes").select("id", F.posexplode("hashes").alias("k", "part"))
+    single = single.select("id", F.xxhash64("k", "part").alias("part"), "k")
+    alike = single.join(_shared(single, "part"), "part", "left_semi")
+    # Two lines at the largest bound have so many classes in common.
+    open_ = alike.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("same")).where(
+        F.bit_count("same") >= CLASSES - 2 * edits).select("id")
+    wanted = materialize(firsts.select("key", "first", _id("key")).join(open_, "id", "left_semi")
                          .select("key", "first"), "open")
     # The text of those lines: one row for each document, so that texts are not multiplied. Both
     # sides grow with the data, so the plan is the same at every size.
@@ -196,8 +250,10 @@ def repeated(docs: DataFrame) -> DataFrame:
                          F.trim("raw", F.lit(ENDS)).alias("line")).select(
         "first", "line", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(2), "line")
                                   .alias("b")).alias("key"))
-    texts = materialize(texts.join(wanted, ["key", "first"], "left_semi").distinct(), "texts")
-    near = _neighbours(texts).select("key", F.lit(True).alias("near"))
+    texts = texts.join(wanted, ["key", "first"], "left_semi").distinct()
+    texts = texts.withColumns({"id": _id("key"), "size": F.length("line"), "copy": F.col("line")})
+    texts = materialize(_hashed(texts, "hashes").withColumnRenamed("copy", "line"), "texts")
+    near = _neighbours(texts, edits).select("key", F.lit(True).alias("near"))
     bad = (firsts.join(near.distinct(), "key", "left").where("n > 1 or near"))
     hit = (lines.select("first", "key").join(bad.withColumnRenamed("first", "earliest"), "key")
            .where("earliest < first or near"))
@@ -206,12 +262,12 @@ def repeated(docs: DataFrame) -> DataFrame:
                       (F.col("first") == F.col("earliest")).alias("near")).distinct()
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame:
     """``doc_id, n_lines, n_exact, n_near, dropped`` of every row: how many lines go, and which.
 
     A near line that stands several times counts as near once and as exact after that.
     """
-    dropped = repeated(docs).groupBy("doc_id").agg(
+    dropped = repeated(docs, edits, least).groupBy("doc_id").agg(
         F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"),
         F.array_sort(F.collect_list("no")).alias("dropped"))
     size = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long")
@@ -222,13 +278,13 @@ def report(docs: DataFrame) -> DataFrame:
                       F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame:
     """``docs`` without its repeated lines, all columns kept; a document left blank goes.
 
     Texts that lose nothing stay as they are, blank ones included. ``n_chars``, if there is such
     a column, counts the new text.
     """
-    lost = repeated(docs).groupBy("doc_id").agg(F.collect_set("no").alias("_nos"))
+    lost = repeated(docs, edits, least).groupBy("doc_id").agg(F.collect_set("no").alias("_nos"))
     rows = docs.select(F.struct("*").alias("_row"))
     joined = rows.join(lost.hint("merge"), F.col("_row.doc_id").eqNullSafe(lost["doc_id"]), "left")
     text, changed = F.col("_row.text"), F.col("_nos").isNotNull()

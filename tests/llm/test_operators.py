@@ -342,6 +342,44 @@ def test_lines_of_odd_rows(spark):
     assert lines.without_repeats(table(spark, [])).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits,letters,copies", [(2, "abcdefgh é", 2), (3, "abcdefgh é日", 2),
+                                                  (3, "ab", 1), (3, "abcdefgh", 70)])
+def test_lines_several_edits_apart(spark, edits, letters, copies):
+    r = random.Random(edits)
+    bases = ["".join(r.choice(letters) for _ in range(20 + 3 * i)).strip(" ") + "." * 3
+             for i in range(120 // (copies + 1) + 1)]
+    rows = []
+    for base in bases:
+        for _ in range(copies + 1):
+            line = base
+            for _ in range(r.randrange(6) if rows else 0):
+                p = r.randrange(len(line) + 1)
+                line = line[:p] + r.choice(["", *letters.replace(" ", "")]) + line[p + r.randrange(2):]
+            rows.append((len(rows), line))
+    r.shuffle(rows)
+    want = {i for i, x in rows for j, y in rows if j < i and (x == y or edit_distance(x, y) <= (
+        min(edits, min(len(x), len(y)) // 10) if min(len(x), len(y)) >= 20 else 0))}
+    got = by_id(lines.report(table(spark, rows), edits=edits))
+    assert {i for i, _ in rows if got[i]["dropped"]} == want and want
+
+
+def test_a_replaced_word_is_near(spark):
+    rows = [(1, "The quick brown fox jumps over the lazy dog."),
+            (2, "The quick brown cat jumps over the lazy dog."),
+            (3, "The quick brown bears jump over the lazy dog.")]
+    got = by_id(queries.op6(table(spark, rows), None))
+    assert [got[i]["dropped"] for i in (1, 2, 3)] == [[], [0], []]
+
+
 # 7: repetition
 
 def test_rules(docs, texts):
