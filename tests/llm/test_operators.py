@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -380,6 +381,16 @@ def test_a_replaced_word_is_near(spark):
     assert [got[i]["dropped"] for i in (1, 2, 3)] == [[], [0], []]
 
 
+def test_short_lines_repeat(spark):
+    rows = [(1, "Les.\nhome\n\n \nx"), (2, " Les.\nHome\n\nhome\ny"), (3, "x"), (4, "xs")]
+    got = by_id(queries.op6(table(spark, rows), None))
+    assert [got[i]["dropped"] for i in (1, 2, 3, 4)] == [[], [0, 3], [0], []]
+    assert sum(r["n_exact"] for r in got.values()) == 3
+    left = by_id(corpus_pipeline.line_dedup(spark, table(spark, rows), FOLDER))
+    assert {i: r["text"] for i, r in left.items()} == {
+        1: rows[0][1], 2: "Home\n\ny", 4: "xs"}
+
+
 # 7: repetition
 
 def test_rules(docs, texts):
