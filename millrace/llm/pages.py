@@ -3,9 +3,9 @@
 The standard library's parser streams over a page. Its events make lines (blocks), each with its
 characters, the tags since the line before and the characters inside links. A line's ratio is
 characters that are no link text over tags. Ratios are smoothed by a Gaussian over neighbouring
-lines; two means cluster them into content and the rest. The region is the innermost element
-that holds most of the content lines' text (an article or main element if the page has one that
-does). Of the region every line is taken, however short, except those inside elements that are
+lines; two means cluster them into content and the rest. The region is an article or main element
+if the page has one that holds most of the content lines' text, and else the innermost box that
+holds all content lines. Of the region every line is taken, however short, except those inside elements that are
 never main text: menus, headers and footers of the page, sidebars, notices, adverts, forms,
 scripts, styles and comments.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .words import text_of
 
 SIGMA = 1.0                     # lines
-MOST = 0.6                      # share of the content that a region has to hold
+MOST = 0.6                      # share of the content that an article or main element has to hold
 # Fixed sets of element names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt "
              "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
@@ -207,10 +207,9 @@ def main_text(html: str) -> str:
             total += len(x.text)
             for n in x.path:
                 held[n] = held.get(n, 0) + len(x.text)
-    enough = [n for n, chars in held.items() if chars >= MOST * total]
-    named = [n for n in enough if reader.kind[n] in REGIONS]
+    named = [n for n, chars in held.items() if chars >= MOST * total and reader.kind[n] in REGIONS]
     depth = {n: d for x in lines for d, n in enumerate(x.path)}
-    boxes = [n for n in enough if reader.kind[n] in (
+    boxes = [n for n, chars in held.items() if chars == total and reader.kind[n] in (
         "div", "section", "td", "body", "html", "center", "table", "main", "article")]
     pick = max(named or boxes, key=lambda n: depth[n], default=None)
     if named:

@@ -500,6 +500,16 @@ def test_main_text_of_given_pages(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
+def test_main_text_over_sibling_boxes():
+    words = "some words of an article that goes on and on. "
+    parts = [(words * n).strip() for n in (3, 21, 6)]
+    html = ("<body><div class=menu><a href=1>Home</a></div><div id=post>" + "".join(
+        f"<div><p>{x}</p></div>" for x in parts) + "</div><div id=footer>(c)</div></body>")
+    assert pages.main_text(html) == "\n".join(parts)
+    nested = html.replace("<div><p>", "<div><div><p>", 1).replace("</p></div>", "</p></div></div>", 1)
+    assert pages.main_text(nested) == "\n".join(parts)
+
+
 # 10: sentencepiece
 
 @pytest.fixture(scope="module")
