@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (fingerprints, lines, minhash, packing, pages, pii, repetition, sharding, toxicity,
-               unigram)
+from . import (exact, fingerprints, lines, minhash, packing, pages, pii, repetition, runs, sharding,
+               toxicity, unigram, whitening)
 from .words import prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,27 @@ def op10(docs, folder):
     return rows.select("doc_id", "n_ids", "ids_crc32", "ids",
                        F.length("text").cast("long").alias("decoded_chars"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_whitening", table="embeddings")
+def op11(rows, folder):
+    return whitening.whiten(rows)
+
+
+@query("op12_runs")
+def op12(docs, folder):
+    return runs.report(runs.made_periodic(docs)).drop("n_words")
+
+
+# Of equal texts the longest original, then the smallest id.
+COPIES = """
+    with texts as (select doc_id, length(coalesce(text, '')) as chars, regexp_replace(
+            coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm from documents)
+    select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by norm)
+            as group_size, doc_id = first_value(doc_id) over best as kept, sha256(norm) as text_sha256
+    from texts window best as (partition by norm order by chars desc, doc_id)"""
+
+
+@query("op13_exact", sql=COPIES)
+def op13(docs, folder):
+    return exact.report(docs)
