@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -50,35 +52,32 @@ def unused(df: DataFrame, stem: str) -> str:
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
-    """Number repeated names: ``a, a, a`` becomes ``a, a.1, a.2``."""
-    count: dict[str, int] = {}
-    taken = set(names)
-    out: list[str] = []
-    for name in names:
-        n = count.get(name, 0)
-        count[name] = n + 1
-        candidate = name if n == 0 else f"{name}.{n}"
-        while n and candidate in taken:
-            n += 1
-            candidate = f"{name}.{n}"
-        taken.add(candidate)
-        out.append(candidate)
+    """Number repeated names: ``a, a, a`` becomes ``a, a.1, a.2``; numbers in use are passed over."""
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(name, []).append(i)
+    out, taken = list(names), set(places)
+    for name, (_, *repeats) in places.items():
+        numbered = (f"{name}.{n}" for n in itertools.count(1))
+        free = (candidate for candidate in numbered if candidate not in taken)
+        for i, candidate in zip(repeats, free):
+            out[i] = candidate
+        taken.update(out[i] for i in repeats)
     return out
 
 
+# A list of names: quoted as in JSON, or bare up to the next comma.
+_NAME = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([^,]*?))\s*(?:,|$)')
+_BRACKETED = re.compile(r'\s*\[\s*(".*")?\s*\]\s*', re.DOTALL)
+
+
 def parse_names(value: str | Sequence[str] | None) -> list[str] | None:
-    """Accept a list, ``"a,b"`` or ``'["a","b"]'``; blank means no list."""
-    if value is None:
-        return None
+    """The names of a list, of ``"a,b"`` or of ``'["a","b"]'``; None if there is none."""
     if isinstance(value, str):
-        text = value.strip()
-        parsed = None
-        if text.startswith("[") and text.endswith("]"):
-            try:
-                parsed = json.loads(text)
-            except ValueError:
-                parsed = None
-        value = parsed if isinstance(parsed, list) else text.split(",")
-    elif not isinstance(value, (list, tuple)):
-        raise TypeError("column list must be a list, a comma-separated string or a JSON list")
-    return [n for n in (str(v).strip() for v in value) if n] or None
+        inner = _BRACKETED.fullmatch(value)
+        items = _NAME.findall((inner[1] or "") if inner else value)
+        value = [json.loads(quoted) if quoted else bare for quoted, bare in items]
+    if value is not None and not isinstance(value, (list, tuple)):
+        raise TypeError(f"names are a list or a text, not {type(value).__name__}")
+    stripped = (str(name).strip() for name in value or ())
+    return list(filter(None, stripped)) or None

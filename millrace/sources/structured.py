@@ -68,23 +68,25 @@ def parquet_schemas(spark: SparkSession, path) -> list[list[str]]:
 
 
 def _elements(path: str):
-    """(depth, element) at each end tag, the root's depth being 1; what has been read is let go."""
+    """(depth, number, element) at each end tag; the root's depth is 1, elements are numbered as
+    they begin, and what has been read is let go."""
     with open_file(path) as fh:
         open_: list = []
+        begun = 0
         for event, element in ElementTree.iterparse(fh, events=("start", "end")):
             if event == "start":
-                open_.append(element)
+                begun += 1
+                open_.append((begun, element))
                 continue
-            yield len(open_), element
-            open_.pop()
+            yield len(open_), *open_.pop()
             if len(open_) == 1:
-                open_[0].clear()
+                open_[0][1].clear()
 
 
 def _record_tags(path: str):
     """The tags of the root's children, and whether one of them also occurs deeper."""
     tags, deeper = set(), set()
-    for depth, element in _elements(path):
+    for depth, _, element in _elements(path):
         (tags if depth == 2 else deeper if depth > 2 else set()).add(element.tag)
     if tags:
         yield sorted(tags), len(tags) == 1 and not tags & deeper
@@ -100,11 +102,20 @@ def row_tags(spark: SparkSession, path) -> dict[str | None, list[str]]:
 
 
 def _mixed_records(path: str):
-    for depth, element in _elements(path):
+    """The texts by tag of each child of the root, taken up as its elements end.
+
+    Of elements of one tag the one that begins last counts.
+    """
+    begun: dict[str, int] = {}
+    texts: dict[str, str] = {}
+    for depth, number, element in _elements(path):
+        text, tag = element.text or "", element.tag
+        if depth > 1 and not (text.isspace() or text == "") and begun.get(tag, 0) < number:
+            begun[tag], texts[tag] = number, text
         if depth == 2:
-            texts = {e.tag: e.text for e in element.iter() if e.text and e.text.strip()}
             if texts:
                 yield (texts,)
+            begun, texts = {}, {}
 
 
 def _read_mixed(spark: SparkSession, paths, extra: Mapping[str, Column]) -> DataFrame:
