@@ -1,4 +1,4 @@
-"""Line deduplication by a no-loss filter: equal lines, and lines at most ``edits`` edits apart.
+"""Line deduplication by a deletion-neighbourhood join: equal lines, and lines few edits apart.
 
 A line is compared without white space at its ends; lines under ``least`` code points are left
 alone. Of equal lines the earliest stays (by ``doc_id``, then place). A line also goes if an
@@ -6,18 +6,24 @@ earlier line can be made from it by inserting, deleting or replacing few code po
 not that earlier line stays itself. How many are few follows from the shorter line of the two:
 one for each ``PER_EDIT`` code points, at most ``edits`` (up to 3), and none under ``MIN_CHARS``.
 
-Code points are dealt into ``CLASSES`` fixed classes. Keeping only the code points of one class
-leaves a shorter string for each class, and as an edit touches the strings of at most two classes
-(of the code point that goes and of the one that comes), ``CLASSES - 2 * edits`` of them are equal
-in two near lines, wherever the edits are and however they shift the rest. So each line has
-``CLASSES`` hashes. Lines that share too few of them with other lines drop out; the rest give a
-key for each choice of that many classes. Lines that share a key are candidates.
-
-Where few lines share a key all of them are compared whose numbers of code points in the classes
-allow it. Where many do, each is compared with the
-earliest, and those which are not near it get longer keys, from the pairs of code points that
-follow each other, dealt into ``PAIRS`` classes: an edit touches at most four. Every drop is
-confirmed by the edit distance of the two lines.
+Of two lines at most three edits apart, either the beginning or the end of half the length has at
+most one edit. Such a half is cut into two pieces:
+
+* One piece has no edit; if it is the inner one, it may stand one place off. Its hash is a *spot*,
+  eight for each line. Only lines that share a spot with another line go on, by that spot.
+* The other piece has at most one edit, so the two have a variant in common that lacks at most one
+  code point. All these variants are hashed together with the spot: the *keys* that lines are
+  joined by. A key whose lines all agree in the piece is left to the key of the whole piece.
+
+Lines of a key shared by few are all compared; each drop is confirmed by the edit distance. In a
+key shared by many each line is compared with the earliest one. Where lines are left that are not
+near it, the lines of the key are cut again: what lies outside the half is at most three edits
+apart too (a shifted border included), so the same step holds for it, within the key. What is too
+short to be cut is joined by all its variants that lack up to three code points. So a family of
+lines that differ in a number is split by the number's own pieces, and not compared pair by pair.
+
+Lengths differ by up to three, so pieces are measured by the steps of a grid that the lengths of
+both lines touch (``_grid``); a line has the pieces of one or two such steps.
 """
 
 from __future__ import annotations
@@ -34,14 +40,12 @@ from .pii import renewed
 
 MIN_CHARS = 20
 PER_EDIT = 10
-CLASSES = 8
-PAIRS = 16
-FEW = 40                        # lines of one key that are all compared
+MOST = 3                        # edits that the halves are made for
+FEW = 16                        # lines of one key that are all compared
+SHORT = 8                       # steps up to which a part is not cut any more
 ENDS = " \t\v\f\r"
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-# Letters by how often they are met, so that classes are about equally full; others by code point.
-COMMON = " etaoinsrhldcumfpgwybvk"
-KEY = "struct<a bigint, b bigint>"
+_BASE = 0x9E3779B97F4A7C15
+_BACK = np.uint64(pow(_BASE, -1, 1 << 64))
 
 
 def bound(chars: Column, edits: int) -> Column:
@@ -50,232 +54,300 @@ def bound(chars: Column, edits: int) -> Column:
         F.least(F.lit(edits), F.floor(chars / PER_EDIT).cast("int")))
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """One row for each compared line: ``first`` (its place), ``line`` and ``key``.
-
-    The key is 128 bits of hash.
-    """
-    split = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n"))
-                        .alias("no", "raw"))
-    line = split.select(
-        F.struct(F.col("doc_id").isNull().alias("missing"),
-                 F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "no").alias("first"),
-        F.trim("raw", F.lit(ENDS)).alias("line")).where(F.length("line") >= least)
-    return line.select("first", "line", F.struct(
-        F.xxhash64("line").alias("a"), F.xxhash64(F.lit(2), "line").alias("b")).alias("key"))
-
+def _key(line: Column) -> Column:
+    """128 bits of hash."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(2), line).alias("b"))
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
 
+def _places(docs: DataFrame) -> DataFrame:
+    """``missing, id`` of every row (ids that are null are one document) and its text."""
+    return docs.select(F.col("doc_id").isNull().alias("missing"),
+                       F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"),
+                       F.coalesce("text", F.lit("")).alias("text"))
 
-def _class_table() -> np.ndarray:
-    out = (np.arange(1 << 16) % CLASSES).astype(np.uint8)
-    for k, c in enumerate(COMMON):
-        turn, at = divmod(k, CLASSES)
-        out[ord(c)] = out[ord(c.upper())] = at if turn % 2 == 0 else CLASSES - 1 - at
-    return out
 
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """One row for each compared line: ``first`` (its place), ``line`` and ``key``."""
+    split = _places(docs).select("missing", "id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    line = split.select(F.struct("missing", "id", "no").alias("first"),
+                        F.trim("raw", F.lit(ENDS)).alias("line")).where(F.length("line") >= least)
+    return line.select("first", "line", _key(F.col("line")).alias("key"))
 
-TABLE = _class_table()
 
+def _grid(n: Column) -> Column:
+    """The step at or below a length. Steps are more than ``MOST`` apart."""
+    return F.when(n < 32, F.floor(F.greatest(n, F.lit(0)) / 4) * 4).otherwise(
+        F.floor(n / 32) * 32).cast("int")
 
-def class_hashes(lines: list[str], pairs: bool = False) -> np.ndarray:
-    """For each line (not empty) and class a hash of the line's code points in that class.
 
-    With ``pairs`` of pairs of neighbouring code points; the last pairs with nothing.
-    """
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.cumsum(sizes) - sizes
-    values = codes.astype(np.uint64)
-    if pairs:
-        after = np.append(values[1:], np.uint64(0))
-        after[starts[1:] - 1] = 0
-        values = _mixed(values << np.uint64(21) | after)
-        classes, n = (values % np.uint64(PAIRS)).astype(np.uint8), PAIRS
-    else:
-        classes, n = TABLE[codes & np.uint32(0xFFFF)], CLASSES
-        values = _mixed(values + np.uint64(1))
-    out = np.empty((n, len(lines)), np.uint64)
-    powers = np.cumprod(np.full(int(sizes.max()), BASE))
-    for k in range(n):
-        at = np.flatnonzero(classes == k)
-        edges = np.searchsorted(at, np.append(starts, len(codes)))
-        counts = np.diff(edges)
-        terms = values[at] * powers[np.arange(len(at)) - np.repeat(edges[:-1], counts)]
-        sums = np.append(np.uint64(0), np.cumsum(terms))
-        counts = counts.astype(np.uint64)
-        out[k] = _mixed(sums[edges[1:]] - sums[edges[:-1]] + counts)
-        # How many they are, in the lowest byte.
-        out[k] = out[k] & ~np.uint64(255) | np.minimum(counts, np.uint64(255))
-    return out.view(np.int64)
-
-
-def _hashed(lines: DataFrame, name: str, pairs: bool = False) -> DataFrame:
-    """``lines`` with ``name``, the class hashes of ``line`` as an array, and without ``line``."""
-    kept = [c for c in lines.columns if c != "line"]
-    kinds = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in kept)
+def _steps(n: Column) -> Column:
+    return F.array_distinct(F.array(_grid(n), _grid(n - MOST)))
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                found = class_hashes(batch.column("line").to_pylist(), pairs)
-                flat = pa.array(np.ascontiguousarray(found.T).ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in kept),
-                     pa.FixedSizeListArray.from_arrays(flat, len(found)).cast(pa.list_(pa.int64()))],
-                    names=[*kept, name])
 
-    return lines.mapInArrow(run, f"{kinds}, {name} array<bigint>")
+def _spots(rows: DataFrame) -> DataFrame:
+    """``spot, id, path, code`` of ``rows`` (``id, path, part, steps``): hashes of pieces without edit.
 
+    ``code`` is 8 * step + 4 if from the end + 0 for the outer piece, or 1, 2, 3 for the inner one
+    standing a place early, in place, a place late. ``whole`` tells the pieces that stand in place;
+    two lines share a spot only if one of them has it so. Parts that are not cut share a spot with
+    all others of their path and step; its code is 0.
+    """
+    sides = rows.select("id", "path", F.explode("steps").alias("step"), "part",
+                        F.reverse("part").alias("back"))
+    q = F.floor(F.col("step") / 4).cast("int")
+
+    def piece(side: int, which: int):
+        text = F.col("back" if side else "part")
+        at = F.lit(1) if which == 0 else q + which - 1
+        return F.struct(F.xxhash64("path", "step", F.lit(2 * side + (which > 0)), F.substring(text, at, q))
+                        .alias("spot"),
+                        (8 * F.col("step") + (4 * side + which)).alias("code"),
+                        F.lit(which in (0, 2)).alias("whole"))
+
+    pieces = F.array(*[piece(side, which) for side in (0, 1) for which in (0, 1, 2, 3)])
+    rest = F.array(F.struct(F.xxhash64("path", "step").alias("spot"), F.lit(0).alias("code"),
+                            F.lit(True).alias("whole")))
+    spots = sides.select("id", "path", F.inline(F.when(F.col("step") > SHORT, pieces).otherwise(rest)))
+    return spots.select("spot", "id", "path", "code", "whole")
+
+
+def _shared_spots(rows: DataFrame) -> DataFrame:
+    """The spots that different lines of ``rows`` share, as ``id, path, code, spot``."""
+    spots = _spots(rows)
+    shared = spots.groupBy("spot").agg(F.min("id").alias("low"), F.max("id").alias("high"),
+                                       F.bool_or("whole").alias("whole"))
+    shared = shared.where("low < high and whole").select("spot")
+    return spots.drop("whole").join(shared.hint("merge"), "spot", "left_semi").distinct()
 
-def _choices(hashes: str, size: int) -> Column:
-    """A hash for each choice of ``size`` classes."""
-    return F.transform(F.lit(list(map(list, combinations(range(CLASSES), size)))), lambda c: F.xxhash64(
-        c, F.transform(c, lambda i: F.get(F.col(hashes), i))))
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
-def _id(key: str) -> Column:
-    """32 bits of a key, for rows that are many; equal ones of different lines only add work."""
-    return F.col(f"{key}.a").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id")
 
+def deletions(text: str) -> tuple[int, np.ndarray]:
+    """A hash of the text, and the different hashes of it with one code point left out."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    powers = np.full(len(codes), _BASE, np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    terms = _mixed(codes + np.uint64(1)) * powers
+    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    without = before[:-1] + (before[-1] - before[1:]) * _BACK
+    return int(before[-1]), np.unique(without)
+
+
+def _all_deletions(text: str) -> np.ndarray:
+    """Hashes of the text with up to ``MOST`` code points left out."""
+    n = len(text)
+    return np.unique([deletions("".join(text[i] for i in range(n) if i not in gone))[0]
+                      for k in range(min(MOST, n) + 1) for gone in map(set, combinations(range(n), k))])
+
+
+def _piece(part: str, code: int) -> str:
+    """The piece beside the spot of that code, which may have an edit."""
+    step, side, which = code >> 3, code >> 2 & 1, code & 3
+    text, q = part[::-1] if side else part, step // 4
+    return text[q:2 * q] if which == 0 else text[:q + which - 2]
+
+
+def _keys_of(part: str, code: int) -> tuple[np.ndarray, int, bool]:
+    """Hashes of the variants of a part beside its spot, a hash of the piece that they are of, and
+    whether the first one is the key of the whole piece, for lines that agree in it."""
+    if code == 0:
+        return _all_deletions(part).astype(np.uint64), deletions(part)[0], False
+    piece, which = _piece(part, code), code & 3
+    whole, keys = deletions(piece)
+    # Lengths keep variants of pieces of different length apart; of the inner spot a whole piece
+    # meets the variants of a piece that is one longer.
+    keys = _mixed(keys + np.uint64(len(piece) - 1 if piece else 0))
+    own = _mixed(np.array([whole], np.uint64) + np.uint64(len(piece)))
+    if which == 0:
+        return np.append(own ^ np.uint64(1), keys), whole, True
+    return {1: own, 2: np.append(own, keys), 3: keys}[which], whole, False
+
+
+def _variants(rows: DataFrame) -> DataFrame:
+    """``group, id, path, code, piece, same`` of ``rows`` (``id, path, part, code, spot``).
+
+    ``group`` is a hash of the spot and of a variant of the piece beside it; ``same`` marks the
+    key of the whole piece.
+    """
+    def run(batches):
+        for batch in batches:
+            out = {c: [] for c in ("group", "id", "path", "code", "piece", "same")}
+            for i, path, part, code, spot in zip(*(batch.column(c).to_pylist() for c in (
+                    "id", "path", "part", "code", "spot"))):
+                keys, whole, same = _keys_of(part, code)
+                groups = _mixed(keys ^ np.uint64(spot & 0xFFFFFFFFFFFFFFFF))
+                n = len(groups)
+                out["group"].append(groups.view(np.int64))
+                out["piece"].append(np.full(n, whole, np.uint64).view(np.int64))
+                for c, v in (("id", i), ("path", path), ("code", code)):
+                    out[c].append(np.full(n, v, np.int32 if c == "code" else np.int64))
+                out["same"].append(same & (np.arange(n) == 0))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in out.items()})
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """The values of ``key`` that different lines have."""
-    return rows.groupBy(key).agg(F.min("id").alias("low"), F.max("id").alias("high")).where(
-        "low < high").select(key)
+    return rows.select("id", "path", "part", "code", "spot").mapInArrow(
+        run, "group long, id long, path long, code int, piece long, same boolean")
 
 
-def _keys(edits: int, hashes: str) -> Column:
-    """All keys of a line: for each bound that it may share with another line."""
-    out = []
-    for k in range(1, edits + 1):
-        low = max(MIN_CHARS, k * PER_EDIT)
-        high = 1 << 31 if k == edits else max(MIN_CHARS, (k + 1) * PER_EDIT)
-        if low < high:
-            out.append(F.when(F.col("size").between(low, high - 1 + k), _choices(
-                hashes, CLASSES - 2 * k)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    return F.concat(*out)
+def _groups(shared: DataFrame, rows: DataFrame) -> DataFrame:
+    """``group, n, id, path, code, same``: the keys that different lines share."""
+    own = materialize(shared, "spots").join(rows.hint("merge"), ["id", "path"])
+    keys = materialize(_variants(own), "keys")
+    met = keys.groupBy("group").agg(
+        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
+        F.min("piece").alias("piece"), F.max("piece").alias("other"), F.bool_or("same").alias("same"),
+        F.min("code").alias("code"))
+    met = met.where("low < high and (same or piece < other or code = 0)").select("group", "n")
+    return keys.select("group", "id", "path", "code", "same").join(met.hint("merge"), "group").distinct()
 
 
 def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """``key`` of the lines in ``pairs`` (``key, other``) that are near the other line."""
-    one = texts.select("key", "line")
-    two = texts.select(F.col("key").alias("other"), F.col("line").alias("before"))
-    both = pairs.distinct().join(one.hint("merge"), "key").join(two.hint("merge"), "other")
+    """``id`` of the lines in ``pairs`` (``id, other``) that are near the other line."""
+    one = texts.select("id", "line")
+    two = texts.select(F.col("id").alias("other"), F.col("line").alias("before"))
+    both = pairs.distinct().join(one.hint("merge"), "id").join(two.hint("merge"), "other")
     most = bound(F.least(F.length("line"), F.length("before")), edits)
     distance = F.levenshtein("line", "before", edits)
-    return both.where((distance >= 0) & (distance <= most)).select("key").distinct()
-
-
-def _met(rows: DataFrame, others: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``key, other`` of lines of one ``hash``, the other the earlier one.
-
-    An edit changes the numbers of code points in the classes by two at most.
-    """
-    other = others.select("hash", F.col("key").alias("other"), F.col("first").alias("before"),
-                          F.col("size").alias("length"), F.col("counts").alias("counted"))
-    apart = " + ".join(f"abs((shiftright(counts, {8 * k}) & 255) - (shiftright(counted, {8 * k}) & 255))"
-                       for k in range(CLASSES))
-    return rows.join(other, "hash").where(
-        f"before < first and abs(size - length) <= {edits} and {apart} <= {2 * edits}").select(
-        "key", "other")
-
-
-def _neighbours(texts: DataFrame, edits: int) -> DataFrame:
-    """``key`` of lines (``key, first, size, hashes, line``, all different) near an earlier line."""
-    counts = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: F.shiftleft(s, 8).bitwiseOR(
-        h.bitwiseAND(255)))
-    slim = texts.select("id", F.explode(_keys(edits, "hashes")).alias("hash"))
-    slim = materialize(slim.join(_shared(slim, "hash"), "hash", "left_semi"), "shared")
-    rows = slim.join(texts.select("id", "key", "first", "size", counts.alias("counts")), "id")
-    groups = slim.groupBy("hash").agg(F.count("*").alias("n"))
-    rows = materialize(rows.join(groups, "hash").drop("id").distinct(), "candidates")
-    few = rows.where(F.col("n") <= FEW)
-    few = _met(few, few, edits)
-    hub = rows.where(F.col("n") > FEW).groupBy("hash").agg(F.min_by("key", "first").alias("hub"))
-    hubs = rows.join(hub, "hash").where(F.col("key") != F.col("hub")).select(
-        "key", F.col("hub").alias("other"))
-    found = materialize(_near(few.unionByName(hubs), texts, edits), "near")
-    many = rows.where(F.col("n") > FEW).drop("n")
-    if many.isEmpty():
-        return found
-    # Lines near a hub are settled, but others may be near them and not near the hub.
-    pairs = _hashed(texts.join(many.select("key").distinct(), "key", "left_semi")
-                    .select("key", "line"), "pairs", pairs=True)
-    longer = many.join(materialize(pairs, "pairs"), "key").select(
-        "key", "first", "size", "counts", "hash", F.posexplode("pairs").alias("k", "pair"))
-    longer = longer.withColumn("hash", F.xxhash64("hash", "k", "pair")).drop("k", "pair")
-    longer = materialize(longer.distinct(), "longer")
-    open_ = longer.join(found.withColumn("near", F.lit(True)), "key", "left").where("near is null")
-    met = _met(open_.drop("near"), longer, edits)
-    return found.unionByName(_near(met, texts, edits)).distinct()
+    return both.where((distance >= 0) & (distance <= most)).select("id").distinct()
+
+
+def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs ``id, other`` of lines of one group, the other one the earlier."""
+    other = others.select("group", F.col("id").alias("other"), F.col("first").alias("before"),
+                          F.col("size").alias("length"))
+    return rows.join(other, "group").where(
+        (F.col("before") < F.col("first")) & (F.abs(F.col("size") - F.col("length")) <= MOST)).select(
+        "id", "other")
+
+
+def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """``id`` of the lines of ``texts`` (``id, first, line``, all different) near an earlier line."""
+    rows = texts.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
+    about = texts.select("id", "first", F.length("line").alias("size"))
+    found = None
+    while True:
+        groups = materialize(_groups(shared, rows).join(about.hint("merge"), "id"), "groups")
+        few, many = groups.where(F.col("n") <= FEW), groups.where(F.col("n") > FEW)
+        hub = many.groupBy("group").agg(F.min(F.struct("first", "id")).alias("hub"))
+        spokes = many.join(hub.hint("merge"), "group").where(F.col("id") != F.col("hub.id"))
+        pairs = _met(few, few).unionByName(spokes.select("id", F.col("hub.id").alias("other")))
+        found = _more(found, pairs, texts, edits)
+        # Keys with a line that is not settled, the first one aside. A key of the whole piece
+        # goes with the keys of its variants, all of which its lines share.
+        open_ = spokes.join(found.hint("merge"), "id", "left_anti").select("group").distinct()
+        left = many.drop("size").join(open_.hint("merge"), "group", "left_semi")
+        varied = left.where(~F.col("same")).select("id", "path", "code").distinct()
+        left = materialize(left.where(~F.col("same")).unionByName(left.where("same").join(
+            varied.hint("merge"), ["id", "path", "code"], "left_anti")), "left")
+        if left.isEmpty():
+            return found
+        # What is not cut any more: lines still open are compared with all earlier ones of the key.
+        last = left.where("code = 0").join(about.hint("merge").drop("first"), "id")
+        if not last.isEmpty():
+            found = _more(found, _met(last.join(found.hint("merge"), "id", "left_anti"), last),
+                          texts, edits)
+        parts = left.where("code > 0").join(rows.hint("merge"), ["id", "path"])
+        step, from_end = F.floor(F.col("code") / 8), F.floor(F.col("code") / 4) % 2 == 1
+        size, half = F.length("part"), (2 * F.floor(step / 4)).cast("int")
+        rest = F.when(from_end, F.substring("part", F.lit(1), size - half)).otherwise(
+            F.substring("part", half + 1, size))
+        rows = materialize(parts.select("id", F.col("group").alias("path"), rest.alias("part")).distinct(),
+                           "parts")
+        # Lines of about one length need one step only.
+        lengths = rows.groupBy("path").agg(F.min(F.length("part")).alias("least"),
+                                           F.max(F.length("part")).alias("most"))
+        alike = F.col("most") <= 2 * _grid(F.col("least"))
+        stepped = rows.join(lengths.hint("merge"), "path").withColumn("steps", F.when(
+            alike, F.array(_grid(F.col("least")))).otherwise(_steps(F.length("part"))))
+        shared = _shared_spots(stepped)
+
+
+def _more(found: DataFrame | None, pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """``found`` and the lines of the pairs that are near the other line."""
+    if found is None:
+        return materialize(_near(pairs, texts, edits), "near")
+    near = _near(pairs.join(found.hint("merge"), "id", "left_anti"), texts, edits)
+    return materialize(near.unionByName(found), "near")
 
 
 def repeated(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame:
-    """``doc_id, no, near`` of every line to drop; ``near`` if no earlier line is equal.
-
-    ``no`` counts the text's ``\\n``-split lines from 0. Null and empty texts have no lines to
-    drop. Rows with one id count as one document with the lines of all: equal lines in the same
-    place of such rows stay together. Rows without id come after all others, as one document.
-    Only ``doc_id`` and ``text`` are used. Lines are near up to ``edits`` edits (1 to 3), fewer in
-    short lines, see ``bound``; lines under ``least`` code points are left alone.
+    """``missing, id, no, line, near`` of every line to drop; ``near`` if no earlier one is equal.
+
+    ``no`` counts the text's ``\\n``-split lines from 0 and ``line`` is a hash of the line without
+    its ends, so that a drop holds for the line and not for what stands in the same place of
+    another row. Null and empty texts have no lines to drop. Rows with one id count as one document
+    with the lines of all: equal lines in the same place of such rows stay together. Rows without
+    id (``missing``) come after all others, as one document. Only ``doc_id`` and ``text`` are used.
+    Lines are near up to ``edits`` edits (1 to 3), fewer in short lines, see ``bound``; lines under
+    ``least`` code points are left alone.
     """
-    if not 1 <= edits <= 3:
+    if not 1 <= edits <= MOST:
         raise ValueError("edits is 1, 2 or 3")
     lines = _lines(docs, least)
     firsts = materialize(lines.groupBy("key").agg(F.min("first").alias("first"),
                                                   F.count("*").alias("n")), "firsts")
-    long = lines.where(F.length("line") >= MIN_CHARS)
-    hashed = _hashed(long.select(_id("key"), "line"), "hashes")
-    single = materialize(hashed, "hashes").select("id", F.posexplode("hashes").alias("k", "part"))
-    single = single.select("id", F.xxhash64("k", "part").alias("part"), "k")
-    alike = single.join(_shared(single, "part"), "part", "left_semi")
-    # Two lines at the largest bound have so many classes in common.
-    open_ = alike.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("same")).where(
-        F.bit_count("same") >= CLASSES - 2 * edits).select("id")
-    wanted = materialize(firsts.select("key", "first", _id("key")).join(open_, "id", "left_semi")
-                         .select("key", "first"), "open")
+    long = lines.where(F.length("line") >= MIN_CHARS).select(
+        F.col("key.a").alias("id"), F.lit(0).cast("long").alias("path"), F.col("line").alias("part"),
+        _steps(F.length("line")).alias("steps"))
+    shared = materialize(_shared_spots(long), "shared")
+    open_ = shared.select("id").distinct()
+    wanted = materialize(firsts.select("key", "first", F.col("key.a").alias("id")).join(
+        open_.hint("merge"), "id", "left_semi").select("key", "first"), "open")
     # The text of those lines: one row for each document, so that texts are not multiplied. Both
     # sides grow with the data, so the plan is the same at every size.
     places = wanted.groupBy("first.missing", "first.id").agg(F.collect_set("first.no").alias("nos"))
-    holders = docs.select(F.col("doc_id").isNull().alias("missing"), F.coalesce(
-        "doc_id", F.lit(0).cast("long")).alias("id"), "text").join(places.hint("merge"), ["missing", "id"])
+    holders = _places(docs).join(places.hint("merge"), ["missing", "id"])
     texts = holders.select("missing", "id", "nos", F.posexplode(F.split("text", "\n"))
                            .alias("no", "raw")).where(F.array_contains("nos", F.col("no")))
     texts = texts.select(F.struct("missing", "id", "no").alias("first"),
-                         F.trim("raw", F.lit(ENDS)).alias("line")).select(
-        "first", "line", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(2), "line")
-                                  .alias("b")).alias("key"))
-    texts = texts.join(wanted, ["key", "first"], "left_semi").distinct()
-    texts = texts.withColumns({"id": _id("key"), "size": F.length("line"), "copy": F.col("line")})
-    texts = materialize(_hashed(texts, "hashes").withColumnRenamed("copy", "line"), "texts")
-    near = _neighbours(texts, edits).select("key", F.lit(True).alias("near"))
-    bad = (firsts.join(near.distinct(), "key", "left").where("n > 1 or near"))
-    hit = (lines.select("first", "key").join(bad.withColumnRenamed("first", "earliest"), "key")
-           .where("earliest < first or near"))
-    return hit.select(F.when(~F.col("first.missing"), F.col("first.id")).alias("doc_id"),
-                      F.col("first.no").alias("no"),
+                         F.trim("raw", F.lit(ENDS)).alias("line"))
+    texts = texts.withColumn("key", _key(F.col("line"))).join(
+        wanted.hint("merge"), ["key", "first"], "left_semi").distinct()
+    texts = materialize(texts.select(F.col("key.a").alias("id"), "key", "first", "line"), "texts")
+    near = _neighbours(shared, texts, edits).join(texts.select("id", "key").hint("merge"), "id").select(
+        "key", F.lit(True).alias("near"))
+    bad = firsts.join(near.distinct().hint("merge"), "key", "left").where("n > 1 or near")
+    hit = (lines.select("first", "key").join(
+        bad.withColumnRenamed("first", "earliest").hint("merge"), "key")
+        .where("earliest < first or near"))
+    return hit.select("first.missing", "first.id", "first.no", F.col("key.a").alias("line"),
                       (F.col("first") == F.col("earliest")).alias("near")).distinct()
 
 
+def _lost(rows: DataFrame, docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """``rows`` (with ``_missing``, ``_id`` and ``_lines``) and ``_drops``, the ``no, near`` that
+    go from each row's own lines."""
+    gone = repeated(docs, edits, least).groupBy("missing", "id").agg(
+        F.collect_list(F.struct("no", "line", "near")).alias("_gone"))
+    out = rows.join(gone.hint("merge"), (F.col("_missing") == F.col("missing"))
+                    & (F.col("_id") == F.col("id")), "left").drop("missing", "id")
+    own = F.filter("_gone", lambda g: F.xxhash64(F.trim(F.get("_lines", g["no"]), F.lit(ENDS)))
+                   == g["line"])
+    return out.withColumn("_drops", F.coalesce(F.transform(own, lambda g: F.struct(
+        g["no"].alias("no"), g["near"].alias("near"))), F.expr(
+        "cast(array() as array<struct<no int, near boolean>>)"))).drop("_gone")
+
+
 def report(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame:
     """``doc_id, n_lines, n_exact, n_near, dropped`` of every row: how many lines go, and which.
 
     A near line that stands several times counts as near once and as exact after that.
     """
-    dropped = repeated(docs, edits, least).groupBy("doc_id").agg(
-        F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"),
-        F.array_sort(F.collect_list("no")).alias("dropped"))
-    size = F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long")
-    rows = docs.select("doc_id", size.alias("n_lines"))
-    out = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["doc_id"]), "left")
-    return out.select(rows["doc_id"], "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"),
-                      F.coalesce("n_near", F.lit(0)).alias("n_near"),
-                      F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.col("doc_id").isNull().alias("_missing"),
+                       F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"),
+                       F.split(text, "\n").alias("_lines"), (F.length(text) > 0).alias("_filled"))
+    out = _lost(rows, docs, edits, least)
+    size = F.when(F.col("_filled"), F.size("_lines")).otherwise(0).cast("long")
+    near = F.size(F.filter("_drops", lambda d: d["near"])).cast("long")
+    return out.select("doc_id", size.alias("n_lines"),
+                      (F.size("_drops").cast("long") - near).alias("n_exact"), near.alias("n_near"),
+                      F.array_sort(F.transform("_drops", lambda d: d["no"])).alias("dropped"))
 
 
 def without_repeats(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame:
@@ -284,12 +356,15 @@ def without_repeats(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) ->
     Texts that lose nothing stay as they are, blank ones included. ``n_chars``, if there is such
     a column, counts the new text.
     """
-    lost = repeated(docs, edits, least).groupBy("doc_id").agg(F.collect_set("no").alias("_nos"))
-    rows = docs.select(F.struct("*").alias("_row"))
-    joined = rows.join(lost.hint("merge"), F.col("_row.doc_id").eqNullSafe(lost["doc_id"]), "left")
-    text, changed = F.col("_row.text"), F.col("_nos").isNotNull()
+    doc_id, text = F.col("_row.doc_id"), F.col("_row.text")
+    rows = docs.select(F.struct("*").alias("_row")).select(
+        "_row", doc_id.isNull().alias("_missing"),
+        F.coalesce(doc_id, F.lit(0).cast("long")).alias("_id"),
+        F.split(F.coalesce(text, F.lit("")), "\n").alias("_lines"))
+    joined = _lost(rows, docs, edits, least).withColumn("_nos", F.transform("_drops", lambda d: d["no"]))
+    changed = F.size("_nos") > 0
     kept = F.array_join(F.transform(F.filter(
-        F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+        F.transform("_lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda s: ~F.array_contains("_nos", s["i"])), lambda s: s["x"]), "\n")
     out = joined.withColumn("_new", F.when(changed, kept).otherwise(text)).where(
         ~changed | (F.length(F.trim("_new", F.lit(ENDS + "\n"))) > 0))

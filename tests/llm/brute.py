@@ -73,16 +73,22 @@ def linked(docs):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def one_edit(a, b):
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) == len(a):
-        return sum(x != y for x, y in zip(a, b)) == 1
-    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1:] == a for k in range(len(b)))
-
-
-def dropped_lines(docs, least=20):
-    """{id: [line numbers]}: equal to an earlier line or one edit from one."""
+def edit_distance(a, b, most):
+    """The edit distance of two texts, or more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def dropped_lines(docs, least=20, edits=1):
+    """{id: [line numbers]}: equal to an earlier line or few edits from one."""
     seen, order = {}, []
     for i, text in sorted(docs):
         for no, line in enumerate((text or "").split("\n")):
@@ -90,10 +96,26 @@ def dropped_lines(docs, least=20):
             if len(line) >= least:
                 seen.setdefault(line, (i, no))
                 order.append((i, no, line))
-    near = {a for a in seen for b in seen if seen[b] < seen[a] and one_edit(a, b)}
+    by_size = defaultdict(list)
+    for line, first in seen.items():
+        by_size[len(line)].append((first, line, Counter(line)))
+
+    def near(a, first):
+        if len(a) < 20:
+            return False
+        letters = Counter(a)
+        for n in range(max(20, len(a) - edits), len(a) + edits + 1):
+            most = min(edits, min(n, len(a)) // 10)
+            for before, b, other in by_size.get(n, ()):
+                if (before < first and sum((letters - other).values()) <= most
+                        and edit_distance(a, b, most) <= most):
+                    return True
+        return False
+
+    gone = {a for a, first in seen.items() if near(a, first)}
     out = defaultdict(list)
     for i, no, line in order:
-        if seen[line] < (i, no) or line in near:
+        if seen[line] < (i, no) or line in gone:
             out[i].append(no)
     return out
 

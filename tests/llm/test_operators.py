@@ -306,15 +306,45 @@ def test_cheapest_flow(seed):
 
 # 6: lines
 
-def check_lines(got, texts):
-    want = brute.dropped_lines(texts)
+def check_lines(got, texts, **options):
+    want = brute.dropped_lines(texts, **options)
     for i, t in texts:
         assert got[i]["dropped"] == want.get(i, []), i
         assert got[i]["n_lines"] == (len(t.split("\n")) if t else 0)
 
 
-def test_lines(docs, texts):
-    check_lines(by_id(lines.report(docs)), texts)
+def test_lines(spark, texts):
+    """The registered query with its own parameters, over the whole table."""
+    check_lines(by_id(queries.QUERIES["op6_lines"](spark, FOLDER)), texts, edits=3, least=1)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """A drop holds for a line, not for what stands in its place in another row."""
+    rows = [(1, "R"), (None, "A\nB"), (None, "C\nR"), (5, "D\nR"), (5, "E\nF\nG"), (None, "H\nA")]
+    df = table(spark, rows)
+    got = sorted((str(r["doc_id"]), r["n_lines"], tuple(r["dropped"]))
+                 for r in lines.report(df, edits=3, least=1).collect())
+    assert got == sorted([("1", 1, ()), ("None", 2, ()), ("None", 2, (1,)), ("5", 2, (1,)), ("5", 3, ()),
+                          ("None", 2, (1,))])
+    left = {(r["doc_id"], r["text"]) for r in lines.without_repeats(df, edits=3, least=1).collect()}
+    assert left == {(1, "R"), (None, "A\nB"), (None, "C"), (5, "D"), (5, "E\nF\nG"), (None, "H")}
+
+
+def test_lines_of_one_template(spark, monkeypatch):
+    """Lines that differ in a number alone: all found, without comparing all pairs."""
+    met = []
+    counted = lines._near
+
+    def near(pairs, *args):
+        met.append(pairs.count())
+        return counted(pairs, *args)
+
+    monkeypatch.setattr(lines, "_near", near)
+    r, n = random.Random(4), 400
+    rows = [(i, f"Item number {r.randrange(10 ** 6, 10 ** 7)} is now in stock at our store")
+            for i in range(n)]
+    check_lines(by_id(lines.report(table(spark, rows), edits=3)), rows, edits=3)
+    assert sum(met) < n * (n - 1) / 2 / 4
 
 
 def test_lines_one_edit_apart(spark):
@@ -343,15 +373,6 @@ def test_lines_of_odd_rows(spark):
     assert lines.without_repeats(table(spark, [])).count() == 0
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
 @pytest.mark.parametrize("edits,letters,copies", [(2, "abcdefgh é", 2), (3, "abcdefgh é日", 2),
                                                   (3, "ab", 1), (3, "abcdefgh", 70)])
 def test_lines_several_edits_apart(spark, edits, letters, copies):
@@ -367,7 +388,7 @@ def test_lines_several_edits_apart(spark, edits, letters, copies):
                 line = line[:p] + r.choice(["", *letters.replace(" ", "")]) + line[p + r.randrange(2):]
             rows.append((len(rows), line))
     r.shuffle(rows)
-    want = {i for i, x in rows for j, y in rows if j < i and (x == y or edit_distance(x, y) <= (
+    want = {i for i, x in rows for j, y in rows if j < i and (x == y or brute.edit_distance(x, y, edits) <= (
         min(edits, min(len(x), len(y)) // 10) if min(len(x), len(y)) >= 20 else 0))}
     got = by_id(lines.report(table(spark, rows), edits=edits))
     assert {i for i, _ in rows if got[i]["dropped"]} == want and want
