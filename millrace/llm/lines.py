@@ -42,7 +42,9 @@ MIN_CHARS = 20
 PER_EDIT = 10
 MOST = 3                        # edits that the halves are made for
 FEW = 16                        # lines of one key that are all compared
+DIRECT = 4                      # pairs for each line that are compared rather than cut further
 SHORT = 8                       # steps up to which a part is not cut any more
+ID_BITS = 40                    # of a line's id by which the lines of a spot are told apart
 ENDS = " \t\v\f\r"
 _BASE = 0x9E3779B97F4A7C15
 _BACK = np.uint64(pow(_BASE, -1, 1 << 64))
@@ -80,52 +82,89 @@ def _grid(n: Column) -> Column:
         F.floor(n / 32) * 32).cast("int")
 
 
-def _steps(n: Column) -> Column:
-    return F.array_distinct(F.array(_grid(n), _grid(n - MOST)))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
+
+
+def _grids(n: np.ndarray) -> np.ndarray:
+    return np.where(n < 32, np.maximum(n, 0) // 4 * 4, n // 32 * 32)
+
+
+def _hash_pieces(parts: list[str], paths: np.ndarray, step: np.ndarray) -> dict[str, np.ndarray]:
+    """``row, spot, code, whole`` of the pieces of each part, by hashes of its beginnings."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    starts = np.cumsum(sizes) - sizes
+    powers = np.full(len(codes), _BASE, np.uint64)
+    powers[:1] = 1
+    terms = _mixed(codes + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64)
+    before = np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64))
+    down = np.full(len(codes) + 1, _BACK, np.uint64)
+    down[:1] = 1
+    down = np.cumprod(down, dtype=np.uint64)
+    first = np.where(step >= 0, step, _grids(sizes))
+    second = np.where(step >= 0, step, _grids(sizes - MOST))
+    other = np.flatnonzero(second != first)
+    out = {"row": [], "spot": [], "code": [], "whole": []}
+
+    def emit(row, seed, found, code, whole):
+        out["row"].append(row)
+        out["spot"].append(_mixed(found ^ _mixed(paths[row] + seed.astype(np.uint64))))
+        out["code"].append(code.astype(np.int32))
+        out["whole"].append(np.full(len(row), whole))
+
+    for row, own in ((np.arange(len(parts)), first), (other, second[other])):
+        cut = own > SHORT
+        left = row[~cut]
+        emit(left, own[~cut], np.zeros(len(left), np.uint64), np.zeros(len(left)), True)
+        row, own = row[cut], own[cut]
+        q, low, high = own // 4, starts[row], starts[row] + sizes[row]
+        for side in (0, 1):
+            for which in (0, 1, 2, 3):
+                at = np.zeros_like(q) if which == 0 else q + which - 2
+                at = high - at - q if side else low + at
+                emit(row, 8 * own + 2 * side + (which > 0) + 1,
+                     (before[at + q] - before[at]) * down[at], 8 * own + 4 * side + which,
+                     which in (0, 2))
+    return {c: np.concatenate(v) for c, v in out.items()}
 
 
 def _spots(rows: DataFrame) -> DataFrame:
-    """``spot, id, path, code`` of ``rows`` (``id, path, part, steps``): hashes of pieces without edit.
+    """``spot, id, path, code, whole`` of ``rows`` (``id, path, part, step``).
 
-    ``code`` is 8 * step + 4 if from the end + 0 for the outer piece, or 1, 2, 3 for the inner one
-    standing a place early, in place, a place late. ``whole`` tells the pieces that stand in place;
-    two lines share a spot only if one of them has it so. Parts that are not cut share a spot with
-    all others of their path and step; its code is 0.
+    Spots are hashes of the pieces without edit. A ``step`` under 0 stands for those of the part's
+    own length. ``code`` is 8 * step + 4 if from the end + 0 for the outer piece, or 1, 2, 3 for the
+    inner one standing a place early, in place, a place late. ``whole`` tells the pieces that stand
+    in place; two lines share a spot only if one of them has it so. Parts that are not cut share a
+    spot with all others of their path and step; its code is 0.
     """
-    sides = rows.select("id", "path", F.explode("steps").alias("step"), "part",
-                        F.reverse("part").alias("back"))
-    q = F.floor(F.col("step") / 4).cast("int")
-
-    def piece(side: int, which: int):
-        text = F.col("back" if side else "part")
-        at = F.lit(1) if which == 0 else q + which - 1
-        return F.struct(F.xxhash64("path", "step", F.lit(2 * side + (which > 0)), F.substring(text, at, q))
-                        .alias("spot"),
-                        (8 * F.col("step") + (4 * side + which)).alias("code"),
-                        F.lit(which in (0, 2)).alias("whole"))
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                path = batch.column("path").to_numpy()
+                found = _hash_pieces(batch.column("part").to_pylist(), path.view(np.uint64),
+                                     batch.column("step").to_numpy().astype(np.int64))
+                row = found["row"]
+                yield pa.RecordBatch.from_pydict({
+                    "spot": found["spot"].view(np.int64), "id": batch.column("id").to_numpy()[row],
+                    "path": path[row], "code": found["code"], "whole": found["whole"]})
 
-    pieces = F.array(*[piece(side, which) for side in (0, 1) for which in (0, 1, 2, 3)])
-    rest = F.array(F.struct(F.xxhash64("path", "step").alias("spot"), F.lit(0).alias("code"),
-                            F.lit(True).alias("whole")))
-    spots = sides.select("id", "path", F.inline(F.when(F.col("step") > SHORT, pieces).otherwise(rest)))
-    return spots.select("spot", "id", "path", "code", "whole")
+    return rows.select("id", "path", "part", "step").mapInArrow(
+        run, "spot long, id long, path long, code int, whole boolean")
 
 
 def _shared_spots(rows: DataFrame) -> DataFrame:
     """The spots that different lines of ``rows`` share, as ``id, path, code, spot``."""
     spots = _spots(rows)
-    shared = spots.groupBy("spot").agg(F.min("id").alias("low"), F.max("id").alias("high"),
+    some = F.col("id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    shared = spots.groupBy("spot").agg(F.min(some).alias("low"), F.max(some).alias("high"),
                                        F.bool_or("whole").alias("whole"))
     shared = shared.where("low < high and whole").select("spot")
     return spots.drop("whole").join(shared.hint("merge"), "spot", "left_semi").distinct()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def deletions(text: str) -> tuple[int, np.ndarray]:
     """A hash of the text, and the different hashes of it with one code point left out."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -152,24 +191,30 @@ def _piece(part: str, code: int) -> str:
     return text[q:2 * q] if which == 0 else text[:q + which - 2]
 
 
-def _keys_of(part: str, code: int) -> tuple[np.ndarray, int, bool]:
+def _keys_of(part: str, code: int, varied: bool) -> tuple[np.ndarray, int, bool]:
     """Hashes of the variants of a part beside its spot, a hash of the piece that they are of, and
-    whether the first one is the key of the whole piece, for lines that agree in it."""
+    whether the first one is the key of the whole piece, for lines that agree in it.
+
+    Where all lines of the spot agree in the piece (not ``varied``) there is that key only.
+    """
     if code == 0:
         return _all_deletions(part).astype(np.uint64), deletions(part)[0], False
     piece, which = _piece(part, code), code & 3
     whole, keys = deletions(piece)
+    if not varied:
+        keys = keys[:0]
     # Lengths keep variants of pieces of different length apart; of the inner spot a whole piece
     # meets the variants of a piece that is one longer.
     keys = _mixed(keys + np.uint64(len(piece) - 1 if piece else 0))
     own = _mixed(np.array([whole], np.uint64) + np.uint64(len(piece)))
     if which == 0:
         return np.append(own ^ np.uint64(1), keys), whole, True
-    return {1: own, 2: np.append(own, keys), 3: keys}[which], whole, False
+    return {1: own, 2: np.append(own, keys), 3: keys}[which][:None if varied else 0], whole, False
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """``group, id, path, code, piece, same`` of ``rows`` (``id, path, part, code, spot``).
+    """``group, id, path, code, piece, same`` of ``rows`` (``id, path, part, code, spot,
+    varied``).
 
     ``group`` is a hash of the spot and of a variant of the piece beside it; ``same`` marks the
     key of the whole piece.
@@ -177,9 +222,9 @@ def _variants(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = {c: [] for c in ("group", "id", "path", "code", "piece", "same")}
-            for i, path, part, code, spot in zip(*(batch.column(c).to_pylist() for c in (
-                    "id", "path", "part", "code", "spot"))):
-                keys, whole, same = _keys_of(part, code)
+            for i, path, part, code, spot, varied in zip(*(batch.column(c).to_pylist() for c in (
+                    "id", "path", "part", "code", "spot", "varied"))):
+                keys, whole, same = _keys_of(part, code, varied)
                 groups = _mixed(keys ^ np.uint64(spot & 0xFFFFFFFFFFFFFFFF))
                 n = len(groups)
                 out["group"].append(groups.view(np.int64))
@@ -190,20 +235,34 @@ def _variants(rows: DataFrame) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in out.items()})
 
-    return rows.select("id", "path", "part", "code", "spot").mapInArrow(
+    return rows.select("id", "path", "part", "code", "spot", "varied").mapInArrow(
         run, "group long, id long, path long, code int, piece long, same boolean")
 
 
+def _beside() -> Column:
+    """A hash of the piece beside the spot (see ``_piece``)."""
+    q = F.floor(F.col("code") / 32).cast("int")
+    which, from_end = F.col("code") % 4, F.floor(F.col("code") / 4) % 2 == 1
+    size = F.when(which == 0, q).otherwise(q + which - 2)
+    at = F.when(which == 0, q).otherwise(0)
+    start = F.when(from_end, F.length("part") - at - size).otherwise(at)
+    return F.xxhash64(F.substring("part", start + 1, size))
+
+
 def _groups(shared: DataFrame, rows: DataFrame) -> DataFrame:
     """``group, n, id, path, code, same``: the keys that different lines share."""
     own = materialize(shared, "spots").join(rows.hint("merge"), ["id", "path"])
+    own = own.withColumn("beside", F.when(F.col("code") > 0, _beside()))
+    varied = own.groupBy("spot").agg((F.min("beside") < F.max("beside")).alias("varied"))
+    own = own.drop("beside").join(varied.hint("merge"), "spot").withColumn(
+        "varied", F.coalesce("varied", F.lit(True)))
     keys = materialize(_variants(own), "keys")
-    met = keys.groupBy("group").agg(
-        F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"),
-        F.min("piece").alias("piece"), F.max("piece").alias("other"), F.bool_or("same").alias("same"),
-        F.min("code").alias("code"))
-    met = met.where("low < high and (same or piece < other or code = 0)").select("group", "n")
-    return keys.select("group", "id", "path", "code", "same").join(met.hint("merge"), "group").distinct()
+    # Of the key of a whole piece and of what is not cut the lines differ, of others the pieces.
+    differs = F.when(F.col("same") | (F.col("code") == 0), F.col("id")).otherwise(F.col("piece"))
+    met = keys.groupBy("group").agg(F.count("*").alias("n"), F.min(differs).alias("low"),
+                                    F.max(differs).alias("high")).where("low < high")
+    return keys.select("group", "id", "path", "code", "same").join(
+        met.select("group", "n").hint("merge"), "group").distinct()
 
 
 def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -229,7 +288,7 @@ def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """``id`` of the lines of ``texts`` (``id, first, line``, all different) near an earlier line."""
     rows = texts.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
     about = texts.select("id", "first", F.length("line").alias("size"))
-    found = None
+    found, lines = None, texts.count()
     while True:
         groups = materialize(_groups(shared, rows).join(about.hint("merge"), "id"), "groups")
         few, many = groups.where(F.col("n") <= FEW), groups.where(F.col("n") > FEW)
@@ -244,13 +303,23 @@ def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         varied = left.where(~F.col("same")).select("id", "path", "code").distinct()
         left = materialize(left.where(~F.col("same")).unionByName(left.where("same").join(
             varied.hint("merge"), ["id", "path", "code"], "left_anti")), "left")
-        if left.isEmpty():
+        # What is not cut any more, and what is cheap: lines still open are compared with all
+        # earlier ones of the key.
+        sizes = left.join(found.hint("merge").withColumn("near", F.lit(True)), "id", "left").groupBy(
+            "group").agg(F.count("*").alias("n"), F.count_if(F.col("near").isNull()).alias("open"),
+                         F.max("code").alias("code"))
+        cost = sizes.agg(F.count("*").alias("groups"), F.sum(F.col("open") * F.col("n")).alias("pairs"),
+                         F.count_if(F.col("code") == 0).alias("last")).first()
+        if not cost["groups"]:
             return found
-        # What is not cut any more: lines still open are compared with all earlier ones of the key.
-        last = left.where("code = 0").join(about.hint("merge").drop("first"), "id")
-        if not last.isEmpty():
+        direct = cost["pairs"] <= DIRECT * lines
+        if direct or cost["last"]:
+            last = left.where(F.lit(direct) | (F.col("code") == 0)).join(
+                about.hint("merge").drop("first"), "id")
             found = _more(found, _met(last.join(found.hint("merge"), "id", "left_anti"), last),
                           texts, edits)
+        if direct:
+            return found
         parts = left.where("code > 0").join(rows.hint("merge"), ["id", "path"])
         step, from_end = F.floor(F.col("code") / 8), F.floor(F.col("code") / 4) % 2 == 1
         size, half = F.length("part"), (2 * F.floor(step / 4)).cast("int")
@@ -261,9 +330,9 @@ def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         # Lines of about one length need one step only.
         lengths = rows.groupBy("path").agg(F.min(F.length("part")).alias("least"),
                                            F.max(F.length("part")).alias("most"))
-        alike = F.col("most") <= 2 * _grid(F.col("least"))
-        stepped = rows.join(lengths.hint("merge"), "path").withColumn("steps", F.when(
-            alike, F.array(_grid(F.col("least")))).otherwise(_steps(F.length("part"))))
+        alike = F.col("most") * 3 <= 4 * _grid(F.col("least"))
+        stepped = rows.join(lengths.hint("merge"), "path").withColumn(
+            "step", F.when(alike, _grid(F.col("least"))).otherwise(-1))
         shared = _shared_spots(stepped)
 
 
@@ -293,7 +362,7 @@ def repeated(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFra
                                                   F.count("*").alias("n")), "firsts")
     long = lines.where(F.length("line") >= MIN_CHARS).select(
         F.col("key.a").alias("id"), F.lit(0).cast("long").alias("path"), F.col("line").alias("part"),
-        _steps(F.length("line")).alias("steps"))
+        F.lit(-1).alias("step"))
     shared = materialize(_shared_spots(long), "shared")
     open_ = shared.select("id").distinct()
     wanted = materialize(firsts.select("key", "first", F.col("key.a").alias("id")).join(
