@@ -459,3 +459,108 @@ def folder_inventory_kinds(t):
     zip_files(files.select(F.col("name").alias("archive"), F.lit("t.csv").alias("member"), "text"), path)
     return mr.folder_inventory(t.spark, path).groupBy(
         "ext", F.array_join("columns", "|").alias("columns"), "error").agg(F.sum("rows").alias("rows"))
+
+
+def breaks_in_quotes(t: Tables) -> str:
+    """Doubled quotes, line breaks inside quotes and inch marks, in files of a few kilobytes."""
+    note = F.concat(F.lit('"'), "c_mktsegment", F.lit('\n""'), "c_name", F.lit('"", x"'))
+    line = F.concat_ws(",", "c_custkey", F.when(F.col("c_custkey") % 3 == 0, note).otherwise(
+        F.concat("c_name", F.lit(' 5"'))), F.lit('"a,b"'))
+    files = in_hundreds(t.customer, "c_custkey", line, "c%s.csv", "c_custkey,note,mark\n")
+    return text_files(files, mr.scratch_path(t.spark, "csv"))
+
+
+@query("csv_quoted_split", """
+    select c_custkey, case when c_custkey % 3 = 0 then c_mktsegment || chr(10) || '"' || c_name || '", x'
+        else c_name || ' 5"' end as note, 'a,b' as mark from customer""")
+def csv_quoted_split(t):
+    """Each file is read in byte ranges of 300 bytes, which cut records anywhere."""
+    return mr.read_delimited(t.spark, breaks_in_quotes(t), range_bytes=300).result
+
+
+def pretty(*columns: str):
+    """An object over several lines, with brackets and quotes inside its strings."""
+    return F.concat(F.lit('{\n  "key": '), F.col(columns[0]), F.lit(',\n  "label": "}{\\\\\\""'),
+                    F.lit(',\n  "part": {"name": "'), F.col(columns[1]), F.lit('", "list": [1, {}]}\n}'))
+
+
+PRETTY = """select c_custkey as key, '}{\\"' as label, c_name as "part.name" from customer"""
+
+
+@query("json_concatenated_objects", PRETTY)
+def json_concatenated_objects(t):
+    """Objects one after the other, each over several lines."""
+    files = in_hundreds(t.customer, "c_custkey", pretty("c_custkey", "c_name"), "c%s.json")
+    path = text_files(files, mr.scratch_path(t.spark, "json"))
+    return mr.read_any(t.spark, path).select("key", "label", F.col("`part.name`"))
+
+
+@query("json_array_split", PRETTY)
+def json_array_split(t):
+    """Arrays of objects, each file read in byte ranges of 500 bytes."""
+    files = in_hundreds(t.customer, "c_custkey", pretty("c_custkey", "c_name"), "c%s.json", "[\n",
+                        "\n]", ",\n")
+    path = text_files(files, mr.scratch_path(t.spark, "json"))
+    out = mr.read_json(t.spark, path, range_bytes=500)
+    return out.select("key", "label", F.col("`part.name`"))
+
+
+@query("read_any_parquet_schemas", """
+    select c_custkey as key, c_name as label, null::double as balance from customer
+    union all select s_suppkey, null, s_acctbal from supplier""")
+def read_any_parquet_schemas(t):
+    path = mr.scratch_path(t.spark, "parquet")
+    t.customer.select(F.col("c_custkey").alias("key"), F.col("c_name").alias("label")).write.parquet(path)
+    t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")).write.mode(
+        "append").parquet(path)
+    return mr.read_any(t.spark, path).select("key", "label", "balance")
+
+
+@query("union_folder_with_archives", """
+    select c_custkey as key, c_name as label, null::double as balance, null as segment, 'zip' as kind
+    from customer
+    union all select s_suppkey, null, s_acctbal, null, 'zip' from supplier
+    union all select c_custkey, null, null, c_mktsegment, 'zip' from customer
+    union all select o_orderkey, o_orderpriority, o_totalprice, null, 'csv' from orders""")
+def union_folder_with_archives(t):
+    """Delimited files beside archives of delimited and JSON members."""
+    path = two_kinds_of_zips(t)
+    line = F.concat_ws(";", "o_orderkey", "o_orderpriority", "o_totalprice")
+    text_files(in_hundreds(t.orders, "o_orderkey", line, "o%s.csv", "key;label;balance\n"), path)
+    out = mr.union_folder(t.spark, path, source_tag="kind")
+    return out.select("key", "label", "balance", "segment", F.element_at(
+        F.split("kind", "[.]"), -1).alias("kind"))
+
+
+@query("zip_open_quote_report", """
+    select 'c' || cast(c_custkey // 100 as varchar) || '.zip' as archive, count(*) as rows,
+        1 as bad from customer group by 1""")
+def zip_open_quote_report(t):
+    """A quote that is never closed costs its own line; the lines after it are kept."""
+    files = in_hundreds(t.customer, "c_custkey", F.concat_ws(",", "c_custkey", "c_name"), "c%s.zip",
+                        'key,label\n0,"abc\n')
+    path = zip_files(files.select(F.col("name").alias("archive"), F.lit("c.csv").alias("member"),
+                                  "text"), mr.scratch_path(t.spark, "zips"))
+    rows = mr.read_archive(t.spark, path, "c.csv", source_column="archive").groupBy("archive").agg(
+        F.count("*").alias("rows"))
+    bad = mr.archive_bad_lines(mr.members(t.spark, path)).groupBy("archive").agg(
+        F.count("*").alias("bad"))
+    return rows.join(bad, "archive")
+
+
+@query("folder_inventory_errors", """
+    select 'csv' as ext, count(*) as rows, false as refused from customer
+    union all select 'json', count(*), false from supplier
+    union all select unnest(['zip', 'parquet', 'xml']), 0, true""")
+def folder_inventory_errors(t):
+    """A truncated archive, Parquet file and XML document beside sound files and an archive."""
+    path = mr.scratch_path(t.spark, "folder")
+    text_files(in_hundreds(t.customer, "c_custkey", F.concat_ws(",", "c_custkey", "c_name"), "c%s.csv",
+                           "key,label\n"), path)
+    inside = in_hundreds(t.supplier, "s_suppkey", F.to_json(F.struct("s_suppkey")), "s%s.zip")
+    zip_files(inside.select(F.col("name").alias("archive"), F.lit("s.json").alias("member"), "text"), path)
+    text_files(t.region.filter("r_regionkey = 0").select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.lit(x).alias("text")) for n, x in (
+            ("z.zip", "PK\x03\x04 cut"), ("p.parquet", "PAR1 cut"), ("x.xml", "<all><r><a>1</a>"))]))), path)
+    return mr.folder_inventory(t.spark, path).groupBy(
+        "ext", F.col("error").isNotNull().alias("refused")).agg(F.sum("rows").alias("rows"))

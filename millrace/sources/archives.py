@@ -24,8 +24,9 @@ BATCH_LINES = 4096
 
 
 def members(spark: SparkSession, path: str | Sequence[str], *,
-            skip_extensions: Sequence[str] = ()) -> DataFrame:
-    """(path, archive, member, name, ext, bytes, position) of every file in the archives.
+            skip_extensions: Sequence[str] = (), without: DataFrame | None = None) -> DataFrame:
+    """(path, archive, member, name, ext, bytes, position) of every file in the archives, but for
+    archives whose ``path`` is in ``without``.
 
     ``path`` is one archive, several, or a folder whose ``.zip`` files are all taken.
     Only the archives' tables of contents are read.
@@ -41,6 +42,8 @@ def members(spark: SparkSession, path: str | Sequence[str], *,
                     yield info.filename, name, ext, info.file_size, i
 
     files = listing(spark, path, "*.[zZ][iI][pP]").dropDuplicates(["path"])
+    if without is not None:
+        files = files.join(without.select("path"), "path", "left_anti")
     found = per_file(files, contents,
                      "member string, name string, ext string, bytes long, position int")
     return found.withColumn("archive", F.element_at(F.split("path", "/"), -1))
@@ -78,19 +81,26 @@ def _is_open(line: str, sep: str, inside: bool) -> bool:
 
 
 def _records(stream, sep: str):
-    """Text lines, joined while a quoted field is open."""
-    held: list[str] = []
-    for line in stream:
-        if '"' in line or held:
-            is_open = _is_open(line, sep, bool(held)) if '"' in line else True
-            held.append(line)
-            if is_open:
-                continue
-            line = "".join(held)
-            held = []
-        yield line.rstrip("\r\n")
-    if held:
-        yield "".join(held).rstrip("\r\n")
+    """(record, broken): text lines, joined while a quoted field is open.
+
+    A line whose quote is never closed is broken, by itself: the lines after it are given back.
+    """
+    waiting = iter(stream)
+    while True:
+        held: list[str] = []
+        for line in waiting:
+            if '"' in line or held:
+                is_open = _is_open(line, sep, bool(held)) if '"' in line else True
+                held.append(line)
+                if is_open:
+                    continue
+                line = "".join(held)
+                held = []
+            yield line.rstrip("\r\n"), False
+        if not held:
+            return
+        yield held[0].rstrip("\r\n"), True
+        waiting = iter(held[1:])
 
 
 def _decoded(z: zipfile.ZipFile, member: str):
@@ -137,7 +147,7 @@ def member_heads(found: DataFrame) -> DataFrame:
             with _decoded(z, member) as text:
                 sep = sniff(text.read(HEAD_CHARS))
             with _decoded(z, member) as text:
-                filled = (r for r in _records(text, sep) if r.strip())
+                filled = (r for r, _ in _records(text, sep) if r.strip())
                 header = next(csv.reader([next(filled, "")], delimiter=sep), [])
             yield pd.DataFrame([(archive, member, name, sep, header)], columns=names)
 
@@ -146,27 +156,26 @@ def member_heads(found: DataFrame) -> DataFrame:
 
 
 def member_lines(found: DataFrame) -> DataFrame:
-    """(archive, member, name, line_no, line): the filled records of delimited members, streamed.
-
-    The header is line 0.
-    """
+    """(archive, member, name, line_no, line, broken): the filled records of delimited members,
+    streamed. The header is line 0; a broken line has a quote that is never closed."""
     import pandas as pd
 
-    names = ["archive", "member", "name", "line_no", "line"]
+    names = ["archive", "member", "name", "line_no", "line", "broken"]
 
     def run(batches):
         for z, archive, member, name in _opened(batches):
             with _decoded(z, member) as text:
                 sep = sniff(text.read(HEAD_CHARS))
             with _decoded(z, member) as text:
-                filled = (r for r in _records(text, sep) if r.strip())
-                for start, lines in _batched(filled):
+                filled = (r for r in _records(text, sep) if r[0].strip())
+                for start, found in _batched(filled):
+                    lines, broken = zip(*found)
                     yield pd.DataFrame({"archive": archive, "member": member, "name": name,
                                         "line_no": range(start, start + len(lines)),
-                                        "line": lines})[names]
+                                        "line": lines, "broken": broken})[names]
 
     return _spread(_delimited(found)).mapInPandas(
-        run, "archive string, member string, name string, line_no long, line string")
+        run, "archive string, member string, name string, line_no long, line string, broken boolean")
 
 
 def _batched(records):
@@ -204,8 +213,9 @@ def _parsed(found: DataFrame, keep_lines: bool) -> list[tuple[list[str], DataFra
 
 
 def archive_bad_lines(found: DataFrame) -> DataFrame:
-    """(archive, member, line_no, line) of the lines with more fields than their header."""
-    parts = [rows.filter(F.col("__r").getField(f"c{len(names)}").isNotNull())
+    """(archive, member, line_no, line) of the lines with more fields than their header, and of
+    those with a quote that is never closed."""
+    parts = [rows.filter(F.col("broken") | F.col("__r").getField(f"c{len(names)}").isNotNull())
              .select("archive", "member", "line_no", "line") for names, rows in _parsed(found, True)]
     if not parts:
         raise ValueError("no delimited member to read")
@@ -222,7 +232,7 @@ def read_members(found: DataFrame, *, infer: bool = True, source_column: str | N
     extra = {source_column: "archive", member_column: "name"}
     parts = []
     for names, rows in _parsed(found, infer):
-        rows = rows.filter(F.col("__r").getField(f"c{len(names)}").isNull())
+        rows = rows.filter(~F.col("broken") & F.col("__r").getField(f"c{len(names)}").isNull())
         cells = [F.col("__r").getField(f"c{i}") for i in range(len(names))]
         parts.append(rows.select(*[F.when(~c.isin(*tokens), c).alias(n) for c, n in zip(cells, names)],
                                  *[F.col(c).alias(n) for n, c in extra.items() if n]))
@@ -268,11 +278,11 @@ def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | N
     if lacking:
         raise ValueError(f"member {member or '(any table)'!r} not found in: "
                          f"{[r['path'] for r in lacking]}")
-    return _stacked(spark, chosen, infer=infer, source_column=source_column,
+    return stacked_members(spark, chosen, infer=infer, source_column=source_column,
                     null_tokens=null_tokens)
 
 
-def _stacked(spark: SparkSession, chosen: DataFrame, *, infer: bool,
+def stacked_members(spark: SparkSession, chosen: DataFrame, *, infer: bool,
              source_column: str | None = None, null_tokens: Sequence[str] = ()) -> DataFrame:
     """Members of any readable formats, stacked by column name."""
     kinds = {r["ext"] for r in chosen.select("ext").distinct().collect()}
@@ -304,7 +314,7 @@ def archive_tables(spark: SparkSession, path: str | Sequence[str], *, infer: boo
     found = materialize(members(spark, path, skip_extensions=skip_extensions), "members")
     tables = found.filter(F.col("ext").isin(*MEMBER_TYPES))
     names = [r["name"] for r in tables.select("name").distinct().orderBy("name").collect()]
-    return {n: _stacked(spark, tables.filter(F.col("name") == n), infer=infer,
+    return {n: stacked_members(spark, tables.filter(F.col("name") == n), infer=infer,
                         source_column=source_column) for n in names}
 
 
@@ -314,4 +324,4 @@ def union_members(spark: SparkSession, path: str | Sequence[str], names: Sequenc
     found = materialize(members(spark, path), "members").filter(F.col("ext").isin(*MEMBER_TYPES))
     if names:
         found = found.filter(F.lower("name").isin(*[n.lower() for n in names]))
-    return _stacked(spark, found, infer=infer, source_column=source_column)
+    return stacked_members(spark, found, infer=infer, source_column=source_column)

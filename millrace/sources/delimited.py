@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.names import col, unique_names
 from .files import listing, open_file, per_file
 from .inference import NULL_TOKENS, blank_to_null, infer_types
+from .ranges import Quotes, records
 
 DELIMITERS = ",|\t;"
 HEAD_CHARS = 8192
 OVERFLOW = "__overflow"
+FEW_FILES = 10_000
 # A quote where a field begins.
 OPENING = '(^|[,|\\t;]) *"'
 
@@ -135,22 +137,43 @@ def layouts(spark: SparkSession, path: str | Sequence[str], *, sep: str | None =
                   key=lambda layout: layout.paths)
 
 
+def _read_split(spark: SparkSession, layout: Layout, schema: str, source_column: str | None,
+                range_bytes: int | None) -> DataFrame:
+    """Files with line breaks inside quotes, split over tasks by byte ranges.
+
+    The header is the first record; it may begin in any range if blank lines come before it.
+    """
+    rows = records(spark, list(layout.paths), Quotes(layout.sep), layout.encoding, range_bytes)
+    heads = rows.groupBy("path").agg(F.min(F.struct("low", "no")).alias("head"))
+    body = rows.join(F.broadcast(heads) if len(layout.paths) <= FEW_FILES else heads, "path").where(
+        F.struct("low", "no") > F.col("head"))
+    options = {"sep": layout.sep, "escape": '"', "nullValue": "", "emptyValue": ""}
+    file = F.element_at(F.split("path", "/"), -1)
+    name = [F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))).alias(source_column)] if source_column else []
+    return body.select(F.from_csv("value", schema, options).alias("__r"), *name).select(
+        "__r.*", *([source_column] if source_column else []))
+
+
 def read_layout(spark: SparkSession, layout: Layout, *, infer: bool = True,
                 columns: Sequence[str] = (), null_tokens: Sequence[str] = (),
-                source_column: str | None = None) -> Delimited:
+                source_column: str | None = None, range_bytes: int | None = None) -> Delimited:
     """Read all files of one layout. Lines with too many fields are set aside, short
-    lines are filled with nulls."""
+    lines are filled with nulls. Files with line breaks inside quotes are read in ranges of
+    ``range_bytes``."""
     names = unique_names([h if h else f"Unnamed: {i}" for i, h in enumerate(layout.header)])
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, OVERFLOW])
-    raw = (spark.read.schema(schema).option("header", True).option("sep", layout.sep)
-           .option("encoding", "UTF-8" if layout.encoding == "utf-8" else "ISO-8859-1")
-           .option("multiLine", layout.multi_line).option("enforceSchema", True)
-           .option("escape", '"').option("nullValue", "").option("emptyValue", "")
-           .csv(list(layout.paths)))
-    if source_column:
-        raw = raw.withColumn(source_column, F.url_decode("_metadata.file_name"))
-    if layout.encoding == "cp1252":
-        raw = raw.withColumns({n: F.translate(col(n), CP1252_FROM, CP1252_TO) for n in names})
+    if layout.multi_line:
+        raw = _read_split(spark, layout, schema, source_column, range_bytes)
+    else:
+        raw = (spark.read.schema(schema).option("header", True).option("sep", layout.sep)
+               .option("encoding", "UTF-8" if layout.encoding == "utf-8" else "ISO-8859-1")
+               .option("enforceSchema", True)
+               .option("escape", '"').option("nullValue", "").option("emptyValue", "")
+               .csv(list(layout.paths)))
+        if source_column:
+            raw = raw.withColumn(source_column, F.url_decode("_metadata.file_name"))
+        if layout.encoding == "cp1252":
+            raw = raw.withColumns({n: F.translate(col(n), CP1252_FROM, CP1252_TO) for n in names})
     good = raw.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
     bad = raw.filter(F.col(OVERFLOW).isNotNull())
     if columns:
@@ -167,7 +190,8 @@ def read_layout(spark: SparkSession, layout: Layout, *, infer: bool = True,
 def read_delimited(spark: SparkSession, path: str | Sequence[str], *, sep: str | None = None,
                    encoding: str | None = None, multi_line: bool | None = None,
                    infer: bool = True, types: Mapping[str, str] | None = None,
-                   columns: Sequence[str] = (), null_tokens: Sequence[str] = ()) -> Delimited:
+                   columns: Sequence[str] = (), null_tokens: Sequence[str] = (),
+                   range_bytes: int | None = None) -> Delimited:
     """Read files of one header; files of several headers have to be united instead.
 
     What is not given is detected: the delimiter from each file's head, encoding and
@@ -180,8 +204,8 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], *, sep: str |
     headers = {layout.header for layout in found}
     if len(headers) > 1:
         raise ValueError(f"{len(headers)} different headers at {path}; use union_folder")
-    parts = [read_layout(spark, layout, infer=False, columns=columns, null_tokens=null_tokens)
-             for layout in found]
+    parts = [read_layout(spark, layout, infer=False, columns=columns, null_tokens=null_tokens,
+                         range_bytes=range_bytes) for layout in found]
     good, bad = parts[0]
     for p in parts[1:]:
         good, bad = good.unionByName(p.result), bad.unionByName(p.bad_lines)

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Sequence
 from functools import reduce
+from xml.etree import ElementTree
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import col
 from ..operators.shape import conform
 from ..operators.union import union
 from ..session import materialize, scratch_path
-from .archives import member_heads, member_lines, members, read_archive, unpack
+from .archives import (member_heads, member_lines, members, read_archive, stacked_members,
+                       unpack)
 from .delimited import layouts, read_delimited, read_layout
-from .files import DELIMITED, FILE_TYPES, MEMBER_TYPES, listing
+from .files import DELIMITED, FILE_TYPES, MEMBER_TYPES, listing, open_file, per_file
 from .html import read_html
 from .inference import infer_types
 from .sinks import write
@@ -54,10 +59,15 @@ def read_any(spark: SparkSession, path: str, *, member: str | None = None, infer
     return read_delimited(spark, path, infer=infer, null_tokens=null_tokens).result
 
 
-def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_column: str,
-            ) -> list[DataFrame]:
-    """One frame per layout or format, each tagged with its file name."""
-    found = listing(spark, folder).filter(F.col("ext").isin(*TABLE_FILES))
+def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_column: str, *,
+            archives: bool = True, without: DataFrame | None = None) -> list[DataFrame]:
+    """One frame per layout or format, each tagged with its file name.
+
+    The members of archives are tagged with the archive's; ``without`` names paths to leave out.
+    """
+    found = listing(spark, folder).filter(F.col("ext").isin(*TABLE_FILES, *["zip"] * archives))
+    if without is not None:
+        found = found.join(without.select("path"), "path", "left_anti")
     if files:
         found = found.filter(F.col("file").isin(*files))
         missing = sorted(set(files) - {r["file"] for r in found.select("file").collect()})
@@ -75,6 +85,10 @@ def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_colum
         elif kind == "parquet":
             frames += [spark.read.parquet(*same).withColumns(name)
                        for same in parquet_schemas(spark, paths)]
+        elif kind == "zip":
+            inside = materialize(members(spark, paths), "members")
+            frames.append(stacked_members(spark, inside.filter(F.col("ext").isin(*MEMBER_TYPES)),
+                                          infer=False, source_column=source_column))
         elif kind == "json":
             frames.append(read_json(spark, paths, name))
         elif kind in ("html", "htm"):
@@ -86,9 +100,8 @@ def _tables(spark: SparkSession, folder: str, files: Sequence[str], source_colum
 
 def union_folder(spark: SparkSession, folder: str, files: Sequence[str] = (), *,
                  source_tag: str | None = None, output_columns=None, infer: bool = True) -> DataFrame:
-    """Stack all table files of a folder, or the named ones, by column name.
-
-    Archives are left to ``read_archive``; a file of unknown kind among all is an error.
+    """Stack all table files of a folder, or the named ones, by column name, and all table members
+    of its archives with them. A file of unknown kind among all is an error.
     """
     tag = source_tag or "__file"
     odd = [] if files else [r["file"] for r in unreadable(spark, folder).limit(5).collect()]
@@ -106,18 +119,50 @@ def union_folder(spark: SparkSession, folder: str, files: Sequence[str] = (), *,
     return stacked if source_tag else stacked.drop(tag)
 
 
+def _fault(path: str):
+    """The format's own complaint about a file that cannot be read, if it has one."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    try:
+        with open_file(path) as fh:
+            if kind == "zip":
+                with zipfile.ZipFile(fh) as z:
+                    z.infolist()
+            elif kind == "parquet":
+                pq.read_schema(fh)
+            elif kind == "xml":
+                for _, element in ElementTree.iterparse(fh):
+                    element.clear()
+    except (zipfile.BadZipFile, pa.ArrowException, ElementTree.ParseError, OSError, ValueError) as e:
+        yield (f"{type(e).__name__}: {e}".splitlines()[0],)
+
+
+def broken_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file, ext, bytes, modified, error) of archives, Parquet and XML files that their
+    format's reader refuses; each file is tried by its own task."""
+    tried = listing(spark, folder).filter(F.col("ext").isin("zip", "parquet", "xml")
+                                          & ~F.col("file").rlike("^[._]"))
+    return tried.join(per_file(tried, _fault, "error string"), "path")
+
+
 def folder_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(file, ext, bytes, modified, rows, columns, error) of every file and archive member.
 
     Rows are counted exactly, by scans that read whole layouts at a time. Files and members of
-    unknown kinds are listed with an error and no rows.
+    unknown kinds are listed with an error and no rows, as are files that their format's reader
+    refuses; these keep nothing else from being counted.
     """
+    broken = materialize(broken_files(spark, folder), "broken")
     files = listing(spark, folder).filter((F.col("ext") != "zip") & ~F.col("file").rlike("^[._]"))
     readable = F.col("ext").isin(*TABLE_FILES)
-    parts = [_counted(files.filter(readable), _tables(spark, folder, [], "__file")),
-             files.filter(~readable).select("file", "ext", "bytes", "modified", *_unknown())]
-    if listing(spark, folder).filter("ext = 'zip'").limit(1).count():
-        found = materialize(members(spark, folder), "members")
+    sound = files.filter(readable).join(broken.select("path"), "path", "left_anti")
+    none = F.lit(None).cast("array<string>").alias("columns")
+    parts = [_counted(sound, _tables(spark, folder, [], "__file", archives=False, without=broken)),
+             files.filter(~readable).select("file", "ext", "bytes", "modified", *_unknown()),
+             broken.select("file", "ext", "bytes", "modified",
+                           F.lit(0).cast("long").alias("rows"), none, "error")]
+    archives = listing(spark, folder).filter("ext = 'zip'").join(broken.select("path"), "path", "left_anti")
+    if not archives.isEmpty():
+        found = materialize(members(spark, folder, without=broken), "members")
         path = F.concat_ws("/", "archive", "member")
         inside = found.select(path.alias("file"), "ext", "bytes",
                               F.lit(None).cast("timestamp").alias("modified"), "archive", "member")
@@ -125,7 +170,7 @@ def folder_inventory(spark: SparkSession, folder: str) -> DataFrame:
         parts.append(inside.filter(~known).select("file", "ext", "bytes", "modified", *_unknown()))
         text = found.filter(F.col("ext").isin(*DELIMITED))
         rows = member_lines(text).groupBy("archive", "member").agg(
-            F.count_if(F.col("line_no") > 0).alias("rows"))
+            F.count_if((F.col("line_no") > 0) & ~F.col("broken")).alias("rows"))
         heads = member_heads(text).select("archive", "member", F.col("header").alias("columns"))
         parts.append(inside.filter(F.col("ext").isin(*DELIMITED)).join(
             heads, ["archive", "member"]).join(rows, ["archive", "member"], "left").select(

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.names import col
 from ..operators.shape import flatten
 from ..operators.union import union
+from ..session import scratch_path
 from .files import listing, open_file, per_file
 from .inference import nan_to_null
+from .ranges import Nesting, records
 
 
 def json_forms(spark: SparkSession, path) -> dict[bool, list[str]]:
@@ -30,15 +32,18 @@ def json_forms(spark: SparkSession, path) -> dict[bool, list[str]]:
 
 
 def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = None, *,
-              multi_line: bool | None = None) -> DataFrame:
+              multi_line: bool | None = None, range_bytes: int | None = None) -> DataFrame:
     """Objects or arrays of objects, nested objects flattened to dotted columns.
 
     Whether a file is one document or has one value a line is told from all its lines, unless
     ``multi_line`` says so; files of both forms are stacked by column name. ``extra`` adds
-    columns, such as the file name from ``_metadata``.
+    columns, such as the file name from ``_metadata``. Documents are read in ranges of
+    ``range_bytes``.
     """
     def one(paths, whole):
-        raw = spark.read.option("multiLine", whole).json(paths)
+        if whole:
+            return nan_to_null(flatten(_json_documents(spark, paths, extra or {}, range_bytes)))
+        raw = spark.read.json(paths)
         return nan_to_null(flatten(raw.withColumns(extra) if extra else raw))
 
     if multi_line is not None:
@@ -49,8 +54,26 @@ def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = No
     return union([one(paths, whole) for whole, paths in sorted(forms.items())])
 
 
-def read_parquet(spark: SparkSession, path) -> DataFrame:
-    return nan_to_null(spark.read.parquet(path))
+def _json_documents(spark: SparkSession, paths, extra: Mapping[str, Column],
+                    range_bytes: int | None) -> DataFrame:
+    """The objects of documents, however many stand in a file, split over tasks by byte ranges.
+
+    Each is written as one line, white space between its parts being free; the lines are then read
+    by Spark. ``extra`` names columns that receive the file's name.
+    """
+    found = records(spark, paths, Nesting(), size=range_bytes)
+    line = F.translate("value", "\r\n", "  ").alias("value")
+    target = scratch_path(spark, "objects")
+    if not extra:
+        found.select(line).write.text(target)
+        return spark.read.json(target)
+    file = F.element_at(F.split("path", "/"), -1)
+    found.select(line, file.alias("__name")).write.partitionBy("__name").text(target)
+    rows = spark.read.json(target)
+    if "__name" not in rows.columns:                # no object at all
+        rows = rows.withColumn("__name", F.lit(""))
+    name = F.url_decode(F.replace(F.col("__name").cast("string"), F.lit("+"), F.lit("%2B")))
+    return rows.withColumns({n: name for n in extra}).drop("__name")
 
 
 def _footer(path: str):
@@ -62,11 +85,19 @@ def _footer(path: str):
 
 def parquet_schemas(spark: SparkSession, path) -> list[list[str]]:
     """Files grouped by the schema in their footers."""
-    found = per_file(listing(spark, path), _footer, "schema string").groupBy("schema").agg(
+    found = per_file(listing(spark, path).where(~F.col("file").rlike("^[._]")), _footer, "schema string").groupBy("schema").agg(
         F.sort_array(F.collect_list("path")).alias("paths"))
     return sorted(list(r["paths"]) for r in found.collect())
 
 
+def read_parquet(spark: SparkSession, path) -> DataFrame:
+    """All columns of all files: files of one schema are read together, several are stacked."""
+    groups = parquet_schemas(spark, path)
+    if len(groups) <= 1:
+        return nan_to_null(spark.read.parquet(path if isinstance(path, str) else groups[0][0]))
+    return nan_to_null(union([spark.read.parquet(*same) for same in groups]))
+
+
 def _elements(path: str):
     """(depth, number, element) at each end tag; the root's depth is 1, elements are numbered as
     they begin, and what has been read is let go."""

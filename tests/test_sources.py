@@ -148,3 +148,55 @@ def test_sinks(spark, tmp_path):
         [(0, 'a"0'), (1, 'a"1'), (2, 'a"2')])
     mr.write(df, str(tmp_path / "j"), "json")
     assert mr.read_any(spark, str(tmp_path / "j")).count() == 3
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, None])
+def test_quoted_breaks_by_ranges(spark, tmp_path, size):
+    text = 'a,b\n1,"x\ny ""q"","\n2,5" z\n3,"é\n\n,"\n4,"end"'
+    p = put(tmp_path / "q.csv", "﻿" + text)
+    out = mr.read_delimited(spark, p, range_bytes=size).result
+    assert rows(out) == norm([(1, 'x\ny "q",'), (2, '5" z'), (3, "é\n\n,"), (4, "end")])
+    tasks = out.rdd.getNumPartitions()
+    assert size != 1 or tasks > 1
+
+
+@pytest.mark.parametrize("size", [1, 9, None])
+def test_json_documents_by_ranges(spark, tmp_path, size):
+    made = [{"a": 1, "t": '}{"\\'}, {"a": 2, "n": {"x": [1, {"y": []}]}}, {"a": 3, "t": "é"}]
+    put(tmp_path / "c.json", "\n".join(json.dumps(o, indent=1) for o in made))
+    put(tmp_path / "d.json", json.dumps(made, indent=2))
+    df = mr.read_json(spark, str(tmp_path), range_bytes=size)
+    assert rows(df, "a", "t") == norm([(1, '}{"\\'), (2, None), (3, "é")] * 2)
+    mixed = put(tmp_path / "x" / "m.json", '{"a":\n 1}\n[{"a": 2}]')
+    with pytest.raises(Exception, match="side by side"):
+        mr.read_json(spark, mixed, range_bytes=size).count()
+
+
+def test_parquet_files_of_different_columns(spark, tmp_path):
+    spark.range(2).selectExpr("id", "id as a").write.parquet(str(tmp_path / "p"))
+    spark.range(3).selectExpr("id", "'z' as zz").write.mode("append").parquet(str(tmp_path / "p"))
+    out = mr.read_any(spark, str(tmp_path / "p"))
+    assert sorted(out.columns) == ["a", "id", "zz"] and out.count() == 5
+    assert out.where("zz = 'z'").count() == 3
+
+
+def test_open_quote_gives_lines_back(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "o.zip", "w") as z:
+        z.writestr("a.csv", 'id,t\n4,"p\nq"\n1,"abc\n2,x\n3,y\n')
+    path = str(tmp_path / "o.zip")
+    assert rows(mr.read_archive(spark, path)) == norm([(4, "p\nq"), (2, "x"), (3, "y")])
+    bad = mr.archive_bad_lines(mr.members(spark, path))
+    assert [r["line"] for r in bad.collect()] == ['1,"abc']
+
+
+def test_inventory_goes_on_after_broken_files(spark, tmp_path):
+    put(tmp_path / "a.csv", "x,y\n1,2\n")
+    put(tmp_path / "b.zip", b"PK\x03\x04 no archive")
+    put(tmp_path / "c.parquet", b"PAR1 cut")
+    put(tmp_path / "d.xml", "<all><r><v>1</v></r>")
+    with zipfile.ZipFile(tmp_path / "e.zip", "w") as z:
+        z.writestr("i.json", '[{"k": 1},\n {"k": 2}]')
+    seen = {r["file"]: (r["rows"], r["error"]) for r in mr.folder_inventory(spark, str(tmp_path)).collect()}
+    assert seen["a.csv"] == (1, None) and seen["e.zip/i.json"] == (2, None)
+    assert all(seen[f][0] == 0 and seen[f][1] for f in ("b.zip", "c.parquet", "d.xml"))
+    assert len(seen) == 5
