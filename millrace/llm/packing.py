@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .words import blocks, numbered, split_words, sums, text_of
 
 CAPACITY = 4096
 END = 2
-BLOCK = 2 << 20
-CACHED = 100_000                    # words in each of the two generations a task keeps
+BLOCK = 8 << 20
+CACHED = 400_000                    # words in each of the two generations a task keeps
 # Fixed: ASCII marks that end a run of letters and never compose with what stands before.
 MARKS = r"[.,;:!?*#$%&]"
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, "
@@ -48,24 +49,39 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        normal = self.model.normalizer
+        self.lowers = normal is not None and all(
+            normal.normalize_str(chr(c)) == chr(c + 32) for c in range(65, 91))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Each word's ids; a word that is met again stays, others go with their generation."""
-        missing = [w for w in words if w not in self.young and w not in self.old]
-        encoded = self.model.encode_batch_fast(missing, add_special_tokens=False)
-        fresh = dict(zip(missing, (array("I", e.ids).tobytes() for e in encoded)))
-        out = []
-        for w in words:
-            ids = self.young.get(w)
+        """Each word's ids; a word that is met again stays, others go with their generation.
+
+        Words of ASCII alone are kept in lower case where the tokeniser's own normaliser lowers
+        them: marks that could compose with a capital are not ASCII.
+        """
+        if self.lowers:
+            words = [w.lower() if w.isascii() else w for w in words]
+        found = list(map(self.young.get, words))
+        open_ = [i for i, ids in enumerate(found) if ids is None]
+        fresh = dict.fromkeys(words[i] for i in open_)
+        missing = []
+        for w in fresh:
+            ids = self.old.get(w)
             if ids is None:
-                ids = fresh.get(w) or self.old.get(w, b"")
-                self.young[w] = ids
-            out.append(ids)
+                missing.append(w)
+            else:
+                fresh[w] = ids
+        encoded = self.model.encode_batch_fast(missing, add_special_tokens=False)
+        for w, e in zip(missing, encoded):
+            fresh[w] = array("I", e.ids).tobytes()
+        self.young.update(fresh)
+        for i in open_:
+            found[i] = fresh[words[i]]
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
-        return out
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by ``END``; each text's bounds in them."""
@@ -89,6 +105,18 @@ class Tokens:
         return out, at
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The batches, put together until they hold so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Tightest:
     """A segment tree over remaining capacities: the least one, from a bound on, that is open."""
 
@@ -167,7 +195,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every row: full windows and a rest, with checksums of their ids."""
     def run(batches):
         tokens, task, seen = Tokens(path), TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in gathered(batches, BLOCK):
             doc_ids = batch.column("doc_id").to_pylist()
             for first, part in blocks(text_of(batch), BLOCK):
                 ids, at = tokens.encode(part)
