@@ -199,6 +199,12 @@ def _across(apart: DataFrame, joined: DataFrame) -> DataFrame:
         "hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"),
         F.col("component").alias("cb"),
         F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("j", "shingle"))
+    # Shingles whose rows all lie in one component have no pair to give.
+    split = (far.select("hub", "shingle", F.col("ca").alias("c"))
+             .unionByName(near.select("hub", "shingle", F.col("cb").alias("c")))
+             .groupBy("hub", "shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+             .where("low < high").select("hub", "shingle"))
+    far, near = (x.join(split, ["hub", "shingle"], "left_semi") for x in (far, near))
     shared = F.ceil((F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) / _SPREAD) / 2 - 1e-9)
     met = far.join(near, ["hub", "shingle"]).where(
         (F.col("ca") != F.col("cb")) & _fit(F.col("na"), F.col("nb"))

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from .words import text_of
 
 SIGMA = 1.0                     # lines
-MOST = 0.6                      # share of the content that an article or main element has to hold
 # Fixed sets of element names.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt "
              "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend "
@@ -31,7 +30,7 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
              "th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = set("script style noscript template head title nav aside form button select textarea "
-            "iframe object svg canvas dialog menu search audio video math".split())
+            "iframe object svg canvas dialog menu search audio video".split())
 PAGE_EDGE = {"header", "footer"}           # of the page; of an article only the footer
 REGIONS = {"article", "main"}
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
@@ -50,6 +49,9 @@ HEADER_LABEL = re.compile(r"^header$", re.I)
 ABOUT_OTHERS = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|is)[-_]\S+", re.I)
 # Labels that hold for all that stands inside, articles too.
 CERTAIN = re.compile(r"comment|disqus|repl|respond|discussion|related|recommend|side-?bar|promo", re.I)
+# Labels that parts of an article's own text also have: inside an article its lines decide.
+UNSURE = re.compile(r"^(?:(?!comment|disqus|repl|respond|recommend|side-?bar|promo).)*"
+                    r"(?:discussion|related|notices?|alerts?|legal|disclaimer|copyright)", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog",
          "alertdialog", "menu", "menubar", "toolbar", "alert", "advertisement", "note"}
 SPACE = re.compile(r"[ \t\n\r\f\v\xa0\s]+")
@@ -60,7 +62,7 @@ class Line:
     text: str
     tags: int
     linked: int
-    path: tuple[int, ...]           # numbers of the elements around it, outermost first
+    box: int                        # number of the innermost element around it, -1 for none
     dropped: bool
 
 
@@ -72,7 +74,12 @@ class Reader(HTMLParser):
         self.lines: list[Line] = []
         # Elements left out for their class or id, and whether articles inside go as well.
         self.labelled: dict[int, bool] = {}
-        self.kind: list[str] = []               # by number of element
+        # Labelled elements inside an article whose lines decide.
+        self.unsure: set[int] = set()
+        # By number of element; elements are numbered as they begin, so parents come first.
+        self.kind: list[str] = []
+        self.parent: list[int] = []
+        self.regions = 0                        # open article and main elements
         self.open: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.in_links = 0
@@ -81,9 +88,8 @@ class Reader(HTMLParser):
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            inner = self.open[-1][2] if self.open else False
-            self.lines.append(Line(text, self.tags, self.linked,
-                                   tuple(n for _, n, _ in self.open), inner))
+            _, box, inner = self.open[-1] if self.open else ("", -1, False)
+            self.lines.append(Line(text, self.tags, self.linked, box, inner))
             self.tags = 0
         self.linked = 0
 
@@ -92,6 +98,7 @@ class Reader(HTMLParser):
             self.flush()
         for tag, _, _ in self.open[at:]:
             self.in_links -= tag == "a"
+            self.regions -= tag in REGIONS
         del self.open[at:]
 
     def handle_starttag(self, tag, attrs):
@@ -114,22 +121,28 @@ class Reader(HTMLParser):
         attrs = dict(attrs)
         dropped = bool(self.open and self.open[-1][2]) or self._is_dropped(tag, attrs)
         names = [ABOUT_OTHERS.sub("", attrs.get(a) or "") for a in ("class", "id")]
-        label = next((v for v in names if LABELS.search(v) or HEADER_LABEL.search(v)), None)
+        label = next((v for v in names if LABELS.search(v)
+                      or HEADER_LABEL.search(v) and not self.regions), None)
         if label and tag not in ("html", "body", "main", "h1"):
-            self.labelled[len(self.kind)] = bool(CERTAIN.search(label))
+            if self.regions and UNSURE.search(label):
+                self.unsure.add(len(self.kind))
+            else:
+                self.labelled[len(self.kind)] = bool(CERTAIN.search(label))
         elif tag in REGIONS:
             # What is around an article is a frame, whatever its label, if that is not certain.
             if not any(self.labelled.get(n) for _, n, _ in self.open):
                 for _, n, _ in self.open:
                     self.labelled.pop(n, None)
         self.kind.append(tag)
+        self.parent.append(self.open[-1][1] if self.open else -1)
+        self.regions += tag in REGIONS
         self.open.append((tag, len(self.kind) - 1, dropped))
         self.in_links += tag == "a"
 
     def _is_dropped(self, tag: str, attrs: dict) -> bool:
         if tag in NEVER or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
-        if tag == "footer" or tag == "header" and not any(t in REGIONS for t, _, _ in self.open):
+        if tag == "footer" or tag == "header" and not self.regions:
             return True
         if tag in ("html", "body", *REGIONS, "h1"):
             return False
@@ -186,35 +199,59 @@ def two_means(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _inside(reader: Reader, marked) -> list[bool]:
+    """For each element whether it or an element around it is marked; the last entry is for none."""
+    out: list[bool] = []
+    for n, parent in enumerate(reader.parent):
+        out.append(n in marked or parent >= 0 and out[parent])
+    return out + [False]
+
+
+def _held(reader: Reader, boxes) -> list[int]:
+    """For each element how many of the boxes lie in it."""
+    held = [0] * (len(reader.parent) + 1)
+    for n in boxes:
+        held[n] += 1
+    for n in range(len(reader.parent) - 1, -1, -1):
+        if reader.parent[n] >= 0:
+            held[reader.parent[n]] += held[n]
+    return held
+
+
 def main_text(html: str) -> str:
     """The main text of one page: its lines joined by line feeds; empty if it has none."""
     reader = Reader()
     reader.feed(html)
     reader.close()
     lines = [x for x in reader.lines if not x.dropped]
-    out = set(reader.labelled)
+    labelled = _inside(reader, reader.labelled)
     # If labels leave nothing they do not mean what they say.
-    lines = [x for x in lines if not out.intersection(x.path)] or lines
+    lines = [x for x in lines if not labelled[x.box]] or lines
     if not lines:
         return ""
     ratio = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     level = smooth(ratio)
-    content = level >= min(two_means(level), level.max())
-    held: dict[int, int] = {}
-    total = 0
-    for x, is_content in zip(lines, content):
-        if is_content:
-            total += len(x.text)
-            for n in x.path:
-                held[n] = held.get(n, 0) + len(x.text)
-    named = [n for n, chars in held.items() if chars >= MOST * total and reader.kind[n] in REGIONS]
-    depth = {n: d for x in lines for d, n in enumerate(x.path)}
-    boxes = [n for n, chars in held.items() if chars == total and reader.kind[n] in (
-        "div", "section", "td", "body", "html", "center", "table", "main", "article")]
-    pick = max(named or boxes, key=lambda n: depth[n], default=None)
-    if named:
-        pick = min(named, key=lambda n: (reader.kind[n] != "article", depth[n]))
-    return "\n".join(x.text for x in lines if pick is None or pick in x.path)
+    border = min(two_means(level), level.max())
+    # A part of an article with an unsure label goes unless a line of its own is content.
+    sure = _held(reader, [x.box for x, r in zip(lines, ratio) if r >= border])
+    empty = _inside(reader, {n for n in reader.unsure if not sure[n]})
+    content = [x for x, r in zip(lines, level) if r >= border and not empty[x.box]]
+    every, lines = lines, [x for x in lines if not empty[x.box]]
+    if not content:
+        return "\n".join(x.text for x in lines)
+    region = _inside(reader, {n for n, kind in enumerate(reader.kind) if kind in REGIONS})
+    if all(region[x.box] for x in content):
+        # Whole articles, the outermost first: those with content, and others with a line that
+        # is half as dense as content has to be.
+        some = _held(reader, [x.box for x, r in zip(every, ratio) if r >= border / 2 and not empty[x.box]])
+        picked = _inside(reader, {n for n, kind in enumerate(reader.kind) if kind in REGIONS and some[n]})
+    else:
+        held = _held(reader, [x.box for x in content])
+        boxes = [n for n, chars in enumerate(held[:-1]) if chars == len(content) and reader.kind[n] in (
+            "div", "section", "td", "body", "html", "center", "table", "main", "article")]
+        # Those that hold all lie inside each other; the last one began last.
+        picked = _inside(reader, {boxes[-1]}) if boxes else None
+    return "\n".join(x.text for x in lines if picked is None or picked[x.box])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -108,10 +108,22 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def _score(kind: str, before: Column) -> Column:
+    if kind == "iban":
+        return F.lit(SCORES[kind])                  # its check suffices, whatever stands before
     return (F.lit(SCORES[kind]) + F.when(before.rlike(WORDS[kind]), CONTEXT).otherwise(0.0)
             - F.when(before.rlike(AGAINST), CONTEXT).otherwise(0.0))
 
 
+def _taken(kind: str, hit: Column) -> Column:
+    """The part of a match that is valid, null if none is. An account number may have taken in the
+    capitals after it: it is tried without its last group as well."""
+    whole = F.when(_valid(kind, hit), hit)
+    if kind != "iban":
+        return whole
+    less = F.regexp_replace(hit, " [A-Z0-9]{1,4}$", "")
+    return F.coalesce(whole, F.when(_valid(kind, less), less))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """The valid matches of one kind: leftmost, not overlapping, failing ones dropped."""
     pattern, rank = PATTERNS[kind], KINDS.index(kind)
@@ -128,10 +140,12 @@ def spans_of(text: Column, kind: str) -> Column:
             start, end = s["at"] + p["gap"], s["at"] + p["gap"] + p["size"]
             before = F.lower(F.substring(text, F.greatest(F.lit(1), start - REACH + 1),
                                          F.least(F.lit(REACH), start)))
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
+            taken = _taken(kind, p["hit"])
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"),
+                            (start + F.length(taken)).cast("int").alias("end"),
                             F.lit(kind).alias("kind"), _score(kind, before).alias("score"))
             return F.struct(
-                F.when(_valid(kind, p["hit"]), F.concat(s["out"], F.array(span)))
+                F.when(taken.isNotNull(), F.concat(s["out"], F.array(span)))
                 .otherwise(s["out"]).alias("out"), end.alias("at"))
 
         return F.aggregate(pairs, F.struct(_none().alias("out"), F.lit(0).alias("at")), step)["out"]

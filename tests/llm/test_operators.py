@@ -533,6 +533,48 @@ def test_main_text_over_sibling_boxes():
 
 # 10: sentencepiece
 
+def test_account_numbers_stand_by_their_check(spark):
+    rows = [(1, "Invoice to DE89 3704 0044 0532 0130 00"), (2, "IBAN ES91 2100 0418 4502 0005 1332 BIC"),
+            (3, "standing order DE89 3704 0044 0532 0130 01")]
+    got = by_id(pii.detect(table(spark, rows)))
+    assert got[1]["spans"] == "iban:11:38" and got[2]["spans"] == "iban:5:34"
+    assert "iban" not in got[3]["spans"]
+
+
+SENTENCE = "This is a sentence with quite a few words in it to be read. "
+
+
+def framed(body):
+    return (f"<html><body><nav><a href=x>home</a><a href=y>about</a></nav>{body}"
+            "<footer>copyright</footer></body></html>")
+
+
+@pytest.mark.parametrize("body,inside,outside", [
+    (f"<main><div><p>LEAD {SENTENCE * 2}</p></div><article><p>{SENTENCE * 4}</p></article>"
+     f"<div><p>END {SENTENCE * 2}</p></div></main>", ["LEAD", "END"], ["home"]),
+    (f"<article><p>FIRST {SENTENCE * 12}</p></article><article><p>SECOND {SENTENCE * 6}</p></article>",
+     ["FIRST", "SECOND"], ["copyright"]),
+    *[(f"<article><p>{SENTENCE * 3}</p><section {label}><h2>Own</h2><p>INSIDE {SENTENCE * 3}</p>"
+       f"</section><p>{SENTENCE * 3}</p></article>", ["INSIDE"], [])
+      for label in ("id=discussion", "class=related-work", "class=notice-board", "class=legal",
+                    "class=alert")],
+    (f"<article><div class=header><h2>TITLE</h2><p>by ME</p></div><p>{SENTENCE * 3}</p>"
+     f"<p>so <math><mi>EMC</mi></math> holds {SENTENCE}</p></article>", ["TITLE", "ME", "EMC"], []),
+    (f"<article><p>{SENTENCE * 5}</p><div class=comments><p>COMM {SENTENCE * 3}</p></div></article>",
+     [], ["COMM"])])
+def test_main_text_keeps_all_content(body, inside, outside):
+    text = pages.main_text(framed(body))
+    assert all(w in text for w in inside) and not any(w in text for w in outside)
+
+
+def test_main_text_of_deep_pages_takes_linear_time():
+    import time
+
+    start = time.process_time()
+    assert pages.main_text("<div>word " * 20_000).count("word") == 20_000
+    assert time.process_time() - start < 10
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return unigram.Pieces.from_model(queries.tokenizer("piece_bpe_32k.model"))
