@@ -231,7 +231,7 @@ def main_text(html: str) -> str:
         return ""
     ratio = np.array([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in lines])
     level = smooth(ratio)
-    border = min(two_means(level), level.max())
+    border = min(two_means(level), level.max()) * (1 - 1e-9)       # equal levels stay together
     # A part of an article with an unsure label goes unless a line of its own is content.
     sure = _held(reader, [x.box for x, r in zip(lines, ratio) if r >= border])
     empty = _inside(reader, {n for n in reader.unsure if not sure[n]})
