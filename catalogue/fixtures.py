@@ -109,15 +109,20 @@ def in_hundreds(df: DataFrame, key: str, line, name: str, head: str = "", tail:
 
 
 def zip_files(members: DataFrame, path: str) -> str:
-    """Write rows (archive, member, text) as ZIP archives below ``path``, one task an archive."""
+    """Write rows (archive, member, text) as ZIP archives below ``path``, one task an archive.
+
+    Texts are in UTF-8, or in the ``encoding`` that their rows name.
+    """
     import pandas as pd
 
     def pack(key, batch: pd.DataFrame) -> pd.DataFrame:
         with create_file(f"{path}/{key[0]}") as out, zipfile.ZipFile(out, "w") as z:
-            for member, text in sorted(zip(batch["member"], batch["text"])):
-                z.writestr(member, text)
+            for member, text, encoding in sorted(zip(batch["member"], batch["text"], batch["encoding"])):
+                z.writestr(member, text.encode(encoding))
         return pd.DataFrame({"done": [1]})
 
+    if "encoding" not in members.columns:
+        members = members.withColumn("encoding", F.lit("utf-8"))
     members.groupBy("archive").applyInPandas(pack, "done int").write.format("noop").mode(
         "overwrite").save()
     return path

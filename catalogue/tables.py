@@ -386,6 +386,19 @@ def zip_stray_quotes(t):
     return mr.read_archive(t.spark, marked_zips(t, "\n"), "c.csv")
 
 
+@query("zip_legacy_encoding", """
+    select c_custkey, c_name || case when c_custkey % 7 = 0 then ' caf\u00e9 \u20ac' else '' end as c_name
+    from customer""")
+def zip_legacy_encoding(t):
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 7 == 0, " caf\u00e9 \u20ac").otherwise(""))
+    files = in_hundreds(t.customer, "c_custkey", F.concat_ws(",", "c_custkey", name), "c%s.zip",
+                        "c_custkey,c_name\n")
+    odd = F.regexp_extract("name", r"(\d+)", 1).cast("int") % 2 == 1
+    return mr.read_archive(t.spark, zip_files(files.select(
+        F.col("name").alias("archive"), F.lit("c.csv").alias("member"), "text",
+        F.when(odd, "cp1252").otherwise("utf-8").alias("encoding")), mr.scratch_path(t.spark, "zips")))
+
+
 @query("zip_bad_lines_report", """
     select distinct 'c' || cast(c_custkey // 100 as varchar) || '.zip' as archive,
         'c.csv' as member, '1,2,3' as line from customer""")

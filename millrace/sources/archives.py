@@ -8,6 +8,7 @@ import shutil
 import zipfile
 from collections.abc import Sequence
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,6 +22,8 @@ from .structured import read_json, read_xml
 
 # Python-to-Arrow batch size for streamed lines.
 BATCH_LINES = 4096
+# White space that makes a blank line, in any encoding.
+BLANK = " \t\v\f\r\n"
 
 
 def members(spark: SparkSession, path: str | Sequence[str], *,
@@ -103,28 +106,51 @@ def _records(stream, sep: str):
         waiting = iter(held[1:])
 
 
-def _decoded(z: zipfile.ZipFile, member: str):
-    """The member as text; the encoding is settled by its whole content, streamed."""
-    encoding = "latin-1"
-    for candidate in ("utf-8-sig", "cp1252"):
+# Encodings tried for a member, in this order; Latin-1, which fits any bytes, is the last.
+ENCODINGS = ("utf-8", "cp1252")
+
+
+def _readings(line: str) -> tuple[str | None, ...]:
+    """A line read as Latin-1, by each of ``ENCODINGS``; None where its bytes do not allow it."""
+    raw, out = line.encode("latin-1"), []
+    for encoding in ENCODINGS:
         try:
-            with z.open(member) as raw:
-                reader = io.TextIOWrapper(raw, encoding=candidate, newline="")
-                while reader.read(1 << 20):
-                    pass
-            encoding = candidate
-            break
+            out.append(raw.decode(encoding))
         except UnicodeDecodeError:
-            continue
-    return io.TextIOWrapper(z.open(member), encoding=encoding, newline="")
+            out.append(None)
+    return tuple(out)
+
+
+def scanned(z: zipfile.ZipFile, member: str):
+    """(sep, line, broken) of every filled record of a member, which is inflated once.
+
+    Lines are given as Latin-1, one character a byte: line ends, quotes and delimiters stand at the
+    same places in every encoding, so that it can be settled when the member has been read.
+    """
+    with io.TextIOWrapper(z.open(member), encoding="latin-1", newline="") as text:
+        head: list[str] = []
+        size = 0
+        for line in text:
+            head.append(line if head else line.removeprefix("\xef\xbb\xbf"))
+            size += len(line)
+            if size >= 4 * HEAD_CHARS:
+                break
+        sep = sniff("".join(head).encode("latin-1").decode("utf-8", "replace")[:HEAD_CHARS])
+        some = False
+        for record, broken in _records(chain(head, text), sep):
+            if record.strip(BLANK):
+                some = True
+                yield sep, record, broken
+        if not some:
+            yield sep, "", False
 
 
 def _opened(batches):
-    """Each member of the batches with its archive open: (zip, archive, member, name)."""
+    """Each member of the batches with its archive open: (zip, path, archive, member, name)."""
     for batch in batches:
         for path, *which in zip(batch["path"], batch["archive"], batch["member"], batch["name"]):
             with open_file(path) as fh, zipfile.ZipFile(fh) as z:
-                yield z, *which
+                yield z, path, *which
 
 
 def _spread(found: DataFrame) -> DataFrame:
@@ -136,46 +162,61 @@ def _delimited(found: DataFrame) -> DataFrame:
     return found.filter(F.col("ext").isin(*DELIMITED))
 
 
-def member_heads(found: DataFrame) -> DataFrame:
-    """(archive, member, name, sep, header) of delimited members, from their first lines."""
+def member_lines(found: DataFrame) -> DataFrame:
+    """(path, archive, member, name, sep, line_no, line, broken): the filled records of delimited
+    members. The header is line 0, empty in an empty member; a broken line has a quote that is
+    never closed.
+
+    Each member is inflated once and its lines are written to the scratch folder with what they
+    read as in each encoding; the first encoding that fits all lines of a member is then taken.
+    """
     import pandas as pd
 
-    names = ["archive", "member", "name", "sep", "header"]
+    names = ["path", "archive", "member", "name", "sep", "line_no", "line", "broken"]
+    read_as = [f"as{i}" for i in range(len(ENCODINGS))]
 
     def run(batches):
-        for z, archive, member, name in _opened(batches):
-            with _decoded(z, member) as text:
-                sep = sniff(text.read(HEAD_CHARS))
-            with _decoded(z, member) as text:
-                filled = (r for r, _ in _records(text, sep) if r.strip())
-                header = next(csv.reader([next(filled, "")], delimiter=sep), [])
-            yield pd.DataFrame([(archive, member, name, sep, header)], columns=names)
-
-    return _spread(_delimited(found)).mapInPandas(
-        run, "archive string, member string, name string, sep string, header array<string>")
-
-
-def member_lines(found: DataFrame) -> DataFrame:
-    """(archive, member, name, line_no, line, broken): the filled records of delimited members,
-    streamed. The header is line 0; a broken line has a quote that is never closed."""
+        for z, path, archive, member, name in _opened(batches):
+            for start, held in _batched(scanned(z, member)):
+                seps, lines, broken = zip(*held)
+                frame = pd.DataFrame({"path": path, "archive": archive, "member": member,
+                                      "name": name, "sep": seps, "line_no": range(start, start + len(lines)),
+                                      "line": lines, "broken": broken})[names]
+                # A line of ASCII reads the same in all encodings and is kept once.
+                plain = [line.isascii() for line in lines]
+                read = [(None,) * len(ENCODINGS) if p else _readings(line)
+                        for p, line in zip(plain, lines)]
+                for i, c in enumerate(read_as):
+                    frame[c] = pd.Series([r[i] for r in read], dtype=object)
+                frame["fits"] = [sum(1 << i for i, x in enumerate(r) if p or x is not None)
+                                 for p, r in zip(plain, read)]
+                yield frame
+
+    lines = materialize(_spread(_delimited(found)).mapInPandas(
+        run, "path string, archive string, member string, name string, sep string, line_no long, "
+        f"line string, broken boolean, {', '.join(f'{c} string' for c in read_as)}, fits int"), "lines")
+    # Members that the first encoding does not fit; few, if any, have to be told apart.
+    odd = lines.groupBy("path", "member").agg(F.bit_and("fits").alias("all")).where("(all & 1) = 0")
+    text = F.when(F.col("all").isNull(), F.coalesce(read_as[0], "line"))
+    for i, c in enumerate(read_as[1:], 1):
+        text = text.when(F.col("all").bitwiseAND(1 << i) > 0, F.coalesce(c, "line"))
+    return lines.join(odd, ["path", "member"], "left").withColumn(
+        "line", text.otherwise(F.col("line"))).select(*names)
+
+
+def member_heads(lines: DataFrame) -> DataFrame:
+    """(path, archive, member, name, sep, header) of the members whose ``member_lines`` are given."""
     import pandas as pd
 
-    names = ["archive", "member", "name", "line_no", "line", "broken"]
-
     def run(batches):
-        for z, archive, member, name in _opened(batches):
-            with _decoded(z, member) as text:
-                sep = sniff(text.read(HEAD_CHARS))
-            with _decoded(z, member) as text:
-                filled = (r for r in _records(text, sep) if r[0].strip())
-                for start, found in _batched(filled):
-                    lines, broken = zip(*found)
-                    yield pd.DataFrame({"archive": archive, "member": member, "name": name,
-                                        "line_no": range(start, start + len(lines)),
-                                        "line": lines, "broken": broken})[names]
+        for batch in batches:
+            out = batch.drop(columns="line")
+            out["header"] = pd.Series([next(csv.reader([line], delimiter=sep), [])
+                                       for sep, line in zip(batch["sep"], batch["line"])], dtype=object)
+            yield out
 
-    return _spread(_delimited(found)).mapInPandas(
-        run, "archive string, member string, name string, line_no long, line string, broken boolean")
+    return lines.where("line_no = 0").select("path", "archive", "member", "name", "sep", "line").mapInPandas(
+        run, "path string, archive string, member string, name string, sep string, header array<string>")
 
 
 def _batched(records):
@@ -189,26 +230,27 @@ def _batched(records):
         yield start, held
 
 
-def _parsed(found: DataFrame, keep_lines: bool) -> list[tuple[list[str], DataFrame]]:
+def _parsed(found: DataFrame) -> list[tuple[list[str], DataFrame]]:
     """For each header its names and the lines under it as ``__r``, with archive and member.
 
     A member's header is told once; only headers come to the driver. The archives are unpacked
     by one pass; the lines are parsed by Spark.
     """
-    heads = materialize(member_heads(found), "heads")
-    lines = member_lines(found).filter("line_no > 0")
-    lines = materialize(lines, "lines") if keep_lines or heads.select(
-        "sep", "header").distinct().count() > 1 else lines
+    lines = member_lines(found)
+    heads = materialize(member_heads(lines), "heads")
+    kinds = heads.select("sep", "header").distinct().orderBy("sep", "header").collect()
     out = []
-    for r in heads.select("sep", "header").distinct().orderBy("sep", "header").collect():
+    for r in kinds:
         names = unique_names([h or f"Unnamed: {i}" for i, h in enumerate(r["header"])])
-        mine = heads.filter((F.col("sep") == r["sep"]) & (
-            F.col("header") == F.array(*map(F.lit, r["header"])) if r["header"]
-            else F.size("header") == 0)).select("archive", "member")
+        rows = lines.filter("line_no > 0")
+        if len(kinds) > 1:
+            mine = heads.filter((F.col("sep") == r["sep"]) & (
+                F.col("header") == F.array(*map(F.lit, r["header"])) if r["header"]
+                else F.size("header") == 0)).select("path", "member")
+            rows = rows.join(mine, ["path", "member"], "left_semi")
         schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-        rows = lines.join(mine, ["archive", "member"], "left_semi").withColumn(
-            "__r", F.from_csv("line", schema, {"sep": r["sep"], "escape": '"'}))
-        out.append((names, rows))
+        out.append((names, rows.withColumn(
+            "__r", F.from_csv("line", schema, {"sep": r["sep"], "escape": '"'}))))
     return out
 
 
@@ -216,7 +258,7 @@ def archive_bad_lines(found: DataFrame) -> DataFrame:
     """(archive, member, line_no, line) of the lines with more fields than their header, and of
     those with a quote that is never closed."""
     parts = [rows.filter(F.col("broken") | F.col("__r").getField(f"c{len(names)}").isNotNull())
-             .select("archive", "member", "line_no", "line") for names, rows in _parsed(found, True)]
+             .select("archive", "member", "line_no", "line") for names, rows in _parsed(found)]
     if not parts:
         raise ValueError("no delimited member to read")
     return reduce(DataFrame.unionByName, parts)
@@ -231,7 +273,7 @@ def read_members(found: DataFrame, *, infer: bool = True, source_column: str | N
     tokens = [*NULL_TOKENS, *null_tokens]
     extra = {source_column: "archive", member_column: "name"}
     parts = []
-    for names, rows in _parsed(found, infer):
+    for names, rows in _parsed(found):
         rows = rows.filter(~F.col("broken") & F.col("__r").getField(f"c{len(names)}").isNull())
         cells = [F.col("__r").getField(f"c{i}") for i in range(len(names))]
         parts.append(rows.select(*[F.when(~c.isin(*tokens), c).alias(n) for c, n in zip(cells, names)],
@@ -254,7 +296,7 @@ def unpack(found: DataFrame, folder: str) -> DataFrame:
     import pandas as pd
 
     def run(batches):
-        for z, archive, member, name in _opened(batches):
+        for z, _, archive, member, name in _opened(batches):
             target = f"{folder}/{archive}/{member}"
             with z.open(member) as source, create_file(target) as out:
                 shutil.copyfileobj(source, out, 1 << 20)

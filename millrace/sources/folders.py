@@ -169,9 +169,10 @@ def folder_inventory(spark: SparkSession, folder: str) -> DataFrame:
         known = F.col("ext").isin(*MEMBER_TYPES)
         parts.append(inside.filter(~known).select("file", "ext", "bytes", "modified", *_unknown()))
         text = found.filter(F.col("ext").isin(*DELIMITED))
-        rows = member_lines(text).groupBy("archive", "member").agg(
+        lines = member_lines(text)
+        rows = lines.groupBy("archive", "member").agg(
             F.count_if((F.col("line_no") > 0) & ~F.col("broken")).alias("rows"))
-        heads = member_heads(text).select("archive", "member", F.col("header").alias("columns"))
+        heads = member_heads(lines).select("archive", "member", F.col("header").alias("columns"))
         parts.append(inside.filter(F.col("ext").isin(*DELIMITED)).join(
             heads, ["archive", "member"]).join(rows, ["archive", "member"], "left").select(
             "file", "ext", "bytes", "modified", F.coalesce("rows", F.lit(0)).alias("rows"), "columns",

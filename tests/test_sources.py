@@ -7,6 +7,7 @@ import pytest
 from helpers import norm, rows
 
 import millrace as mr
+from millrace.sources import archives as archives_module
 from millrace.sources.delimited import detect
 from millrace.sources.html import parse_tables
 
@@ -189,6 +190,36 @@ def test_open_quote_gives_lines_back(spark, tmp_path):
     assert [r["line"] for r in bad.collect()] == ['1,"abc']
 
 
+def test_members_in_several_encodings(spark, tmp_path):
+    text = "id,t\n" + "".join(f"{i},caf\u00e9 {i}\n" for i in range(9))
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("a.csv", b"\xef\xbb\xbf" + text.encode())
+        z.writestr("b.csv", (text + "9,\u20ac\n").encode("cp1252"))
+        z.writestr("c.csv", text.encode("latin-1") + b"9,\x81\n")
+        z.writestr("d.csv", "")
+    found = mr.members(spark, str(tmp_path))
+    got = {}
+    for r in archives_module.member_lines(found).where("line_no > 0").collect():
+        got.setdefault(r["name"], {})[r["line_no"]] = r["line"]
+    want = {i + 1: f"{i},caf\u00e9 {i}" for i in range(9)}
+    assert got == {"a.csv": want, "b.csv": want | {10: "9,\u20ac"}, "c.csv": want | {10: "9,\x81"}}
+    heads = archives_module.member_heads(archives_module.member_lines(found))
+    assert {r["name"]: r["header"] for r in heads.collect()} == {
+        **dict.fromkeys(("a.csv", "b.csv", "c.csv"), ["id", "t"]), "d.csv": []}
+
+
+def test_members_are_inflated_once(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "m.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.csv", "id;t\n" + "".join(f"{i};\u00e9\n" for i in range(50_000)))
+    read, plain = [], zipfile.ZipExtFile._read1
+    monkeypatch.setattr(zipfile.ZipExtFile, "_read1",
+                        lambda self, n: read.append(plain(self, n)) or read[-1])
+    with zipfile.ZipFile(tmp_path / "m.zip") as z:
+        records = list(archives_module.scanned(z, "a.csv"))
+        assert sum(map(len, read)) == z.getinfo("a.csv").file_size
+    assert len(records) == 50_001 and records[0] == (";", "id;t", False)
+
+
 def test_inventory_goes_on_after_broken_files(spark, tmp_path):
     put(tmp_path / "a.csv", "x,y\n1,2\n")
     put(tmp_path / "b.zip", b"PK\x03\x04 no archive")
