@@ -38,6 +38,12 @@ def aggregate_basic(t):
     return rounded(rounded(out, 2, "price_sum"), 3, "price_mean")
 
 
+@query("aggregate_product", """
+    select l_orderkey, product(l_linenumber) as l_linenumber_prod from lineitem group by 1""")
+def aggregate_product(t):
+    return mr.aggregate(t.lineitem, ["l_orderkey"], [("l_linenumber", "prod")])
+
+
 @query("aggregate_first_last", f"""
     select o_custkey, arg_min(note, o_orderkey) filter (note is not null) as note_first,
         arg_max(note, o_orderkey) filter (note is not null) as note_last

@@ -197,6 +197,29 @@ def profile_sql(c: str, kind: str) -> str:
 
 query("profile_columns", " union all ".join(profile_sql(c, k) for c, k in PROFILED.items()))(
     lambda t: mr.profile(holes(t)))
+query("profile_top_values", " union all ".join(f"""
+    select '{c}' as "column", first(v order by n desc, v) as top_value, max(n) as top_count from (
+        select cast({c} as varchar) as v, count(*) as n from lineitem group by 1)"""
+    for c in ("l_returnflag", "l_linestatus", "l_linenumber")) + """
+    union all select 'l_rowid', null, null""")(
+    # A column of unique values has no top value that could be proven.
+    lambda t: mr.top_values(t.lineitem.select(
+        "l_returnflag", "l_linestatus", "l_linenumber",
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("l_rowid"))))
+query("profile_nested", """
+    select 'o_orderkey' as "column", 'bigint' as type, count(*) as non_null, 0.0 as null_pct,
+        count(distinct o_orderkey) as "unique", cast(min(o_orderkey) as varchar) as min,
+        cast(max(o_orderkey) as varchar) as max, cast(min(o_orderkey) as varchar) as top_value
+    from orders union all
+    select 'parts', 'array<string>', count(*) filter (o_orderstatus <> 'F'),
+        round(count(*) filter (o_orderstatus = 'F') * 100 / count(*), 1), null, null, null, null
+    from orders""")(
+    lambda t: mr.profile(t.orders.select("o_orderkey", F.when(
+        F.col("o_orderstatus") != "F", F.split("o_orderpriority", "-")).alias("parts"))))
+query("nulls_fill_every_column", f"""
+    select o_orderkey, coalesce(status, '0') as status, coalesce(price, 0) as price,
+        coalesce(cust, 0) as cust, coalesce(priority, '0') as priority from {HOLES}""")(
+    lambda t: cleaned(t, ("*", "fill", "0")))
 query("value_counts", f"""
     select 'status' as "column", status as value, count(*) as count from {HOLES}
     where status is not null group by 2 union all

@@ -176,6 +176,28 @@ def delta_repeated_keys(t):
     return mr.delta(current, baseline, ["k"], compare=["s"])
 
 
+# A cell that becomes null while its neighbour gets its value is a change.
+SHIFTED = """select o_orderkey as k, case when o_orderkey % 3 = {r} then o_orderstatus end as a,
+    case when o_orderkey % 3 <> {r} then o_orderstatus end as b from orders
+    where o_orderkey % 7 <> {r}"""
+
+
+@query("delta_null_moves", f"""
+    with c as ({SHIFTED.format(r=1)}), b as ({SHIFTED.format(r=2)})
+    select c.*, case when b.k is null then 'NEW' else 'CHANGED' end as delta_status
+    from c left join b on c.k = b.k
+    where b.k is null or c.a is distinct from b.a or c.b is distinct from b.b
+    union all select b.*, 'DELETED' from b where k not in (select k from c)""")
+def delta_null_moves(t):
+    def side(r):
+        moved, status = F.col("o_orderkey") % 3 == r, F.col("o_orderstatus")
+        return t.orders.where(F.col("o_orderkey") % 7 != r).select(
+            F.col("o_orderkey").alias("k"), F.when(moved, status).alias("a"),
+            F.when(~moved, status).alias("b"))
+
+    return mr.delta(side(1), side(2), ["k"])
+
+
 # Unions: customers and suppliers share some columns under common names.
 PARTIES = """select c_custkey as key, c_name as name, c_acctbal as acctbal,
     c_mktsegment as segment, cast(null as integer) as nation, {a} from customer union all

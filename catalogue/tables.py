@@ -399,6 +399,41 @@ def zip_legacy_encoding(t):
         F.when(odd, "cp1252").otherwise("utf-8").alias("encoding")), mr.scratch_path(t.spark, "zips")))
 
 
+def twice_named(t: Tables) -> str:
+    path = mr.scratch_path(t.spark, "twice")
+    raw_lines(t.customer, "id,name,name,name", F.concat_ws(
+        ",", "c_custkey", "c_mktsegment", F.col("c_custkey") + 1, F.lit("x")), path)
+    return path
+
+
+@query("csv_repeated_header", """
+    select c_custkey as id, c_mktsegment as name, c_custkey + 1 as "name.1", 'x' as "name.2"
+    from customer""")
+def csv_repeated_header(t):
+    return mr.read_delimited(t.spark, twice_named(t)).result
+
+
+@query("csv_files_by_name", """
+    select c_custkey, c_name from customer where c_custkey // 100 in (0, 2)""")
+def csv_files_by_name(t):
+    files = in_hundreds(t.customer, "c_custkey", F.concat_ws(",", "c_custkey", "c_name"), "c%s.csv",
+                        "c_custkey,c_name\n")
+    have = [r["name"] for r in files.where("name in ('c0.csv', 'c2.csv')").select("name").collect()]
+    return mr.union_folder(t.spark, text_files(files, mr.scratch_path(t.spark, "named")), have)
+
+
+@query("cast_errors_written", """
+    select 'result' as output, count(*) as rows, 2 as columns from orders union all
+    select 'errors', count(*), 5 from orders where o_orderpriority not like '%9%'""")
+def cast_errors_written(t):
+    out = mr.cast_types(t.orders.select("o_orderkey", "o_orderpriority"), [
+        {"column": "o_orderpriority", "target_type": "integer"}], report_columns=["o_orderkey"])
+    path = mr.scratch_path(t.spark, "outputs")
+    seen = mr.write_outputs({"result": out.result, "errors": out.errors}, path)
+    return mr.run_summary({r["output"].rsplit("/", 1)[-1]: t.spark.read.parquet(r["output"])
+                           for r in seen})
+
+
 @query("zip_bad_lines_report", """
     select distinct 'c' || cast(c_custkey // 100 as varchar) || '.zip' as archive,
         'c.csv' as member, '1,2,3' as line from customer""")

@@ -8,7 +8,7 @@ from .operators.dedup import deduplicate, duplicate_rows
 from .operators.delta import delta
 from .operators.joins import denormalize, join, join_chain, join_tables
 from .operators.nulls import handle_nulls, null_audit, replace_tokens
-from .operators.profile import preview, profile, run_summary, value_counts
+from .operators.profile import preview, profile, run_summary, top_values, value_counts
 from .operators.ranking import rank_rows
 from .operators.shape import (conform, drop_columns, flatten, keep_columns, move_after,
                               prefix_columns, rename, split_columns, tag_source)
@@ -31,6 +31,6 @@ __all__ = [
     "normalise_output", "null_audit", "prefix_columns", "preview", "profile", "rank_rows",
     "read_any", "read_archive", "read_delimited", "read_html", "read_json", "read_parquet",
     "read_xml", "rename", "replace_tokens", "routing", "run_summary", "scratch_path", "ship",
-    "split_columns", "tag_source", "tune", "union", "union_folder", "union_members", "value_counts", "where",
-    "write", "write_outputs",
+    "split_columns", "tag_source", "top_values", "tune", "union", "union_folder", "union_members",
+    "value_counts", "where", "write", "write_outputs",
 ]

@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.names import as_list, col, quoted, require, unused, with_keys
-from ..plans.ordered import in_chunks, order_key, ordering, quantile_middle, sizes
+from ..plans.ordered import Sizes, in_chunks, order_key, ordering, quantile_middle, sizes
 from ..session import materialize
 
 SEPARATOR = "|"
@@ -78,10 +78,10 @@ def _sorted_text(agg: Agg, order_by: Sequence[str]) -> Column:
 
 
 def _long_text(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg],
-               order_by: Sequence[str], total: int) -> DataFrame:
+               order_by: Sequence[str], size: Sizes) -> DataFrame:
     """Ordered concatenation in two steps: per range chunk, then the chunk texts per key."""
     chunk = unused(df, "chunk")
-    rows = in_chunks(df, keys, [col(o).asc_nulls_first() for o in order_by], chunk, total,
+    rows = in_chunks(df, keys, [col(o).asc_nulls_first() for o in order_by], chunk, size,
                      "concat")
     by_keys = [col(k) for k in keys]
     parts = rows.groupBy(*by_keys, chunk).agg(
@@ -104,7 +104,8 @@ def _grouped(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg], order_by:
     """All aggregates of ``df`` by ``keys`` in one pass, plus a pass for each kind of
     whole-group aggregate that turns out not to fit in one task."""
     whole = [a for a in aggs if a.function in ("median", "concat")]
-    size = sizes(df, keys) if whole else None
+    texts = [a for a in whole if a.function == "concat"]
+    size = sizes(df, keys, [a.column for a in texts]) if whole else None
     small = whole and size.fit(max_group_rows)
 
     def value(a: Agg) -> Column:
@@ -119,11 +120,10 @@ def _grouped(df: DataFrame, keys: Sequence[str], aggs: Sequence[Agg], order_by:
     outputs = [value(a).alias(a.output) for a in direct] or [F.count(F.lit(1)).alias("__rows")]
     result = df.groupBy(*by_keys).agg(*outputs)
     if whole and not small:
-        texts = [a for a in whole if a.function == "concat"]
         extra = [quantile_middle(df, a.column, keys, a.output, max_group_rows=max_group_rows)
                  for a in whole if a.function == "median"]
         if texts:
-            extra.append(_long_text(df, keys, texts, order_by, size.total))
+            extra.append(_long_text(df, keys, texts, order_by, size))
         names = [f"__k{i}" for i in range(len(keys))]
         for table in extra:
             new = [c for c in table.columns if c not in keys]

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import as_list, col, require
+from ..session import materialize
 from .shape import finish, keep_columns
 from .union import common_type, union
 
@@ -17,31 +20,47 @@ MODES = {
 }
 
 
+def _values(df: DataFrame, compare: Sequence[str]) -> list[Column]:
+    """What tells the compared values of two rows apart, equal for equal rows.
+
+    Two 64-bit digests, which hash aggregation keeps in place; a hash passes over nulls, so which
+    cells are null is part of what is hashed. Nested values, in which nulls may stand anywhere, are
+    kept as they are.
+    """
+    cells = [col(c) for c in compare]
+    if any(isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+           for c in compare):
+        return [F.struct(*cells)]
+    blank = [F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])] if cells else []
+    return [F.xxhash64(F.lit(i), *blank, *cells) for i in range(2)] if cells else []
+
+
 def key_status(current: DataFrame, baseline: DataFrame, keys: Sequence[str],
                compare: Sequence[str]) -> DataFrame:
     """One row per key that is NEW, CHANGED or DELETED.
 
     A key is changed when some current row differs from some baseline row, that is
     when the compared values of both sides together are not all equal. Minimum and
-    maximum decide that with partial aggregation, so repeated keys are never paired
-    with each other.
+    maximum of their 128-bit digests decide that with partial aggregation, so repeated
+    keys are never paired with each other.
     """
     def side(df: DataFrame, is_current: bool) -> DataFrame:
         return df.select(
             *[col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
             F.lit(is_current).alias("__cur"),
-            F.struct(F.lit(0).alias("_"), *[col(c).alias(f"v{i}") for i, c in enumerate(compare)])
-            .alias("__v"))
+            *[v.alias(f"__v{i}") for i, v in enumerate(_values(df, compare))])
 
     both = side(current, True).unionAll(side(baseline, False))
+    values = [c for c in both.columns if c.startswith("__v")]
+    differ = [F.min(v) != F.max(v) for v in values]
     facts = both.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(
         F.max("__cur").alias("__in_cur"), F.min("__cur").alias("__only_cur"),
-        *([F.min("__v").alias("__lo"), F.max("__v").alias("__hi")] if compare else []))
-    changed = ~F.col("__lo").eqNullSafe(F.col("__hi")) if compare else F.lit(False)
+        reduce(or_, differ, F.lit(False)).alias("__differs"))
+    changed = F.col("__differs")
     status = (F.when(F.col("__only_cur"), "NEW").when(~F.col("__in_cur"), "DELETED")
               .when(changed, "CHANGED"))
     return (facts.withColumn("__status", status).filter("__status is not null")
-            .drop("__in_cur", "__only_cur", "__lo", "__hi"))
+            .drop("__in_cur", "__only_cur", "__differs"))
 
 
 def _one_type(current: DataFrame, baseline: DataFrame, columns: Sequence[str],
@@ -78,6 +97,9 @@ def delta(current: DataFrame, baseline: DataFrame, keys: Sequence[str], *,
     current, baseline = _one_type(current, baseline, [*keys, *compare])
     status = key_status(current, baseline, keys, compare)
     wanted = MODES[mode]
+    if "DELETED" in wanted:
+        # Both sides look keys up: they are compared once, and only differing keys are written.
+        status = materialize(status, "status")
 
     def rows(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
         names = [f"__k{i}" for i in range(len(keys))]

@@ -11,6 +11,8 @@ rows than there are chunks; while those are few, it is broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,6 +22,8 @@ from ..session import materialize
 
 # Largest group (rows) that a single window task may be given.
 GROUP_ROWS = 2_000_000
+# Most bytes of its cells, where whole cells are gathered.
+GROUP_BYTES = 256 << 20
 # Up to so many chunks a carry table, with fewer rows than chunks, is broadcast.
 FEW_CHUNKS = 20_000
 
@@ -27,23 +31,33 @@ METHODS = ("row_number", "rank", "dense_rank")
 
 
 class Sizes(NamedTuple):
-    """Rows in the biggest group and in all groups together."""
+    """Rows in the biggest group and in all groups together, and the same of bytes."""
 
     largest: int
     total: int
+    most_bytes: int = 0
+    total_bytes: int = 0
 
     def fit(self, limit: int | None) -> bool:
-        return self.largest <= (GROUP_ROWS if limit is None else limit)
+        return (self.largest <= (GROUP_ROWS if limit is None else limit)
+                and self.most_bytes <= GROUP_BYTES)
 
+    @property
+    def chunks(self) -> int:
+        """Chunks of which each is as small as a group that one task may be given."""
+        return max(-(-self.total // GROUP_ROWS), -(-self.total_bytes // GROUP_BYTES))
 
-def sizes(df: DataFrame, keys: Sequence[str]) -> Sizes:
-    """Count the groups, merged map-side; only two numbers reach the driver."""
-    if not keys:
-        n = df.count()
-        return Sizes(n, n)
-    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
-    return Sizes(largest or 0, total or 0)
+
+def sizes(df: DataFrame, keys: Sequence[str], weigh: Sequence[str] = ()) -> Sizes:
+    """Count the groups, merged map-side; only a few numbers reach the driver.
+
+    ``weigh`` names columns whose cells are gathered, and whose bytes count too.
+    """
+    weight = reduce(add, [F.coalesce(F.octet_length(col(c).cast("string")), F.lit(0)).cast("long")
+                          for c in weigh], F.lit(0).cast("long"))
+    counts = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"),
+                                                     F.sum(weight).alias("b"))
+    return Sizes(*[n or 0 for n in counts.agg(F.max("n"), F.sum("n"), F.max("b"), F.sum("b")).first()])
 
 
 def order_key(names: Sequence[str]) -> Column:
@@ -57,13 +71,13 @@ def ordering(c: Column, ascending: bool) -> Column:
 
 
 def in_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: str,
-              total: int, label: str) -> DataFrame:
+              size: Sizes, label: str) -> DataFrame:
     """Range partition by (keys, order) and fix the result, with its chunk number.
 
     There are enough chunks for each to be as small as a group one task may be given.
     """
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(usual, -(-total // GROUP_ROWS))
+    n = max(usual, size.chunks)
     split = df.repartitionByRange(n, *[col(k).asc_nulls_first() for k in keys], *order)
     return materialize(split.withColumn(chunk, F.spark_partition_id()), label)
 
@@ -108,7 +122,7 @@ def number(df: DataFrame, rank_by: str | None, keys: Sequence[str], out: str, *,
     if not ties:
         # Equal values may fill many chunks: spread them by content and by input task.
         ties = [F.xxhash64(*[col(c) for c in df.columns]), F.spark_partition_id()]
-    rows = in_chunks(df, keys, lead + ties, chunk, size.total, "rank")
+    rows = in_chunks(df, keys, lead + ties, chunk, size, "rank")
     local = Window.partitionBy(col(chunk), *[col(k) for k in keys])
     if method == "row_number":
         counts = rows.groupBy(chunk, *[col(k) for k in keys]).agg(
@@ -183,7 +197,7 @@ def carry_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str],
         return fill(df, by_keys)
 
     chunk = unused(df, "chunk")
-    rows = in_chunks(df, keys, [o.asc_nulls_first() for o in order], chunk, size.total, "fill")
+    rows = in_chunks(df, keys, [o.asc_nulls_first() for o in order], chunk, size, "fill")
     edge = F.min_by if backward else F.max_by
     position = order_key(order_by)
     ends = rows.groupBy(chunk, *by_keys).agg(*[
@@ -214,7 +228,7 @@ def running_sum(df: DataFrame, value: str, keys: Sequence[str], order_by: str, o
     if size.fit(max_group_rows):
         return total(df, by_keys)
     chunk = unused(df, "chunk")
-    rows = in_chunks(df, keys, [order], chunk, size.total, "sum")
+    rows = in_chunks(df, keys, [order], chunk, size, "sum")
     carry = (rows.groupBy(chunk, *by_keys).agg(F.sum(col(value)).alias("__s"))
              .withColumn("__base", F.sum("__s").over(_before(keys, chunk)))
              .filter("__base is not null").drop("__s"))

@@ -236,12 +236,42 @@ def test_profile_and_chain(spark):
                         "unique": 2, "min": "x", "max": "y", "top_value": "x"}
     approx = {r["column"]: r["unique"] for r in mr.profile(df, approximate=True).collect()}
     assert approx == {"a": 2, "b": 2}
+    nested = frame(spark, "a int, m map<string, int>, l array<int>", [(1, {"x": 1}, None), (1, None, None)])
+    assert {r["column"]: r["null_pct"] for r in mr.profile(nested).collect()} == {"a": 0, "m": 50, "l": 100}
+    only = {r["column"]: r["non_null"] for r in mr.profile(nested.select("l"), approximate=True).collect()}
+    assert only == {"l": 0}
     with pytest.raises(KeyError) as e:
         mr.chain(df, lambda d: mr.drop_columns(d, ["b"]),
                  lambda d: mr.aggregate(d, ["b"], [("a", "sum")]))
     assert "step 2" in e.value.__notes__[0]
 
 
+def test_top_values_are_proven_or_left_out(spark):
+    n = 60_000
+    df = spark.range(n, numPartitions=8).select(
+        F.col("id").alias("unique"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.col("id").cast("string")).alias("heavy"), (F.col("id") % 4).alias("tie"),
+        F.lit(None).cast("string").alias("blank"), F.when(F.col("id") < 5, 1.5).alias("few"))
+    got = {r["column"]: (r["top_value"], r["top_count"]) for r in mr.top_values(df).collect()}
+    assert got == {"unique": (None, None), "heavy": ("hot", n // 3), "tie": ("0", n // 4),
+                   "blank": (None, None), "few": ("1.5", 5)}
+    assert mr.top_values(df.limit(0)).where("top_value is not null").count() == 0
+
+
+def test_delta_tells_nulls_and_nested_values_apart(spark):
+    def side(*values):
+        return frame(spark, "k int, a string, b string, d double, l array<int>",
+                     [(i, *v) for i, v in enumerate(values)])
+
+    one = side((None, "x", 0.0, [None, 1]), ("xy", "z", None, []), (None, None, float("nan"), None))
+    two = side(("x", None, 0.0, [None, 1]), ("x", "yz", None, []), (None, None, float("nan"), None))
+    three = side((None, "x", -0.0, [1, None]), ("xy", "z", None, []), (None, None, float("nan"), None))
+    for names, other, changed in ((["a", "b", "d"], two, [0, 1]), (["a", "b", "d"], three, []),
+                                  (["a", "l"], two, [0, 1]), (["l"], three, [0])):
+        out = mr.delta(one, other, ["k"], compare=names)
+        assert sorted(r["k"] for r in out.collect()) == changed
+
+
 def test_row_operators_accept_streams(spark, tmp_path):
     frame(spark, "id int, s string", [(1, "a"), (2, "b")]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id int, s string").parquet(str(tmp_path / "in"))

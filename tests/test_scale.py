@@ -100,6 +100,26 @@ def test_delta_never_pairs_repeated_keys(spark):
     assert out.count() == 30000
 
 
+def test_delta_keeps_digests_only(spark):
+    left = spark.range(1000).select("id", F.col("id").cast("string").alias("s"))
+    out = mr.delta(left, left.withColumn("s", F.concat("s", F.lit("x"))), ["id"], mode="changed_only")
+    assert "SortAggregate" not in plan(out) and "HashAggregate" in plan(out)
+
+
+def test_concatenation_is_gated_by_bytes(spark, monkeypatch):
+    from millrace.plans import ordered
+
+    df = spark.range(300).select("id", F.lit("k").alias("k"), F.expr("repeat('x', 1000)").alias("text"))
+    assert ordered.sizes(df, ["k"], ["text"])[:] == (300, 300, 300_000, 300_000)
+    monkeypatch.setattr(ordered, "GROUP_BYTES", 20_000)
+    size = ordered.sizes(df, ["k"], ["text"])
+    assert not size.fit(None) and size.chunks == 15 and ordered.sizes(df, ["k"]).fit(None)
+    rows_ = ordered.in_chunks(df, ["k"], [F.col("id").asc()], "c", size, "t")
+    assert rows_.groupBy("c").count().agg(F.max("count")).first()[0] <= 60
+    out = mr.aggregate(df, ["k"], [("text", "concat")], order_by=["id"]).first()
+    assert out["text_concat"] == "|".join(["x" * 1000] * 300)
+
+
 def test_chunked_results_survive_recomputation(spark, hot):
     """The carry table and the rows come from one written table, not from two shuffles."""
     from millrace.plans.ordered import number
