@@ -199,13 +199,11 @@ query("profile_columns", " union all ".join(profile_sql(c, k) for c, k in PROFIL
     lambda t: mr.profile(holes(t)))
 query("profile_top_values", " union all ".join(f"""
     select '{c}' as "column", first(v order by n desc, v) as top_value, max(n) as top_count from (
-        select cast({c} as varchar) as v, count(*) as n from lineitem group by 1)"""
-    for c in ("l_returnflag", "l_linestatus", "l_linenumber")) + """
-    union all select 'l_rowid', null, null""")(
+        select cast({c} as varchar) as v, count(*) as n from orders group by 1)"""
+    for c in ("o_orderstatus", "o_orderpriority")) + """
+    union all select 'o_orderkey', null, null from orders having count(*) = count(distinct o_orderkey)""")(
     # A column of unique values has no top value that could be proven.
-    lambda t: mr.top_values(t.lineitem.select(
-        "l_returnflag", "l_linestatus", "l_linenumber",
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("l_rowid"))))
+    lambda t: mr.top_values(t.orders.select("o_orderstatus", "o_orderpriority", "o_orderkey")))
 query("profile_nested", """
     select 'o_orderkey' as "column", 'bigint' as type, count(*) as non_null, 0.0 as null_pct,
         count(distinct o_orderkey) as "unique", cast(min(o_orderkey) as varchar) as min,
