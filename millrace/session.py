@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Long lists of files are listed by this many tasks, not by one task for each file.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
     # Generated methods beyond the JIT compiler's limit would run interpreted: split those stages.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +16,8 @@ MEMBER_TYPES = (*DELIMITED, "json", "xml")
 FILE_TYPES = (*MEMBER_TYPES, "html", "htm", "parquet", "zip")
 # Files or members that one task reads one after the other.
 ITEMS = 100
+# Rows of several files that a task hands over together.
+BATCH_ROWS = 4096
 
 
 def open_file(path: str):
@@ -60,11 +63,9 @@ def per_file(files: DataFrame, read, schema: str) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            for path in batch["path"]:
-                rows = [(path, *row) for row in read(path)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", *names])
+        rows = ((path, *row) for batch in batches for path in batch["path"] for row in read(path))
+        while held := list(islice(rows, BATCH_ROWS)):
+            yield pd.DataFrame(held, columns=["path", *names])
 
     return each_alone(files.select("path"), "path").mapInPandas(run, f"path string, {schema}")
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
+from itertools import chain
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.names import col
 from ..operators.shape import flatten
 from ..operators.union import union
-from ..session import scratch_path
-from .files import listing, open_file, per_file
+from ..session import scratch_path, ship
+from .files import create_file, listing, open_file, per_file
 from .inference import nan_to_null
 from .ranges import Nesting, records
 
@@ -54,6 +58,62 @@ def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = No
     return union([one(paths, whole) for whole, paths in sorted(forms.items())])
 
 
+def _keys(text: str, path: str):
+    """The key paths of a value and what stands there: null (0), an object (1) or another (2).
+
+    What is no object or array of objects is named by its file, which is then like no other.
+    """
+    try:
+        value = json.loads(text)
+        open_ = [([], v) for v in (value if isinstance(value, list) else [value])]
+        if not all(isinstance(v, dict) for _, v in open_):
+            return {path}
+    except (ValueError, RecursionError):
+        return {path}
+    found = {"{}"} if open_ else set()
+    while open_:
+        at, value = open_.pop()
+        for key, inner in value.items():
+            kind = 1 if isinstance(inner, dict) else 0 if inner is None else 2
+            found.add(json.dumps([kind, *at, key]))
+            if kind == 1:
+                open_.append(([*at, key], inner))
+    return found
+
+
+def _alike(parts: DataFrame) -> list[list[str]]:
+    """Files (``path``) grouped by the set of their different ``part``."""
+    sets = parts.groupBy("path").agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    found = sets.groupBy("parts").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return sorted(list(r["paths"]) for r in found.select("paths").collect())
+
+
+def json_alike(spark: SparkSession, path) -> list[tuple[list[str], bool]]:
+    """Files with the same keys, and whether they are documents: read together, they have the
+    columns that each of them has alone. Files without a value are left out."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            found = {(p, k) for p, text in zip(batch["path"], batch["value"]) if text.strip()
+                     for k in _keys(text, p)}
+            if found:
+                yield pd.DataFrame(sorted(found), columns=["path", "part"])
+
+    ship(spark)
+    out = []
+    for whole, paths in sorted(json_forms(spark, path).items()):
+        rows = (records(spark, paths, Nesting()) if whole else spark.read.text(paths).withColumn(
+            "path", F.col("_metadata.file_path"))).select("path", "value")
+        out += [(same, whole) for same in _alike(rows.mapInPandas(run, "path string, part string"))]
+    return out
+
+
+def xml_alike(spark: SparkSession, path) -> list[list[str]]:
+    """Files with the same shapes of records; those without a record are left out."""
+    return _alike(per_file(listing(spark, path), _record_shapes, "part string"))
+
+
 def _json_documents(spark: SparkSession, paths, extra: Mapping[str, Column],
                     range_bytes: int | None) -> DataFrame:
     """The objects of documents, however many stand in a file, split over tasks by byte ranges.
@@ -123,6 +183,78 @@ def _record_tags(path: str):
         yield sorted(tags), len(tags) == 1 and not tags & deeper
 
 
+class _Shapes:
+    """The shapes of a document's records, as XML: their elements with a mark for their text.
+
+    An element's equal children stand at most twice, which tells that they are repeated.
+    """
+
+    def __init__(self):
+        self.found: set[str] = set()
+        self._open: list[tuple[str, list[str], dict[str, int]]] = []
+
+    def start(self, tag, attributes):
+        self._open.append((tag, [], {}))
+
+    def text(self, text):
+        parts = self._open[-1][1]
+        mark = " " if text.isspace() else "x"
+        if not parts or parts[-1][0] == "<":
+            parts.append(mark)
+        elif mark == "x":
+            parts[-1] = mark
+
+    def end(self, tag):
+        _, parts, _ = self._open.pop()
+        shape = f"<{tag}>{''.join(parts)}</{tag}>"
+        if len(self._open) == 1:
+            self.found.add(shape)
+        elif self._open:
+            _, outer, seen = self._open[-1]
+            seen[shape] = seen.get(shape, 0) + 1
+            if seen[shape] <= 2:
+                outer.append(shape)
+
+
+def _record_shapes(path: str):
+    shapes = _Shapes()
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler = shapes.start, shapes.end
+    parser.CharacterDataHandler = shapes.text
+    with open_file(path) as fh:
+        parser.ParseFile(fh)
+    return [(shape,) for shape in sorted(shapes.found)]
+
+
+def _xml(spark: SparkSession, row_tag: str):
+    return (spark.read.format("xml").option("rowTag", row_tag)
+            .option("inferSchema", False).option("excludeAttribute", True))
+
+
+def _xml_schema(spark: SparkSession, path, row_tag: str) -> T.StructType:
+    """Spark's schema of the records. It follows from their shapes, so Spark is given each shape
+    once, in few files: its own pass over many small files runs in one task."""
+    import pandas as pd
+
+    folder = scratch_path(spark, "shapes")
+
+    def write(batches):
+        shapes = chain.from_iterable(batch["shape"] for batch in batches)
+        first = next(shapes, None)
+        if first is not None:
+            with create_file(f"{folder}/{uuid.uuid4().hex}.xml") as out:
+                out.write(b"<all>")
+                for shape in chain([first], shapes):
+                    out.write(shape.encode() + b"\n")
+                out.write(b"</all>")
+        yield pd.DataFrame({"done": [1]})
+
+    shapes = per_file(listing(spark, path), _record_shapes, "shape string").select("shape").distinct()
+    shapes.mapInPandas(write, "done int").write.format("noop").mode("overwrite").save()
+    return _xml(spark, row_tag).load(folder).schema
+
+
 def row_tags(spark: SparkSession, path) -> dict[str | None, list[str]]:
     """Files by their record tag; under None those whose records differ in tag."""
     tag = F.when(F.col("plain"), F.get("tags", F.lit(0))).alias("tag")
@@ -185,8 +317,7 @@ def read_xml(spark: SparkSession, path, extra: Mapping[str, Column] | None = Non
         if not parts:
             raise ValueError(f"no records at {path}")
         return parts[0] if len(parts) == 1 else union(parts)
-    raw = (spark.read.format("xml").option("rowTag", row_tag)
-           .option("inferSchema", False).option("excludeAttribute", True).load(path))
+    raw = _xml(spark, row_tag).schema(_xml_schema(spark, path, row_tag)).load(path)
     tags: dict[str, list[Column]] = {}
     for field in raw.schema.fields:
         name = row_tag if field.name == "_VALUE" else field.name

@@ -7,9 +7,11 @@ import pytest
 from helpers import norm, rows
 
 import millrace as mr
-from millrace.sources import archives as archives_module
+from millrace.sources import (archives as archives_module, delimited as delimited_module,
+                              folders as folders_module, structured as structured_module)
 from millrace.sources.delimited import detect
 from millrace.sources.html import parse_tables
+from millrace.sources.ranges import Quotes
 
 
 def put(path, text, encoding="utf-8"):
@@ -231,3 +233,73 @@ def test_inventory_goes_on_after_broken_files(spark, tmp_path):
     assert seen["a.csv"] == (1, None) and seen["e.zip/i.json"] == (2, None)
     assert all(seen[f][0] == 0 and seen[f][1] for f in ("b.zip", "c.parquet", "d.xml"))
     assert len(seen) == 5
+
+
+def test_members_of_many_archives_are_read_together(spark, tmp_path, monkeypatch):
+    for i in range(4):
+        (tmp_path / f"d{i % 2}").mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / f"d{i % 2}" / f"z{i // 2}.zip", "w") as z:
+            z.writestr("i.json", f'{{"k": {i}}}\n{{"k": {10 + i}}}')
+            z.writestr("x.xml", f"<all><r><k>{20 + i}</k></r></all>")
+    read, plain = [], archives_module.read_json
+    monkeypatch.setattr(archives_module, "read_json", lambda *a: read.append(a) or plain(*a))
+    paths = [str(tmp_path / f"d{i % 2}" / f"z{i // 2}.zip") for i in range(4)]
+    out = mr.union_members(spark, paths, source_column="src")
+    assert rows(out, "k", "src") == norm([(str(k + i), f"z{i // 2}.zip") for i in range(4)
+                                          for k in (0, 10, 20)])
+    assert len(read) == 1
+
+
+def test_xml_schema_from_few_files(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path / f"{i}.xml", "<a>" + f"<r><x>{i}</x><x/><y>m <z>1</z></y></r>" * 3 + "</a>")
+    put(tmp_path / "e.xml", "<a><r/><r><x> </x><w> </w></r></a>")
+    shapes, plain = [], structured_module.per_file
+    structured_module.per_file = lambda files, read, schema: shapes.append(plain(files, read, schema)) or shapes[-1]
+    try:
+        out = mr.read_xml(spark, str(tmp_path))
+    finally:
+        structured_module.per_file = plain
+    assert rows(out, "x", "y", "z", "w") == norm([(None, "m", "1", None)] * 120 + [(None,) * 4] * 2)
+    assert shapes[1].distinct().count() == 42 and shapes[1].select("shape").distinct().count() == 3
+
+
+def test_inventory_reads_alike_members_together(spark, tmp_path, monkeypatch):
+    made = {"a": '{"k": 1, "n": {"x": 1}}\n{"k": 2}', "b": '{"n": {"x": 5}, "k": "t"}',
+            "c": '[{"k": 1},\n {"q": [1]}]', "d": '{"n": null}\n{"n": {}}', "e": '{"n": {"x": 1}}\n{"n": 7}'}
+    for name, text in made.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("s.json", text)
+            z.writestr("t.xml", f"<all><r><{name in 'ab'}>1</{name in 'ab'}></r></all>")
+    read = {"json": [], "xml": []}
+    for kind in read:
+        plain = getattr(folders_module, f"read_{kind}")
+        monkeypatch.setattr(folders_module, f"read_{kind}", lambda *a, _p=plain, _k=kind, **k:
+                            read[_k].append(a) or _p(*a, **k))
+    seen = {r["file"]: (r["rows"], r["columns"]) for r in mr.folder_inventory(spark, str(tmp_path)).collect()}
+    assert seen == {"a.zip/s.json": (2, ["k", "n.x"]), "b.zip/s.json": (1, ["k", "n.x"]),
+                    "c.zip/s.json": (2, ["k", "q"]), "d.zip/s.json": (2, []),
+                    "e.zip/s.json": (2, ["n"])} | {
+        f"{n}.zip/t.xml": (1, [str(n in "ab")]) for n in made}
+    assert (len(read["json"]), len(read["xml"])) == (4, 2)
+
+
+def test_ranges_of_many_files_are_read_once(spark, tmp_path):
+    for i in range(30):
+        put(tmp_path / f"{i}.csv", '\n\na,b\n' + "".join(f'{i},"x\n{j}"\n' for j in range(5)))
+    reads = spark.sparkContext.accumulator(0)
+
+    class Counted(Quotes):
+        def records(self, *a):
+            reads.add(1)
+            return super().records(*a)
+
+    plain = delimited_module.Quotes
+    delimited_module.Quotes = Counted
+    try:
+        out = mr.read_delimited(spark, str(tmp_path), range_bytes=16).result
+    finally:
+        delimited_module.Quotes = plain
+    assert rows(out) == norm([(i, f"x\n{j}") for i in range(30) for j in range(5)])
+    ranges = sum(-(-p.stat().st_size // 16) for p in tmp_path.glob("*.csv"))
+    assert reads.value == ranges
