@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import shutil
 import zipfile
@@ -20,6 +21,8 @@ from .files import DELIMITED, MEMBER_TYPES, create_file, each_alone, listing, op
 from .inference import NULL_TOKENS, infer_types
 from .structured import read_json, read_xml
 
+# The column that tells an unpacked member's file.
+FILE = "__unpacked"
 # Python-to-Arrow batch size for streamed lines.
 BATCH_LINES = 4096
 # White space that makes a blank line, in any encoding.
@@ -289,20 +292,27 @@ def read_members(found: DataFrame, *, infer: bool = True, source_column: str | N
 
 
 def unpack(found: DataFrame, folder: str) -> DataFrame:
-    """Write members out as ``folder/<archive>/<member>`` and return their (path, archive, name).
+    """Write members out as files of one ``folder``, however many archives they come from, and
+    return their (file, archive, member); ``file`` is the name there.
 
-    Each member is streamed by its own task; whole-document readers can then use it.
+    Each member is streamed by its own task; whole-document readers can then use the folder.
     """
     import pandas as pd
 
+    columns = ["file", "archive", "member"]
+
     def run(batches):
-        for z, _, archive, member, name in _opened(batches):
-            target = f"{folder}/{archive}/{member}"
-            with z.open(member) as source, create_file(target) as out:
+        rows = []
+        for z, path, archive, member, _ in _opened(batches):
+            file = "m" + hashlib.md5(f"{path}\0{member}".encode("utf-8", "surrogatepass")).hexdigest()
+            with z.open(member) as source, create_file(f"{folder}/{file}") as out:
                 shutil.copyfileobj(source, out, 1 << 20)
-            yield pd.DataFrame([(target, archive, name)], columns=["path", "archive", "name"])
+            rows.append((file, archive, member))
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
-    return _spread(found).mapInPandas(run, "path string, archive string, name string")
+    return materialize(_spread(found).mapInPandas(
+        run, "file string, archive string, member string").distinct(), "members")
 
 
 def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | None = None, *,
@@ -337,15 +347,15 @@ def stacked_members(spark: SparkSession, chosen: DataFrame, *, infer: bool,
     for kind, read in (("json", read_json), ("xml", read_xml)):
         if kind not in kinds:
             continue
-        # One folder for each archive, so that a file's folder tells its archive.
+        # All members are read together; a row's file tells its archive.
         folder = scratch_path(spark, "unpacked")
-        done = unpack(chosen.filter(F.col("ext") == kind), folder).select("path", "archive").collect()
-        archives: dict[str, list[str]] = {}
-        for r in done:
-            archives.setdefault(r["archive"] if source_column else "", []).append(r["path"])
-        for archive, paths in sorted(archives.items()):
-            table = read(spark, paths)
-            parts.append(table.withColumn(source_column, F.lit(archive)) if source_column else table)
+        done = unpack(chosen.filter(F.col("ext") == kind), folder)
+        if not source_column:
+            parts.append(read(spark, folder))
+            continue
+        table = read(spark, folder, {FILE: F.col("_metadata.file_name")})
+        archive = done.select(F.col("file").alias(FILE), F.col("archive").alias(source_column))
+        parts.append(table.join(archive, FILE).drop(FILE))
     return parts[0] if len(parts) == 1 else union(parts)
 
 
