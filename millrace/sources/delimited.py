@@ -11,6 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import col, unique_names
+from ..session import materialize
 from .files import listing, open_file, per_file
 from .inference import NULL_TOKENS, blank_to_null, infer_types
 from .ranges import Quotes, records
@@ -143,7 +144,9 @@ def _read_split(spark: SparkSession, layout: Layout, schema: str, source_column:
 
     The header is the first record; it may begin in any range if blank lines come before it.
     """
-    rows = records(spark, list(layout.paths), Quotes(layout.sep), layout.encoding, range_bytes)
+    # The header, the types and the rows are found by passes of their own; Python runs once.
+    rows = materialize(records(spark, list(layout.paths), Quotes(layout.sep), layout.encoding,
+                               range_bytes), "records")
     heads = rows.groupBy("path").agg(F.min(F.struct("low", "no")).alias("head"))
     body = rows.join(F.broadcast(heads) if len(layout.paths) <= FEW_FILES else heads, "path").where(
         F.struct("low", "no") > F.col("head"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize
-from .files import each_alone, listing, open_file
+from .files import BATCH_ROWS, each_alone, listing, open_file
 
 RANGE_BYTES = 32 << 20
 CHUNK = 1 << 20
@@ -191,6 +191,7 @@ def records(spark: SparkSession, path: str | Sequence[str], automaton, encoding:
                                                     F.lit(size).cast("long"))).alias("low"), "bytes")
     cut = cut.select("path", "low", F.least(F.col("low") + size, "bytes").alias("high"))
     kinds = len(automaton.starts)
+    columns = ["path", "low", "value", "no"]
 
     def summarize(batches):
         for batch in batches:
@@ -198,39 +199,44 @@ def records(spark: SparkSession, path: str | Sequence[str], automaton, encoding:
                 index=False, name=None)]
             yield batch
 
-    def begin(key, rows):
-        rows = rows.sort_values("low")
-        state = depth = 0
-        states, depths = [], []
-        for ends in rows["map"]:
-            states.append(state)
-            depths.append(depth)
-            state, depth = int(ends[state]), depth + int(ends[kinds + state])
-        return rows.assign(state=states, depth=depths).drop(columns="map")
+    def begin(batches):
+        """The states of ranges that come by file, in order."""
+        file, state, depth = None, 0, 0
+        for batch in batches:
+            states, depths = [], []
+            for path, ends in zip(batch["path"], batch["map"]):
+                if path != file:
+                    file, state, depth = path, 0, 0
+                states.append(state)
+                depths.append(depth)
+                state, depth = int(ends[state]), depth + int(ends[kinds + state])
+            yield batch.assign(state=states, depth=depths).drop(columns="map")
 
     def read(batches):
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             for file, low, high, state, depth in batch[["path", "low", "high", "state", "depth"]].itertuples(
                     index=False, name=None):
-                held, size, no = [], 0, 0
+                no = 0
                 for raw in automaton.records(file, low, high, state, depth):
-                    if not low and not no and not held:
+                    if not low and not no:
                         raw = raw.removeprefix(b"\xef\xbb\xbf")
                     text = raw.decode(encoding, "replace").strip("\r\n")
                     if text.strip():
-                        held.append(text)
+                        held.append((file, low, text, no))
+                        no += 1
                         size += len(raw)
-                    if size >= BATCH_BYTES:
-                        yield pd.DataFrame({"path": file, "low": low, "value": held,
-                                            "no": range(no, no + len(held))})
-                        no, held, size = no + len(held), [], 0
-                if held:
-                    yield pd.DataFrame({"path": file, "low": low, "value": held,
-                                        "no": range(no, no + len(held))})
+                    if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                        yield pd.DataFrame(held, columns=columns)
+                        held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=columns)
 
     spans = "path string, low long, high long"
     maps = each_alone(cut, "path", "low").mapInPandas(summarize, f"{spans}, map array<int>")
-    states = materialize(maps.groupBy("path").applyInPandas(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    states = materialize(maps.repartition(tasks, "path").sortWithinPartitions("path", "low").mapInPandas(
         begin, f"{spans}, state int, depth int"), "states")
     return each_alone(states, "path", "low").mapInPandas(
         read, "path string, low long, value string, no long")
