@@ -10,11 +10,17 @@ Of two lines at most three edits apart, either the beginning or the end of half
 most one edit. Such a half is cut into two pieces:
 
 * One piece has no edit; if it is the inner one, it may stand one place off. Its hash is a *spot*,
-  eight for each line. Only lines that share a spot with another line go on, by that spot.
+  eight for each line. Only lines that share a spot with another line go on, by that spot. In a
+  spot shared by few, lines are paired at once; also in all others, if the pairs are not many.
 * The other piece has at most one edit, so the two have a variant in common that lacks at most one
   code point. All these variants are hashed together with the spot: the *keys* that lines are
   joined by. A key whose lines all agree in the piece is left to the key of the whole piece.
 
+A pair is dropped where the lengths or the letters differ by more than the edits allow: of a line
+the counts of ``CLASSES`` classes of letters are kept, each modulo 32, which is exact for lines that
+are near (``_alike``). Every line is split, hashed and cut once and written as such; texts are only
+fetched for what is left.
+
 Lines of a key shared by few are all compared; each drop is confirmed by the edit distance. In a
 key shared by many each line is compared with the earliest one. Where lines are left that are not
 near it, the lines of the key are cut again: what lies outside the half is at most three edits
@@ -28,21 +34,28 @@ both lines touch (``_grid``); a line has the pieces of one or two such steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache, lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.session import materialize
 
 from .pii import renewed
+from .words import bytes_of
 
 MIN_CHARS = 20
 PER_EDIT = 10
 MOST = 3                        # edits that the halves are made for
-FEW = 16                        # lines of one key that are all compared
+FEW = 16                        # lines of one spot or key that are all compared
 DIRECT = 4                      # pairs for each line that are compared rather than cut further
+WIDE = 64                       # pairs for each line of which letters are compared
+DEAL = 256                      # lines of a spot that one task holds against all of it
+CLASSES = 12                    # of letters, 5 bits each
 SHORT = 8                       # steps up to which a part is not cut any more
 ID_BITS = 40                    # of a line's id by which the lines of a spot are told apart
 ENDS = " \t\v\f\r"
@@ -56,9 +69,9 @@ def bound(chars: Column, edits: int) -> Column:
         F.least(F.lit(edits), F.floor(chars / PER_EDIT).cast("int")))
 
 
-def _key(line: Column) -> Column:
+def _key(line: Column) -> list[Column]:
     """128 bits of hash."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(2), line).alias("b"))
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(2), line).alias("b")]
 
 
 def _places(docs: DataFrame) -> DataFrame:
@@ -69,11 +82,11 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """One row for each compared line: ``first`` (its place), ``line`` and ``key``."""
+    """``missing, doc, no`` (its place), ``line, a, b`` (128 bits of hash) of each compared line."""
     split = _places(docs).select("missing", "id", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    line = split.select(F.struct("missing", "id", "no").alias("first"),
+    line = split.select("missing", F.col("id").alias("doc"), "no",
                         F.trim("raw", F.lit(ENDS)).alias("line")).where(F.length("line") >= least)
-    return line.select("first", "line", _key(F.col("line")).alias("key"))
+    return line.select("*", *_key(F.col("line")))
 
 
 def _grid(n: Column) -> Column:
@@ -92,33 +105,75 @@ def _grids(n: np.ndarray) -> np.ndarray:
     return np.where(n < 32, np.maximum(n, 0) // 4 * 4, n // 32 * 32)
 
 
-def _hash_pieces(parts: list[str], paths: np.ndarray, step: np.ndarray) -> dict[str, np.ndarray]:
-    """``row, spot, code, whole`` of the pieces of each part, by hashes of its beginnings."""
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+@cache
+def _letters() -> np.ndarray:
+    """A hash of every code point."""
+    return _mixed(np.arange(1, 0x110001, dtype=np.uint64))
+
+
+@cache
+def _classes() -> np.ndarray:
+    """One in the bits of the class of every code point."""
+    return np.uint64(1) << (np.arange(0x110000, dtype=np.uint64) % np.uint64(CLASSES) * np.uint64(5))
+
+
+@lru_cache(1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``2 ** bits`` powers of the base and of its inverse."""
+    out = []
+    for base in (_BASE, _BACK):
+        power = np.full(1 << bits, base, np.uint64)
+        power[0] = 1
+        out.append(np.cumprod(power, dtype=np.uint64))
+    return tuple(out)
+
+
+def _codes(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all parts, and how many each one has."""
+    parts = parts.cast(pa.large_string())
+    body, _ = bytes_of(parts)
+    sizes = pc.utf8_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(body) != sizes.sum():
+        body = np.frombuffer(body.tobytes().decode().encode("utf-32-le", "surrogatepass"), "<u4")
+    return body, sizes
+
+
+def _bags(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many code points of each class every part has, side by side; counts run over into the
+    next class, so that only the difference of two bags that are alike means something."""
+    total = np.append(np.uint64(0), np.cumsum(_classes()[codes], dtype=np.uint64))
+    ends = np.cumsum(sizes)
+    return (total[ends] - total[ends - sizes]) & np.uint64((1 << 5 * CLASSES) - 1)
+
+
+def _alike(one: str, two: str, edits: int) -> Column:
+    """Whether two bags may belong to lines so many edits apart: an edit changes two counts by one."""
+    middle = sum(16 << 5 * k for k in range(CLASSES))
+    apart = F.col(one) - F.col(two) + F.lit(middle)
+    return reduce(lambda x, y: x + y, [F.abs(F.shiftright(apart, 5 * k).bitwiseAND(F.lit(31)) - 16)
+                                       for k in range(CLASSES)]) <= 2 * edits
+
+
+def _hash_pieces(codes: np.ndarray, sizes: np.ndarray, paths: np.ndarray,
+                 step: np.ndarray) -> dict[str, np.ndarray]:
+    """``row, spot, code`` of the pieces of each part, by hashes of its beginnings."""
     starts = np.cumsum(sizes) - sizes
-    powers = np.full(len(codes), _BASE, np.uint64)
-    powers[:1] = 1
-    terms = _mixed(codes + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64)
-    before = np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64))
-    down = np.full(len(codes) + 1, _BACK, np.uint64)
-    down[:1] = 1
-    down = np.cumprod(down, dtype=np.uint64)
+    powers, down = _powers(max(20, len(codes).bit_length()))
+    before = np.append(np.uint64(0), np.cumsum(_letters()[codes] * powers[:len(codes)], dtype=np.uint64))
     first = np.where(step >= 0, step, _grids(sizes))
     second = np.where(step >= 0, step, _grids(sizes - MOST))
     other = np.flatnonzero(second != first)
-    out = {"row": [], "spot": [], "code": [], "whole": []}
+    out = {"row": [], "spot": [], "code": []}
 
-    def emit(row, seed, found, code, whole):
+    def emit(row, seed, found, code):
         out["row"].append(row)
         out["spot"].append(_mixed(found ^ _mixed(paths[row] + seed.astype(np.uint64))))
         out["code"].append(code.astype(np.int32))
-        out["whole"].append(np.full(len(row), whole))
 
-    for row, own in ((np.arange(len(parts)), first), (other, second[other])):
+    for row, own in ((np.arange(len(sizes)), first), (other, second[other])):
         cut = own > SHORT
         left = row[~cut]
-        emit(left, own[~cut], np.zeros(len(left), np.uint64), np.zeros(len(left)), True)
+        emit(left, own[~cut], np.zeros(len(left), np.uint64), np.zeros(len(left)))
         row, own = row[cut], own[cut]
         q, low, high = own // 4, starts[row], starts[row] + sizes[row]
         for side in (0, 1):
@@ -126,43 +181,76 @@ def _hash_pieces(parts: list[str], paths: np.ndarray, step: np.ndarray) -> dict[
                 at = np.zeros_like(q) if which == 0 else q + which - 2
                 at = high - at - q if side else low + at
                 emit(row, 8 * own + 2 * side + (which > 0) + 1,
-                     (before[at + q] - before[at]) * down[at], 8 * own + 4 * side + which,
-                     which in (0, 2))
+                     (before[at + q] - before[at]) * down[at], 8 * own + 4 * side + which)
     return {c: np.concatenate(v) for c, v in out.items()}
 
 
+def _sketches(docs: DataFrame, least: int) -> DataFrame:
+    """``missing, doc, no, a, b, size, bag, spots`` of each compared line; lines under ``MIN_CHARS``
+    have no spots, which are pairs of ``spot`` and ``code`` (see ``_spots``)."""
+    names = ("missing", "doc", "no", "a", "b")
+    kind = pa.list_(pa.struct([("spot", pa.int64()), ("code", pa.int32())]))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, sizes = _codes(batch.column("line"))
+            long = np.flatnonzero(sizes >= MIN_CHARS)
+            kept = codes if len(long) == len(sizes) else codes[np.repeat(sizes >= MIN_CHARS, sizes)]
+            found = _hash_pieces(kept, sizes[long], np.zeros(len(long), np.uint64),
+                                 np.full(len(long), -1))
+            row = long[found["row"]]
+            order = np.argsort(row, kind="stable")
+            spots = pa.StructArray.from_arrays(
+                [pa.array(found["spot"][order].view(np.int64)), pa.array(found["code"][order])],
+                ["spot", "code"])
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), pa.array(sizes.astype(np.int32)),
+                 pa.array(_bags(codes, sizes).view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(ends), spots).cast(kind)],
+                names=[*names, "size", "bag", "spots"])
+
+    return _lines(docs, least).select(*names, "line").mapInArrow(
+        run, "missing boolean, doc long, no int, a long, b long, size int, bag long, "
+             "spots array<struct<spot:long,code:int>>")
+
+
 def _spots(rows: DataFrame) -> DataFrame:
-    """``spot, id, path, code, whole`` of ``rows`` (``id, path, part, step``).
+    """``spot, id, path, code`` of ``rows`` (``id, path, part, step``).
 
     Spots are hashes of the pieces without edit. A ``step`` under 0 stands for those of the part's
     own length. ``code`` is 8 * step + 4 if from the end + 0 for the outer piece, or 1, 2, 3 for the
-    inner one standing a place early, in place, a place late. ``whole`` tells the pieces that stand
-    in place; two lines share a spot only if one of them has it so. Parts that are not cut share a
-    spot with all others of their path and step; its code is 0.
+    inner one standing a place early, in place, a place late; two lines share a spot only if one of
+    them has it in place. Parts that are not cut share a spot with all others of their path and
+    step; its code is 0.
     """
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 path = batch.column("path").to_numpy()
-                found = _hash_pieces(batch.column("part").to_pylist(), path.view(np.uint64),
+                found = _hash_pieces(*_codes(batch.column("part")), path.view(np.uint64),
                                      batch.column("step").to_numpy().astype(np.int64))
                 row = found["row"]
                 yield pa.RecordBatch.from_pydict({
                     "spot": found["spot"].view(np.int64), "id": batch.column("id").to_numpy()[row],
-                    "path": path[row], "code": found["code"], "whole": found["whole"]})
+                    "path": path[row], "code": found["code"]})
 
     return rows.select("id", "path", "part", "step").mapInArrow(
-        run, "spot long, id long, path long, code int, whole boolean")
+        run, "spot long, id long, path long, code int")
 
 
-def _shared_spots(rows: DataFrame) -> DataFrame:
-    """The spots that different lines of ``rows`` share, as ``id, path, code, spot``."""
-    spots = _spots(rows)
+def _shared(spots: DataFrame) -> DataFrame:
+    """The ``spots`` that different lines share, as ``spot, id, path, code, n``: shared by ``n``."""
     some = F.col("id").bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    whole = (F.col("code") % 4).isin(0, 2)
     shared = spots.groupBy("spot").agg(F.min(some).alias("low"), F.max(some).alias("high"),
-                                       F.bool_or("whole").alias("whole"))
+                                       F.bool_or(whole).alias("whole"))
     shared = shared.where("low < high and whole").select("spot")
-    return spots.drop("whole").join(shared.hint("merge"), "spot", "left_semi").distinct()
+    rows = materialize(spots.join(shared.hint("shuffle_hash"), "spot", "left_semi").distinct(), "shared")
+    lines = rows.groupBy("spot").agg(F.count("*").alias("n"))
+    return rows.join(lines.hint("merge"), "spot")
 
 
 def deletions(text: str) -> tuple[int, np.ndarray]:
@@ -251,7 +339,7 @@ def _beside() -> Column:
 
 def _groups(shared: DataFrame, rows: DataFrame) -> DataFrame:
     """``group, n, id, path, code, same``: the keys that different lines share."""
-    own = materialize(shared, "spots").join(rows.hint("merge"), ["id", "path"])
+    own = materialize(shared, "spots").drop("n").join(rows.hint("merge"), ["id", "path"])
     own = own.withColumn("beside", F.when(F.col("code") > 0, _beside()))
     varied = own.groupBy("spot").agg((F.min("beside") < F.max("beside")).alias("varied"))
     own = own.drop("beside").join(varied.hint("merge"), "spot").withColumn(
@@ -275,31 +363,63 @@ def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.where((distance >= 0) & (distance <= most)).select("id").distinct()
 
 
-def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs ``id, other`` of lines of one group, the other one the earlier."""
-    other = others.select("group", F.col("id").alias("other"), F.col("first").alias("before"),
-                          F.col("size").alias("length"))
-    return rows.join(other, "group").where(
-        (F.col("before") < F.col("first")) & (F.abs(F.col("size") - F.col("length")) <= MOST)).select(
-        "id", "other")
+def _met(rows: DataFrame, others: DataFrame, edits: int, by: list[str]) -> DataFrame:
+    """Pairs ``id, other`` of lines of one group that may be near, the other one the earlier."""
+    other = others.select(*by, F.col("id").alias("other"), F.col("first").alias("before"),
+                          F.col("size").alias("length"), F.col("bag").alias("letters"))
+    return rows.join(other, by).where(
+        (F.col("before") < F.col("first")) & (F.abs(F.col("size") - F.col("length")) <= edits)
+        & _alike("bag", "letters", edits)).select("id", "other")
+
 
+def _met_in_spots(shared: DataFrame, about: DataFrame, edits: int) -> DataFrame:
+    """Pairs ``id, other`` of lines of one spot that may be near. Large spots are dealt out."""
+    rows = shared.select("spot", "id", "n").distinct().join(about.hint("merge"), "id")
+    parts = F.ceil(F.col("n") / DEAL).cast("int")
+    return _met(rows.withColumn("part", F.pmod(F.hash("id"), parts)),
+                rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), edits,
+                ["spot", "part"])
 
-def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """``id`` of the lines of ``texts`` (``id, first, line``, all different) near an earlier line."""
-    rows = texts.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
-    about = texts.select("id", "first", F.length("line").alias("size"))
-    found, lines = None, texts.count()
+
+def _neighbours(shared: DataFrame, about: DataFrame, edits: int, lines: int,
+                fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``id`` of the lines near an earlier line.
+
+    ``about`` holds ``id, first, size, bag`` of the lines of ``shared``; ``fetch`` takes ``id`` and
+    gives ``id, line``. ``lines`` is how many lines are compared in all.
+    """
+    found = texts = None
     while True:
-        groups = materialize(_groups(shared, rows).join(about.hint("merge"), "id"), "groups")
+        shared = materialize(shared, "sized")
+        few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
+        pairs = _met_in_spots(few, about, edits)
+        # A line of a spot of n lines is in n rows' pairs, half of them on its side.
+        wide = many.agg(F.sum(F.col("n") - 1)).first()[0]
+        settled = wide is None
+        if wide is not None and wide <= 2 * WIDE * lines:
+            more = materialize(_met_in_spots(many, about, edits).distinct(), "pairs")
+            settled = more.count() <= DIRECT * lines
+            pairs = pairs.unionByName(more) if settled else pairs
+        pairs = materialize(pairs.distinct(), "pairs")
+        if texts is None:
+            needed = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id")))
+            texts = fetch(needed if settled else needed.unionByName(many.select("id")))
+            rows = texts.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
+        found = _more(found, pairs, texts, edits)
+        if settled:
+            return found
+        groups = materialize(_groups(many, rows).join(about.hint("merge"), "id"), "groups")
         few, many = groups.where(F.col("n") <= FEW), groups.where(F.col("n") > FEW)
-        hub = many.groupBy("group").agg(F.min(F.struct("first", "id")).alias("hub"))
+        hub = many.groupBy("group").agg(F.min(F.struct("first", "id", "size", "bag")).alias("hub"))
         spokes = many.join(hub.hint("merge"), "group").where(F.col("id") != F.col("hub.id"))
-        pairs = _met(few, few).unionByName(spokes.select("id", F.col("hub.id").alias("other")))
+        pairs = _met(few, few, edits, ["group"]).unionByName(spokes.where(
+            (F.abs(F.col("size") - F.col("hub.size")) <= edits) & _alike("bag", "hub.bag", edits)).select(
+            "id", F.col("hub.id").alias("other")))
         found = _more(found, pairs, texts, edits)
         # Keys with a line that is not settled, the first one aside. A key of the whole piece
         # goes with the keys of its variants, all of which its lines share.
         open_ = spokes.join(found.hint("merge"), "id", "left_anti").select("group").distinct()
-        left = many.drop("size").join(open_.hint("merge"), "group", "left_semi")
+        left = many.drop("size", "bag").join(open_.hint("merge"), "group", "left_semi")
         varied = left.where(~F.col("same")).select("id", "path", "code").distinct()
         left = materialize(left.where(~F.col("same")).unionByName(left.where("same").join(
             varied.hint("merge"), ["id", "path", "code"], "left_anti")), "left")
@@ -316,8 +436,8 @@ def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         if direct or cost["last"]:
             last = left.where(F.lit(direct) | (F.col("code") == 0)).join(
                 about.hint("merge").drop("first"), "id")
-            found = _more(found, _met(last.join(found.hint("merge"), "id", "left_anti"), last),
-                          texts, edits)
+            found = _more(found, _met(last.join(found.hint("merge"), "id", "left_anti"), last, edits,
+                                      ["group"]), texts, edits)
         if direct:
             return found
         parts = left.where("code > 0").join(rows.hint("merge"), ["id", "path"])
@@ -333,7 +453,7 @@ def _neighbours(shared: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         alike = F.col("most") * 3 <= 4 * _grid(F.col("least"))
         stepped = rows.join(lengths.hint("merge"), "path").withColumn(
             "step", F.when(alike, _grid(F.col("least"))).otherwise(-1))
-        shared = _shared_spots(stepped)
+        shared = _shared(_spots(stepped))
 
 
 def _more(found: DataFrame | None, pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -357,46 +477,58 @@ def repeated(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFra
     """
     if not 1 <= edits <= MOST:
         raise ValueError("edits is 1, 2 or 3")
-    lines = _lines(docs, least)
-    firsts = materialize(lines.groupBy("key").agg(F.min("first").alias("first"),
-                                                  F.count("*").alias("n")), "firsts")
-    long = lines.where(F.length("line") >= MIN_CHARS).select(
-        F.col("key.a").alias("id"), F.lit(0).cast("long").alias("path"), F.col("line").alias("part"),
-        F.lit(-1).alias("step"))
-    shared = materialize(_shared_spots(long), "shared")
-    open_ = shared.select("id").distinct()
-    wanted = materialize(firsts.select("key", "first", F.col("key.a").alias("id")).join(
-        open_.hint("merge"), "id", "left_semi").select("key", "first"), "open")
-    # The text of those lines: one row for each document, so that texts are not multiplied. Both
-    # sides grow with the data, so the plan is the same at every size.
-    places = wanted.groupBy("first.missing", "first.id").agg(F.collect_set("first.no").alias("nos"))
-    holders = _places(docs).join(places.hint("merge"), ["missing", "id"])
-    texts = holders.select("missing", "id", "nos", F.posexplode(F.split("text", "\n"))
-                           .alias("no", "raw")).where(F.array_contains("nos", F.col("no")))
-    texts = texts.select(F.struct("missing", "id", "no").alias("first"),
-                         F.trim("raw", F.lit(ENDS)).alias("line"))
-    texts = texts.withColumn("key", _key(F.col("line"))).join(
-        wanted.hint("merge"), ["key", "first"], "left_semi").distinct()
-    texts = materialize(texts.select(F.col("key.a").alias("id"), "key", "first", "line"), "texts")
-    near = _neighbours(shared, texts, edits).join(texts.select("id", "key").hint("merge"), "id").select(
-        "key", F.lit(True).alias("near"))
-    bad = firsts.join(near.distinct().hint("merge"), "key", "left").where("n > 1 or near")
-    hit = (lines.select("first", "key").join(
-        bad.withColumnRenamed("first", "earliest").hint("merge"), "key")
+    lines = materialize(_sketches(docs, least), "lines")
+    place = F.struct("missing", F.col("doc").alias("id"), "no")
+    firsts = materialize(lines.groupBy("a", "b").agg(
+        F.min(place).alias("first"), F.count("*").alias("n"), F.min("size").alias("size"),
+        F.min("bag").alias("bag")), "firsts")
+    spots = lines.select(F.col("a").alias("id"), F.explode("spots").alias("s")).select(
+        "s.spot", "id", F.lit(0).cast("long").alias("path"), "s.code")
+    shared = materialize(_shared(spots), "shared")
+    about = materialize(firsts.withColumnRenamed("a", "id").join(
+        shared.select("id").distinct().hint("merge"), "id", "left_semi").drop("n"), "open")
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        """``id, line``: one row for each document is looked up, so that texts are not multiplied.
+        Both sides grow with the data, so the plan is the same at every size."""
+        wanted = materialize(about.select("id", "b", "first").join(
+            ids.distinct().hint("merge"), "id", "left_semi"), "wanted")
+        places = wanted.groupBy("first.missing", F.col("first.id").alias("doc")).agg(
+            F.collect_set("first.no").alias("nos"))
+        holders = _places(docs).withColumnRenamed("id", "doc").join(
+            places.hint("merge"), ["missing", "doc"])
+        texts = holders.select("missing", "doc", "nos", F.posexplode(F.split("text", "\n"))
+                               .alias("no", "raw")).where(F.array_contains("nos", F.col("no")))
+        texts = texts.select(place.alias("first"), F.trim("raw", F.lit(ENDS)).alias("line"))
+        texts = texts.select("first", "line", *_key(F.col("line"))).withColumnRenamed("a", "id").join(
+            wanted.hint("merge"), ["id", "b", "first"], "left_semi")
+        return materialize(texts.select("id", "line").distinct(), "texts")
+
+    near = _neighbours(shared, about.drop("b"), edits, firsts.count(), fetch).select(
+        F.col("id").alias("a"), F.lit(True).alias("near"))
+    bad = firsts.drop("size", "bag").join(near.distinct().hint("merge"), "a", "left").where(
+        "n > 1 or near")
+    hit = (lines.select(place.alias("first"), "a", "b").join(
+        bad.withColumnRenamed("first", "earliest").hint("merge"), ["a", "b"])
         .where("earliest < first or near"))
-    return hit.select("first.missing", "first.id", "first.no", F.col("key.a").alias("line"),
+    return hit.select("first.missing", "first.id", "first.no", F.col("a").alias("line"),
                       (F.col("first") == F.col("earliest")).alias("near")).distinct()
 
 
+def _hash(raw: Column) -> Column:
+    return F.xxhash64(F.trim(raw, F.lit(ENDS)))
+
+
 def _lost(rows: DataFrame, docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """``rows`` (with ``_missing``, ``_id`` and ``_lines``) and ``_drops``, the ``no, near`` that
-    go from each row's own lines."""
+    """``rows`` (with ``_missing``, ``_id`` and ``_hashes`` or ``_lines``) and ``_drops``, the ``no,
+    near`` that go from each row's own lines."""
     gone = repeated(docs, edits, least).groupBy("missing", "id").agg(
         F.collect_list(F.struct("no", "line", "near")).alias("_gone"))
     out = rows.join(gone.hint("merge"), (F.col("_missing") == F.col("missing"))
                     & (F.col("_id") == F.col("id")), "left").drop("missing", "id")
-    own = F.filter("_gone", lambda g: F.xxhash64(F.trim(F.get("_lines", g["no"]), F.lit(ENDS)))
-                   == g["line"])
+    line = (lambda no: F.get("_hashes", no)) if "_hashes" in rows.columns else (
+        lambda no: _hash(F.get("_lines", no)))
+    own = F.filter("_gone", lambda g: line(g["no"]) == g["line"])
     return out.withColumn("_drops", F.coalesce(F.transform(own, lambda g: F.struct(
         g["no"].alias("no"), g["near"].alias("near"))), F.expr(
         "cast(array() as array<struct<no int, near boolean>>)"))).drop("_gone")
@@ -410,9 +542,10 @@ def report(docs: DataFrame, edits: int = 1, least: int = MIN_CHARS) -> DataFrame
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.col("doc_id").isNull().alias("_missing"),
                        F.coalesce("doc_id", F.lit(0).cast("long")).alias("_id"),
-                       F.split(text, "\n").alias("_lines"), (F.length(text) > 0).alias("_filled"))
+                       F.transform(F.split(text, "\n"), _hash).alias("_hashes"),
+                       (F.length(text) > 0).alias("_filled"))
     out = _lost(rows, docs, edits, least)
-    size = F.when(F.col("_filled"), F.size("_lines")).otherwise(0).cast("long")
+    size = F.when(F.col("_filled"), F.size("_hashes")).otherwise(0).cast("long")
     near = F.size(F.filter("_drops", lambda d: d["near"])).cast("long")
     return out.select("doc_id", size.alias("n_lines"),
                       (F.size("_drops").cast("long") - near).alias("n_exact"), near.alias("n_near"),

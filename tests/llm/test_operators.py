@@ -402,6 +402,27 @@ def test_a_replaced_word_is_near(spark):
     assert [got[i]["dropped"] for i in (1, 2, 3)] == [[], [0], []]
 
 
+def test_few_lines_of_a_spot_need_no_variants(spark, monkeypatch):
+    """Lines that share a piece with few others are paired at once, none of their variants is made."""
+    def refuse(rows):
+        raise AssertionError("variants of lines that are few")
+
+    monkeypatch.setattr(lines, "_variants", refuse)
+    r = random.Random(7)
+    bases = ["".join(r.choice("abcdefgh é") for _ in range(60)).strip() for _ in range(20)]
+    rows = [(3 * i + k, x[:p] + "日" + x[p + 1:] if k else x) for i, x in enumerate(bases)
+            for k, p in enumerate((0, 5, len(x) - 3))]
+    check_lines(by_id(lines.report(table(spark, rows), edits=3)), rows, edits=3)
+
+
+def test_bags_of_near_lines_are_alike(spark):
+    pairs = [("a" * 40 + "zz", "a" * 40), ("é日" * 30, "é日" * 30 + "xyz"), ("b" * 99, "b" * 96 + "cde"),
+             ("one two three four", "five six seven eight")]
+    bags = [lines._bags(*lines._codes(pa.array(p))).view("int64").tolist() for p in pairs]
+    got = spark.createDataFrame(bags, "one long, two long").select(lines._alike("one", "two", 3)).collect()
+    assert [x[0] for x in got] == [True, True, True, False]
+
+
 def test_short_lines_repeat(spark):
     rows = [(1, "Les.\nhome\n\n \nx"), (2, " Les.\nHome\n\nhome\ny"), (3, "x"), (4, "xs")]
     got = by_id(queries.op6(table(spark, rows), None))
