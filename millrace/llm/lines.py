@@ -11,7 +11,8 @@ most one edit. Such a half is cut into two pieces:
 
 * One piece has no edit; if it is the inner one, it may stand one place off. Its hash is a *spot*,
   eight for each line. Only lines that share a spot with another line go on, by that spot. In a
-  spot shared by few, lines are paired at once; also in all others, if the pairs are not many.
+  spot shared by few, lines are paired at once; also in all others, if the pairs are not many, but
+  there each line takes its text along and looks for one near line, so that no pairs are written.
 * The other piece has at most one edit, so the two have a variant in common that lacks at most one
   code point. All these variants are hashed together with the spot: the *keys* that lines are
   joined by. A key whose lines all agree in the piece is left to the key of the whole piece.
@@ -52,8 +53,8 @@ MIN_CHARS = 20
 PER_EDIT = 10
 MOST = 3                        # edits that the halves are made for
 FEW = 16                        # lines of one spot or key that are all compared
-DIRECT = 4                      # pairs for each line that are compared rather than cut further
-WIDE = 64                       # pairs for each line of which letters are compared
+DIRECT = 4                      # pairs for each line that are written rather than cut further
+WIDE = 64                       # pairs for each line that are compared within spots
 DEAL = 256                      # lines of a spot that one task holds against all of it
 CLASSES = 12                    # of letters, 5 bits each
 SHORT = 8                       # steps up to which a part is not cut any more
@@ -363,22 +364,45 @@ def _near(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.where((distance >= 0) & (distance <= most)).select("id").distinct()
 
 
+def _may_be_near(edits: int) -> Column:
+    """Whether ``first, size, bag`` are those of a line that may be near an earlier one's ``before,
+    length, letters``."""
+    return ((F.col("before") < F.col("first")) & (F.abs(F.col("size") - F.col("length")) <= edits)
+            & _alike("bag", "letters", edits))
+
+
+def _earlier(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    return rows.select(*columns, F.col("first").alias("before"), F.col("size").alias("length"),
+                       F.col("bag").alias("letters"))
+
+
 def _met(rows: DataFrame, others: DataFrame, edits: int, by: list[str]) -> DataFrame:
     """Pairs ``id, other`` of lines of one group that may be near, the other one the earlier."""
-    other = others.select(*by, F.col("id").alias("other"), F.col("first").alias("before"),
-                          F.col("size").alias("length"), F.col("bag").alias("letters"))
-    return rows.join(other, by).where(
-        (F.col("before") < F.col("first")) & (F.abs(F.col("size") - F.col("length")) <= edits)
-        & _alike("bag", "letters", edits)).select("id", "other")
+    other = _earlier(others, *by, F.col("id").alias("other"))
+    return rows.join(other, by).where(_may_be_near(edits)).select("id", "other")
+
+
+def _in_spots(shared: DataFrame, about: DataFrame) -> DataFrame:
+    return shared.select("spot", "id", "n").distinct().join(about.hint("merge"), "id")
 
 
-def _met_in_spots(shared: DataFrame, about: DataFrame, edits: int) -> DataFrame:
-    """Pairs ``id, other`` of lines of one spot that may be near. Large spots are dealt out."""
-    rows = shared.select("spot", "id", "n").distinct().join(about.hint("merge"), "id")
+def _near_in_spots(rows: DataFrame, found: DataFrame, edits: int) -> DataFrame:
+    """``id`` of the lines of ``rows`` (``spot, id, n, first, size, bag, line``), ``found`` ones
+    aside, that are near an earlier line of their spot.
+
+    Each line looks for such a line until there is one; pairs are not written. Large spots are
+    dealt out.
+    """
     parts = F.ceil(F.col("n") / DEAL).cast("int")
-    return _met(rows.withColumn("part", F.pmod(F.hash("id"), parts)),
-                rows.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), edits,
-                ["spot", "part"])
+    one = rows.join(found.hint("merge"), "id", "left_anti").select(
+        "spot", F.pmod(F.hash("id"), parts).alias("part"), "id", "first", "size", "bag", "line")
+    two = _earlier(rows, F.col("spot").alias("place"), F.explode(
+        F.sequence(F.lit(0), parts - 1)).alias("share"), F.col("line").alias("text"))
+    most = bound(F.least("size", "length"), edits)
+    distance = F.levenshtein("line", "text", edits)
+    return one.join(two.hint("merge"), (F.col("spot") == F.col("place")) & (
+        F.col("part") == F.col("share")) & _may_be_near(edits) & (distance >= 0) & (distance <= most),
+        "left_semi").select("id").distinct()
 
 
 def _neighbours(shared: DataFrame, about: DataFrame, edits: int, lines: int,
@@ -392,22 +416,20 @@ def _neighbours(shared: DataFrame, about: DataFrame, edits: int, lines: int,
     while True:
         shared = materialize(shared, "sized")
         few, many = shared.where(F.col("n") <= FEW), shared.where(F.col("n") > FEW)
-        pairs = _met_in_spots(few, about, edits)
-        # A line of a spot of n lines is in n rows' pairs, half of them on its side.
-        wide = many.agg(F.sum(F.col("n") - 1)).first()[0]
-        settled = wide is None
-        if wide is not None and wide <= 2 * WIDE * lines:
-            more = materialize(_met_in_spots(many, about, edits).distinct(), "pairs")
-            settled = more.count() <= DIRECT * lines
-            pairs = pairs.unionByName(more) if settled else pairs
-        pairs = materialize(pairs.distinct(), "pairs")
+        near = _in_spots(few, about)
+        pairs = materialize(_met(near, near, edits, ["spot"]).distinct(), "pairs")
         if texts is None:
-            needed = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id")))
-            texts = fetch(needed if settled else needed.unionByName(many.select("id")))
+            texts = fetch(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id")))
+                          .unionByName(many.select("id")))
             rows = texts.select("id", F.lit(0).cast("long").alias("path"), F.col("line").alias("part"))
         found = _more(found, pairs, texts, edits)
-        if settled:
+        # A line of a spot of n lines is in n rows' pairs, half of them on its side.
+        wide = many.agg(F.sum(F.col("n") - 1)).first()[0]
+        if wide is None:
             return found
+        if wide <= 2 * WIDE * lines:
+            open_ = materialize(_in_spots(many, about).join(texts.hint("merge"), "id"), "open")
+            return materialize(_near_in_spots(open_, found, edits).unionByName(found), "near")
         groups = materialize(_groups(many, rows).join(about.hint("merge"), "id"), "groups")
         few, many = groups.where(F.col("n") <= FEW), groups.where(F.col("n") > FEW)
         hub = many.groupBy("group").agg(F.min(F.struct("first", "id", "size", "bag")).alias("hub"))

@@ -415,6 +415,25 @@ def test_few_lines_of_a_spot_need_no_variants(spark, monkeypatch):
     check_lines(by_id(lines.report(table(spark, rows), edits=3)), rows, edits=3)
 
 
+def test_lines_of_a_large_spot_write_no_pairs(spark, monkeypatch):
+    """Near copies that share a piece and their letters: each line looks for one that is near."""
+    written = []
+    counted = lines._met
+
+    def met(*args):
+        pairs = counted(*args)
+        written.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(lines, "_met", met)
+    r, n = random.Random(8), 60
+    head, tail = "The same beginning of a line of text, ", "abcdefghijklmnopqrstuvwxyz" * 2
+    rows = [(i, head + "".join(r.sample(tail, len(tail)))) for i in range(n)]
+    rows += [(n + i, x[:50] + "." + x[51:]) for i, x in rows[::7]]
+    check_lines(by_id(lines.report(table(spark, rows), edits=3)), rows, edits=3)
+    assert sum(written) < n
+
+
 def test_bags_of_near_lines_are_alike(spark):
     pairs = [("a" * 40 + "zz", "a" * 40), ("é日" * 30, "é日" * 30 + "xyz"), ("b" * 99, "b" * 96 + "cde"),
              ("one two three four", "five six seven eight")]
