@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.session import materialize
 
 from .pii import renewed
-from .words import bytes_of
+from .words import bytes_of, lean
 
 MIN_CHARS = 20
 PER_EDIT = 10
@@ -192,6 +192,7 @@ def _sketches(docs: DataFrame, least: int) -> DataFrame:
     names = ("missing", "doc", "no", "a", "b")
     kind = pa.list_(pa.struct([("spot", pa.int64()), ("code", pa.int32())]))
 
+    @lean
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -227,6 +228,7 @@ def _spots(rows: DataFrame) -> DataFrame:
     them has it in place. Parts that are not cut share a spot with all others of their path and
     step; its code is 0.
     """
+    @lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -308,6 +310,7 @@ def _variants(rows: DataFrame) -> DataFrame:
     ``group`` is a hash of the spot and of a variant of the piece beside it; ``same`` marks the
     key of the whole piece.
     """
+    @lean
     def run(batches):
         for batch in batches:
             out = {c: [] for c in ("group", "id", "path", "code", "piece", "same")}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.session import materialize
 
 from .components import components
-from .words import blocks, numbered, split_words, text_of
+from .words import blocks, lean, numbered, split_words, text_of
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100     # least similarity
@@ -108,6 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     ``set_key`` is a 128-bit hash of the full set.
     """
+    @lean
     def run(batches):
         circle = _circle()
         for batch in batches:
@@ -127,6 +128,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame) -> DataFrame:
     """``doc_id, shingles`` (the full set) of every row with words."""
+    @lean
     def run(batches):
         for batch in batches:
             found = [s.view(np.int64) for s in shingle_sets(text_of(batch))]

@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from millrace.session import materialize
 
-from .words import blocks, numbered, split_words, sums, text_of
+from .words import blocks, lean, numbered, split_words, sums, text_of
 
 CAPACITY = 4096
 END = 2
@@ -193,6 +193,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every row: full windows and a rest, with checksums of their ids."""
+    @lean
     def run(batches):
         tokens, task, seen = Tokens(path), TaskContext.get().partitionId(), {}
         for batch in gathered(batches, BLOCK):

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .words import blocks, bytes_of, numbered, split_words, sums, text_of
+from .words import blocks, bytes_of, lean, numbered, split_words, sums, text_of
 
 MIN_WORDS = 50              # base: shorter texts fail
 MIN_REPEAT = 8              # words of a repeat that counts for the two limits below
@@ -149,6 +149,7 @@ def assess(docs: DataFrame) -> DataFrame:
     fails; a text without repeats has none covered. ``longest_repeat`` is 0 if shorter than
     ``MIN_REPEAT``. Only the two named columns are used.
     """
+    @lean
     def run(batches):
         for batch in batches:
             m = measures(text_of(batch))
@@ -160,6 +161,7 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
+    @lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:

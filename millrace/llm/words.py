@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,21 @@ def prepared(spark: SparkSession) -> SparkSession:
     return ship(tune(spark))
 
 
+def lean(run: Callable) -> Callable:
+    """``run`` over the batches of a task, after which the worker gives back the memory it has freed.
+
+    Workers are kept for later tasks. The allocators of Arrow and of C would hold on to what large
+    texts took, beside whatever runs next on the executor.
+    """
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):         # of glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The text column with nulls as empty texts."""
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import (components, fingerprints, lines, minhash, packing, pages, pii, queries,
-                          repetition, sharding, toxicity, unigram)
+                          repetition, sharding, toxicity, unigram, words)
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, hash int"
@@ -434,6 +434,17 @@ def test_lines_of_a_large_spot_write_no_pairs(spark, monkeypatch):
     assert sum(written) < n
 
 
+def test_a_task_gives_back_memory(monkeypatch):
+    from types import SimpleNamespace
+
+    freed = []
+    pool = SimpleNamespace(release_unused=lambda: freed.append(True))
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    out = words.lean(iter)([1, 2])
+    assert next(out) == 1 and not freed
+    assert list(out) == [2] and freed
+
+
 def test_bags_of_near_lines_are_alike(spark):
     pairs = [("a" * 40 + "zz", "a" * 40), ("é日" * 30, "é日" * 30 + "xyz"), ("b" * 99, "b" * 96 + "cde"),
              ("one two three four", "five six seven eight")]
