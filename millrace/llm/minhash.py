@@ -186,31 +186,39 @@ _SPREAD = (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR)
 def _across(apart: DataFrame, joined: DataFrame) -> DataFrame:
     """Pairs ``a, b`` that may be linked, of one hub but of different components.
 
-    One of them is far from the hub. The other's first shingles up to the bound that holds for
-    every far partner meet all of the far one's; both places are then held against the bounds of
-    the pair.
+    One of them is far from the hub. Only shingles that a hub's rows of several components have can
+    be shared by such a pair; all others take the first places of a difference, then the rarest
+    come first. The bounds of the prefix argument, where x and y stand for 7 d_x - |x|: a pair
+    shares at least (x + y) / 14, a far row has x > m, and every row x >= -m.
     """
     named = apart.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "hub", "rep", "n", "far", "delta", F.size("delta").alias("d"),
-        F.coalesce("component", "rep").alias("component"),
-        F.ceil((_SPREAD * F.size("delta") + F.col("n") - F.col("m")) / (2 * _SPREAD)).cast("int")
-        .alias("first"))
-    far = named.where("far").select("hub", F.col("rep").alias("a"), F.col("n").alias("na"), F.col(
-        "d").alias("da"), F.col("component").alias("ca"), F.posexplode("delta").alias("i", "shingle"))
-    near = named.where("first > 0").select(
-        "hub", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"),
-        F.col("component").alias("cb"),
-        F.posexplode(F.slice("delta", F.lit(1), F.col("first"))).alias("j", "shingle"))
-    # Shingles whose rows all lie in one component have no pair to give.
-    split = (far.select("hub", "shingle", F.col("ca").alias("c"))
-             .unionByName(near.select("hub", "shingle", F.col("cb").alias("c")))
-             .groupBy("hub", "shingle").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-             .where("low < high").select("hub", "shingle"))
-    far, near = (x.join(split, ["hub", "shingle"], "left_semi") for x in (far, near))
-    shared = F.ceil((F.col("da") + F.col("db") - (F.col("na") + F.col("nb")) / _SPREAD) / 2 - 1e-9)
+        "hub", "rep", "n", "m", "far", F.size("delta").alias("d"), F.xxhash64("delta").alias("key"),
+        F.coalesce("component", "rep").alias("component"), F.explode("delta").alias("shingle"))
+    split = named.groupBy("hub", "shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")
+        ).where("low < high").select("hub", "shingle", "rows")
+    # A row that an id has twice is one.
+    held = named.join(split, ["hub", "shingle"]).groupBy(
+        "hub", "rep", "n", "m", "far", "d", "key", "component").agg(
+        F.sort_array(F.collect_set(F.struct("rows", "shingle"))).alias("held"))
+    d, n, m, place = F.col("d"), F.col("n"), F.col("m"), F.col("d") - F.size("held")
+    some = materialize(held.where(2 * _SPREAD * place <= _SPREAD * d + n + m), "places")
+    placed = some.select("hub", "rep", "n", "m", "far", "d", "component", place.alias("before"),
+                         F.posexplode("held").alias("at", "it")).select(
+        "*", (F.col("before") + F.col("at")).alias("place"), F.col("it.shingle").alias("shingle"))
+    place = 2 * _SPREAD * F.col("place")
+    far = placed.where(F.col("far") & (place <= _SPREAD * d + n + m)).select(
+        "hub", "shingle", F.col("rep").alias("a"), n.alias("na"), d.alias("da"),
+        F.col("component").alias("ca"), F.col("place").alias("i"))
+    near = placed.where(place < _SPREAD * d + n - m).select(
+        "hub", "shingle", F.col("rep").alias("b"), n.alias("nb"), d.alias("db"),
+        F.col("component").alias("cb"), F.col("place").alias("j"), F.col("far").alias("both"))
+    shared = _SPREAD * (F.col("da") + F.col("db")) - F.col("na") - F.col("nb")
     met = far.join(near, ["hub", "shingle"]).where(
-        (F.col("ca") != F.col("cb")) & _fit(F.col("na"), F.col("nb"))
-        & (F.col("i") <= F.col("da") - shared) & (F.col("j") <= F.col("db") - shared))
+        (F.col("ca") != F.col("cb")) & (~F.col("both") | (F.col("a") > F.col("b")))
+        & _fit(F.col("na"), F.col("nb"))
+        & (2 * _SPREAD * (F.col("da") - F.col("i")) >= shared)
+        & (2 * _SPREAD * (F.col("db") - F.col("j")) >= shared))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -220,6 +220,42 @@ def test_minhash_groups_of_near_copies(spark):
     check_links(by_id(minhash.link(table(spark, rows))), rows)
 
 
+def test_minhash_of_a_group_around_a_template(spark):
+    """Rows of one hub share most of what sets them apart from it, and are no pairs for that."""
+    hub = list(range(1000, 1100))
+
+    def row(rep, own):
+        added, removed = sorted([*range(20), *own]), hub[60:]
+        return 1, rep, 100, 100, added + removed, True
+
+    def own(k):
+        return [10_000 * k + i for i in range(20)]
+
+    rows = [row(k, own(k)) for k in range(2, 62)] + [row(62, own(2)), row(63, own(3)), row(63, own(3))]
+    apart = spark.createDataFrame(rows, "hub long, rep long, n int, m int, delta array<long>, far boolean")
+    nothing = spark.createDataFrame([], "node long, component long")
+    assert sorted(map(tuple, minhash._across(apart, nothing).collect())) == [(62, 2), (63, 3)]
+    joined = spark.createDataFrame([(62, 2)], "node long, component long")
+    assert sorted(map(tuple, minhash._across(apart, joined).collect())) == [(63, 3)]
+
+
+def test_minhash_pairs_between_far_and_near_rows(spark):
+    """Families on a common template against brute force, so that links cross components."""
+    r = random.Random(9)
+    rows, n = [], 0
+    for _ in range(6):
+        template = [f"t{r.randrange(10**6)}" for _ in range(60)]
+        for _ in range(14):
+            words = list(template)
+            for _ in range(r.randrange(1, 5)):
+                at = r.randrange(len(words))
+                words[at:at + r.randrange(1, 6)] = [f"w{r.randrange(60)}" for _ in range(r.randrange(0, 6))]
+            n += 1
+            rows.append((n, " ".join(words)))
+    r.shuffle(rows)
+    check_links(by_id(minhash.link(table(spark, rows))), rows)
+
+
 def test_minhash_of_odd_rows(spark):
     rows = list({r[0]: r for r in ODD if r[0] is not None}.values())
     check_links(by_id(minhash.link(table(spark, rows))), rows)
