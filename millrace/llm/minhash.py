@@ -16,9 +16,10 @@ at least is not linked to the hub. They are found without comparing all: a set i
 but for a few shingles, added or removed (its difference). Two sets x and y are linked if and
 only if their differences d differ in at most (|x| + |y|) / 7 shingles, so differences share at
 least (d_x + d_y - (|x| + |y|) / 7) / 2 of them, and by the prefix argument a shared one stands
-among the first of both in any common order. With added shingles first, those are hardly ever
-removed ones, and added shingles are rare: so a group of n near copies costs about n rows, and
-no link between different texts is lost.
+among the first of both in any common order. The order is that of rarity among the differences to
+the hub, and shingles of one component come before all others: what all rows around a hub share,
+such as what none of them has of the hub, comes last and is hardly ever joined, and no link
+between different texts is lost.
 """
 
 from __future__ import annotations
