@@ -17,7 +17,8 @@ from ..functions.names import col, unique_names
 from ..operators.union import union
 from ..session import materialize, scratch_path
 from .delimited import HEAD_CHARS, sniff
-from .files import DELIMITED, MEMBER_TYPES, create_file, each_alone, listing, open_file, per_file
+from .files import (DELIMITED, FEW_FILES, MEMBER_TYPES, create_file, each_alone, listing, open_file,
+                    per_file)
 from .inference import NULL_TOKENS, infer_types
 from .structured import read_json, read_xml
 
@@ -29,12 +30,12 @@ BATCH_LINES = 4096
 BLANK = " \t\v\f\r\n"
 
 
-def members(spark: SparkSession, path: str | Sequence[str], *,
+def members(spark: SparkSession, path: str | Sequence[str] | DataFrame, *,
             skip_extensions: Sequence[str] = (), without: DataFrame | None = None) -> DataFrame:
     """(path, archive, member, name, ext, bytes, position) of every file in the archives, but for
     archives whose ``path`` is in ``without``.
 
-    ``path`` is one archive, several, or a folder whose ``.zip`` files are all taken.
+    ``path`` is one archive, several, a listing of them, or a folder whose ``.zip`` files are all taken.
     Only the archives' tables of contents are read.
     """
     skipped = {e.lower().lstrip(".") for e in skip_extensions}
@@ -293,13 +294,13 @@ def read_members(found: DataFrame, *, infer: bool = True, source_column: str | N
 
 def unpack(found: DataFrame, folder: str) -> DataFrame:
     """Write members out as files of one ``folder``, however many archives they come from, and
-    return their (file, archive, member); ``file`` is the name there.
+    return their (file, archive, member, path, bytes); ``file`` is the name there.
 
     Each member is streamed by its own task; whole-document readers can then use the folder.
     """
     import pandas as pd
 
-    columns = ["file", "archive", "member"]
+    columns = ["file", "archive", "member", "path", "bytes"]
 
     def run(batches):
         rows = []
@@ -307,12 +308,12 @@ def unpack(found: DataFrame, folder: str) -> DataFrame:
             file = "m" + hashlib.md5(f"{path}\0{member}".encode("utf-8", "surrogatepass")).hexdigest()
             with z.open(member) as source, create_file(f"{folder}/{file}") as out:
                 shutil.copyfileobj(source, out, 1 << 20)
-            rows.append((file, archive, member))
+            rows.append((file, archive, member, f"{folder}/{file}", z.getinfo(member).file_size))
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
     return materialize(_spread(found).mapInPandas(
-        run, "file string, archive string, member string").distinct(), "members")
+        run, "file string, archive string, member string, path string, bytes long").distinct(), "members")
 
 
 def read_archive(spark: SparkSession, path: str | Sequence[str], member: str | None = None, *,
@@ -350,10 +351,11 @@ def stacked_members(spark: SparkSession, chosen: DataFrame, *, infer: bool,
         # All members are read together; a row's file tells its archive.
         folder = scratch_path(spark, "unpacked")
         done = unpack(chosen.filter(F.col("ext") == kind), folder)
+        where = done if kind == "json" and done.count() > FEW_FILES else folder
         if not source_column:
-            parts.append(read(spark, folder))
+            parts.append(read(spark, where))
             continue
-        table = read(spark, folder, {FILE: F.col("_metadata.file_name")})
+        table = read(spark, where, {FILE: F.col("_metadata.file_name")})
         archive = done.select(F.col("file").alias(FILE), F.col("archive").alias(source_column))
         parts.append(table.join(archive, FILE).drop(FILE))
     return parts[0] if len(parts) == 1 else union(parts)

@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.names import col, unique_names
 from ..session import materialize
-from .files import listing, open_file, per_file
+from .files import FEW_FILES, file_name, listing, open_file, per_file
 from .inference import NULL_TOKENS, blank_to_null, infer_types
-from .ranges import Quotes, records
+from .ranges import Lines, Quotes, records
 
 DELIMITERS = ",|\t;"
 HEAD_CHARS = 8192
 OVERFLOW = "__overflow"
-FEW_FILES = 10_000
 # A quote where a field begins.
 OPENING = '(^|[,|\\t;]) *"'
 
@@ -35,7 +34,9 @@ class Layout(NamedTuple):
     encoding: str
     multi_line: bool
     header: tuple[str, ...]
-    paths: tuple[str, ...]
+    # The files; where they are many a listing of them, and the lines under their headers.
+    paths: tuple[str, ...] | DataFrame
+    lines: DataFrame | None = None
 
 
 class Delimited(NamedTuple):
@@ -96,35 +97,66 @@ def detect(spark: SparkSession, path: str | Sequence[str], sep: str | None = Non
     are decided by every line, in one splittable scan merged per file; a quote inside a
     field that does not begin with one (an inch mark) opens nothing.
     """
-    files = listing(spark, path)
+    lines = (spark.read.text(path if isinstance(path, str) else list(path))
+             .select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+                     .alias("path"), "value"))
+    return _detected(listing(spark, path), lines, sep)
+
+
+def _detected(files: DataFrame, lines: DataFrame, sep: str | None, *facts: Column) -> DataFrame:
+    """``detect`` for listed files and their lines (path, value), with more ``facts`` of the lines."""
     heads = per_file(files, lambda p: _heads(p, sep), HEAD_SCHEMA)
     raw = F.col("value").cast("binary")
     undefined = F.lit(False)
     for b in CP1252_UNDEFINED:
         undefined = undefined | F.contains(raw, F.lit(b))
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = (spark.read.text(path if isinstance(path, str) else list(path))
-             .select(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-                     .alias("__path"),
-                     F.is_valid_utf8("value").alias("utf8"), undefined.alias("undefined"),
-                     ((quotes % 2 == 1) & F.col("value").rlike(OPENING)).alias("odd")))
-    facts = lines.groupBy("__path").agg(F.bool_and("utf8").alias("utf8"),
-                                        F.bool_or("undefined").alias("undefined"),
-                                        F.bool_or("odd").alias("multi_line"))
+    odd = (quotes % 2 == 1) & F.col("value").rlike(OPENING)
+    seen = lines.groupBy(F.col("path").alias("__path")).agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(undefined).alias("undefined"),
+        F.bool_or(odd).alias("multi_line"), *facts)
     encoding = (F.when(F.coalesce("utf8", F.lit(True)), "utf-8")
                 .when(~F.col("undefined"), "cp1252").otherwise("latin-1"))
-    return (heads.join(facts, F.col("path") == F.col("__path"), "left")
-            .select("path", "sep", "header", "header_bytes", encoding.alias("encoding"),
-                    F.coalesce("multi_line", F.lit(False)).alias("multi_line"))
-            .withColumn("header", _header(F.col("encoding"))).drop("header_bytes"))
-
-
-def layouts(spark: SparkSession, path: str | Sequence[str], *, sep: str | None = None,
+    return (heads.join(seen, F.col("path") == F.col("__path"), "left")
+            .withColumns({"encoding": encoding, "multi_line": F.coalesce("multi_line", F.lit(False))})
+            .drop("__path", "utf8", "undefined").withColumn("header", _header(F.col("encoding"))).drop("header_bytes"))
+
+
+def _many(spark: SparkSession, files: DataFrame) -> list[Layout]:
+    """``layouts`` of listed files. Tasks write the lines of all files to one table, which is then
+    looked at and parsed by Spark; only headers reach the driver."""
+    rows = materialize(records(spark, files, Lines(), "latin-1"), "lines")
+    bytes_ = F.encode("value", "ISO-8859-1").cast("string")
+    # The header is the file's first line; it begins in another range if blank lines come before it.
+    begin = F.min(F.when(F.col("no") == 0, F.col("low"))).alias("begin")
+    found = materialize(_detected(files, rows.withColumn("value", bytes_), None, begin), "layouts")
+    kinds = found.groupBy("sep", "header", "encoding", "multi_line").agg(
+        F.min("path").alias("path"), F.max("begin").alias("begin")).orderBy("path").collect()
+    out = []
+    for r in kinds:
+        header = (F.col("header") == F.array(*map(F.lit, r["header"])) if r["header"]
+                  else F.size("header") == 0)
+        mine = found.filter((F.col("sep") == r["sep"]) & header & (F.col("encoding") == r["encoding"])
+                            & (F.col("multi_line") == r["multi_line"])).select("path", "begin")
+        # The files are as many as the lines are long: they are not to be gathered for a broadcast.
+        own = (rows.join(mine.hint("merge"), "path") if len(kinds) > 1 or r["begin"]
+               else rows.withColumn("begin", F.lit(0)))
+        lines = own.filter((F.col("no") > 0) | (F.col("low") > F.col("begin"))).select(
+            "path", (bytes_ if r["encoding"] == "utf-8" else F.col("value")).alias("value"))
+        out.append(Layout(r["sep"], r["encoding"], r["multi_line"], tuple(r["header"]),
+                          files.join(mine.select("path"), "path", "left_semi"), lines))
+    return out
+
+
+def layouts(spark: SparkSession, path: str | Sequence[str] | DataFrame, *, sep: str | None = None,
             encoding: str | None = None, multi_line: bool | None = None) -> list[Layout]:
-    """Files grouped by layout; only file names and headers reach the driver.
+    """Files grouped by layout; only file names and headers reach the driver, of a listing that was
+    made by tasks only headers.
 
     With ``encoding`` and ``multi_line`` given, only the heads of the files are read.
     """
+    if isinstance(path, DataFrame):
+        return _many(spark, path)
     known = encoding is not None and multi_line is not None
     heads = lambda p: _heads(p, sep)
     found = (per_file(listing(spark, path), heads, HEAD_SCHEMA).withColumns(
@@ -145,15 +177,21 @@ def _read_split(spark: SparkSession, layout: Layout, schema: str, source_column:
     The header is the first record; it may begin in any range if blank lines come before it.
     """
     # The header, the types and the rows are found by passes of their own; Python runs once.
-    rows = materialize(records(spark, list(layout.paths), Quotes(layout.sep), layout.encoding,
-                               range_bytes), "records")
+    few = isinstance(layout.paths, tuple)
+    rows = materialize(records(spark, list(layout.paths) if few else layout.paths, Quotes(layout.sep),
+                               layout.encoding, range_bytes), "records")
     heads = rows.groupBy("path").agg(F.min(F.struct("low", "no")).alias("head"))
-    body = rows.join(F.broadcast(heads) if len(layout.paths) <= FEW_FILES else heads, "path").where(
+    body = rows.join(F.broadcast(heads) if few and len(layout.paths) <= FEW_FILES else heads, "path").where(
         F.struct("low", "no") > F.col("head"))
+    name = F.url_decode(F.replace(file_name(), F.lit("+"), F.lit("%2B")))
+    return _parsed(body, layout, schema, source_column, name)
+
+
+def _parsed(lines: DataFrame, layout: Layout, schema: str, source_column: str | None,
+            name: Column) -> DataFrame:
     options = {"sep": layout.sep, "escape": '"', "nullValue": "", "emptyValue": ""}
-    file = F.element_at(F.split("path", "/"), -1)
-    name = [F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B"))).alias(source_column)] if source_column else []
-    return body.select(F.from_csv("value", schema, options).alias("__r"), *name).select(
+    return lines.select(F.from_csv("value", schema, options).alias("__r"),
+                        *([name.alias(source_column)] if source_column else [])).select(
         "__r.*", *([source_column] if source_column else []))
 
 
@@ -167,6 +205,8 @@ def read_layout(spark: SparkSession, layout: Layout, *, infer: bool = True,
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in [*names, OVERFLOW])
     if layout.multi_line:
         raw = _read_split(spark, layout, schema, source_column, range_bytes)
+    elif layout.lines is not None:
+        raw = _parsed(layout.lines, layout, schema, source_column, file_name())
     else:
         raw = (spark.read.schema(schema).option("header", True).option("sep", layout.sep)
                .option("encoding", "UTF-8" if layout.encoding == "utf-8" else "ISO-8859-1")
@@ -175,8 +215,8 @@ def read_layout(spark: SparkSession, layout: Layout, *, infer: bool = True,
                .csv(list(layout.paths)))
         if source_column:
             raw = raw.withColumn(source_column, F.url_decode("_metadata.file_name"))
-        if layout.encoding == "cp1252":
-            raw = raw.withColumns({n: F.translate(col(n), CP1252_FROM, CP1252_TO) for n in names})
+    if layout.encoding == "cp1252" and not layout.multi_line:
+        raw = raw.withColumns({n: F.translate(col(n), CP1252_FROM, CP1252_TO) for n in names})
     good = raw.filter(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
     bad = raw.filter(F.col(OVERFLOW).isNotNull())
     if columns:

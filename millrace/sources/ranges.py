@@ -14,6 +14,7 @@ is a sum, so only its change is kept for each range.
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator, Sequence
 
@@ -38,12 +39,33 @@ def _chunks(path: str, low: int, high: int | None = None) -> Iterator[bytes]:
             yield raw
 
 
+class Lines:
+    """Lines, whatever stands in them; a carriage return ends one as a line break does. They are to
+    be read as Latin-1, one character a byte."""
+
+    starts = range(1)
+    # What Spark's readers call a blank line consists of these.
+    blank = "".join(map(chr, range(33)))
+
+    def records(self, path: str, low: int, high: int, state: int, depth: int) -> Iterator[bytes]:
+        """The lines that begin in the range."""
+        with open_file(path) as fh:
+            fh.seek(max(low - 1, 0))
+            text = io.TextIOWrapper(fh, encoding="latin-1", newline="")
+            # The line that the byte before the range belongs to begins before it.
+            at = low - 1 + len(text.readline()) if low else 0
+            while at < high and (line := text.readline()):
+                at += len(line)
+                yield line.encode("latin-1")
+
+
 class Quotes:
     """Records of delimited text. A quote opens a field only where the field begins, a doubled one
     inside stands for itself, and one inside an unquoted field is a character like others."""
 
     RECORD, FIELD, PLAIN, QUOTED, CLOSING = range(5)
     starts = range(5)
+    blank = None
 
     def __init__(self, sep: str):
         self.sep = sep.encode()
@@ -105,6 +127,7 @@ class Nesting:
 
     OUT, STRING, ESCAPED = range(3)
     starts = range(3)
+    blank = None
     _mark = re.compile(rb'["{}\[\]]')
     _end = re.compile(rb'["\\]')
 
@@ -177,8 +200,8 @@ class Nesting:
             yield b"".join(held)
 
 
-def records(spark: SparkSession, path: str | Sequence[str], automaton, encoding: str = "utf-8",
-            size: int | None = None) -> DataFrame:
+def records(spark: SparkSession, path: str | Sequence[str] | DataFrame, automaton,
+            encoding: str = "utf-8", size: int | None = None) -> DataFrame:
     """``path, low, no, value``: the filled records of all files as text, by byte ranges.
 
     ``no`` counts the records that begin in the range at ``low``.
@@ -186,8 +209,8 @@ def records(spark: SparkSession, path: str | Sequence[str], automaton, encoding:
     import pandas as pd
 
     size = size or RANGE_BYTES
-    found = listing(spark, path).select("path", "bytes").where("bytes > 0")
-    cut = found.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1,
+    files = listing(spark, path).select("path", "bytes").where("bytes > 0")
+    cut = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1,
                                                     F.lit(size).cast("long"))).alias("low"), "bytes")
     cut = cut.select("path", "low", F.least(F.col("low") + size, "bytes").alias("high"))
     kinds = len(automaton.starts)
@@ -223,7 +246,7 @@ def records(spark: SparkSession, path: str | Sequence[str], automaton, encoding:
                     if not low and not no:
                         raw = raw.removeprefix(b"\xef\xbb\xbf")
                     text = raw.decode(encoding, "replace").strip("\r\n")
-                    if text.strip():
+                    if text.strip(automaton.blank):
                         held.append((file, low, text, no))
                         no += 1
                         size += len(raw)
@@ -233,10 +256,12 @@ def records(spark: SparkSession, path: str | Sequence[str], automaton, encoding:
         if held:
             yield pd.DataFrame(held, columns=columns)
 
-    spans = "path string, low long, high long"
+    spans, found = "path string, low long, high long", "path string, low long, value string, no long"
+    if kinds == 1:                                  # every range begins in the one state there is
+        return each_alone(cut.withColumns({"state": F.lit(0), "depth": F.lit(0)}), "path",
+                          "low").mapInPandas(read, found)
     maps = each_alone(cut, "path", "low").mapInPandas(summarize, f"{spans}, map array<int>")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     states = materialize(maps.repartition(tasks, "path").sortWithinPartitions("path", "low").mapInPandas(
         begin, f"{spans}, state int, depth int"), "states")
-    return each_alone(states, "path", "low").mapInPandas(
-        read, "path string, low long, value string, no long")
+    return each_alone(states, "path", "low").mapInPandas(read, found)

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.names import col
 from ..operators.shape import flatten
 from ..operators.union import union
-from ..session import scratch_path, ship
-from .files import create_file, listing, open_file, per_file
+from ..session import materialize, scratch_path, ship
+from .files import create_file, file_name, listing, open_file, per_file
 from .inference import nan_to_null
-from .ranges import Nesting, records
+from .ranges import Lines, Nesting, records
 
 
 def json_forms(spark: SparkSession, path) -> dict[bool, list[str]]:
@@ -42,8 +42,11 @@ def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = No
     Whether a file is one document or has one value a line is told from all its lines, unless
     ``multi_line`` says so; files of both forms are stacked by column name. ``extra`` adds
     columns, such as the file name from ``_metadata``. Documents are read in ranges of
-    ``range_bytes``.
+    ``range_bytes``. Of a listing that was made by tasks no path comes to the driver.
     """
+    if isinstance(path, DataFrame):
+        return _read_listed(spark, path, extra or {}, range_bytes)
+
     def one(paths, whole):
         if whole:
             return nan_to_null(flatten(_json_documents(spark, paths, extra or {}, range_bytes)))
@@ -58,6 +61,47 @@ def read_json(spark: SparkSession, path, extra: Mapping[str, Column] | None = No
     return union([one(paths, whole) for whole, paths in sorted(forms.items())])
 
 
+def _read_listed(spark: SparkSession, files: DataFrame, extra: Mapping[str, Column],
+                 range_bytes: int | None) -> DataFrame:
+    """``read_json`` of listed files; ``extra`` names columns that receive the file's name."""
+    lines = materialize(records(spark, files, Lines(), "latin-1").select(
+        "path", F.encode("value", "ISO-8859-1").cast("string").alias("value")), "lines")
+    forms = materialize(lines.groupBy("path").agg(
+        F.bool_or(F.try_parse_json("value").isNull()).alias("whole")), "forms")
+    kinds = [r["whole"] for r in forms.select("whole").distinct().orderBy("whole").collect()]
+    parts = []
+    for whole in kinds or [False]:
+        mine = forms.filter(F.col("whole") == whole).select("path").hint("merge")
+        if whole:
+            found = records(spark, files.join(mine, "path", "left_semi"), Nesting(), size=range_bytes)
+            found = materialize(found.select("path", F.translate("value", "\r\n", "  ").alias("value")),
+                                "objects")
+        else:
+            found = lines.join(mine, "path", "left_semi") if len(kinds) > 1 else lines
+        parts.append(nan_to_null(flatten(_values(found, extra))))
+    return parts[0] if len(parts) == 1 else union(parts)
+
+
+def _values(found: DataFrame, extra: Mapping[str, Column]) -> DataFrame:
+    """What Spark's reader makes of lines (path, value): a row for each object, also of an array."""
+    spark, target = found.sparkSession, scratch_path(found.sparkSession, "objects")
+    found.select("value").write.text(target)
+    schema = spark.read.json(target).schema
+    corrupt = spark.conf.get("spark.sql.columnNameOfCorruptRecord")
+    is_list = F.col("value").rlike(r"^\s*\[")
+    # An array that is not all objects is one row without values, as with the reader.
+    each = F.from_json("value", T.ArrayType(schema))
+    each = F.when(F.forall(each, lambda r: r.isNotNull()), each).otherwise(
+        F.array(F.lit(None).cast(schema)))
+    rows = found.select("path", "value", F.explode(F.when(is_list, each).otherwise(
+        F.array(F.from_json("value", schema)))).alias("__r"))
+    cells = {f.name: F.col("__r").getField(f.name) for f in schema.fields}
+    if corrupt in cells:
+        cells[corrupt] = F.when(is_list & F.col("__r").isNull(), F.col("value")).otherwise(cells[corrupt])
+    return rows.select(*[c.alias(n) for n, c in cells.items() if n not in extra],
+                       *[file_name().alias(n) for n in extra])
+
+
 def _keys(text: str, path: str):
     """The key paths of a value and what stands there: null (0), an object (1) or another (2).
 

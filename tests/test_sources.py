@@ -10,8 +10,9 @@ import millrace as mr
 from millrace.sources import (archives as archives_module, delimited as delimited_module,
                               folders as folders_module, structured as structured_module)
 from millrace.sources.delimited import detect
+from millrace.sources.files import list_folder, listing
 from millrace.sources.html import parse_tables
-from millrace.sources.ranges import Quotes
+from millrace.sources.ranges import Lines, Quotes, records
 
 
 def put(path, text, encoding="utf-8"):
@@ -303,3 +304,74 @@ def test_ranges_of_many_files_are_read_once(spark, tmp_path):
     assert rows(out) == norm([(i, f"x\n{j}") for i in range(30) for j in range(5)])
     ranges = sum(-(-p.stat().st_size // 16) for p in tmp_path.glob("*.csv"))
     assert reads.value == ranges
+
+
+FEW = (folders_module, archives_module)
+
+
+def test_many_files_are_united_without_their_names(spark, tmp_path, monkeypatch):
+    """Delimited files and archives of JSON members, more than the driver should hold."""
+    for module in FEW:
+        monkeypatch.setattr(module, "FEW_FILES", 3, raising=False)
+    for i in range(8):
+        put(tmp_path / f"o {i}.csv", f"key;label\n{i};x\n")
+        with zipfile.ZipFile(tmp_path / f"z{i}.zip", "w") as z:
+            z.writestr("j.json", f'{{"key": {10 + i}}}\n')
+    out = mr.union_folder(spark, str(tmp_path), source_tag="src")
+    assert rows(out, "key", "label", "src") == norm(
+        [(i, "x", f"o {i}.csv") for i in range(8)] + [(10 + i, None, f"z{i}.zip") for i in range(8)])
+    read = [f.rsplit("/", 1)[-1] for f in out.inputFiles()]
+    assert read and all(f.startswith("part-") for f in read)
+
+
+def test_many_files_read_as_few(spark, tmp_path, monkeypatch):
+    """Layouts, encodings, line ends, bad lines and forms of JSON: the same rows either way."""
+    texts = ["﻿A,B\n1,2\n", "\n \t\nA;B\r\n3;4\r\r\n5;\r\n", 'A,B\n"x\ny",7\n', "", "A,B\n", ",,\n,,\n",
+             "A,B\n8,9,10\n11\n\x0012,13", "A\tA\n1\t2\n", 'A,B\n5" z,NA\n"q""r",14\n', "A,C\n \n15, 16 \n\xa0\n"]
+    for i, text in enumerate(texts):
+        put(tmp_path / f"f {i}.csv", text)
+    put(tmp_path / "w.csv", "A,é\n€,\x85\n")
+    put(tmp_path / "v.csv", "A,é\n€,é\n".encode("cp1252"))
+    put(tmp_path / "u.csv", b"A,\xe9\n\x81,\xe9\n")
+    documents = ['{"A": 1}\n\n{"A": 2, "n": {"x": 1.5}}\r\n', '[{"A": 3}, {"A": 4}]', "[]", "{}", "",
+                 '{"A":\n 5}\n{"A": 6, "t": "}{"}', '[\n{"A": 7},\n{"A": 8, "l": [1, 2]}]', '{"A": null}', '[1, 2]\n7\n[{"A": 9}, null]\n[{"A": 9}, 3]\n[{"A": 10}]']
+    for i, text in enumerate(documents):
+        put(tmp_path / f"d{i}.json", text)
+        with zipfile.ZipFile(tmp_path / f"z{i}.zip", "w") as z:
+            z.writestr("in/j.json", text)
+            z.writestr("c.csv", texts[i])
+
+    def united():
+        out = mr.union_folder(spark, str(tmp_path), source_tag="src")
+        return out.dtypes, norm(tuple(str(v) if isinstance(v, list) else v for v in r) for r in out.collect())
+
+    few = united()
+    assert len(few[1]) > 40
+    for module in FEW:
+        monkeypatch.setattr(module, "FEW_FILES", 0)
+    many = united()
+    assert many[0] == few[0]
+    assert many[1] == few[1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5, None])
+def test_lines_by_ranges(spark, tmp_path, size):
+    raw = b"\xef\xbb\xbfa,b\r\n\r\n1,\xe9\r2,x\n\n\x00\n \t\r\n3,\x85\xa0\r\r\n4,end"
+    put(tmp_path / "a.csv", raw)
+    put(tmp_path / "e.csv", b"")
+    found = records(spark, list_folder(spark, str(tmp_path)), Lines(), "latin-1", size).collect()
+    assert [r["value"] for r in sorted(found, key=lambda r: (r["low"], r["no"]))] == [
+        "a,b", "1,\xe9", "2,x", "3,\x85\xa0", "4,end"]
+
+
+def test_folder_listed_by_a_task(spark, tmp_path):
+    for name in ("a b.csv", "c+d.TSV", "n", "_hidden", ".crc", "_metadata", "_k=1.csv", "é%20.zip", "x._COPYING_"):
+        put(tmp_path / "in" / name, name)
+    put(tmp_path / "in" / "empty.csv", "")
+    put(tmp_path / "in" / "sub" / "deep.csv", "x")
+    put(tmp_path / "parts" / "k=1" / "p.csv", "x")
+    for path in (tmp_path / "in", f"file:{tmp_path}/in/", tmp_path / "parts", tmp_path / "in" / "*.csv",
+                 tmp_path / "in" / "n"):
+        assert rows(list_folder(spark, str(path))) == rows(listing(spark, str(path)).drop("modified"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        list_folder(spark, str(tmp_path / "gone"))
