@@ -99,13 +99,21 @@ def _inside(folder: str) -> Iterator[tuple[str, bool, int]]:
             yield info.base_name, info.type == fs.FileType.Directory, info.size or 0
 
 
-def _partitions(folder: str) -> Iterator[str]:
-    """The folders below one that Spark would take for partitions."""
-    for name, is_folder, _ in _inside(folder):
+def _partitioned(folder: str) -> bool:
+    """Whether Spark would take folders below one, or itself, for partitions."""
+    return "=" in folder.rsplit("/", 1)[-1] or any(
+        is_folder and _partitioned(f"{folder}/{name}") for name, is_folder, _ in _inside(folder))
+
+
+def _files(folder: str) -> Iterator[tuple[str, int]]:
+    """(path, bytes) of the files right in a folder, and -1 bytes for one below that has partitions."""
+    below: list[str] = []
+    for name, is_folder, size in _inside(folder):
         if is_folder:
-            if "=" in name:
-                yield f"{folder}/{name}"
-            yield from _partitions(f"{folder}/{name}")
+            below.append(f"{folder}/{name}")
+        elif size:                                  # Spark lists no empty file either
+            yield f"{folder}/{name}", size
+    yield from ((path, -1) for path in below if _partitioned(path))
 
 
 def _plain_folder(spark: SparkSession, path: str) -> str | None:
@@ -135,13 +143,9 @@ def list_folder(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for folder in batch["path"]:
-                files = ((f"{folder}/{name}", size) for name, is_folder, size in _inside(folder)
-                         if size and not is_folder)    # Spark lists no empty file either
+                files = _files(folder)
                 while held := list(islice(files, BATCH_ROWS)):
                     yield pd.DataFrame(held, columns=["path", "bytes"])
-                odd = next(_partitions(folder), None)
-                if odd:
-                    yield pd.DataFrame([(odd, -1)], columns=["path", "bytes"])
 
     full = _plain_folder(spark, path)
     if full:

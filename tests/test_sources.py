@@ -370,8 +370,9 @@ def test_folder_listed_by_a_task(spark, tmp_path):
     put(tmp_path / "in" / "empty.csv", "")
     put(tmp_path / "in" / "sub" / "deep.csv", "x")
     put(tmp_path / "parts" / "k=1" / "p.csv", "x")
-    for path in (tmp_path / "in", f"file:{tmp_path}/in/", tmp_path / "parts", tmp_path / "in" / "*.csv",
-                 tmp_path / "in" / "n"):
+    put(tmp_path / "deep" / "d" / "k=1" / "p.csv", "x")
+    for path in (tmp_path / "in", f"file:{tmp_path}/in/", tmp_path / "parts", tmp_path / "deep",
+                 tmp_path / "in" / "*.csv", tmp_path / "in" / "n"):
         assert rows(list_folder(spark, str(path))) == rows(listing(spark, str(path)).drop("modified"))
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         list_folder(spark, str(tmp_path / "gone"))
